@@ -89,9 +89,6 @@ def shared_names(frames):
 def contexts(frames):
     """Of each sample with a shared name: the bytes of all the strings that chose it."""
     for pdf in chunks(frames):
-        pdf = pdf[pdf["names"].notna()]
-        if not len(pdf):
-            continue
         raw = encoded(pdf)
         which, place, name, start, stop = samples(raw)
         keep = np.zeros(len(name), dtype=bool)
@@ -101,19 +98,20 @@ def contexts(frames):
             keep[a:b] = np.isin(name[a:b], np.asarray(names))
         which, place, name, start, stop = (x[keep] for x in (which, place, name, start, stop))
         ids = pdf["doc_id"].to_numpy()
-        yield pd.DataFrame({"name": name, "doc_id": ids[which], "start": start.astype(np.int32), "before": (place - start).astype(np.int32), "context": [raw[w][a : b + LENGTH] for w, a, b in zip(which.tolist(), start.tolist(), stop.tolist(), strict=True)]})
+        yield pd.DataFrame({"doc_id": ids[which], "start": start.astype(np.int32), "before": (place - start).astype(np.int32), "context": [raw[w][a : b + LENGTH] for w, a, b in zip(which.tolist(), start.tolist(), stop.tolist(), strict=True)]})
 
 
 def repeated_runs(frames):
-    """From contexts sorted by (name, doc_id): runs of bytes that a smaller document has too.
+    """From contexts sorted by (prefix, doc_id): runs of bytes that a smaller document has too.
 
-    What is remembered are the distinct strings of one name, each with the least document it
+    What is remembered are the distinct strings of one prefix, each with the least document it
     starts in; as documents come in ascending order, that is the first one.
     """
     now, strings, whole = None, {}, {}
     for pdf in frames:
         out = []
-        for name, doc, start, before, context in zip(pdf["name"].tolist(), pdf["doc_id"].tolist(), pdf["start"].tolist(), pdf["before"].tolist(), pdf["context"], strict=True):
+        for doc, start, before, context in zip(pdf["doc_id"].tolist(), pdf["start"].tolist(), pdf["before"].tolist(), pdf["context"], strict=True):
+            name = context[before : before + PREFIX]
             if name != now:
                 now, strings, whole = name, {}, {}
             first = whole.setdefault((before, context), doc)
@@ -136,8 +134,10 @@ def keep_rest(keep_text: bool):
     def run(frames):
         for pdf in chunks(frames):
             rows = []
-            for raw, a, b in zip(encoded(pdf), pdf["a"], pdf["b"], strict=True):
+            for raw, a, b, copy in zip(encoded(pdf), pdf["a"], pdf["b"], pdf["copy"], strict=True):
                 kept, at, removed, spans, last = [], 0, 0, 0, -1
+                if copy and len(raw) >= LENGTH:
+                    a, b = [0], [len(raw)]
                 if a is not None and len(a):
                     a, b = np.asarray(a), np.asarray(b)
                     order = np.argsort(a, kind="stable")
@@ -164,11 +164,20 @@ def substring_dedup(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     away; rows that repeat a doc_id are one document as far as "smaller" goes.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    names = texts.where("doc_id is not null").mapInPandas(sample_names, "name long, doc_id long")
-    shared = names.repartition("name").sortWithinPartitions("name", "doc_id").mapInPandas(shared_names, "doc_id long, name long")
+    digest = F.md5(F.encode("text", "UTF-8"))
+    # an exact copy of a smaller document loses every string and is no one's only source
+    names = texts.where("doc_id is not null").select("doc_id", digest.alias("h"))
+    later = names.join(names.groupBy("h").agg(F.min("doc_id").alias("low")), "h").where("doc_id > low")
+    copies = later.groupBy("doc_id").agg(F.collect_set("h").alias("copy_of"))
+    is_copy = F.coalesce(F.array_contains("copy_of", digest), F.lit(False))
+    marked = texts.join(copies, "doc_id", "left")
+    own = marked.where(F.col("doc_id").isNotNull() & ~is_copy).select("doc_id", "text")
+    sampled = own.mapInPandas(sample_names, "name long, doc_id long")
+    shared = sampled.repartition("name").sortWithinPartitions("name", "doc_id").mapInPandas(shared_names, "doc_id long, name long")
     wanted = shared.groupBy("doc_id").agg(F.collect_list("name").alias("names"))
-    around = texts.join(wanted, "doc_id", "left").mapInPandas(contexts, "name long, doc_id long, start int, before int, context binary")
-    runs = around.repartition("name").sortWithinPartitions("name", "doc_id").mapInPandas(repeated_runs, "doc_id long, a int, b int")
+    around = own.join(wanted, "doc_id").mapInPandas(contexts, "doc_id long, start int, before int, context binary")
+    prefix = F.substring("context", F.col("before") + 1, F.lit(PREFIX))
+    runs = around.repartition(prefix).sortWithinPartitions(prefix, "doc_id").mapInPandas(repeated_runs, "doc_id long, a int, b int")
     spans = runs.groupBy("doc_id").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_bytes else "")
-    return texts.join(spans, "doc_id", "left").mapInPandas(keep_rest(keep_bytes), schema)
+    return marked.join(spans, "doc_id", "left").select("doc_id", "text", "a", "b", is_copy.alias("copy")).mapInPandas(keep_rest(keep_bytes), schema)
