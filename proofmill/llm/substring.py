@@ -163,15 +163,16 @@ def substring_dedup(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     Null text counts as empty; a text under 50 bytes and a null doc_id lose nothing and take nothing
     away; rows that repeat a doc_id are one document as far as "smaller" goes.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = every.where("doc_id is not null")  # the same rows below every join, so their exchange is reused
     digest = F.md5(F.encode("text", "UTF-8"))
     # an exact copy of a smaller document loses every string and is no one's only source
-    names = texts.where("doc_id is not null").select("doc_id", digest.alias("h"))
+    names = texts.select("doc_id", digest.alias("h"))
     later = names.join(names.groupBy("h").agg(F.min("doc_id").alias("low")), "h").where("doc_id > low")
     copies = later.groupBy("doc_id").agg(F.collect_set("h").alias("copy_of"))
     is_copy = F.coalesce(F.array_contains("copy_of", digest), F.lit(False))
     marked = texts.join(copies, "doc_id", "left")
-    own = marked.where(F.col("doc_id").isNotNull() & ~is_copy).select("doc_id", "text")
+    own = marked.where(~is_copy).select("doc_id", "text")
     sampled = own.mapInPandas(sample_names, "name long, doc_id long")
     shared = sampled.repartition("name").sortWithinPartitions("name", "doc_id").mapInPandas(shared_names, "doc_id long, name long")
     wanted = shared.groupBy("doc_id").agg(F.collect_list("name").alias("names"))
@@ -180,4 +181,6 @@ def substring_dedup(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     runs = around.repartition(prefix).sortWithinPartitions(prefix, "doc_id").mapInPandas(repeated_runs, "doc_id long, a int, b int")
     spans = runs.groupBy("doc_id").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_bytes else "")
-    return marked.join(spans, "doc_id", "left").select("doc_id", "text", "a", "b", is_copy.alias("copy")).mapInPandas(keep_rest(keep_bytes), schema)
+    none = F.lit(None).cast("array<int>")
+    nameless = every.where("doc_id is null").select("doc_id", "text", none.alias("a"), none.alias("b"), F.lit(False).alias("copy"))
+    return marked.join(spans, "doc_id", "left").select("doc_id", "text", "a", "b", is_copy.alias("copy")).union(nameless).mapInPandas(keep_rest(keep_bytes), schema)
