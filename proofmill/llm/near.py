@@ -189,7 +189,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     task = F.when(F.col("s") == 1, F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.xxhash64("root", F.least("b", "o"), F.greatest("b", "o")))
     members = members.select("node", "root", task.alias("task"))
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), text_of().alias("text"))
-    groups = texts.join(members, "node").groupBy("task")
+    # merge: the same plan at every size
+    groups = texts.join(members.hint("merge"), "node").groupBy("task")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
