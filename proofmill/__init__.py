@@ -1,0 +1 @@
+"""Evidence conformance analytics on Spark."""

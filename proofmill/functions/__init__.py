@@ -1 +1,207 @@
+"""Scalar functions with exact semantics."""
 
+from __future__ import annotations
+
+import hashlib
+import json
+import unicodedata
+from decimal import Decimal, localcontext
+
+import pandas as pd
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+SAFE = 2**53 - 1
+
+
+def _texts(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
+def half_even_ratio(a: Column, b: Column, places: int = 4) -> Column:
+    """a / b of non-negative integers as text, rounded half to even once; null where b <= 0.
+
+    Integer arithmetic: a decimal quotient would already have been rounded before.
+    """
+    scale = 10**places
+    a, b = a.cast("decimal(20,0)"), b.cast("decimal(20,0)")
+    whole = _div(a * scale, b)
+    rest = (a * scale) - whole * b
+    up = (2 * rest > b) | ((2 * rest == b) & (whole % 2 == 1))
+    q = (whole + F.when(up, 1).otherwise(0)).cast("long")
+    text = F.concat(_div(q, F.lit(scale)).cast("string"), F.lit("."), F.lpad((q % scale).cast("string"), places, "0"))
+    return F.when(b > 0, text)
+
+
+def _div(a: Column, b: Column) -> Column:
+    """Whole-number quotient of non-negative numbers, exact for any size: take the remainder off first."""
+    return ((a - a % b) / b).cast("decimal(28,0)")
+
+
+def compares(left_num: Column, left_den: Column, op: str, num: int, den: int) -> Column:
+    """left_num / left_den against num / den by cross-multiplication; denominators are positive."""
+    a = left_num.cast("decimal(19,0)") * F.lit(den).cast("decimal(18,0)")
+    b = left_den.cast("decimal(19,0)") * F.lit(num).cast("decimal(18,0)")
+    return {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b, "==": a == b, "!=": a != b}[op]
+
+
+def text_of_value(c: Column, kind: str) -> Column:
+    """The text under which a value is grouped or matched: True, False, None, plain numbers."""
+    shown = F.when(c, "True").when(~c, "False") if kind == "boolean" else c.cast("string")
+    return F.coalesce(shown, F.lit("None"))
+
+
+def family(control: Column) -> Column:
+    return F.substring_index(control, "-", 1)
+
+
+def pseudonym(principal: Column, key: bytes = bytes(32)) -> Column:
+    """HMAC-SHA-256 of a principal's id, from two SHA-256 calls of the JVM."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner = F.lit(bytes(x ^ 0x36 for x in block))
+    outer = F.lit(bytes(x ^ 0x5C for x in block))
+    first = F.sha2(F.concat(inner, F.encode(principal, "UTF-8")), 256)
+    return F.concat(F.lit("principal:"), F.sha2(F.concat(outer, F.unhex(first)), 256))
+
+
+def event_iri(event_id: Column) -> Column:
+    return F.concat(F.lit("urn:event:"), event_id)
+
+
+def nanoseconds_to_time(ns: Column) -> Column:
+    """RFC 3339 text with milliseconds, cut and never rounded; null for negative values."""
+    ms = _div(ns, F.lit(1_000_000))
+    return F.when(ns >= 0, F.concat(F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z")))
+
+
+def plain_decimal(text: Column, kind: str = "decimal(38,10)") -> Column:
+    """A decimal without exponent; null for any other text."""
+    return F.when(text.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)$"), text.try_cast(kind))
+
+
+def digest_form(digest: Column) -> Column:
+    return F.lower(F.regexp_replace(digest, "^sha256:", ""))
+
+
+def first_present(attributes: Column, *keys: str) -> Column:
+    """The first of several attribute names that holds a non-empty text."""
+    return F.coalesce(*[F.nullif(attributes[k], F.lit("")) for k in keys])
+
+
+def canonical(value) -> str:
+    """Canonical JSON text: keys in UTF-16 order after composition, integers only, least escapes."""
+
+    def checked(v):
+        if isinstance(v, bool) or v is None:
+            return v
+        if isinstance(v, float):
+            raise ValueError("number is not an integer")
+        if isinstance(v, int):
+            if abs(v) > SAFE:
+                raise ValueError("integer out of range")
+            return v
+        if isinstance(v, str):
+            v.encode("utf-8")
+            return unicodedata.normalize("NFC", v)
+        if isinstance(v, list):
+            return [checked(x) for x in v]
+        out = {unicodedata.normalize("NFC", k): checked(x) for k, x in v.items()}
+        if len(out) != len(v):
+            raise ValueError("keys collide after composition")
+        return {k: out[k] for k in sorted(out, key=lambda s: s.encode("utf-16-be"))}
+
+    return json.dumps(checked(value), ensure_ascii=False, separators=(",", ":"))
+
+
+def _unique(pairs):
+    out = dict(pairs)
+    if len(out) != len(pairs):
+        raise ValueError("duplicate key")
+    return out
+
+
+def content_hash(line: str | None) -> tuple[str | None, str | None]:
+    """(hash, refusal) of an event's canonical text without its own integrity block."""
+    try:
+        event = json.loads(line, object_pairs_hook=_unique, parse_constant=_refuse)
+        if not isinstance(event, dict):
+            raise ValueError("not an object")
+        if isinstance(event.get("data"), dict):
+            event["data"].pop("integrity", None)
+        return hashlib.sha256(canonical(event).encode("utf-8")).hexdigest(), None
+    except (ValueError, TypeError, RecursionError) as e:
+        return None, str(e)[:200]
+
+
+def _refuse(token: str):
+    raise ValueError(f"number {token} refused")
+
+
+@F.pandas_udf(_texts("hash", "error"))
+def canonical_hash(lines: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([content_hash(x) for x in lines], columns=["hash", "error"])
+
+
+def _beta_fraction(a: Decimal, b: Decimal, x: Decimal) -> Decimal:
+    """Continued fraction of the incomplete beta function, by the modified Lentz recurrence."""
+    tiny, one = Decimal("1e-60"), Decimal(1)
+    c, d = one, one - (a + b) * x / (a + 1)
+    d = one / (d if abs(d) > tiny else tiny)
+    h = d
+    for m in range(1, 2000):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = one + num * d
+            d = one / (d if abs(d) > tiny else tiny)
+            c = one + num / c
+            c = c if abs(c) > tiny else tiny
+            h *= d * c
+        if abs(d * c - one) < Decimal("1e-26"):
+            return h
+    raise ArithmeticError("the continued fraction did not settle")
+
+
+def _beta_cdf(k: int, n: int, x: Decimal) -> Decimal:
+    """P(at least k of n) at success probability x: the regularised incomplete beta I_x(k, n - k + 1)."""
+    if x <= 0:
+        return Decimal(0)
+    if x >= 1:
+        return Decimal(1)
+    a, b = Decimal(k), Decimal(n - k + 1)
+    front = a * x.ln() + b * (1 - x).ln()
+    log_beta = sum((Decimal(i).ln() for i in range(1, k)), Decimal(0)) + sum((Decimal(i).ln() for i in range(1, n - k + 1)), Decimal(0)) - sum((Decimal(i).ln() for i in range(1, n + 1)), Decimal(0))
+    scale = (front - log_beta).exp()
+    if x < (a + 1) / (a + b + 2):
+        return scale * _beta_fraction(a, b, x) / a
+    return 1 - scale * _beta_fraction(b, a, 1 - x) / b
+
+
+def clopper_pearson(k: int, n: int, alpha: str = "0.05") -> tuple[str, str]:
+    """Exact binomial interval as text with four places, half to even."""
+    with localcontext() as ctx:
+        ctx.prec = 30
+        half = Decimal(alpha) / 2
+
+        def solve(f, goal):
+            lo, hi = Decimal(0), Decimal(1)
+            while hi - lo > Decimal("1e-12"):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if f(mid) < goal else (lo, mid)
+            return (lo + hi) / 2
+
+        low = Decimal(0) if k == 0 else solve(lambda x: _beta_cdf(k, n, x), half)
+        high = Decimal(1) if k == n else solve(lambda x: _beta_cdf(k + 1, n, x), 1 - half)
+        return tuple(str(v.quantize(Decimal("0.0001"))) for v in (low, high))
+
+
+@F.pandas_udf(_texts("low", "high"))
+def interval(k: pd.Series, n: pd.Series) -> pd.DataFrame:
+    """Clopper-Pearson interval of aggregated counts: a few rows, one per group."""
+    return pd.DataFrame([clopper_pearson(int(a), int(b)) if b else (None, None) for a, b in zip(k, n, strict=True)], columns=["low", "high"])
+
+
+def register(spark: SparkSession) -> None:
+    """Makes canonical_hash(json), clopper_pearson(k, n) and sha256 pseudonyms callable from SQL."""
+    spark.udf.register("canonical_hash", canonical_hash)
+    spark.udf.register("clopper_pearson", interval)
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION principal_pseudonym(id STRING) RETURNS STRING RETURN concat('principal:', sha2(concat(unhex(repeat('5C', 64)), unhex(sha2(concat(unhex(repeat('36', 64)), encode(id, 'UTF-8')), 256))), 256))")

@@ -1 +1 @@
-
+"""Evidence operators."""

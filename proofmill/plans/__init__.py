@@ -1,4 +1,9 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver tables, each with its SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from .evidence import ORACLE as _E_SQL
+from .evidence import QUERIES as _E
+from .measures import ORACLE as _M_SQL
+from .measures import QUERIES as _M
+
+QUERIES = {**_E, **_M}
+ORACLE = {**_E_SQL, **_M_SQL}
