@@ -71,7 +71,7 @@ def event_iri(event_id: Column) -> Column:
 
 def nanoseconds_to_time(ns: Column) -> Column:
     """RFC 3339 text with milliseconds, cut and never rounded; null for negative values."""
-    ms = _div(ns, F.lit(1_000_000))
+    ms = _div(ns.cast("decimal(20,0)"), F.lit(1_000_000)).cast("long")
     return F.when(ns >= 0, F.concat(F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z")))
 
 
