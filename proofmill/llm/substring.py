@@ -183,4 +183,5 @@ def substring_dedup(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_bytes else "")
     none = F.lit(None).cast("array<int>")
     nameless = every.where("doc_id is null").select("doc_id", "text", none.alias("a"), none.alias("b"), F.lit(False).alias("copy"))
-    return marked.join(spans, "doc_id", "left").select("doc_id", "text", "a", "b", is_copy.alias("copy")).union(nameless).mapInPandas(keep_rest(keep_bytes), schema)
+    out = marked.join(spans, "doc_id", "left").select("doc_id", "text", "a", "b", is_copy.alias("copy")).mapInPandas(keep_rest(keep_bytes), schema)
+    return out.union(nameless.mapInPandas(keep_rest(keep_bytes), schema))
