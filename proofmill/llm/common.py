@@ -51,6 +51,21 @@ def opaque(df: DataFrame) -> DataFrame:
     return df.select(F.inline_outer(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
 
 
+def hash_filter(hashes: DataFrame, longs: int):
+    """A cheap test for 64-bit hashes that may be among ``hashes(h)``: a bit table of ``longs`` 64-bit words.
+
+    The table's size is fixed whatever the input; it has no false negatives, and an exact join follows.
+    """
+    place = lambda h: F.pmod(h, F.lit(longs)).cast("int")
+    bit = lambda h: F.pmod(F.shiftright(h, 13), F.lit(64)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("h")))
+    table = [0] * longs
+    for r in hashes.groupBy(place(F.col("h")).alias("at")).agg(F.bit_or(one).alias("bits")).collect():
+        table[r["at"]] = r["bits"]
+    literal = F.from_json(F.lit(str(table)), "array<bigint>")
+    return lambda h: F.getbit(F.get(literal, place(h)), bit(h)) == 1
+
+
 def components(edges: DataFrame, name: str, max_rounds: int = 40) -> DataFrame:
     """Connected components of ``edges(a, b)`` (bigint): rows ``(node, root)``, root the least node.
 

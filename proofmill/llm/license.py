@@ -15,7 +15,7 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import hash_filter, opaque, text_of
 
 #: How texts say under which licence they stand.
 TEMPLATES = {
@@ -64,11 +64,15 @@ def paragraph_words(line: Column) -> Column:
     return F.array_remove(words, "")
 
 
-def grams(words: Column) -> Column:
-    """Single words of more than three letters, and all pairs of neighbours; distinct."""
-    single = F.filter(words, lambda w: F.length(w) > 3)
-    pairs = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1)))
-    return F.array_distinct(F.concat(single, pairs))
+def with_grams(rows: DataFrame) -> DataFrame:
+    """Adds grams: single words of more than three letters and all pairs of neighbours, distinct.
+
+    The words are a column of their own first, as the pairs look them up by place.
+    """
+    rows = rows.withColumn("_w", paragraph_words(F.col("line")))
+    single = F.filter("_w", lambda w: F.length(w) > 3)
+    pairs = F.transform(F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get("_w", i + 1)))
+    return rows.withColumn("grams", F.array_distinct(F.concat(single, pairs))).drop("_w")
 
 
 def template_rows(spark) -> DataFrame:
@@ -90,10 +94,10 @@ def fit(docs: DataFrame, max_ordinary: int = MAX_ORDINARY) -> tuple[DataFrame, d
     a template.  Each template also appears with words around it, so the fit sees longer paragraphs.
     """
     spark = docs.sparkSession
-    known = template_rows(spark).select("family", grams(paragraph_words(F.col("line"))).alias("grams"))
+    known = with_grams(template_rows(spark)).select("family", "grams")
     vocabulary = F.array(*[F.lit(g) for g in sorted({g for r in known.collect() for g in r["grams"]})])
     ordinary = paragraphs(docs).select("line", F.xxhash64("line").alias("h")).distinct().orderBy("h", "line").limit(max_ordinary)
-    ordinary = ordinary.select(F.lit(NONE).alias("family"), grams(paragraph_words(F.col("line"))).alias("grams")).where(F.size(F.array_intersect("grams", vocabulary)) < 3)
+    ordinary = opaque(with_grams(ordinary).select(F.lit(NONE).alias("family"), "grams", F.size(F.array_intersect("grams", vocabulary)).alias("shared"))).where("shared < 3").drop("shared")
     padded = known.select("family", F.concat("grams", F.array(F.lit("ordinary"), F.lit("words"), F.lit("beside"))).alias("grams"))
     train = known.union(padded).union(ordinary)
     names = [NONE, *sorted(TEMPLATES)]
@@ -118,12 +122,12 @@ def license_scan(docs: DataFrame, min_probability: float = MIN_PROBABILITY, min_
     spark = docs.sparkSession
     weights, bias = fit(docs)
     names = list(bias)
-    pairs = template_rows(spark).select("family", "variant", grams(paragraph_words(F.col("line"))).alias("g"))
-    pairs = pairs.withColumn("need", F.size("g")).select("family", "variant", "need", F.explode_outer("g").alias("gram"))
+    pairs = with_grams(template_rows(spark)).select("family", "variant", F.size("grams").alias("need"), F.explode_outer("grams").alias("gram"))
     # which templates a gram belongs to, beside its weights; one small row a gram
     belongs = pairs.groupBy("gram").agg(F.collect_list(F.struct("family", "variant", "need")).alias("of"))
     lookup = weights.join(belongs, "gram", "left")
-    each = paragraphs(docs).select("doc_id", "key", "at", grams(paragraph_words(F.col("line"))).alias("g")).select("doc_id", "key", "at", F.explode_outer("g").alias("gram"))
+    maybe = hash_filter(weights.select(F.xxhash64("gram").alias("h")), 1024)
+    each = with_grams(paragraphs(docs)).select("doc_id", "key", "at", F.explode_outer(F.filter("grams", lambda g: maybe(F.xxhash64(g)))).alias("gram"))
     met = each.join(F.broadcast(lookup), "gram")
     sums = [F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(len(names))]
     line = met.groupBy("doc_id", "key", "at").agg(*sums, F.flatten(F.collect_list("of")).alias("of"))
