@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import same, text_of, written
+from .common import hash_filter, same, text_of, written
 
 WINDOW = 13
 #: Words in a shingle; shorter items use shingles as long as they are.
@@ -67,14 +67,8 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Da
         return _finish(base, hits)
     bench_sh = reduce(DataFrame.union, [windows.where(F.least("len", F.lit(SHINGLE)) == k).select("win", "len", F.posexplode_outer(shingles(F.col("words"), k)).alias("off", "sh"), F.lit(k).alias("k")) for k in sizes])
     vocab = written(bench_sh.select("k", "sh").distinct(), "shingles")
-    bits = [0] * BITS
-    slots = vocab.select(F.pmod("sh", F.lit(BITS)).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright("sh", 13), F.lit(64)).cast("int")).alias("bit"))
-    for r in slots.groupBy("at").agg(F.bit_or("bit").alias("bit")).collect():
-        bits[r["at"]] = r["bit"]
-    table = F.from_json(F.lit(str(bits)), "array<bigint>")
-
-    def maybe(p: Column) -> Column:
-        return F.getbit(F.get(table, F.pmod(p["sh"], F.lit(BITS)).cast("int")), F.pmod(F.shiftright(p["sh"], 13), F.lit(64)).cast("int")) == 1
+    met_maybe = hash_filter(vocab.select(F.col("sh").alias("h")), BITS)
+    maybe = lambda p: met_maybe(p["sh"])
 
     # one pass over the documents: the places where a shingle of the benchmark stands
     rows = own.select("doc_id", "key", bench_words(F.col("text")).alias("_w")).withColumn("n", F.size("_w"))
@@ -92,7 +86,7 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Da
     found = met.join(prefix, ["k", "sh"]).withColumn("start", F.col("pos") - F.col("off")).where("start >= 0 and start + len <= n")
     places = written(found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "win")).alias("places")), "places")
     # verification: the words from the start on are the window's words
-    check = own.join(places, same(own, places, ["doc_id", "key"])).select(own["doc_id"], own["key"], "text", "places").dropDuplicates(["doc_id", "key"])
+    check = own.join(places.hint("merge"), same(own, places, ["doc_id", "key"])).select(own["doc_id"], own["key"], "text", "places").dropDuplicates(["doc_id", "key"])
     check = check.select("doc_id", "key", bench_words(F.col("text")).alias("_w"), "places")
     have = F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["win"].alias("win"), F.slice(F.col("_w"), p["start"] + 1, F.lit(window)).alias("have")))
     check = check.select("doc_id", "key", F.inline_outer(have))
