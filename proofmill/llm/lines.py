@@ -44,7 +44,7 @@ def tokens_of(line: Column) -> Column:
 
 def at_documents(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """Every row of ``docs`` with ``marks``' columns for the same doc_id and text, null where there are none."""
-    marks = marks.withColumnsRenamed({"doc_id": "_id", "key": "_k"})
+    marks = marks.hint("merge").withColumnsRenamed({"doc_id": "_id", "key": "_k"})
     return docs.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text_of()) == F.col("_k")), "left")
 
 
