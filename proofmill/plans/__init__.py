@@ -1,9 +1,6 @@
 """Registered queries over the driver tables, each with its SQL."""
 
-from .evidence import ORACLE as _E_SQL
-from .evidence import QUERIES as _E
-from .measures import ORACLE as _M_SQL
-from .measures import QUERIES as _M
+from . import evidence, general, measures
 
-QUERIES = {**_E, **_M}
-ORACLE = {**_E_SQL, **_M_SQL}
+QUERIES = {**evidence.QUERIES, **measures.QUERIES, **general.QUERIES}
+ORACLE = {**evidence.ORACLE, **measures.ORACLE, **general.ORACLE}
