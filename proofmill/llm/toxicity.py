@@ -20,6 +20,8 @@ BUCKETS, TERMS, FACTORS = 1 << 20, 512, 4
 #: Bound on the labelled rows that the model is fitted on (the least by hash of doc_id).
 MAX_TRAIN = 16_000
 PREDICT_AT = 0.7
+#: Weight of a toxic row against another in the fit, at most.
+BALANCE = 6.0
 find_terms = regex.compile(r"\p{L}+").findall
 
 
@@ -31,7 +33,7 @@ def bucket(term: str) -> int:
     return zlib.crc32(term.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
-def fit(rows: list[np.ndarray], toxic: np.ndarray, steps: int = 300, seed: int = 7) -> dict:
+def fit(rows: list[np.ndarray], toxic: np.ndarray, steps: int = 200, seed: int = 7) -> dict:
     """The model: kept buckets, weights, latent vectors and bias.
 
     Kept are the buckets whose presence speaks most clearly for or against the label (z-score of the
@@ -51,12 +53,14 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, steps: int = 300, seed: int =
     lift = np.log(a / b)
     z *= np.minimum(1.0, np.abs(lift))
     terms = np.sort(np.argsort(-z, kind="stable")[:TERMS])
-    terms = terms[z[terms] > 1.0]
+    terms = terms[z[terms] > 1.5]
     where = np.full(BUCKETS, -1)
     where[terms] = np.arange(len(terms))
     x = np.zeros((n, len(terms)), dtype=np.float32)
     col = where[flat]
     x[owner[col >= 0], col[col >= 0]] = 1.0
+    # the rarer class counts up to BALANCE times, else few documents of a language could not lift a score
+    importance = np.where(toxic == 1, min(BALANCE, (n - pos) / pos), 1.0)
     rng = np.random.default_rng(seed)
     p = {"w": np.zeros(len(terms)), "v": rng.normal(0, 0.05, (len(terms), FACTORS)), "b": np.array(np.log(pos / (n - pos)))}
     m, s = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
@@ -64,7 +68,7 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, steps: int = 300, seed: int =
         v = p["v"].astype(np.float32)
         xv = x @ v
         y = p["b"] + x @ p["w"].astype(np.float32) + 0.5 * (xv**2 - x @ (v**2)).sum(axis=1)
-        err = (1 / (1 + np.exp(-np.clip(y, -30, 30))) - toxic).astype(np.float32) / n
+        err = (importance * (1 / (1 + np.exp(-np.clip(y, -30, 30))) - toxic)).astype(np.float32) / n
         xe = x.T @ err
         grad = {"w": xe + 2e-5 * p["w"], "v": x.T @ (err[:, None] * xv) - p["v"] * xe[:, None] + 2e-5 * p["v"], "b": err.sum()}
         for k in p:
