@@ -42,7 +42,10 @@ class ChainState(StatefulProcessor):
 
 
 def chain_continuity(rows: DataFrame) -> DataFrame:
-    """(stream, id, idx, finding) of every arriving row; state is three values a stream."""
+    """(stream, id, idx, finding) of every arriving row; state is three values a stream.
+
+    Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
+    """
     return rows.groupBy("stream").transformWithStateInPandas(ChainState(), "stream string, id string, idx long, finding string", "Append", "None")
 
 
