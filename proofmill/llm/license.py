@@ -96,7 +96,9 @@ def fit(docs: DataFrame, max_ordinary: int = MAX_ORDINARY) -> tuple[DataFrame, d
     spark = docs.sparkSession
     known = with_grams(template_rows(spark)).select("family", "grams")
     vocabulary = F.array(*[F.lit(g) for g in sorted({g for r in known.collect() for g in r["grams"]})])
-    ordinary = paragraphs(docs).select("line", F.xxhash64("line").alias("h")).distinct().orderBy("h", "line").limit(max_ordinary)
+    # the least hashes first, 8 bytes a line; only the chosen paragraphs move as text
+    least = paragraphs(docs).select(F.xxhash64("line").alias("h")).distinct().orderBy("h").limit(max_ordinary)
+    ordinary = paragraphs(docs).select("line", F.xxhash64("line").alias("h")).join(F.broadcast(least), "h").dropDuplicates(["h"])
     ordinary = opaque(with_grams(ordinary).select(F.lit(NONE).alias("family"), "grams", F.size(F.array_intersect("grams", vocabulary)).alias("shared"))).where("shared < 3").drop("shared")
     padded = known.select("family", F.concat("grams", F.array(F.lit("ordinary"), F.lit("words"), F.lit("beside"))).alias("grams"))
     train = known.union(padded).union(ordinary)
