@@ -35,6 +35,7 @@ def samples(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.int64),) + (np.zeros(0, np.int64),) * 2
     eight = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
     name = mix(eight[:n] * np.uint64(0x9E3779B97F4A7C15) + mix(eight[8 : 8 + n] * np.uint64(0xA0761D6478BD642F) + mix(eight[16 : 16 + n])))
+    name >>= np.uint64(8)  # 56 bits tell apart the samples of 100 TB; a clash only adds a comparison
     # least name of each run of SPAN starts, the leftmost of equal ones: runs of doubling length
     low, at, have = name, np.arange(n, dtype=np.int32), 1
     while have < SPAN:
