@@ -30,8 +30,10 @@ TOKEN = regex.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([
 ATTRIBUTE = regex.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", regex.I)
 HIDDEN = regex.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", regex.I)
 PARTS = regex.compile(r"[a-z]+").findall
-#: Lines in a block of the distribution; characters in a block at which text surges, outside a marked article.
+#: Lines in a block of the distribution; characters in a block at which text surges.
 WINDOW, SURGE = 3, 60
+#: Weight of a line outside the article and main elements where these hold most of the text.
+OUTSIDE = 0.25
 
 
 def chrome(name: str, rest: str, inside: bool) -> bool:
@@ -113,17 +115,28 @@ def stripped(page: str) -> list[tuple[str, int, bool]]:
 
 
 def between_surge_and_dive(lines: list[tuple[str, int, bool]]) -> list[str]:
-    """Non-empty lines from each surge of the distribution to its dive."""
-    marked = any(inside and text for text, _, inside in lines)
-    # in a page that marks its article, all else is silent; otherwise lines that are mostly links are
-    sizes = [len(text) if (inside if marked else 2 * linked <= len(text)) else 0 for text, linked, inside in lines]
-    keep, on = [], False
-    for i, (text, _, _) in enumerate(lines):
-        block = sum(sizes[i : i + WINDOW])
-        if not on and sizes[i] and (marked or block >= SURGE):
-            on = True
-        elif on and not block and not marked:
+    """Non-empty lines from each surge of the distribution to its dive.
+
+    Article and main elements only weigh lines: where they hold at least half of the unlinked text,
+    their lines surge at any length and lines outside need ``1 / OUTSIDE`` times the text; where they
+    hold less, as teasers and stubs do, all lines weigh the same.  A block does not reach across an
+    edge of such an element, and a run ends there.
+    """
+    plain = [0 if 2 * linked > len(text) else len(text) for text, linked, _ in lines]
+    held = sum(n for n, (_, _, inside) in zip(plain, lines, strict=True) if inside)
+    marked = any(inside and text for text, _, inside in lines) and 2 * held >= sum(plain)
+    if marked:
+        sizes = [SURGE * len(text) if inside else OUTSIDE * n for n, (text, _, inside) in zip(plain, lines, strict=True)]
+    else:
+        sizes = plain
+    keep, on, side = [], False, False
+    for i, (text, _, inside) in enumerate(lines):
+        block = sum(n for n, line in zip(sizes[i : i + WINDOW], lines[i : i + WINDOW], strict=True) if line[2] == inside)
+        if not block or inside != side:
             on = False
+        side = inside
+        if sizes[i] and block >= SURGE:
+            on = True
         if on and sizes[i]:
             keep.append(text)
     return keep

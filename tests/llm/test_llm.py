@@ -222,6 +222,27 @@ def test_html(page, text):
     assert html.extract(page) == text
 
 
+BODY = ["A paragraph of the body that is long enough to be taken for text, number %d." % i for i in range(4)]
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "section"])
+def test_html_teasers_beside_a_body(tag):
+    """Cards or a stub in the marked element do not silence the text in plain blocks, with or without the tag."""
+    cards = "".join(f"<{tag}><h3><a href=/{i}>A linked headline of some other page of this site</a></h3><p>Read on</p></{tag}>" for i in range(3))
+    body = "<div>" + "".join(f"<p>{t}</p>" for t in BODY) + "</div>"
+    for page in (cards + "<div></div>" * 3 + body, body + "<div></div>" * 3 + cards):
+        assert html.extract(f"<body>{page}</body>") == "\n\n".join(BODY)
+
+
+def test_html_outside_a_full_article():
+    """A long run outside surges too, a short line there does not; the article keeps its short lines."""
+    inside = "".join(f"<p>{t}</p>" for t in BODY * 4) + "<p>End.</p>"
+    run = "".join(f"<p>{t} {t}</p>" for t in BODY)
+    got = html.extract(f"<body><div>All about us</div><article>{inside}</article><div>Filed under news</div><div>{run}</div></body>")
+    assert got.split("\n\n")[:17] == [*BODY * 4, "End."] and got.split("\n\n")[-4:] == [f"{t} {t}" for t in BODY]
+    assert "All about us" not in got
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>äb</p></article>", 1), (2, None, None, 1)], "page_id long, url string, html string, n_chars int")
     assert [tuple(r) for r in html.main_text(pages).orderBy("page_id").collect()] == [(1, "u", "äb", 2), (2, None, "", 0)]
