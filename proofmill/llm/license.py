@@ -1,15 +1,19 @@
 """License scans: a trained paragraph classifier with template confirmation.
 
-A paragraph is a line with a word.  A multinomial logistic regression over sparse word n-grams
-(single words and pairs) gives each licence family a probability beside the class of ordinary
-text; a paragraph whose best family stays under a calibrated threshold is unknown, and a family
-counts only if enough of its template's word pairs stand in the paragraph.  Fitting is MLlib's
+A paragraph is a run of lines with a word.  Each of its lines, and each window of its lines as a
+wrapped header fills them, is judged.  A multinomial logistic regression over sparse word n-grams
+(single words and pairs) gives each licence family a probability beside the classes of other
+licences and of ordinary text; what is no ordinary text and whose best family stays under a
+threshold is unknown, and a family counts only if enough of its template's word pairs are there.
+Probabilities and thresholds are calibrated on labelled rows held out of the fit.  Fitting is MLlib's
 LogisticRegression on template sentences and a bounded sample of corpus paragraphs; scanning joins
 n-grams with the weight table, whose size the templates fix.  No Python runs on the executors.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame
@@ -51,11 +55,29 @@ TEMPLATES = {
     ),
     "reserved": ("All rights reserved.", "Copyright. All rights reserved."),
 }
-NONE = "none"
+#: How licences of no family above speak.
+OTHERS = (
+    "Permission to use, copy, modify and distribute this software for any purpose with or without fee is hereby granted.",
+    "This software is provided as is, without any express or implied warranty of any kind.",
+    "Permission is granted to anyone to use this software for any purpose, and to alter it and redistribute it freely.",
+    "This work is distributed under the terms and conditions of the following license agreement.",
+    "You may copy, modify, publish, sublicense or sell copies under the terms of this license.",
+    "The accompanying materials are made available under the terms of the Public License which accompanies this distribution.",
+    "Subject to the terms and conditions of this license, each contributor grants you a royalty-free copyright license.",
+    "The copyright holder and contributors are not liable for any claim, damages or other liability arising from the use.",
+    "Licensed under the terms of this license.",
+    "Released under a license of its own.",
+)
+NONE, UNKNOWN = "none", "unknown"
 #: Bound on the corpus paragraphs used as ordinary text when fitting.
 MAX_ORDINARY = 2_000
-#: Least probability of a family, and least share of a template's word pairs found in the paragraph.
-MIN_PROBABILITY, MIN_COVERAGE = 0.8, 0.6
+#: Least share of a template's word pairs found in the paragraph.
+MIN_COVERAGE = 0.6
+#: One in so many ordinary paragraphs is held out; least share of held-out families that must be right,
+#: and of held-out ordinary text that must not look like a licence.
+HELD_OUT, RIGHT = 4, 0.99
+#: Lines of a window, and from one window to the next: a header on up to five lines stands in one window.
+WINDOW, STEP = 8, 4
 WORD = r"[^\p{L}\p{N}.\-]+"
 
 
@@ -76,73 +98,132 @@ def with_grams(rows: DataFrame) -> DataFrame:
 
 
 def template_rows(spark) -> DataFrame:
-    rows = [(f, i, t) for f, ts in sorted(TEMPLATES.items()) for i, t in enumerate(ts)]
+    rows = [(f, i, t) for f, ts in sorted({**TEMPLATES, UNKNOWN: OTHERS}.items()) for i, t in enumerate(ts)]
     return spark.createDataFrame(rows, "family string, variant int, line string").coalesce(1)
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, key, at, line: the lines with a word."""
-    text = text_of()
-    rows = docs.select("doc_id", F.xxhash64(text).alias("key"), F.posexplode_outer(F.split(text, "\n")).alias("at", "line"))
-    return rows.where(F.col("line").rlike("[^\\t-\\r ]"))
-
+def runs(text: Column) -> Column:
+    """Runs of lines between blank lines; one without a word is no paragraph."""
+    return F.split(text, "\n[\\t-\\r ]*\n")
 
-def fit(docs: DataFrame, max_ordinary: int = MAX_ORDINARY) -> tuple[DataFrame, dict[str, float]]:
-    """Weights (gram, weights by family) and intercepts.
 
-    Ordinary text is the ``max_ordinary`` least paragraphs by hash that share no three word pairs with
-    a template.  Each template also appears with words around it, so the fit sees longer paragraphs.
+def paragraph_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, key, run, at, n (lines of the run), line, next (the line after it in the run): the lines with a word."""
+    text = text_of()
+    each = docs.select("doc_id", F.xxhash64(text).alias("key"), F.posexplode_outer(runs(text)).alias("run", "_run")).withColumn("_lines", F.split("_run", "\n"))
+    rows = each.select("doc_id", "key", "run", F.size("_lines").alias("n"), "_lines", F.posexplode_outer("_lines").alias("at", "line"))
+    return rows.where(F.col("line").rlike("[^\\t-\\r ]")).withColumn("next", F.get("_lines", F.col("at") + 1)).drop("_lines")
+
+
+def calibrated(held: list[tuple[str, list[float]]], names: list[str]) -> tuple[float, float, float]:
+    """Temperature of least log loss on held-out (class, logits); least probability of a family, and of any licence."""
+
+    def chances(logits, heat):
+        top = max(logits)
+        e = [math.exp((x - top) / heat) for x in logits]
+        return [x / sum(e) for x in e]
+
+    loss = lambda heat: -sum(math.log(max(chances(x, heat)[names.index(c)], 1e-12)) for c, x in held)
+    heat = min((0.5, 0.7, 1.0, 1.4, 2.0, 3.0, 4.0), key=lambda h: (loss(h), h))
+    scored = [(c, chances(x, heat)) for c, x in held]
+    # families from the most probable down, as long as enough of them are right
+    best = sorted(((max(zip(p[2:], names[2:], strict=True)), c) for c, p in scored if max(p[2:]) >= 0.5), key=lambda b: -b[0][0])
+    family, right = 1.0 if best else 0.5, 0
+    for k, ((p, name), c) in enumerate(best, 1):
+        right += name == c
+        if right >= RIGHT * k:
+            family = p
+    plain = sorted(1 - p[0] for c, p in scored if c == NONE)
+    licence = max([0.5, *plain[: math.ceil(RIGHT * len(plain))]])
+    return heat, family, licence
+
+
+def fit(docs: DataFrame, max_ordinary: int = MAX_ORDINARY) -> tuple[DataFrame, dict[str, float], tuple[float, float]]:
+    """Weights (gram, gid, weights by class), intercepts, and the least probabilities of a family and of any licence.
+
+    Ordinary text is the ``max_ordinary`` least lines by hash that share no three word pairs with
+    a template, alone and several together.  Each template also appears with words around it, so the
+    fit sees longer paragraphs.  Held out for calibration are a part of the ordinary lines and the
+    first and last two thirds of the words of each template.
     """
     spark = docs.sparkSession
-    known = with_grams(template_rows(spark)).select("family", "grams")
-    vocabulary = F.array(*[F.lit(g) for g in sorted({g for r in known.collect() for g in r["grams"]})])
-    # the least hashes first, 8 bytes a line; only the chosen paragraphs move as text
-    least = paragraphs(docs).select(F.xxhash64("line").alias("h")).distinct().orderBy("h").limit(max_ordinary)
-    ordinary = paragraphs(docs).select("line", F.xxhash64("line").alias("h")).join(F.broadcast(least), "h").dropDuplicates(["h"])
-    ordinary = opaque(with_grams(ordinary).select(F.lit(NONE).alias("family"), "grams", F.size(F.array_intersect("grams", vocabulary)).alias("shared"))).where("shared < 3").drop("shared")
+    every = template_rows(spark)
+    known = with_grams(every).select("family", "grams")
+    vocabulary = F.array(*[F.lit(g) for g in sorted({g for r in known.where(F.col("family") != UNKNOWN).collect() for g in r["grams"]})])
+    # the least hashes first, 8 bytes a line; only the chosen lines move as text
+    least = paragraph_lines(docs).select(F.xxhash64("line").alias("h")).distinct().orderBy("h").limit(max_ordinary)
+    ordinary = paragraph_lines(docs).select("line", F.xxhash64("line").alias("h")).join(F.broadcast(least), "h").dropDuplicates(["h"])
+    ordinary = opaque(with_grams(ordinary).select("h", F.lit(NONE).alias("family"), "grams", F.size(F.array_intersect("grams", vocabulary)).alias("shared"))).where("shared < 3").drop("shared").cache()
+    held = F.pmod("h", F.lit(HELD_OUT)) == 0
+    together = lambda rows: rows.groupBy("family", F.pmod("h", F.lit(max(1, max_ordinary // WINDOW))).alias("_g")).agg(F.array_distinct(F.flatten(F.collect_list("grams"))).alias("grams")).drop("_g")
+    plain = ordinary.where(~held)
     padded = known.select("family", F.concat("grams", F.array(F.lit("ordinary"), F.lit("words"), F.lit("beside"))).alias("grams"))
-    train = known.union(padded).union(ordinary)
-    names = [NONE, *sorted(TEMPLATES)]
+    train = known.union(padded).union(plain.drop("h")).union(together(plain))
+    names = [NONE, UNKNOWN, *sorted(TEMPLATES)]
     label = F.coalesce(*[F.when(F.col("family") == n, F.lit(float(i))) for i, n in enumerate(names)])
     words = CountVectorizer(inputCol="grams", outputCol="features", minDF=1.0, vocabSize=20_000, binary=True).fit(known)
     rows = words.transform(train.withColumn("label", label).withColumn("weight", F.when(F.col("family") == NONE, 1.0).otherwise(20.0))).select("label", "weight", "features").coalesce(1).cache()
     model = LogisticRegression(family="multinomial", weightCol="weight", regParam=0.002, maxIter=60).fit(rows)
     rows.unpersist()
     matrix, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
-    if len(bias) < len(names):  # no class of ordinary text was seen last; missing classes weigh nothing
-        names = names[: len(bias)]
-    table = [(g, [round(float(matrix[k, j]), 6) for k in range(len(names))]) for j, g in enumerate(words.vocabulary)]
-    return spark.createDataFrame(table, "gram string, w array<double>").coalesce(1), {n: round(float(b), 6) for n, b in zip(names, bias, strict=True)}
-
-
-def license_scan(docs: DataFrame, min_probability: float = MIN_PROBABILITY, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """One row per row of ``docs``: n_paragraphs, n_licensed, n_unconfirmed, families (sorted).
-
-    n_licensed counts paragraphs of a confirmed family, n_unconfirmed those that the classifier calls a
-    licence and no template confirms (the unknown class).  Null text has no paragraph.
+    place = {g: j for j, g in enumerate(words.vocabulary)}
+    cut = F.split("line", " ")
+    part = F.greatest(F.lit(2), F.ceil(F.size(cut) * 2 / 3).cast("int"))
+    parts = every.select("family", F.explode_outer(F.array(F.slice(cut, 1, part), F.slice(cut, F.greatest(F.lit(1), F.size(cut) - part + 1), part))).alias("_p")).select("family", F.array_join("_p", " ").alias("line"))
+    apart = ordinary.where(held)
+    rows = with_grams(parts).select("family", "grams").union(apart.drop("h")).union(together(apart)).collect()
+    ordinary.unpersist()
+    logits = [(r["family"], [float(bias[k]) + sum(float(matrix[k, place[g]]) for g in set(r["grams"]) if g in place) for k in range(len(names))]) for r in rows]
+    heat, family, licence = calibrated(logits, names)
+    table = [(g, j, [round(float(matrix[k, j]) / heat, 6) for k in range(len(names))]) for g, j in place.items()]
+    return spark.createDataFrame(table, "gram string, gid int, w array<double>").coalesce(1), {n: round(float(b) / heat, 6) for n, b in zip(names, bias, strict=True)}, (family, licence)
+
+
+def license_scan(docs: DataFrame, min_probability: float | None = None, min_coverage: float = MIN_COVERAGE) -> DataFrame:
+    """One row per row of ``docs``: n_paragraphs, n_licensed, n_unconfirmed, n_unknown, families (sorted).
+
+    n_licensed counts paragraphs of a confirmed family, n_unconfirmed others of a probable family that no
+    template confirms, n_unknown others that are licences of no probable family.  ``min_probability``
+    of a family is the calibrated one unless given.  Null text has no paragraph.
     """
     spark = docs.sparkSession
-    weights, bias = fit(docs)
+    weights, bias, (family, licence) = fit(docs)
+    least = family if min_probability is None else min_probability
     names = list(bias)
-    pairs = with_grams(template_rows(spark)).select("family", "variant", F.size("grams").alias("need"), F.explode_outer("grams").alias("gram"))
+    pairs = with_grams(template_rows(spark).where(F.col("family") != UNKNOWN)).select("family", "variant", F.size("grams").alias("need"), F.explode_outer("grams").alias("gram"))
     # which templates a gram belongs to, beside its weights; one small row a gram
     belongs = pairs.groupBy("gram").agg(F.collect_list(F.struct("family", "variant", "need")).alias("of"))
-    lookup = weights.join(belongs, "gram", "left")
+    lookup = weights.join(belongs, "gram", "left").drop("gram")
     maybe = hash_filter(weights.select(F.xxhash64("gram").alias("h")), 1024)
-    each = with_grams(paragraphs(docs)).select("doc_id", "key", "at", F.explode_outer(F.filter("grams", lambda g: maybe(F.xxhash64(g)))).alias("gram"))
-    met = each.join(F.broadcast(lookup), "gram")
+    # the pair across a line's end belongs to windows only
+    first = F.rtrim(F.get(F.array_remove(F.split(F.lower("next"), WORD, 3), ""), 0), F.lit(".-"))
+    rows = with_grams(paragraph_lines(docs).withColumn("_last", F.element_at(F.concat(F.array(F.lit("")), paragraph_words(F.substring_index("line", " ", -2))), -1)).withColumn("_cross", F.concat_ws(" ", "_last", first)))
+    grams = F.concat(F.transform(F.filter("grams", lambda g: maybe(F.xxhash64(g))), lambda g: F.struct(g.alias("gram"), F.lit(False).alias("cross"))), F.when(maybe(F.xxhash64("_cross")), F.array(F.struct(F.col("_cross").alias("gram"), F.lit(True).alias("cross")))).otherwise(F.array().cast("array<struct<gram:string,cross:boolean>>")))
+    each = rows.select("doc_id", "key", "run", "at", "n", F.explode_outer(grams).alias("g")).select("doc_id", "key", "run", "at", "n", "g.*")
+    met = each.join(F.broadcast(weights.select("gram", "gid")), "gram").drop("gram").repartition("doc_id", "key", "run")
+    # a line is unit at, window w (lines from STEP * w) is unit -1 - w; a run of one line has no window
+    none = F.array().cast("array<int>")
+    w = F.floor(F.col("at") / STEP).cast("int")
+    windows = F.when(F.col("n") > 1, F.filter(F.array(*[-1 - w + k for k in range(WINDOW // STEP)]), lambda u: u < 0)).otherwise(none)
+    units = F.concat(F.when(F.col("cross"), none).otherwise(F.array("at")), windows)
+    met = met.select("doc_id", "key", "run", F.explode_outer(units).alias("unit"), "gid").where("unit is not null").distinct().join(F.broadcast(lookup), "gid")
     sums = [F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(len(names))]
-    line = met.groupBy("doc_id", "key", "at").agg(*sums, F.flatten(F.collect_list("of")).alias("of"))
-    logits = [F.exp(F.least(F.col(f"s{i}") + F.lit(bias[n]), F.lit(500.0))) for i, n in enumerate(names)]
-    total = sum(logits[1:], logits[0])
-    best = F.greatest(*[F.struct((e / total).alias("p"), F.lit(n).alias("family")) for e, n in zip(logits, names, strict=True)])
-    line = line.withColumn("best", best).where((F.col("best.family") != NONE) & (F.col("best.p") >= min_probability))
+    unit = met.groupBy("doc_id", "key", "run", "unit").agg(*sums, F.flatten(F.collect_list("of")).alias("of"))
+    logits = [F.col(f"s{i}") + F.lit(bias[n]) for i, n in enumerate(names)]
+    unit = unit.withColumn("_top", F.greatest(*logits))
+    chances = [F.exp(x - F.col("_top")) for x in logits]
+    total = sum(chances[1:], chances[0])
+    best = F.greatest(*[F.struct((e / total).alias("p"), F.lit(n).alias("family")) for e, n in zip(chances[2:], names[2:], strict=True)])
+    unit = unit.withColumn("best", best).withColumn("licence", 1 - chances[0] / total).where((F.col("best.p") >= least) | (F.col("licence") > licence))
     mine = F.filter("of", lambda t: t["family"] == F.col("best.family"))
     cover = F.array_max(F.transform(F.array_distinct(mine), lambda v: F.size(F.filter(mine, lambda t: t == v)) / v["need"]))
-    line = line.select("doc_id", "key", F.col("best.family").alias("family"), (F.coalesce(cover, F.lit(0.0)) >= min_coverage).alias("sure"))
-    found = line.groupBy("doc_id", "key").agg(F.count_if("sure").alias("yes"), F.count_if(~F.col("sure")).alias("no"), F.array_sort(F.collect_set(F.when(F.col("sure"), F.col("family")))).alias("f"))
+    probable = F.col("best.p") >= least
+    unit = unit.select("doc_id", "key", "run", F.col("best.family").alias("family"), probable.alias("probable"), (probable & (F.coalesce(cover, F.lit(0.0)) >= min_coverage)).alias("sure"))
+    part = unit.groupBy("doc_id", "key", "run").agg(F.bool_or("sure").alias("sure"), F.bool_or("probable").alias("probable"), F.collect_set(F.when(F.col("sure"), F.col("family"))).alias("f"))
+    found = part.groupBy("doc_id", "key").agg(F.count_if("sure").alias("yes"), F.count_if(~F.col("sure") & F.col("probable")).alias("no"), F.count_if(~F.col("probable")).alias("other"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("f")))).alias("f"))
     found = found.withColumnsRenamed({"doc_id": "_id", "key": "_k"})
     text = text_of()
-    rows = docs.select("doc_id", F.xxhash64(text).alias("key"), F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\t-\\r ]"))).cast("long").alias("n_paragraphs"))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("key"), F.size(F.filter(runs(text), lambda x: x.rlike("[^\\t-\\r ]"))).cast("long").alias("n_paragraphs"))
     out = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_k")), "left")
-    return out.select("doc_id", "n_paragraphs", F.coalesce("yes", F.lit(0)).cast("long").alias("n_licensed"), F.coalesce("no", F.lit(0)).cast("long").alias("n_unconfirmed"), F.coalesce("f", F.array().cast("array<string>")).alias("families"))
+    count = lambda c, name: F.coalesce(c, F.lit(0)).cast("long").alias(name)
+    return out.select("doc_id", "n_paragraphs", count("yes", "n_licensed"), count("no", "n_unconfirmed"), count("other", "n_unknown"), F.coalesce("f", F.array().cast("array<string>")).alias("families"))

@@ -40,7 +40,7 @@ def op5_html_extraction(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, d: str) -> DataFrame:
-    return license.license_scan(table(spark, d, "documents")).select("doc_id", "n_paragraphs", "n_licensed", "n_unconfirmed", F.array_join("families", ",").alias("families"))
+    return license.license_scan(table(spark, d, "documents")).select("doc_id", "n_paragraphs", "n_licensed", "n_unconfirmed", "n_unknown", F.array_join("families", ",").alias("families"))
 
 
 def op7_substring_dedup(spark: SparkSession, d: str) -> DataFrame:

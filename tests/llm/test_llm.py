@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import unicodedata
 
 import pytest
@@ -266,6 +267,28 @@ def test_license_families(spark):
     assert [got[i]["families"] for i in range(len(rows))] == [[f] for f in license.TEMPLATES]
 
 
+def test_license_wrapped_headers(spark):
+    """Headers wrapped over several lines, two of them in one document, are found; paragraphs are runs of lines."""
+    longest = {f: max(ts, key=len) for f, ts in license.TEMPLATES.items() if f in ("apache-2.0", "bsd", "gpl", "mit")}
+    wrapped = {f: "\n".join(" * " + x for x in textwrap.wrap(t, 50)) for f, t in longest.items()}
+    assert all(w.count("\n") >= 2 for w in wrapped.values())
+    rows = [(i, prose(30) + "\n\n" + w + "\n \n" + prose(30)) for i, w in enumerate(wrapped.values())]
+    rows.append((9, wrapped["mit"] + "\n\n" + wrapped["gpl"] + "\nAll rights reserved."))
+    got = by_id(license.license_scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[i]["families"] for i in range(len(wrapped))] == [[f] for f in wrapped]
+    assert all((got[i]["n_paragraphs"], got[i]["n_licensed"]) == (3, 1) for i in range(len(wrapped)))
+    assert got[9]["families"] == ["gpl", "mit", "reserved"] and got[9]["n_licensed"] == 2
+
+
+def test_license_unknown(spark):
+    """A licence that no template holds is unknown; ordinary text is not."""
+    unseen = "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed\nunder the terms and conditions for copying, distribution and modification of the software."
+    rows = [(0, prose(40) + "\n\n" + unseen)] + [(i, "\n".join(prose(20) for _ in range(6))) for i in range(1, 40)]
+    got = by_id(license.license_scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert (got[0]["n_licensed"], got[0]["n_unconfirmed"], got[0]["n_unknown"]) == (0, 0, 1) and got[0]["families"] == []
+    assert all(got[i]["n_unknown"] == 0 and got[i]["families"] == [] for i in range(1, 40))
+
+
 # -- 7 --------------------------------------------------------------------------------------------
 
 
