@@ -8,6 +8,7 @@ between a surge and its dive are kept.
 
 from __future__ import annotations
 
+from collections import Counter
 from html import unescape
 
 import pandas as pd
@@ -29,44 +30,100 @@ CHROME = frozenset(
 TOKEN = regex.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", regex.S)
 ATTRIBUTE = regex.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", regex.I)
 HIDDEN = regex.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", regex.I)
+#: Words beside those of CHROME that only say where or in what box it stands.
+PLACES = frozenset("site global top bottom left right primary secondary first second upper lower main box container wrapper wrap block list item items area section inner outer bar links link unit slot bottom mobile desktop".split())
+#: Elements that the start of another one ends, and those around them where the search stops.
+IMPLIED = {
+    "li": (("li",), BLOCKS - {"address", "div", "p", "li"}),
+    **{n: (("dd", "dt"), BLOCKS - {"address", "div", "p", "dd", "dt"}) for n in ("dd", "dt")},
+    **{n: (("td", "th"), ("table", "tr")) for n in ("td", "th")},
+    "tr": (("tr", "td", "th"), ("table",)),
+    **{n: (("tbody", "thead", "tfoot", "tr", "td", "th"), ("table",)) for n in ("tbody", "thead", "tfoot")},
+}
+HEAD = frozenset("base link meta noscript script style template title head".split())
 PARTS = regex.compile(r"[a-z]+").findall
 #: Lines in a block of the distribution; characters in a block at which text surges.
 WINDOW, SURGE = 3, 60
 #: Weight of a line outside the article and main elements where these hold most of the text.
 OUTSIDE = 0.25
+#: Weight of lines of chrome by class, and the unlinked characters from which they count at all.
+CHROME_WEIGHT, MUCH = 0.5, 400
 
 
-def chrome(name: str, rest: str, inside: bool) -> bool:
-    """Whether an element is outside the article: by its name, or by words of its class, id or role."""
+def chrome(name: str, rest: str, inside: bool) -> float:
+    """Weight of an element's lines: 0 outside the article by its name or hidden, CHROME_WEIGHT by its class, id or role, else 1.
+
+    A token of these counts as a whole: each of its word parts is of CHROME or PLACES, and one of CHROME.
+    """
     if name in DROPPED or (name == "header" and not inside):
-        return True
+        return 0
     if not rest or name in ("html", "body", "article", "main"):
-        return False
+        return 1
     if HIDDEN.search(rest):
-        return True
+        return 0
     for m in ATTRIBUTE.finditer(rest):
-        if CHROME.intersection(PARTS((m[1] or m[2] or m[3] or "").lower())):
-            return True
-    return False
+        for token in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = PARTS(token)
+            if not CHROME.isdisjoint(parts) and all(p in CHROME or p in PLACES for p in parts):
+                return CHROME_WEIGHT
+    return 1
+
 
+def stripped(page: str) -> list[tuple[str, int, bool, float]]:
+    """Lines of a page: text, characters of it inside links, whether an article or main element holds it, and weight.
 
-def stripped(page: str) -> list[tuple[str, int, bool]]:
-    """Lines of a page: text, characters of it inside links, and whether an article or main element holds it."""
-    out: list[tuple[str, int, bool]] = []
+    Elements end where HTML ends them: by their end tag, that of an element around them, or, where that
+    may be left out, by what cannot stand inside.  Lines of an element of weight 0 are one empty line, as
+    are those of chrome by class, unless its own lines hold MUCH unlinked text and half of the page's.
+    """
+    out: list[tuple[str, int, bool, int]] = []
     words: list[str] = []
-    linked, skip, depth, article, link, at = 0, "", 0, 0, 0, 0
+    frames = [1.0]  # weights of the page and of chrome elements
+    stack: list[tuple[str, int, bool]] = []  # open blocks and chrome: name, frame around, link around
+    opened: Counter = Counter()
+    linked, frame, link, at = 0, 0, False, 0
     size = len(page)
 
     def close() -> None:
         nonlocal linked
-        out.append((" ".join(unescape("".join(words)).split()), linked, article > 0))
+        out.append((" ".join(unescape("".join(words)).split()), linked, opened["article"] + opened["main"] > 0, frame))
         words.clear()
         linked = 0
 
+    def pop(depth: int) -> None:
+        """Ends the elements from ``depth`` on."""
+        nonlocal frame, link
+        if len(stack) > depth:
+            close()
+        while len(stack) > depth:
+            name, around, before = stack.pop()
+            opened[name] -= 1
+            frame, link = around, link and before
+
+    def implied(name: str) -> None:
+        """Ends what the start of ``name`` ends in HTML."""
+        ends, walls = IMPLIED.get(name, ((), ()))
+        if any(opened[e] for e in ends):
+            depth = len(stack)
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] in ends:
+                    depth = k
+                elif stack[k][0] in walls:
+                    break
+            pop(depth)
+        if name in BLOCKS and opened["p"]:
+            k = len(stack) - 1
+            while k >= 0 and stack[k][0] not in BLOCKS:
+                k -= 1
+            if k >= 0 and stack[k][0] == "p":
+                pop(k)
+        if opened["head"] and name not in HEAD:
+            pop(next(k for k, e in enumerate(stack) if e[0] == "head"))
+
     while at < size:
         m = TOKEN.search(page, at)
         text = page[at : m.start() if m else size]
-        if text and not skip:
+        if text and frames[frame]:
             words.append(text)
             if link:
                 linked += len(text.strip())
@@ -76,45 +133,60 @@ def stripped(page: str) -> list[tuple[str, int, bool]]:
         name = (m[2] or "").lower()
         if not name:
             continue
-        ends = bool(m[1])
-        if skip:
-            if name == skip:
-                depth += -1 if ends else 1
-                if depth == 0:
-                    skip = ""
-                    close()
-            continue
-        if ends:
-            if name in BLOCKS:
+        if m[1]:
+            if opened[name]:
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                pop(k)
+            elif name in BLOCKS:
                 close()
-            if name in ("article", "main"):
-                article = max(0, article - 1)
-            elif name == "a":
-                link = max(0, link - 1)
+            if name == "a":
+                link = False
             continue
         if name == "br":
             words.append(" ")
             continue
-        if name in BLOCKS or name in DROPPED:
-            close() if name in BLOCKS else None
-        if chrome(name, m[3], article > 0) and not m[3].endswith("/"):
-            if name in VOID:
-                continue
-            if name in RAW:  # its content is no markup
+        implied(name)
+        if name in BLOCKS:
+            close()
+        if name in VOID:
+            continue
+        shut = m[3].endswith("/")
+        if name in RAW:  # its content is no markup
+            if not shut:
                 end = regex.compile(rf"</{regex.escape(name)}\s*>", regex.I).search(page, at)
                 at = end.end() if end else size
-            else:
-                skip, depth = name, 1
             continue
-        if name in ("article", "main"):
-            article += 1
-        elif name == "a":
-            link += 1
+        weight = 1 if shut else chrome(name, m[3], opened["article"] + opened["main"] > 0)
+        if name == "a":
+            link = True
+        if not shut and (weight < 1 or name in BLOCKS or opened[name]):
+            if weight < 1:
+                close()
+            stack.append((name, frame, link and name != "a"))
+            opened[name] += 1
+            if weight < 1:
+                frames.append(min(weight, frames[frame] and 1))
+                frame = len(frames) - 1
     close()
-    return out
-
-
-def between_surge_and_dive(lines: list[tuple[str, int, bool]]) -> list[str]:
+    own = [0] * len(frames)
+    for text, linked, _, f in out:
+        own[f] += len(text) if 2 * linked <= len(text) else 0
+    total = sum(own)
+    weights = [w if w == 1 or (n >= MUCH and 2 * n >= total) else 0 for w, n in zip(frames, own, strict=True)]
+    lines: list[tuple[str, int, bool, float]] = []
+    silent = False
+    for text, linked, inside, f in out:
+        if weights[f]:
+            lines.append((text, linked, inside, weights[f]))
+        elif not silent:
+            lines.append(("", 0, inside, 1))
+        silent = not weights[f]
+    return lines
+
+
+def between_surge_and_dive(lines: list[tuple[str, int, bool, float]]) -> list[str]:
     """Non-empty lines from each surge of the distribution to its dive.
 
     Article and main elements only weigh lines: where they hold at least half of the unlinked text,
@@ -122,15 +194,15 @@ def between_surge_and_dive(lines: list[tuple[str, int, bool]]) -> list[str]:
     hold less, as teasers and stubs do, all lines weigh the same.  A block does not reach across an
     edge of such an element, and a run ends there.
     """
-    plain = [0 if 2 * linked > len(text) else len(text) for text, linked, _ in lines]
-    held = sum(n for n, (_, _, inside) in zip(plain, lines, strict=True) if inside)
-    marked = any(inside and text for text, _, inside in lines) and 2 * held >= sum(plain)
+    plain = [0 if 2 * linked > len(text) else weight * len(text) for text, linked, _, weight in lines]
+    held = sum(n for n, (_, _, inside, _) in zip(plain, lines, strict=True) if inside)
+    marked = any(inside and text for text, _, inside, _ in lines) and 2 * held >= sum(plain)
     if marked:
-        sizes = [SURGE * len(text) if inside else OUTSIDE * n for n, (text, _, inside) in zip(plain, lines, strict=True)]
+        sizes = [SURGE * len(text) if inside else OUTSIDE * n for n, (text, _, inside, _) in zip(plain, lines, strict=True)]
     else:
         sizes = plain
     keep, on, side = [], False, False
-    for i, (text, _, inside) in enumerate(lines):
+    for i, (text, _, inside, _) in enumerate(lines):
         block = sum(n for n, line in zip(sizes[i : i + WINDOW], lines[i : i + WINDOW], strict=True) if line[2] == inside)
         if not block or inside != side:
             on = False

@@ -244,6 +244,25 @@ def test_html_outside_a_full_article():
     assert "All about us" not in got
 
 
+@pytest.mark.parametrize("wrapper", ["content with-sidebar", "has-comments", "no-sidebar", "page header-fixed", "elementor-widget-text", "right-sidebar"])
+def test_html_layout_wrappers(wrapper):
+    """A wrapper named after chrome holds the article; real chrome inside it still goes."""
+    body = "".join(f"<p>{t}</p>" for t in BODY * 3)
+    got = html.extract(f"<body><div class='{wrapper}'><div>{body}</div><div class='sidebar-left'><p>{BODY[0]} beside</p></div></div></body>")
+    assert got.split("\n\n") == BODY * 3
+
+
+@pytest.mark.parametrize("page", ["<p class='notice'>By the way{}", "<ul><li class='ad'>Buy<li>One</ul>{}", "<table><tr><td class='ad'>Buy<tr><td>{}</table>", "<dl><dd class='promo'>Buy<dt>Term</dl>{}"])
+def test_html_end_tags_left_out(page):
+    got = html.extract("<article>" + page.format("".join(f"<p>{t}" for t in BODY)) + "</article>").split("\n\n")
+    assert [t for t in got if t not in ("One", "Term")] == BODY
+
+
+def test_html_keeps_the_heading_and_a_page_without_head_end():
+    text = "".join(f"<p>{t}" for t in BODY)
+    assert html.extract(f"<head><title>T</title><body><article><div class='entry-header'><h1>Name</h1></div>{text}</article>").split("\n\n") == ["Name", *BODY]
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>äb</p></article>", 1), (2, None, None, 1)], "page_id long, url string, html string, n_chars int")
     assert [tuple(r) for r in html.main_text(pages).orderBy("page_id").collect()] == [(1, "u", "äb", 2), (2, None, "", 0)]
