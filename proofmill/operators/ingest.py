@@ -7,6 +7,8 @@ fresh chance, and a duplicate never raises the time that later events are held a
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ EVENT_TYPES = (
     "DelegationIssued Decision ApprovalRequested ApprovalDecided Override Interrupt Outcome Incident Notice Disclosure IntegrityResult"
 ).split()
 MAX_OCTETS = 1_048_576
+#: Ordinals of one source that are sorted together.
+BLOCK = 65_536
 REQUIRED = ["id", "source", "subject", "time", "etype"]
 
 
@@ -56,36 +60,51 @@ def row_reason(rows: DataFrame, sources: DataFrame | None) -> DataFrame:
     return out.withColumn("reason", reason).drop("_known", "declared_class")
 
 
-def order_and_identity(rows: DataFrame, max_rounds: int = 8) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the folder that every executor reaches, and read again: cuts lineage."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def latest_before(rows: DataFrame, value: Column) -> DataFrame:
+    """Adds _before: the largest ``value`` of the rows of the source with a lower ordinal.
+
+    The sort stays inside a block of ordinals; over blocks only their maxima are ordered.
+    """
+    rows = rows.withColumns({"_block": F.floor(F.col("ordinal") / BLOCK), "_value": value})
+    most = rows.groupBy("source", "_block").agg(F.max("_value").alias("_most"))
+    above = F.max("_most").over(Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    most = most.select("source", "_block", above.alias("_above"))
+    inside = F.max("_value").over(Window.partitionBy("source", "_block").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("_inside", inside).join(most, ["source", "_block"]).withColumn("_before", F.greatest("_inside", "_above")).drop("_block", "_value", "_inside", "_above")
+
+
+def order_and_identity(rows: DataFrame) -> DataFrame:
     """Adds duplicate_id and time_order to rows without a reason.
 
-    Each round judges the first untaken copy of every id: it is late when an earlier accepted event of
-    its source has a later time (as text).  The first copies that prove late are out, their next copies
-    enter, until no id is left; a run needs one round more than the copies of the unluckiest id.
+    Each round judges one copy of every id, the first one at the start: a copy is late when a judged
+    event of its source stands before it with a later time (as text).  Where the judged copy is late,
+    the next one that is not enters; those passed over stay late, as times to be held against only
+    grow.  Rounds go on until no copy enters, whatever their number.
     """
     good, bad = rows.where("reason is null"), rows.where("reason is not null")
-    nth = F.row_number().over(Window.partitionBy("id").orderBy("ordinal"))
-    good = good.withColumn("_nth", nth)
-    in_play = good.where("_nth = 1")
-    waiting = good.where("_nth > 1")
-    most = waiting.agg(F.max("_nth")).first()[0] or 1
-    if most > max_rounds:
-        raise ValueError(f"an id has {most} copies; allow more rounds")
-    late_before = F.max("time").over(Window.partitionBy("source").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1))
-    judged = in_play.withColumn("_late", F.coalesce(F.col("time") < late_before, F.lit(False)))
-    for n in range(2, most + 1):
-        lost = judged.where("_late").select("id").distinct()
-        again = waiting.where(F.col("_nth") == n).join(lost, "id", "left_semi")
-        # the accepted ones and the newcomers are judged together; those already late stay late
-        late = judged.where("_late")
-        pool = judged.where("not _late").drop("_late").unionByName(again.select(in_play.columns))
-        judged = pool.withColumn("_late", F.coalesce(F.col("time") < late_before, F.lit(False))).unionByName(late)
-    settled = judged.withColumn("reason", F.when(F.col("_late"), "time_order")).drop("_late", "_nth")
-    taken = settled.where("reason is null").select("id", F.col("ordinal").alias("_at"))
-    rest = good.join(judged.select("id", "ordinal"), ["id", "ordinal"], "left_anti").drop("_nth")
-    # a copy left over is a duplicate of an accepted event
-    rest = rest.join(taken.select("id").distinct(), "id", "left_semi").withColumn("reason", F.lit("duplicate_id")).select(settled.columns)
-    return settled.unionByName(rest).unionByName(bad.select(settled.columns))
+    slim = written(good.select("id", "source", "ordinal", "time"), "order")
+    now = written(slim.groupBy("id").agg(F.min("ordinal").alias("_at")), "order-ids")
+    while True:
+        held = latest_before(slim.join(now, "id"), F.when(F.col("ordinal") == F.col("_at"), F.col("time")))
+        fits = (F.col("ordinal") >= F.col("_at")) & ~F.coalesce(F.col("time") < F.col("_before"), F.lit(False))
+        step = held.groupBy("id").agg(F.first("_at").alias("_was"), F.min(F.when(fits, F.col("ordinal"))).alias("_at"))
+        step = written(step, "order-ids")
+        now = step.select("id", "_at")
+        if step.where(~F.col("_at").eqNullSafe(F.col("_was"))).isEmpty():
+            break
+    # before the accepted copy all are late, after it all are duplicates; an id may have none
+    reason = F.when(F.col("_at").isNull() | (F.col("ordinal") < F.col("_at")), "time_order").when(F.col("ordinal") > F.col("_at"), "duplicate_id")
+    judged = good.join(now, "id").withColumn("reason", reason).select(rows.columns)
+    return judged.unionByName(bad)
 
 
 def ingest(rows: DataFrame, sources: DataFrame | None = None) -> DataFrame:

@@ -53,6 +53,20 @@ def test_duplicate_does_not_raise_time(spark):
     assert {(r.id, r.ordinal): r.reason for r in got} == {("a", 0): None, ("a", 1): "duplicate_id", ("b", 2): None}
 
 
+def test_many_copies_of_one_id(spark, monkeypatch):
+    """Any number of late copies, blocks smaller than a source, against one pass in order."""
+    monkeypatch.setattr(ingest, "BLOCK", 4)
+    rows = [("x", "s", 0, "5"), *[("a", "s", i, "3") for i in range(1, 15)], ("a", "s", 15, "6"), ("b", "s", 16, "5"), ("a", "s", 17, "9"), ("b", "t", 18, "1"), ("c", "t", 19, "0"), ("c", "s", 20, "1")]
+    want, taken, last = {}, set(), {}
+    for i, s, o, t in rows:
+        want[o] = "duplicate_id" if i in taken else "time_order" if t < last.get(s, "") else None
+        if want[o] is None:
+            taken.add(i)
+            last[s] = t
+    assert {r.ordinal: r.reason for r in ingest.ingest(feed(spark, rows)).collect()} == want
+    assert want[14] == "time_order" and want[15] is None and want[17] == "duplicate_id"
+
+
 def test_copy_of_a_late_event_gets_a_chance(spark):
     got = ingest.ingest(feed(spark, [("x", "s", 0, "5"), ("a", "s", 1, "3"), ("a", "s", 2, "6")])).collect()
     assert {(r.id, r.ordinal): r.reason for r in got} == {("x", 0): None, ("a", 1): "time_order", ("a", 2): None}
