@@ -5,41 +5,46 @@ Part of subpackage ``llm``: like it, nothing else in the library imports this fi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proofmill.llm import bpe, decontaminate, lines, near, quality
-from proofmill.llm.common import table, written
+from proofmill.llm.common import carried, table, written
 from proofmill.llm.queries import vocabulary_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality.quality_rules(docs, table(spark, sf_dir, "labels")).where("kept").select(docs.columns)
+    """Documents that the quality rules keep, as they came; a null or empty text is rejected."""
+    return quality.quality_rules(docs, table(spark, sf_dir, "labels")).where("kept").select("doc.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their recurring lines; n_chars follows the text."""
-    out = lines.dedup_lines(docs).withColumn("text", F.col("kept_text"))
-    return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out).select(docs.columns)
+    """Documents without their recurring lines; n_chars follows the text, a null text stays null, all else is as it came."""
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return lines.dedup_lines(docs).select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least doc_id of each near-duplicate class, once, and rows without a doc_id."""
+    """One document of each near-duplicate class, the one with its least doc_id, and all rows without a doc_id.
+
+    Where rows repeat that doc_id, each different text stays once, with the least of its other columns (as JSON).
+    """
     first = written(near.near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct(), "firsts")
-    kept = docs.dropDuplicates(["doc_id"]).join(first, "doc_id", "left_semi").select(docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    kept = carried(docs).join(first, F.col("doc.doc_id") == first["doc_id"], "left_semi")
+    order = Window.partitionBy("doc.doc_id", F.xxhash64("doc.text"), "doc.text").orderBy(F.to_json("doc"))
+    kept = kept.withColumn("at", F.row_number().over(order)).where("at = 1").select("doc")
+    return kept.unionByName(carried(docs).where("doc.doc_id is null")).select("doc.*")
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no benchmark item contaminates."""
+    """Documents that no benchmark item contaminates, as they came; a row is judged with those that share its doc_id, null too."""
     bad = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    bad = written(bad.withColumnRenamed("doc_id", "_id"), "contaminated")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(docs.columns)
+    bad = written(bad, "contaminated")
+    return carried(docs).join(bad, F.col("doc.doc_id").eqNullSafe(bad["doc_id"]), "left_anti").select("doc.*")
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the encoded and decoded text of what is left."""
+    """Token counts and digests of the encoded and decoded text of what is left, a row for each; a null text counts as empty."""
     return bpe.encode_decode(docs, vocabulary_path("word_bpe_49k.json"))
 
 

@@ -45,6 +45,11 @@ def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """``docs`` as one struct column, doc, so that no name of its columns meets an operator's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+
+
 def opaque(df: DataFrame) -> DataFrame:
     """The same rows behind a generator.  A filter put on top stays there: pushed below, it would
     repeat the expressions of its columns, and those of array functions once per element."""

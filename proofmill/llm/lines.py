@@ -1,100 +1,109 @@
 """Line dedup by a log-template tree of fixed depth.
 
 A line's tokens that hold a digit are variable fields.  The tree has one leaf for each token count
-and leading tokens.  Two things recur in a leaf: a masked line as it stands, and the leaf's
-consensus, which keeps at each place the token that most lines share and generalises the other
-places.  A template met in ``min_docs`` different documents is boilerplate and its lines are
-dropped.  Exact copies of a document count once, and a document that consists mostly of recurring
-lines is a copy, not a page with boilerplate: it is left whole for document-level dedup.
+and leading tokens.  A leaf holds many clusters: a masked line as it stands is one, and the tokens
+after the leading ones, cut into BANDS runs of places, give one for each pair of runs left open, so
+lines that differ inside any two runs meet under one key whatever else the leaf holds.  A cluster met
+in ``min_docs`` different documents is a template that recurs, and its lines are dropped from every
+document.
+
+What counts as a different document: exact copies count once, and a document speaks for a cluster
+only if lines of its own (of no cluster met so often) make up half of what it holds beside that
+cluster.  So near copies of one document do not make templates of its text, yet lose the templates
+that other documents show to be such.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import opaque, text_of, words_of, written
+from .common import carried, opaque, text_of, words_of, written
 
 MIN_DOCS = 10
 #: Leading tokens that name a leaf, beside the token count.
 DEPTH = 3
-#: Least share of a consensus template's places that hold a token, and of a line's places that match it.
-SIMILARITY = 0.6
-#: A document with more than this share of its words in recurring lines stays whole.
-MAX_SHARE = 0.5
+#: Runs of places behind the leading tokens; two of them are left open, so 0.6 of the places stand fast.
+BANDS = 5
+#: Shortest line, in tokens, of which places are left open.
+LEAST = 5
 FIELD = "<*>"
+_BANDS = [f"b{a}" for a in range(BANDS)]
 
 
-def masked(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
+def tokens_of(line: Column) -> Column:
+    masked = F.transform(words_of(line), lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
+    return F.when(line.rlike("[0-9]"), masked).otherwise(words_of(line))
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """One row per line that has a word: doc_id, key (hash of the text), at, n, leaf, tmpl; no text."""
+    """One row per line that has a word: doc_id, key (hash of the text), at, n, leaf, tmpl and a hash of each run; no text."""
     text = text_of()
     rows = docs.select("doc_id", F.xxhash64(text).alias("key"), F.posexplode_outer(F.split(text, "\n")).alias("at", "line"))
-    rows = rows.where(F.col("line").rlike("[^\\t-\\r ]")).withColumn("tokens", tokens_of(F.col("line")))
-    n = F.size("tokens")
-    return rows.select("doc_id", "key", "at", n.alias("n"), F.xxhash64(n, F.slice("tokens", 1, DEPTH)).alias("leaf"), F.xxhash64(n, "tokens").alias("tmpl"))
+    rows = rows.where(F.col("line").rlike("[^\\t-\\r ]")).select("doc_id", "key", "at", tokens_of(F.col("line")).alias("tokens"))
+    rest = F.greatest(F.size("tokens") - DEPTH, F.lit(0))
+    start = lambda a: F.floor((a * rest + (BANDS - 1)) / BANDS).cast("int")
+    runs = [F.xxhash64(F.slice("tokens", DEPTH + 1 + start(a), start(a + 1) - start(a))).alias(b) for a, b in enumerate(_BANDS)]
+    rows = rows.select("doc_id", "key", "at", F.size("tokens").alias("n"), F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"), *runs)
+    return rows.select("doc_id", "key", "at", "n", "leaf", F.xxhash64("leaf", *_BANDS).alias("tmpl"), *_BANDS)
 
 
-def tokens_of(line: Column) -> Column:
-    return F.when(line.rlike("[0-9]"), masked(words_of(line))).otherwise(words_of(line))
+def speaking(clusters: DataFrame, words: DataFrame, min_docs: int) -> DataFrame:
+    """Of ``clusters(c, key, w)``, w the words of key's lines in c: the c that enough documents speak for.  ``words(key, total, own)``."""
+    beside = F.col("total") - F.col("w")
+    speak = clusters.join(words, "key").where((F.col("own") > 0) & (2 * F.col("own") >= beside))
+    return speak.groupBy("c").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("c")
 
 
-def at_documents(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Every row of ``docs`` with ``marks``' columns for the same doc_id and text, null where there are none."""
-    marks = marks.hint("merge").withColumnsRenamed({"doc_id": "_id", "key": "_k"})
-    return docs.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text_of()) == F.col("_k")), "left")
+def recurring_templates(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """Names of the masked lines to drop, (tmpl); ``rows`` is ``line_rows(docs)``, written.
 
-
-def recurring_templates(docs: DataFrame, rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Hashes of the masked lines to drop, (tmpl); ``rows`` is ``line_rows(docs)``, written."""
-    # 64-bit names only; copies of a document collapse before anything is counted
-    each = rows.select("leaf", "tmpl", "key").distinct()
-    counts = written(each.groupBy("leaf", "tmpl").agg(F.count("*").alias("docs")), "line-counts")
-    exact = counts.where(F.col("docs") >= min_docs).select("tmpl")
+    64-bit names only.  Every step counts by key with partial sums; no set of a leaf is gathered.
+    """
+    slim = rows.select("key", "tmpl", "leaf", "n").distinct()
+    counts = written(slim.groupBy("tmpl", "leaf").agg(F.count("*").alias("docs")), "line-counts")
+    often = counts.where(F.col("docs") >= min_docs).select("tmpl")
+    rare = counts.where(F.col("docs") < min_docs)
     # leaves in which lines differ, yet enough documents meet
-    rest = counts.where(F.col("docs") < min_docs)
-    leaves = rest.groupBy("leaf").agg(F.sum("docs").alias("d"), F.count("*").alias("t")).where((F.col("d") >= min_docs) & (F.col("t") > 1)).select("leaf")
-    marks = rows.join(written(leaves, "leaves"), "leaf", "left_semi").distinct().groupBy("doc_id", "key").agg(F.collect_list(F.struct("at", "leaf", "tmpl", "n")).alias("marks"))
-    # only these lines are cut into tokens again
-    picked = at_documents(docs.select("doc_id", "text"), written(marks, "leaf-lines")).where("marks is not null")
-    picked = picked.select(F.col("_k").alias("key"), F.explode_outer(F.transform("marks", lambda m: F.struct(m["leaf"].alias("leaf"), m["tmpl"].alias("tmpl"), m["n"].alias("n"), F.get(F.split("text", "\n"), m["at"]).alias("line")))).alias("m")).select("key", "m.*")
-    loose = written(picked.withColumn("tokens", tokens_of(F.col("line"))).drop("line").distinct(), "loose-lines")
-    places = loose.select("leaf", "n", F.posexplode_outer("tokens").alias("pos", "token")).groupBy("leaf", "n", "pos", "token").agg(F.count("*").alias("c"))
-    # most shared token of each place; a place of which no token holds half the lines is variable
-    best = places.groupBy("leaf", "n", "pos").agg(F.max(F.struct("c", "token")).alias("b"), F.sum("c").alias("lines"))
-    const = best.where((2 * F.col("b.c") > F.col("lines")) & (F.col("b.token") != FIELD))
-    consensus = const.groupBy("leaf", "n").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.col("b.token")))).alias("const"))
-    consensus = written(consensus.where(F.size("const") >= SIMILARITY * F.col("n")), "consensus")
-    near = loose.join(consensus.drop("n"), "leaf").withColumn("_same", F.size(F.filter("tokens", lambda t, i: F.coalesce(F.col("const")[i] == t, F.lit(False)))))
-    near = near.where(F.col("_same") >= SIMILARITY * F.col("n"))
-    general = near.groupBy("leaf").agg(F.count_distinct("key").alias("docs"), F.collect_set("tmpl").alias("tmpls")).where(F.col("docs") >= min_docs)
-    return exact.union(general.select(F.explode("tmpls"))).distinct()
-
-
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """``docs`` with n_lines, n_recurring, n_dropped and kept_text beside its own columns.
-
-    n_lines counts all ``\\n``-separated lines, n_recurring those of a recurring template, n_dropped
-    those removed (0 where the document stays whole).  Null text stays null (no line); blank lines
-    are never templates and stay; repeated rows each get their row.
+    leaves = rare.groupBy("leaf").agg(F.sum("docs").alias("d"), F.count("*").alias("t")).where((F.col("d") >= min_docs) & (F.col("t") > 1)).select("leaf")
+    loose = rows.where(F.col("n") >= LEAST).join(written(leaves, "leaves"), "leaf", "left_semi").join(often, "tmpl", "left_anti")
+    loose = loose.select("key", "tmpl", "n", "leaf", *_BANDS).distinct()
+    opened = [F.xxhash64("leaf", F.lit(BANDS * a + b), *[x for i, x in enumerate(_BANDS) if i not in (a, b)]) for a, b in combinations(range(BANDS), 2)]
+    clusters = written(loose.select("key", "tmpl", "n", F.explode_outer(F.array_distinct(F.array(*opened))).alias("c")), "line-clusters")
+    met = clusters.select("c", "key").distinct().groupBy("c").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("c")
+    clusters = written(clusters.join(met, "c", "left_semi"), "line-clusters-met")
+    # words of each document in lines of its own
+    exact = written(slim.join(often, "tmpl", "left_semi").select(F.col("tmpl").alias("c"), "key", F.col("n").alias("w")), "line-exact")
+    shared = exact.select("key", F.col("c").alias("tmpl"), F.col("w").alias("n")).union(clusters.select("key", "tmpl", "n")).distinct()
+    shared = shared.groupBy("key").agg(F.sum("n").alias("shared"))
+    words = slim.groupBy("key").agg(F.sum("n").alias("total")).join(shared, "key").select("key", "total", (F.col("total") - F.col("shared")).alias("own"))
+    words = written(words, "line-words")
+    one = speaking(exact, words, min_docs).select(F.col("c").alias("tmpl"))
+    many = speaking(clusters.groupBy("c", "key").agg(F.sum("n").alias("w")), words, min_docs)
+    return one.union(clusters.join(many, "c", "left_semi").select("tmpl")).distinct()
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """One row per row of ``docs(doc_id, text, ...)``: doc (the row as it came), n_lines, n_dropped, kept_text.
+
+    n_lines counts all ``\\n``-separated lines, n_dropped those of a recurring template, which are gone
+    from kept_text.  Null text stays null (no line); blank lines are never templates and stay; rows
+    that repeat a doc_id each get their row, with equal texts counted once; a document whose lines all
+    recur keeps an empty text; the input's other columns, whatever their names, are in doc; an empty
+    table gives none.  Lines and texts may be of any length: a task holds one document's at a time.
     """
-    rows = written(line_rows(docs), "lines")
-    drop = written(recurring_templates(docs, rows, min_docs), "recurring")
-    hits = rows.join(drop, "tmpl", "left_semi").distinct()
-    hits = written(hits.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list("at")).alias("_at"), F.sum("n").alias("_words")), "line-hits")
-    joined = at_documents(docs, hits)
-    lines = F.split(F.col("text"), "\n")
-    whole = F.col("_at").isNull() | (F.col("_words") > max_share * F.size(words_of(text_of())))
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("_at"), i)), "\n")
-    out = joined.withColumns(
-        {
-            "n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"),
-            "n_recurring": F.coalesce(F.size("_at"), F.lit(0)).cast("long"),
-            "n_dropped": F.when(whole, 0).otherwise(F.size("_at")).cast("long"),
-            "kept_text": F.when(whole, F.col("text")).otherwise(kept),
-        }
-    ).withColumns({c: F.greatest(F.col(c), F.lit(0).cast("long")) for c in ("n_lines", "n_recurring")}).drop("_id", "_k", "_at", "_words")
+    rows = written(line_rows(docs.select("doc_id", "text")), "lines")
+    drop = written(recurring_templates(rows, min_docs), "recurring")
+    hits = rows.join(drop, "tmpl", "left_semi").select("doc_id", "key", "at").distinct()
+    hits = written(hits.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list("at")).alias("at")), "line-hits")
+    own = carried(docs)
+    joined = own.join(hits.hint("merge"), F.col("doc.doc_id").eqNullSafe(hits["doc_id"]) & (F.xxhash64(text_of("doc.text")) == hits["key"]), "left")
+    # lines between dropped ones, run by run
+    cut = opaque(joined.select("doc", "at", F.split("doc.text", "\n").alias("lines")))
+    cut = opaque(cut.select("doc", "lines", F.when(F.col("at").isNotNull(), F.concat(F.array(F.lit(-1)), F.col("at"), F.array(F.size("lines")))).alias("ends")))
+    between = F.transform("ends", lambda e, j: F.slice("lines", e + 2, F.greatest(F.coalesce(F.get("ends", j + 1) - e - 1, F.lit(0)), F.lit(0))))
+    kept = F.when(F.col("ends").isNull(), F.col("doc.text")).otherwise(F.array_join(F.flatten(between), "\n"))
+    out = cut.select("doc", F.greatest(F.coalesce(F.size("lines"), F.lit(0)), F.lit(0)).cast("long").alias("n_lines"), F.greatest(F.coalesce(F.size("ends") - 2, F.lit(0)), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept_text"))
     return opaque(out)

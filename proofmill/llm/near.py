@@ -4,9 +4,11 @@ Sketch: every 5-word shingle of a document is a Poisson process whose rate is th
 (1 + log2 of its count); its arrivals land in random slots, each slot keeps the shingle that came
 first, and a shingle stops as soon as its next arrival is later than the latest slot.  Two sketches
 agree in a slot with the probability Jaccard of the weighted sets.  Banding makes candidates;
-shared buckets join documents into coarse clusters with one edge per row, never all pairs.
-Verification compares all texts inside a coarse cluster exactly (set Jaccard of 5-word shingles),
-block by block, and reports connected classes, not pairs; so no link is lost and none is listed twice.
+shared buckets join texts into coarse clusters with one edge per row, never all pairs.
+Verification is exact (set Jaccard of 5-word shingles) and reports connected classes, not pairs.  A
+cluster is cut into blocks; each block is compared within itself and with a few pivots of its
+cluster, work that grows with the cluster.  What the pivots hold together needs no more; only texts
+outside a cluster's main class then meet the other blocks, so no link in a cluster is lost.
 """
 
 from __future__ import annotations
@@ -23,10 +25,12 @@ from .common import components, text_of, written
 WORDS = 5
 THRESHOLD = (4, 5)  # 0.8 as a fraction
 BANDS, ROWS = 24, 5
-#: Texts that one verification task compares with each other at most twice.
-BLOCK = 1024
-#: Texts of small clusters that share one verification task, on average.
-SHARED = 400
+#: Texts, and bytes of text, in a block of a cluster, on average; a task compares at most two blocks.
+BLOCK, BLOCK_BYTES = 1024, 32 << 20
+#: Pivots of a cluster of several blocks, on average.
+PIVOTS = 16
+#: Texts, and bytes of text, of small clusters that share one verification task, on average.
+SHARED, SHARED_BYTES = 400, 8 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -121,17 +125,18 @@ def chunks(frames, chars: int = 2_000_000, rows: int = 50_000):
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, k1, k2, bands): a 128-bit name of the words, and the bands (null without words)."""
+    """(doc_id, h, n, k1, k2, bands): hash and bytes of the text, a 128-bit name of its words, and the bands (null without words)."""
 
     def run(frames):
         for pdf in chunks(frames):
             held, sizes = sketch(pdf["text"].tolist())
             key = [hashlib.md5(b" ".join(t.encode("utf-8", "surrogatepass").split())).digest() for t in pdf["text"]]
             both = np.frombuffer(b"".join(key), dtype="<i8").reshape(-1, 2)
-            bands = band_names(held)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "k1": both[:, 0], "k2": both[:, 1], "bands": [b if n else None for b, n in zip(bands, sizes, strict=True)]})
+            bands = [b if n else None for b, n in zip(band_names(held), sizes, strict=True)]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "h": pdf["h"].to_numpy(), "n": pdf["n"].to_numpy(), "k1": both[:, 0], "k2": both[:, 1], "bands": bands})
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(run, "doc_id long, k1 long, k2 long, bands array<long>")
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    return rows.select("*", F.xxhash64("text").alias("h"), F.octet_length("text").cast("long").alias("n")).mapInPandas(run, "doc_id long, h long, n long, k1 long, k2 long, bands array<long>")
 
 
 def linked(texts: list[str]) -> np.ndarray:
@@ -166,43 +171,88 @@ def linked(texts: list[str]) -> np.ndarray:
         root = low
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: doc_id and class_id, the least doc_id of its class.
-
-    Classes are the connected components of similarity >= 0.8 between 5-word shingle sets; texts
-    with the same words are one.  A null or empty text is its own class, a null doc_id has a null
-    class, rows that repeat a doc_id share its class.
-    """
-    own = written(sketches(docs), "sketches")
-    # copies collapse to their least doc_id before anything is compared
-    reps = own.where("bands is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    rep_bands = own.join(reps, (own.doc_id == reps.rep) & (own.k1 == reps.k1) & (own.k2 == reps.k2)).select("rep", F.explode_outer("bands").alias("band")).distinct()
-    rep_bands = written(rep_bands, "bands")
-    lows = rep_bands.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("band", "low")
-    coarse = components(rep_bands.join(lows, "band").select(F.col("rep").alias("a"), F.col("low").alias("b")), "coarse")
-    coarse = written(coarse, "clusters")
-    blocks = coarse.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("s"))
-    members = coarse.join(blocks, "root").withColumn("b", F.pmod(F.xxhash64("node"), F.col("s")).cast("int"))
-    tasks = max(1, coarse.count() // SHARED)
-    # a large cluster: each block meets each other block in one task; small clusters share a task
-    members = members.withColumn("o", F.explode_outer(F.sequence(F.lit(0), F.col("s") - 1)))
-    task = F.when(F.col("s") == 1, F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.xxhash64("root", F.least("b", "o"), F.greatest("b", "o")))
-    members = members.select("node", "root", task.alias("task"))
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), text_of().alias("text"))
-    # merge: the same plan at every size
-    groups = texts.join(members.hint("merge"), "node").groupBy("task")
+def compared(docs: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Links (a, b) between texts of one task and root; ``tasks(node, h, root, task)``, a node and h naming a text of ``docs``."""
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), text_of().alias("text")).withColumn("h", F.xxhash64("text"))
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, part in pdf.groupby("root"):
-            part = part.drop_duplicates("node")
+            part = part.drop_duplicates(["node", "h"])
             ids = part["node"].to_numpy()
-            root = linked(part["text"].tolist())
-            out.append(pd.DataFrame({"a": ids, "b": ids[root]}))
+            out.append(pd.DataFrame({"a": ids, "b": ids[linked(part["text"].tolist())]}))
         return pd.concat(out)
 
-    edges = groups.applyInPandas(verify, "a long, b long").where("a <> b")
-    classes = written(components(edges, "classes"), "classes")
-    named = reps.join(classes, reps.rep == classes.node, "left").select(F.col("k1").alias("r1"), F.col("k2").alias("r2"), F.coalesce("root", "rep").alias("class_id"))
-    known = own.join(named, (own.k1 == named.r1) & (own.k2 == named.r2), "left").select("doc_id", F.when(F.col("bands").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
-    return known.unionByName(docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id")))
+    # merge: the same plan at every size
+    return texts.join(tasks.hint("merge"), ["node", "h"]).groupBy("task").applyInPandas(verify, "a long, b long").where("a <> b")
+
+
+def first_links(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Links inside each block of ``members(node, h, root, s, b)``, and between it and its cluster's pivots."""
+    total = members.agg(F.count("*").alias("c"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    shared = max(1, total["c"] // SHARED, total["n"] // SHARED_BYTES)
+    pivot = F.pmod(F.xxhash64("node", "h", F.lit("pivot")), F.ceil(F.col("m") / PIVOTS).cast("long")) == 0
+    everywhere = members.where((F.col("s") > 1) & pivot).withColumn("b", F.explode_outer(F.sequence(F.lit(0), F.col("s") - 1)))
+    task = F.when(F.col("s") == 1, F.pmod(F.xxhash64("root"), F.lit(shared))).otherwise(F.xxhash64("root", "b"))
+    return compared(docs, members.union(everywhere).select("node", "h", "root", task.alias("task")))
+
+
+def last_links(docs: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links that the first ones leave open: each text outside the main class of a cluster of several blocks against all its blocks."""
+    own = members.where("s > 1").join(classes.withColumnRenamed("root", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    sizes = written(own.groupBy("root", "class").agg(F.count("*").alias("c"), F.sum("n").alias("n")), "class-sizes")
+    blocks = lambda c, n: F.ceil(F.greatest(c / BLOCK, n / BLOCK_BYTES)).cast("int")
+    main = sizes.groupBy("root").agg(F.max(F.struct("c", "class", "n")).alias("top"), F.sum("c").alias("c"), F.sum("n").alias("n")).where("c > top.c")
+    main = main.select("root", F.col("top.class").alias("main"), blocks(F.col("top.c"), F.col("top.n")).alias("sm"), blocks(F.col("c") - F.col("top.c"), F.col("n") - F.col("top.n")).alias("sr"))
+    own = own.join(written(main, "main-classes"), "root").withColumn("rest", F.col("class") != F.col("main"))
+    mine = F.pmod(F.xxhash64("node", "h"), F.when(F.col("rest"), F.col("sr")).otherwise(F.col("sm"))).cast("int")
+    own = own.withColumn("i", mine)
+    other = F.sequence(F.lit(0), F.col("sr") - 1)
+    rest_main = own.select("node", "h", "root", "rest", "i", F.explode_outer(F.when(F.col("rest"), F.sequence(F.lit(0), F.col("sm") - 1)).otherwise(other)).alias("j"))
+    rest_main = rest_main.select("node", "h", "root", F.xxhash64("root", F.lit("main"), F.when(F.col("rest"), F.col("i")).otherwise(F.col("j")), F.when(F.col("rest"), F.col("j")).otherwise(F.col("i"))).alias("task"))
+    rest_rest = own.where("rest").select("node", "h", "root", "i", F.explode_outer(other).alias("j")).select("node", "h", "root", F.xxhash64("root", F.lit("rest"), F.least("i", "j"), F.greatest("i", "j")).alias("task"))
+    return compared(docs, rest_main.union(rest_rest))
+
+
+def text_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, class_id) of each row with a doc_id; ``near_duplicates`` says what a class is."""
+    own = written(sketches(docs), "sketches")
+    # texts of the same words collapse to one row, named by its least doc_id, before anything is compared
+    first = own.where("bands is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "h")).alias("f"))
+    first = written(first.select("k1", "k2", F.col("f.doc_id").alias("node"), F.col("f.h").alias("h")), "firsts")
+    named = written(own.select("doc_id", "h", "n", "k1", "k2").join(first.withColumnRenamed("h", "_h"), ["k1", "k2"], "left").select("doc_id", "h", "n", "k1", "node", (F.col("h") == F.col("_h")).alias("same")), "named")
+    bands = own.join(first.select("k1", "k2", F.col("node").alias("doc_id"), "h"), ["k1", "k2", "doc_id", "h"], "left_semi").select("k1", F.explode_outer("bands").alias("band")).distinct()
+    bands = written(bands, "bands")
+    lows = bands.groupBy("band").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low < high").select("band", "low")
+    # half a name tells texts apart here: a clash only makes a cluster larger
+    coarse = components(bands.join(lows, "band").select(F.col("k1").alias("a"), F.col("low").alias("b")), "coarse")
+    members = named.where("same and node = doc_id").select("node", "h", "n", "k1").distinct().join(coarse, named["k1"] == coarse["node"]).select(named["node"], "h", "n", "root")
+    members = written(members, "clusters")
+    sizes = members.groupBy("root").agg(F.count("*").alias("m"), F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_BYTES)).cast("int").alias("s"))
+    members = written(members.join(sizes, "root").withColumn("b", F.pmod(F.xxhash64("node", "h"), F.col("s")).cast("int")), "members")
+    # rows that repeat a doc_id with other texts hold these together
+    several = named.where("node is not null").groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    repeats = named.join(several, "doc_id").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    links = written(first_links(docs, members).union(repeats), "links")
+    classes = written(components(links, "classes"), "classes")
+    if not members.where("s > 1").isEmpty():
+        more = written(last_links(docs, members, classes), "links")
+        classes = written(components(links.union(more), "classes"), "classes")
+    return named.join(classes, "node", "left").select("doc_id", "h", F.coalesce("root", "node", "doc_id").alias("class_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs(doc_id, text)``: doc_id and class_id, the least doc_id of its class.
+
+    Classes are the connected components of similarity >= 0.8 between 5-word shingle sets, a tie
+    included; texts with the same words are one, a text of fewer than five words has one shingle, and
+    rows that repeat a doc_id are in one class, with all that either text links to.  A null or empty
+    text is its own class (that of its doc_id's other rows where it has some), a null doc_id has a null
+    class; an empty table gives none.  Other columns are not read.  Texts may be of any length: tasks
+    are cut by bytes as well as by number, and one text is never split.
+    """
+    classes = written(text_classes(docs), "text-classes")
+    # a doc_id without words in one row and with words in another: one class
+    own = classes.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    out = classes.select("doc_id").join(own, "doc_id")
+    return out.unionByName(docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id")))

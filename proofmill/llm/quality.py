@@ -1,9 +1,10 @@
 """Quality rules: counted base rules, then a hashed n-gram log-likelihood ratio.
 
-The ratio compares two multinomials over hashed n-grams: each word, and the last three characters of each word: a trusted target (labelled
-documents of good quality) and the raw corpus (all documents).  A document's mean log ratio decides
-against a fixed threshold, so every document gets its verdict by the same rule.  All steps are
-DataFrame expressions; no Python runs on the executors.
+The ratio compares two multinomials over hashed n-grams (each word, each pair of neighbouring words,
+and the last three characters of each word): a trusted target (labelled documents of good quality)
+and the raw corpus (all documents).  A document's mean log ratio decides against a fixed threshold,
+so every document gets its verdict by the same rule.  All steps are DataFrame expressions; no Python
+runs on the executors.
 """
 
 from __future__ import annotations
@@ -13,59 +14,62 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import opaque, text_of, words_of
+from .common import carried, opaque, text_of, words_of
 
 #: Fixed value: characters counted as symbols, as a pattern.
 SYMBOLS = "[#*$%&|<>]"
 #: Number of buckets of the two multinomials; bounds what the driver holds.
-BUCKETS = 8192
+BUCKETS = 32_768
 #: Bound on the labelled rows of the trusted target (the least by hash of doc_id).
 MAX_TRUSTED = 20_000
 #: A document passes when its mean log ratio is at least this.
 MIN_SCORE = -0.5
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def base_columns(docs: DataFrame) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (bigint) and base_failed.
+def hashed_words(rows: DataFrame, text: Column) -> DataFrame:
+    """Adds words, and x and e: 64-bit hashes of each word and of its last three characters."""
+    rows = rows.withColumn("words", words_of(text))
+    return rows.withColumn("x", F.transform("words", lambda w: F.xxhash64(w))).withColumn("e", F.transform("words", lambda w: F.xxhash64(F.right(w, F.lit(3)))))
 
-    Null text has no words.  Repeated windows are found inside the row: sorted 64-bit hashes of the
-    3-word windows with their positions, equal neighbours, then the distinct positions they cover.
-    """
-    return _base(docs).drop("_w")
 
+def with_base(rows: DataFrame, text: Column) -> DataFrame:
+    """Adds the BASE counts (bigint) and base_failed to rows with words and x.
 
-def _base(docs: DataFrame) -> DataFrame:
-    text = text_of()
-    rows = docs.withColumn("_w", words_of(text)).withColumn("n_words", F.size("_w").cast("long"))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\t-\\r ]"))
-    rows = rows.withColumn("_lines", lines)
+    Repeated windows are found inside the row: sorted 64-bit hashes of the 3-word windows with their
+    positions, equal neighbours, then the distinct positions they cover.
+    """
+    lines = F.filter(F.split(text, "\n"), lambda v: v.rlike("[^\\t-\\r ]"))
     # a window's name is a hash of its three words' hashes
-    rows = rows.withColumn("_x", F.transform("_w", lambda w: F.xxhash64(w)))
-    three = F.transform(F.slice("_x", 1, F.greatest(F.size("_x") - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("_x", i + 1), F.get("_x", i + 2)))
-    rows = rows.withColumn("_h", three).withColumn("_again", F.size(F.array_distinct("_h")) < F.size("_h"))
-    ranked = F.when(F.col("_again"), F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    rows = rows.withColumn("_s", ranked)
+    three = F.transform(F.slice("x", 1, F.greatest(F.size("x") - 2, F.lit(0))), lambda h, i: F.xxhash64(h, F.get("x", i + 1), F.get("x", i + 2)))
+    rows = rows.withColumn("lines", lines).withColumn("h", three).withColumn("again", F.size(F.array_distinct("h")) < F.size("h"))
+    rows = rows.withColumn("s", F.when(F.col("again"), F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     places = F.filter(
-        F.sequence(F.lit(1), F.size("_s")),
-        lambda j: (F.try_element_at("_s", j + 1)["h"] == F.element_at("_s", j)["h"])
-        | F.coalesce(F.when(j > 1, F.try_element_at("_s", F.greatest(j - 1, F.lit(1)))["h"] == F.element_at("_s", j)["h"]), F.lit(False)),
+        F.sequence(F.lit(1), F.size("s")),
+        lambda j: (F.try_element_at("s", j + 1)["h"] == F.element_at("s", j)["h"])
+        | F.coalesce(F.when(j > 1, F.try_element_at("s", F.greatest(j - 1, F.lit(1)))["h"] == F.element_at("s", j)["h"]), F.lit(False)),
     )
-    rows = rows.withColumn("_p", F.when(F.col("_again"), F.transform(places, lambda j: F.element_at("_s", j)["i"])))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("_p", lambda i: F.array(i, i + 1, i + 2)))))
+    rows = rows.withColumn("p", F.when(F.col("again"), F.transform(places, lambda j: F.element_at("s", j)["i"])))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("p", lambda i: F.array(i, i + 1, i + 2)))))
     rows = (
-        rows.withColumn("word_chars", F.aggregate("_w", F.lit(0).cast("long"), lambda acc, w: acc + F.length(w)))
+        rows.withColumn("n_words", F.size("words").cast("long"))
+        .withColumn("word_chars", F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc + F.length(w)))
         .withColumn("n_symbols", (F.size(F.split(text, SYMBOLS)) - 1).cast("long"))
-        .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-        .withColumn("n_repeat_words", F.when(F.col("_again"), covered).otherwise(0).cast("long"))
-        .drop("_x", "_lines", "_h", "_again", "_s", "_p")
+        .withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
+        .withColumn("n_repeat_words", F.when(F.col("again"), covered).otherwise(0).cast("long"))
+        .drop("lines", "h", "again", "s", "p")
     )
     return rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def hashed(rows: DataFrame, n: int) -> DataFrame:
-    """Adds _g: of each word in _w struct(one, two), the buckets of the word and of its last three characters."""
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    return rows.withColumn("_g", F.transform("_w", lambda w: F.struct(bucket(w).alias("one"), bucket(F.right(w, F.lit(3))).alias("two"))))
+def grams(n: int) -> list:
+    """Of the word at place i, as functions of its hash and i: the buckets of the word, its end, and it with the next word (null at the end)."""
+    bucket = lambda c: F.pmod(c, F.lit(n)).cast("int")
+    return [
+        lambda h, i: bucket(h),
+        lambda h, i: bucket(F.get("e", i)),
+        lambda h, i: F.when(i + 1 < F.size("x"), bucket(F.xxhash64(h, F.get("x", i + 1)))),
+    ]
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, max_trusted: int = MAX_TRUSTED) -> list[float]:
@@ -77,10 +81,11 @@ def log_ratios(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, max_trusted
     """
     trusted = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
     rows = docs.select("doc_id", "text").join(F.broadcast(trusted.withColumn("trusted", F.lit(1))), "doc_id", "left")
-    # one row a word, then two; partial sums leave n rows a task
-    words = hashed(rows.select("trusted", words_of(text_of()).alias("_w")), n).select("trusted", F.inline_outer("_g"))
-    each = words.where("one is not null").select("trusted", F.stack(F.lit(2), "one", "two").alias("b"))
-    counts = each.groupBy("b").agg(F.count("*").alias("raw"), F.count("trusted").alias("good")).collect()
+    # one row a word, then three; partial sums leave n rows a task
+    each = F.transform("x", lambda h, i: F.struct(*[g(h, i).alias(f"g{k}") for k, g in enumerate(grams(n))]))
+    words = hashed_words(rows, text_of()).select("trusted", F.inline_outer(each))
+    counts = words.select("trusted", F.stack(F.lit(3), "g0", "g1", "g2").alias("b")).where("b is not null")
+    counts = counts.groupBy("b").agg(F.count("*").alias("raw"), F.count("trusted").alias("good")).collect()
     raw, good = [0] * n, [0] * n
     for r in counts:
         raw[r["b"]], good[r["b"]] = r["raw"], r["good"]
@@ -91,19 +96,29 @@ def log_ratios(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, max_trusted
 
 
 def llr(ratios: list[float]) -> Column:
-    """Mean log ratio over the buckets of _g, 0 for a text without words."""
+    """Mean log ratio over the n-grams of rows with x and e, 0 for a text without words."""
     table = F.from_json(F.lit("[" + ",".join(map(str, ratios)) + "]"), "array<double>")
-    sums = F.transform("_g", lambda g: F.get(table, g["one"]) + F.get(table, g["two"]))
+    one, end, pair = grams(len(ratios))
+    sums = F.transform("x", lambda h, i: F.get(table, one(h, i)) + F.get(table, end(h, i)) + F.coalesce(F.get(table, pair(h, i)), F.lit(0.0)))
     total = F.aggregate(sums, F.lit(0.0), lambda acc, v: acc + v)
-    return F.round(F.coalesce(total / F.nullif(2 * F.size("_g"), F.lit(0)), F.lit(0.0)), 6)
+    return F.round(F.coalesce(total / F.nullif(3 * F.size("x") - 1, F.lit(-1)), F.lit(0.0)), 6)
+
+
+def base_counts(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc (the row as it came), the BASE counts and base_failed."""
+    text = text_of("doc.text")
+    return with_base(hashed_words(carried(docs), text), text).select("doc", *BASE, "base_failed")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """``docs`` with the base columns, llr and kept.
+    """One row per row of ``docs(doc_id, text, ...)``: doc (the row as it came), the BASE counts, base_failed, llr, kept.
 
-    kept is false where a base rule fails, else llr >= min_score.  Null or empty text: no words, so
-    rejected.  Equal rows get equal verdicts; other columns pass through.
+    kept is false where a base rule fails, else llr >= min_score (a tie is kept).  Null or empty text:
+    no words, so rejected.  Equal texts get equal verdicts whatever their doc_id, repeated or null; a
+    label that repeats counts once; the input's other columns, whatever their names, are in doc; an
+    empty table gives none.  A text of any length is one row of one task.
     """
     ratios = log_ratios(docs, labels)
-    out = hashed(_base(docs), len(ratios)).withColumn("llr", llr(ratios)).drop("_w", "_g")
-    return opaque(out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= min_score)))
+    text = text_of("doc.text")
+    rows = with_base(hashed_words(carried(docs), text), text).withColumn("llr", llr(ratios))
+    return opaque(rows.select("doc", *BASE, "base_failed", "llr", (~F.col("base_failed") & (F.col("llr") >= min_score)).alias("kept")))

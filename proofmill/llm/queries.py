@@ -21,9 +21,9 @@ def op1_minhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """Lines, recurring lines and dropped lines of each document, and the digest of what is kept."""
+    """Lines and dropped lines of each document, and the digest of what is kept."""
     out = lines.dedup_lines(table(spark, d, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_recurring", "n_dropped", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+    return out.select("doc.doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op3_token_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -53,7 +53,12 @@ def op8_bpe_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     out = quality.quality_rules(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "labels"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+    return out.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+
+
+def quality_base(spark: SparkSession, d: str) -> DataFrame:
+    """The counted base rules alone, which SQL can express too."""
+    return quality.base_counts(table(spark, d, "documents").select("doc_id", "text")).select("doc.doc_id", *quality.BASE, "base_failed")
 
 
 def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +73,7 @@ def pipeline(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash_near_dedup, op2_line_dedup, op3_token_counts, op4_decontamination, op5_html_extraction, op6_license_scan, op7_substring_dedup, op8_bpe_round_trip, op9_quality_rules, op10_toxicity, pipeline)
+    for f in (op1_minhash_near_dedup, op2_line_dedup, op3_token_counts, op4_decontamination, op5_html_extraction, op6_license_scan, op7_substring_dedup, op8_bpe_round_trip, op9_quality_rules, op10_toxicity, quality_base, pipeline)
 }
 
 #: Words of the near-duplicate and benchmark queries, in DuckDB's pattern syntax.
@@ -90,23 +95,22 @@ SELECT node AS doc_id, min(root) AS class_id FROM reach GROUP BY node""",
 WITH r AS (SELECT doc_id, coalesce(text, '') AS text, text IS NULL AS missing, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, text, i - 1 AS lno, regexp_extract_all(ls[i], '{_PLAIN}') AS ws FROM r, unnest(range(1, len(ls) + 1)) AS t(i)),
 m AS (SELECT doc_id, text, lno, len(ws) AS n, list_transform(ws, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS ts FROM l WHERE len(ws) > 0),
-k AS (SELECT *, (n, ts[1:3]) AS leaf FROM m),
-u AS (SELECT DISTINCT leaf, n, ts, text FROM k),
-c AS (SELECT leaf, n, ts, count(*) AS docs FROM u GROUP BY ALL),
-exact AS (SELECT ts FROM c WHERE docs >= {lines.MIN_DOCS}),
-lf AS (SELECT leaf FROM c WHERE docs < {lines.MIN_DOCS} GROUP BY leaf HAVING sum(docs) >= {lines.MIN_DOCS} AND count(*) > 1),
-loose AS (SELECT u.* FROM u JOIN lf USING (leaf)),
-pl AS (SELECT leaf, n, i AS pos, ts[i] AS token, count(*) AS c FROM loose, unnest(range(1, n + 1)) AS t(i) GROUP BY ALL),
-best AS (SELECT leaf, n, pos, max((c, token)) AS b, sum(c) AS total FROM pl GROUP BY ALL),
-co AS (SELECT leaf, pos, b[2] AS token, n FROM (SELECT leaf, n, pos, total, [b[1]::VARCHAR, b[2]] AS b, b[1] AS c FROM best) WHERE 2 * c > total AND b[2] <> '<*>'),
-good AS (SELECT leaf FROM co GROUP BY leaf, n HAVING count(*) >= {lines.SIMILARITY} * n),
-near AS (SELECT loose.leaf, loose.text, loose.ts FROM loose JOIN co ON co.leaf = loose.leaf AND loose.ts[co.pos] = co.token WHERE loose.leaf IN (SELECT leaf FROM good) GROUP BY loose.leaf, loose.text, loose.ts, loose.n HAVING count(*) >= {lines.SIMILARITY} * loose.n),
-gen AS (SELECT ts FROM near WHERE leaf IN (SELECT leaf FROM near GROUP BY leaf HAVING count(DISTINCT text) >= {lines.MIN_DOCS})),
-dr AS (SELECT ts FROM exact UNION SELECT ts FROM gen),
-h AS (SELECT doc_id, list(lno) AS ats, sum(n) AS words FROM k WHERE ts IN (SELECT ts FROM dr) GROUP BY doc_id),
-f AS (SELECT r.*, ats, coalesce(len(ats), 0) AS n_recurring, ats IS NULL OR words > {lines.MAX_SHARE} * len(regexp_extract_all(text, '{_PLAIN}')) AS whole FROM r LEFT JOIN h USING (doc_id))
-SELECT doc_id, CASE WHEN missing THEN 0 ELSE len(ls) END AS n_lines, n_recurring, CASE WHEN whole THEN 0 ELSE n_recurring END AS n_dropped,
-  sha256(CASE WHEN whole THEN text ELSE coalesce(array_to_string(list_filter(ls, lambda x, i: NOT list_contains(ats, i - 1)), chr(10)), '') END) AS kept_sha256 FROM f""",
+u AS (SELECT DISTINCT text, n, ts FROM m),
+c AS (SELECT n, ts, count(*) AS docs FROM u GROUP BY ALL),
+lf AS (SELECT n, ts[1:3] AS lead FROM c WHERE docs < {lines.MIN_DOCS} GROUP BY ALL HAVING sum(docs) >= {lines.MIN_DOCS} AND count(*) > 1),
+loose AS (SELECT u.* FROM u JOIN c USING (n, ts) JOIN lf ON lf.n = u.n AND lf.lead = u.ts[1:3] WHERE c.docs < {lines.MIN_DOCS} AND u.n >= {lines.LEAST}),
+cl AS (SELECT text, n, ts, a, b, list_filter(ts, lambda x, i: i <= 3 OR 5 * (i - 4) // (n - 3) NOT IN (a, b)) AS fast FROM loose, range(4) AS x(a), range(5) AS y(b) WHERE a < b),
+met AS (SELECT n, a, b, fast FROM cl GROUP BY ALL HAVING count(DISTINCT text) >= {lines.MIN_DOCS}),
+clm AS (SELECT cl.* FROM cl JOIN met USING (n, a, b, fast)),
+ex AS (SELECT u.text, u.n, u.ts FROM u JOIN c USING (n, ts) WHERE c.docs >= {lines.MIN_DOCS}),
+sh AS (SELECT text, sum(n) AS shared FROM (SELECT text, n, ts FROM ex UNION SELECT text, n, ts FROM clm) GROUP BY text),
+wd AS (SELECT text, sum(n) AS total, sum(n) - any_value(shared) AS own FROM u JOIN sh USING (text) GROUP BY text),
+one AS (SELECT ts FROM ex JOIN wd USING (text) WHERE own > 0 AND 2 * own >= total - n GROUP BY n, ts HAVING count(*) >= {lines.MIN_DOCS}),
+many AS (SELECT n, a, b, fast FROM (SELECT n, a, b, fast, text, sum(n) AS w FROM clm GROUP BY ALL) JOIN wd USING (text) WHERE own > 0 AND 2 * own >= total - w GROUP BY n, a, b, fast HAVING count(*) >= {lines.MIN_DOCS}),
+dr AS (SELECT ts FROM one UNION SELECT ts FROM clm JOIN many USING (n, a, b, fast)),
+h AS (SELECT doc_id, list(lno) AS ats FROM m WHERE ts IN (SELECT ts FROM dr) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN missing THEN 0 ELSE len(ls) END AS n_lines, coalesce(len(ats), 0) AS n_dropped,
+  sha256(CASE WHEN ats IS NULL THEN text ELSE coalesce(array_to_string(list_filter(ls, lambda x, i: NOT list_contains(ats, i - 1)), chr(10)), '') END) AS kept_sha256 FROM r LEFT JOIN h USING (doc_id)""",
     "op4_decontamination": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_BENCH}') AS ws FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER}, '{_BENCH}') AS ws FROM benchmark),
@@ -119,4 +123,12 @@ items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT
 SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "quality_base": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_PLAIN}') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: {{'i': i, 'w': ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]}})) AS x FROM d),
+g AS (SELECT doc_id, x.i AS i, count(*) OVER (PARTITION BY doc_id, x.w) AS c FROM w),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM g, range(3) AS y(k) WHERE c > 1 GROUP BY doc_id),
+b AS (SELECT doc_id, len(ws)::BIGINT AS n_words, len(list_aggregate(ws, 'string_agg', ''))::BIGINT AS word_chars, len(regexp_extract_all(d.text, '{quality.SYMBOLS}'))::BIGINT AS n_symbols,
+  list_filter(string_split(d.text, chr(10)), lambda x: regexp_matches(x, '{_PLAIN}')) AS ls, coalesce(n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN rep USING (doc_id))
+SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b""",
 }
