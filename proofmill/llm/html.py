@@ -2,15 +2,17 @@
 
 Markup is stripped to lines, one for each block, in page order; what stands in a menu, advert,
 form, script or the like becomes an empty line.  Sums of text lengths over a sliding window of
-lines form the distribution; it surges where text begins and dives where it has ended.  Lines
-between a surge and its dive are kept.
+lines form the distribution; it surges where text begins and dives to nothing where it has ended.
+Lines between a surge and its dive are kept.  Markup only weighs lines; on every page the sums decide.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from bisect import bisect_right
+from collections import defaultdict
 from html import unescape
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -27,7 +29,10 @@ CHROME = frozenset(
     "menu nav navbar navigation breadcrumb breadcrumbs sidebar side aside footer header masthead topbar toolbar share sharing social related recommended recommendations "
     "newsletter subscribe subscription signup login search widget widgets comment comments disqus respond reply replies pagination pager skip contentinfo complementary".split()
 )
-TOKEN = regex.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", regex.S)
+#: Classes of articles that are not the page's own.
+FOREIGN = frozenset("comment comments disqus respond reply replies related recommended recommendations promo promoted sponsored teaser ad ads advert advertisement".split())
+NAME = regex.compile(r"[a-zA-Z][^\s/>]*+")
+PLAIN = regex.compile(r"[^>\"']*+")
 ATTRIBUTE = regex.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", regex.I)
 HIDDEN = regex.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", regex.I)
 #: Words beside those of CHROME that only say where or in what box it stands.
@@ -42,14 +47,62 @@ IMPLIED = {
 }
 HEAD = frozenset("base link meta noscript script style template title head".split())
 PARTS = regex.compile(r"[a-z]+").findall
-#: Lines in a block of the distribution; characters in a block at which text surges.
+#: Lines in a block of the distribution; characters in a block at which text surges, or fewer where no block of the page has them.
 WINDOW, SURGE = 3, 60
-#: Weight of a line outside the article and main elements where these hold most of the text.
-OUTSIDE = 0.25
+#: Weights of lines in article and main elements and beside them, where these hold most of the text.
+INSIDE, OUTSIDE = 4, 0.25
 #: Weight of lines of chrome by class, and the unlinked characters from which they count at all.
 CHROME_WEIGHT, MUCH = 0.5, 400
 
 
+class Tags:
+    """Markup of a page from left to right: (start, end, slash, name, rest of the tag); name is empty for comments and the like.
+
+    Linear in the page: a quote that nothing closes, or that hides every later end of a tag, is an
+    ordinary character from there on.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.quotes, self.last_cdata = page, True, page.rfind("]]>")
+
+    def end_of_tag(self, at: int) -> int:
+        """Place of the ``>`` that ends a tag open at ``at``, or -1."""
+        page = self.page
+        if not self.quotes:
+            return page.find(">", at)
+        k = at
+        while (k := PLAIN.match(page, k).end()) < len(page):
+            if page[k] == ">":
+                return k
+            shut = page.find(page[k], k + 1)
+            if shut < 0:
+                break
+            k = shut + 1
+        self.quotes = False
+        return page.find(">", at)
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        page = self.page
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                return at, end + 3 if end >= 0 else len(page), False, "", ""
+            if page.startswith("<![CDATA[", at) and at < self.last_cdata:
+                return at, page.find("]]>", at) + 3, False, "", ""
+            if page.startswith(("<!", "<?"), at):
+                end = page.find(">", at)
+                return at, end + 1 if end >= 0 else len(page), False, "", ""
+            slash = page.startswith("/", at + 1)
+            name = NAME.match(page, at + 1 + slash)
+            if name:
+                end = self.end_of_tag(name.end())
+                if end < 0:
+                    return None
+                return at, end + 1, slash, name[0].lower(), page[name.end() : end]
+            at += 1
+        return None
+
+
 def chrome(name: str, rest: str, inside: bool) -> float:
     """Weight of an element's lines: 0 outside the article by its name or hidden, CHROME_WEIGHT by its class, id or role, else 1.
 
@@ -57,14 +110,15 @@ def chrome(name: str, rest: str, inside: bool) -> float:
     """
     if name in DROPPED or (name == "header" and not inside):
         return 0
-    if not rest or name in ("html", "body", "article", "main"):
+    if not rest or name in ("html", "body", "main"):
         return 1
+    words = FOREIGN if name == "article" else CHROME
     if HIDDEN.search(rest):
         return 0
     for m in ATTRIBUTE.finditer(rest):
         for token in (m[1] or m[2] or m[3] or "").lower().split():
             parts = PARTS(token)
-            if not CHROME.isdisjoint(parts) and all(p in CHROME or p in PLACES for p in parts):
+            if not words.isdisjoint(parts) and all(p in CHROME or p in words or p in PLACES for p in parts):
                 return CHROME_WEIGHT
     return 1
 
@@ -80,13 +134,13 @@ def stripped(page: str) -> list[tuple[str, int, bool, float]]:
     words: list[str] = []
     frames = [1.0]  # weights of the page and of chrome elements
     stack: list[tuple[str, int, bool]] = []  # open blocks and chrome: name, frame around, link around
-    opened: Counter = Counter()
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of each name in the stack
     linked, frame, link, at = 0, 0, False, 0
-    size = len(page)
+    size, tags = len(page), Tags(page)
 
     def close() -> None:
         nonlocal linked
-        out.append((" ".join(unescape("".join(words)).split()), linked, opened["article"] + opened["main"] > 0, frame))
+        out.append((" ".join(unescape("".join(words)).split()), linked, bool(places["article"] or places["main"]), frame))
         words.clear()
         linked = 0
 
@@ -97,48 +151,41 @@ def stripped(page: str) -> list[tuple[str, int, bool, float]]:
             close()
         while len(stack) > depth:
             name, around, before = stack.pop()
-            opened[name] -= 1
+            places[name].pop()
             frame, link = around, link and before
 
     def implied(name: str) -> None:
         """Ends what the start of ``name`` ends in HTML."""
         ends, walls = IMPLIED.get(name, ((), ()))
-        if any(opened[e] for e in ends):
-            depth = len(stack)
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends:
-                    depth = k
-                elif stack[k][0] in walls:
-                    break
-            pop(depth)
-        if name in BLOCKS and opened["p"]:
+        if any(places[e] for e in ends):
+            wall = max((places[w][-1] for w in walls if places[w]), default=-1)
+            above = [places[e][k] for e in ends if (k := bisect_right(places[e], wall)) < len(places[e])]
+            if above:
+                pop(min(above))
+        if name in BLOCKS and places["p"]:
             k = len(stack) - 1
             while k >= 0 and stack[k][0] not in BLOCKS:
                 k -= 1
             if k >= 0 and stack[k][0] == "p":
                 pop(k)
-        if opened["head"] and name not in HEAD:
-            pop(next(k for k, e in enumerate(stack) if e[0] == "head"))
+        if places["head"] and name not in HEAD:
+            pop(places["head"][0])
 
     while at < size:
-        m = TOKEN.search(page, at)
-        text = page[at : m.start() if m else size]
+        tag = tags.next(at)
+        text = page[at : tag[0] if tag else size]
         if text and frames[frame]:
             words.append(text)
             if link:
                 linked += len(text.strip())
-        if not m:
+        if not tag:
             break
-        at = m.end()
-        name = (m[2] or "").lower()
+        _, at, slash, name, rest = tag
         if not name:
             continue
-        if m[1]:
-            if opened[name]:
-                k = len(stack) - 1
-                while stack[k][0] != name:
-                    k -= 1
-                pop(k)
+        if slash:
+            if places[name]:
+                pop(places[name][-1])
             elif name in BLOCKS:
                 close()
             if name == "a":
@@ -152,20 +199,20 @@ def stripped(page: str) -> list[tuple[str, int, bool, float]]:
             close()
         if name in VOID:
             continue
-        shut = m[3].endswith("/")
+        shut = rest.endswith("/")
         if name in RAW:  # its content is no markup
             if not shut:
                 end = regex.compile(rf"</{regex.escape(name)}\s*>", regex.I).search(page, at)
                 at = end.end() if end else size
             continue
-        weight = 1 if shut else chrome(name, m[3], opened["article"] + opened["main"] > 0)
+        weight = 1 if shut else chrome(name, rest, bool(places["article"] or places["main"]))
         if name == "a":
             link = True
-        if not shut and (weight < 1 or name in BLOCKS or opened[name]):
+        if not shut and (weight < 1 or name in BLOCKS or places[name]):
             if weight < 1:
                 close()
+            places[name].append(len(stack))
             stack.append((name, frame, link and name != "a"))
-            opened[name] += 1
             if weight < 1:
                 frames.append(min(weight, frames[frame] and 1))
                 frame = len(frames) - 1
@@ -186,32 +233,35 @@ def stripped(page: str) -> list[tuple[str, int, bool, float]]:
     return lines
 
 
-def between_surge_and_dive(lines: list[tuple[str, int, bool, float]]) -> list[str]:
+def between_surge_and_dive(lines: list[tuple[str, int, bool, float]], window: int = WINDOW) -> list[str]:
     """Non-empty lines from each surge of the distribution to its dive.
 
     Article and main elements only weigh lines: where they hold at least half of the unlinked text,
-    their lines surge at any length and lines outside need ``1 / OUTSIDE`` times the text; where they
-    hold less, as teasers and stubs do, all lines weigh the same.  A block does not reach across an
-    edge of such an element, and a run ends there.
+    their lines, linked or not, count INSIDE times and those outside OUTSIDE times; where they hold
+    less, as teasers and stubs do, all lines weigh the same.  There the empty lines between blocks
+    shrink to one, and a run of text goes back to its first line; elsewhere it begins with the block
+    that surges.  A block does not reach across an edge of such an element, and a run ends there.
     """
     plain = [0 if 2 * linked > len(text) else weight * len(text) for text, linked, _, weight in lines]
     held = sum(n for n, (_, _, inside, _) in zip(plain, lines, strict=True) if inside)
     marked = any(inside and text for text, _, inside, _ in lines) and 2 * held >= sum(plain)
-    if marked:
-        sizes = [SURGE * len(text) if inside else OUTSIDE * n for n, (text, _, inside, _) in zip(plain, lines, strict=True)]
-    else:
-        sizes = plain
-    keep, on, side = [], False, False
-    for i, (text, _, inside, _) in enumerate(lines):
-        block = sum(n for n, line in zip(sizes[i : i + WINDOW], lines[i : i + WINDOW], strict=True) if line[2] == inside)
-        if not block or inside != side:
-            on = False
-        side = inside
-        if sizes[i] and block >= SURGE:
-            on = True
-        if on and sizes[i]:
-            keep.append(text)
-    return keep
+    rows: list[tuple[str, float, bool]] = []
+    for n, (text, _, inside, _) in zip(plain, lines, strict=True):
+        within = marked and inside
+        if within and not text and rows and rows[-1][2] and not rows[-1][0]:
+            continue
+        rows.append((text, INSIDE * len(text) if within else OUTSIDE * n if marked else n, within))
+    blocks = [sum(n for _, n, side in rows[i : i + window] if side == rows[i][2]) for i in range(len(rows))]
+    surge = min(SURGE, max(blocks, default=0))
+    keep, run, on = [], [], False
+    for i, (text, n, within) in enumerate(rows):
+        if not blocks[i] or (i and within != rows[i - 1][2]):
+            keep += run if on else []
+            run, on = [], False
+        on = on or (n > 0 and blocks[i] >= surge)
+        if n and (on or within):
+            run.append(text)
+    return keep + (run if on else [])
 
 
 def extract(page: str | None) -> str:
@@ -221,13 +271,16 @@ def extract(page: str | None) -> str:
 def main_text(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages(page_id, url, html)``: page_id, url, text and n_chars.
 
-    Null or empty html gives an empty text; repeated rows each get their row; nothing is capped.  No shuffle.
+    Null or empty html gives an empty text; repeated rows, and null ids or urls, each get their row;
+    other columns are not read, whatever their names; an empty table gives none.  Pages of any length
+    are read whole, in time that grows with them; nothing is capped.  No shuffle.
     """
 
     def run(frames):
         for pdf in frames:
-            text = [extract(h) for h in pdf["html"]]
-            yield pd.DataFrame({"page_id": pdf["page_id"].to_numpy(), "url": pdf["url"].to_numpy(), "text": text})
+            part = pdf["html"].str.len().to_numpy().cumsum() // 2_000_000 if len(pdf) else np.zeros(0)
+            for _, some in pdf.groupby(part, sort=True):
+                yield pd.DataFrame({"page_id": some["page_id"], "url": some["url"], "text": [extract(h) for h in some["html"]]})
 
     out = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).mapInPandas(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -5,7 +5,9 @@ import math
 import random
 import re
 import textwrap
+import time
 import unicodedata
+from html.parser import HTMLParser
 
 import pytest
 import xxhash
@@ -263,6 +265,89 @@ def test_html_keeps_the_heading_and_a_page_without_head_end():
     assert html.extract(f"<head><title>T</title><body><article><div class='entry-header'><h1>Name</h1></div>{text}</article>").split("\n\n") == ["Name", *BODY]
 
 
+class PlainLines(HTMLParser):
+    """An independent reading of well-formed pages: (text, inside the article) of each block, None at what is no text."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.lines, self.words, self.skipped, self.inside = [], [], [], 0
+
+    def cut(self):
+        text = " ".join("".join(self.words).split())
+        self.lines += [(text, self.inside > 0)] if text else []
+        self.words = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html.VOID:
+            self.words.append(" " if tag == "br" else "")
+            return
+        named = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).lower()
+        parts = set(re.findall("[a-z]+", named))
+        gone = tag in html.DROPPED or (tag == "header" and not self.inside) or (tag not in ("html", "body", "main", "article") and parts & html.CHROME)
+        if tag in html.BLOCKS or gone:
+            self.cut()
+        if self.skipped or gone:
+            self.skipped.append(tag)
+        self.inside += tag in ("article", "main")
+
+    def handle_endtag(self, tag):
+        if tag in html.BLOCKS:
+            self.cut() if not self.skipped else self.words.clear()
+        self.inside -= tag in ("article", "main")
+        if self.skipped and tag in self.skipped:
+            while self.skipped.pop() != tag:
+                pass
+
+    def handle_data(self, data):
+        if not self.skipped:
+            self.words.append(data)
+
+
+def test_html_equals_a_plain_reading(spark):
+    """On pages whose article is whole and marked, the distribution keeps what a plain reading of the article gives."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    same = 0
+    for page in pages:
+        p = PlainLines()
+        p.feed(page)
+        p.close()
+        p.cut()
+        same += html.extract(page) == "\n\n".join(t for t, inside in p.lines if inside)
+    assert same == len(pages)
+
+
+def test_html_the_window_decides(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    one = ["\n\n".join(html.between_surge_and_dive(html.stripped(p), 1)) for p in pages]
+    assert sum(a != html.extract(p) for a, p in zip(one, pages, strict=True)) > len(pages) // 10
+    short = "<body><div>Short one.</div><div>Tiny.</div></body>"
+    assert html.extract(short) == "Short one.\n\nTiny."
+
+
+HOSTILE = {
+    "no end of tag": "<a b " * 200_000,
+    "hidden ends": '<a ">" ' * 150_000,
+    "open quotes": '<a "' * 250_000,
+    "open comments": "<!--" * 250_000,
+    "open cdata": "<![CDATA[>" * 100_000,
+    "deep": "<div>" * 200_000 + "x",
+    "items behind walls": "<li><ul>" + "<div>" * 100_000 + "<li></li>" * 50_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_html_hostile_pages_take_linear_time(name):
+    began = time.process_time()
+    html.extract(HOSTILE[name])
+    assert time.process_time() - began < 5
+
+
+def test_html_comment_articles():
+    text = "".join(f"<p>{t}</p>" for t in BODY)
+    got = html.extract(f"<main><article class='post'>{text}</article><article class='comment'><p>I think so too</p></article></main>")
+    assert got.split("\n\n") == BODY
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>äb</p></article>", 1), (2, None, None, 1)], "page_id long, url string, html string, n_chars int")
     assert [tuple(r) for r in html.main_text(pages).orderBy("page_id").collect()] == [(1, "u", "äb", 2), (2, None, "", 0)]
