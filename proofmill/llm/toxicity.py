@@ -2,6 +2,8 @@
 
 score = sigmoid(b + sum of weights + sum of dot products of the latent vectors of each pair of terms
 that a document has).  The pair part learns combinations that a sum of single weights misses.
+A term counts by how clearly its presence speaks for or against the label, so rare terms of the
+fitted rows do not drown the rest; how many terms a model has follows from the rows.
 """
 
 from __future__ import annotations
@@ -15,8 +17,10 @@ from pyspark.sql import functions as F
 
 from .near import chunks
 
-#: Hash space of terms; number of terms that the model keeps; length of the latent vectors.
-BUCKETS, TERMS, FACTORS = 1 << 20, 512, 4
+#: Hash space of terms; length of the latent vectors.
+BUCKETS, FACTORS = 1 << 20, 4
+#: z-score at which a term counts half, and how sharply its value rises there; a value under LEAST is 0.
+EVIDENCE, SHARPNESS, LEAST = 2.8, 10, 1e-4
 #: Bound on the labelled rows that the model is fitted on (the least by hash of doc_id).
 MAX_TRAIN = 16_000
 PREDICT_AT = 0.7
@@ -33,49 +37,53 @@ def bucket(term: str) -> int:
     return zlib.crc32(term.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
-def fit(rows: list[np.ndarray], toxic: np.ndarray, steps: int = 200, seed: int = 7) -> dict:
-    """The model: kept buckets, weights, latent vectors and bias.
+def fit(rows: list[np.ndarray], toxic: np.ndarray, steps: int = 100, seed: int = 7) -> dict:
+    """The model: buckets, weights, latent vectors and bias.
 
-    Kept are the buckets whose presence speaks most clearly for or against the label (z-score of the
-    two shares); the fit is full-batch gradient descent (Adam) on the logistic loss with L2.
+    A bucket's value in a row is z^s / (z^s + EVIDENCE^s), z the z-score of its two shares (shrunk where
+    they hardly differ).  Full-batch gradient descent (Adam) on the logistic loss with L2, over sparse rows.
     """
     toxic = np.asarray(toxic, dtype=np.float64)
     n, pos = len(rows), toxic.sum()
+    share = (pos + 1) / (n + 2)
+    prior = {"terms": np.zeros(0, np.int64), "w": np.zeros(0), "v": np.zeros((0, FACTORS)), "b": float(np.log(share / (1 - share)))}
     if not n or pos in (0, n):
-        share = (pos + 1) / (n + 2)
-        return {"terms": np.zeros(0, np.int64), "w": np.zeros(0), "v": np.zeros((0, FACTORS)), "b": float(np.log(share / (1 - share)))}
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        return prior
+    terms, col = np.unique(np.concatenate(rows), return_inverse=True)
     owner = np.repeat(np.arange(n), [len(r) for r in rows])
-    df = np.bincount(flat, minlength=BUCKETS)
-    hit = np.bincount(flat, weights=toxic[owner], minlength=BUCKETS)
+    df, hit = np.bincount(col), np.bincount(col, weights=toxic[owner])
     a, b = (hit + 0.5) / (pos + 1), (df - hit + 0.5) / (n - pos + 1)
-    z = np.abs(a - b) / np.sqrt(a * (1 - a) / pos + b * (1 - b) / (n - pos) + 1e-12) * (df >= 2)
-    lift = np.log(a / b)
-    z *= np.minimum(1.0, np.abs(lift))
-    terms = np.sort(np.argsort(-z, kind="stable")[:TERMS])
-    terms = terms[z[terms] > 1.5]
-    where = np.full(BUCKETS, -1)
-    where[terms] = np.arange(len(terms))
-    x = np.zeros((n, len(terms)), dtype=np.float32)
-    col = where[flat]
-    x[owner[col >= 0], col[col >= 0]] = 1.0
+    z = np.abs(a - b) / np.sqrt(a * (1 - a) / pos + b * (1 - b) / (n - pos) + 1e-12) * np.minimum(1.0, np.abs(np.log(a / b)))
+    value = 1 / (1 + (EVIDENCE / np.maximum(z, 1e-6)) ** SHARPNESS)
+    some = value >= LEAST
+    if not some.any():
+        return prior
+    terms, value, use = terms[some], value[some].astype(np.float32), some[col]
+    owner, col = owner[use], (np.cumsum(some) - 1)[col[use]]
+    x = value[col][:, None]
+    lines, first = np.unique(owner, return_index=True)
+    by = np.argsort(col, kind="stable")
+    owner_by, x_by, first_by = owner[by], x[by], np.r_[0, np.cumsum(np.bincount(col))[:-1]]
     # the rarer class counts up to BALANCE times, else few documents of a language could not lift a score
     importance = np.where(toxic == 1, min(BALANCE, (n - pos) / pos), 1.0)
     rng = np.random.default_rng(seed)
     p = {"w": np.zeros(len(terms)), "v": rng.normal(0, 0.05, (len(terms), FACTORS)), "b": np.array(np.log(pos / (n - pos)))}
     m, s = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
     for t in range(1, steps + 1):
-        v = p["v"].astype(np.float32)
-        xv = x @ v
-        y = p["b"] + x @ p["w"].astype(np.float32) + 0.5 * (xv**2 - x @ (v**2)).sum(axis=1)
-        err = (importance * (1 / (1 + np.exp(-np.clip(y, -30, 30))) - toxic)).astype(np.float32) / n
-        xe = x.T @ err
-        grad = {"w": xe + 2e-5 * p["w"], "v": x.T @ (err[:, None] * xv) - p["v"] * xe[:, None] + 2e-5 * p["v"], "b": err.sum()}
+        each = np.concatenate([p["w"][:, None], p["v"]], axis=1).astype(np.float32)[col] * x
+        sums, squares = np.zeros((n, FACTORS + 1)), np.zeros(n)
+        sums[lines] = np.add.reduceat(each, first, axis=0)
+        squares[lines] = np.add.reduceat((each[:, 1:] ** 2).sum(axis=1), first)
+        y = p["b"] + sums[:, 0] + 0.5 * ((sums[:, 1:] ** 2).sum(axis=1) - squares)
+        err = importance * (1 / (1 + np.exp(-np.clip(y, -30, 30))) - toxic) / n
+        back = np.concatenate([err[:, None], err[:, None] * sums[:, 1:]], axis=1).astype(np.float32)[owner_by] * x_by
+        back = np.add.reduceat(back, first_by, axis=0)
+        grad = {"w": back[:, 0] + 2e-5 * p["w"], "v": back[:, 1:] - p["v"] * (back[:, 0] * value)[:, None] + 2e-5 * p["v"], "b": err.sum()}
         for k in p:
             m[k] = 0.9 * m[k] + 0.1 * grad[k]
             s[k] = 0.999 * s[k] + 0.001 * grad[k] ** 2
             p[k] = p[k] - 0.05 * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-8)
-    return {"terms": terms, "w": p["w"], "v": p["v"], "b": float(p["b"])}
+    return {"terms": terms, "w": p["w"] * value, "v": p["v"] * value[:, None], "b": float(p["b"])}
 
 
 def score(model: dict, texts: list[str]) -> np.ndarray:
@@ -101,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 1, max_train: int = MA
     """Fits on at most ``max_train`` labelled rows outside the held-out fold; the bound keeps the
     id list broadcastable and the sparse rows small enough for one task."""
     rows = labels.where(f"doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 3 <> {fold}").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    rows = rows.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
 
     def hashed(frames):
         for pdf in chunks(frames):
@@ -122,10 +130,13 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 1, max_train: int = MA
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, fold: int = 1) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: held_out, score and predicted (score >= 0.7).
+    """One row per row of ``docs(doc_id, text)``: held_out, score and predicted (score >= 0.7, so a tie counts).
 
-    Only text enters a score.  Null or empty text gets the score of no term; without labels every
-    score is the prior; a null doc_id is not held out.
+    Only text enters a score, and equal texts have equal scores.  Null or empty text gets the score of
+    no term; without labels, or with one class only, every score is the prior; a null doc_id is not
+    held out; labels that repeat a doc_id count once, toxic if any says so; rows that repeat a doc_id
+    each get their row.  Other columns are not read; an empty table gives none.  Texts may be of any
+    length: a run of rows is cut at about two million characters, a longer text stands alone.
     """
     model = train(docs, labels, fold)
 
