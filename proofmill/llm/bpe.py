@@ -4,12 +4,14 @@
 and, round by round, merges in every sequence its lowest-ranked pair at all its places.
 ``WordEncoder`` (encoding and decoding) holds for each short word its parts and the ranks of
 neighbouring parts in contiguous arrays, and deletes one boundary of a word at a time.
-Both keep bounded dictionaries of words met before; those only save time.
+Both keep bounded dictionaries of words met before; those only save time.  A word of more than LONG
+bytes, as scripts without spaces or noise make them, is merged with a heap in n log n steps.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -24,9 +26,36 @@ from pyspark.sql import functions as F
 #: The published pre-token patterns of the two vocabulary files.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Code points that the library's Unicode 16 tables hold to be neither letter nor number, though later tables do.
+LATER = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 "
+    "1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 "
+    "1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+#: Capitals of the library's tables that Unicode 15.1 lacks, with how far their small letters stand from them.
+CAPITALS = "1C89+1 A7CB-A567 A7CC+1 A7CE+1 A7D2+1 A7D4+1 A7DA+1 A7DC-A641 " + " ".join([f"{c:X}+20" for c in range(0x10D50, 0x10D66)] + [f"{c:X}+1B" for c in range(0x16EA0, 0x16EB9)])
 #: Words remembered by one Python worker; beyond it the memory starts anew.
 MEMORY = 400_000
 NONE = np.iinfo(np.int32).max
+#: Bytes from which a word is merged with a heap.
+LONG = 512
+
+
+def spans(text: str) -> list[tuple[int, int]]:
+    return [(int(a, 16), int(b or a, 16)) for a, _, b in (r.partition("-") for r in text.split())]
+
+
+_LATER = "[" + "".join(rf"\U{a:08X}-\U{b:08X}" for a, b in spans(LATER)) + "]"
+_SMALL = {int(a, 16): int(a, 16) + int(step, 16) for a, step in (regex.match(r"([0-9A-F]+)(.+)", c).groups() for c in CAPITALS.split())}
+ODD = frozenset(chr(c) for a, b in spans(LATER) for c in range(a, b + 1)) | frozenset(map(chr, _SMALL))
+
+
+def pinned(pattern: str):
+    """Cuts by ``pattern`` with letters and numbers as the library's tables have them; the plain pattern where a text has none that differ."""
+    letters, numbers = rf"[\p{{L}}--{_LATER}]", rf"[\p{{N}}--{_LATER}]"
+    exact = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{letters}{numbers}]").replace(r"[\p{L}]", letters).replace(r"[\p{N}]", numbers).replace(r"\p{L}", letters).replace(r"\p{N}", numbers)
+    plain, exact = regex.compile(pattern).findall, regex.compile("(?V1)" + exact).findall
+    return lambda text: plain(text) if text.isascii() or ODD.isdisjoint(text) else exact(text)
 
 
 def byte_letters() -> list[str]:
@@ -94,12 +123,45 @@ class PairTable:
         return out
 
 
+class HeapMerger:
+    """Merges one word of any length: the least rank of a heap, the leftmost of equal ones, over a linked list of parts."""
+
+    def __init__(self, spec: dict):
+        vocab = spec["model"]["vocab"]
+        self.merges = {}
+        for rank, m in enumerate(spec["model"]["merges"]):
+            a, b = m if isinstance(m, list) else m.split(" ")
+            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+
+    def parts(self, ids: list[int]) -> list[int]:
+        part, n, get = list(ids), len(ids), self.merges.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(m[0], i, part[i], part[i + 1]) for i in range(n - 1) if (m := get((part[i], part[i + 1])))]
+        heapq.heapify(heap)
+        while heap:
+            _, i, left, right = heapq.heappop(heap)
+            j = after[i]
+            if part[i] != left or j >= n or part[j] != right:
+                continue  # a part of this pair has changed since
+            part[i], part[j] = get((left, right))[1], -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if m := get((part[i], part[k])):
+                    heapq.heappush(heap, (m[0], i, part[i], part[k]))
+            h = before[i]
+            if h >= 0 and (m := get((part[h], part[i]))):
+                heapq.heappush(heap, (m[0], h, part[h], part[i]))
+        return [p for p in part if p >= 0]
+
+
 class RankSynchronousCounter:
     def __init__(self, path: str):
         spec = vocabulary(path)
         vocab = spec["model"]["vocab"]
         self.special, self.pairs = specials(spec), PairTable(spec)
-        self.cut, self.find = splitter(self.special), regex.compile(BYTE_LEVEL).findall
+        self.cut, self.find = splitter(self.special), pinned(BYTE_LEVEL)
+        self.long = HeapMerger(spec)
         self.first = np.array([vocab[c] for c in byte_letters()], dtype=np.int32)
         self.known: dict[str, int] = {}
 
@@ -146,10 +208,14 @@ class RankSynchronousCounter:
                     found += self.find(p)
             parts.append(found)
             fixed.append(marks)
-        new = list({w for p in parts for w in p} - self.known.keys())
+        new = {w for p in parts for w in p} - self.known.keys()
         if len(self.known) + len(new) > MEMORY:
             self.known = {}
-            new = list({w for p in parts for w in p})
+            new = {w for p in parts for w in p}
+        large = [w for w in new if len(w) > LONG]
+        for w in large:
+            self.known[w] = len(self.long.parts(self.first[np.frombuffer(w.encode("utf-8", "surrogatepass"), dtype=np.uint8)].tolist()))
+        new = list(new.difference(large))
         for i in range(0, len(new), 50_000):
             block = new[i : i + 50_000]
             self.known.update(zip(block, self.symbols_left(block).tolist(), strict=True))
@@ -167,7 +233,8 @@ class WordEncoder:
         spec = vocabulary(path)
         vocab, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"] or ""
         self.special, self.pairs = specials(spec), PairTable(spec)
-        self.cut, self.find = splitter(self.special), regex.compile(WORD_LEVEL).findall
+        self.cut, self.find = splitter(self.special), pinned(WORD_LEVEL)
+        self.long = HeapMerger(spec)
         letters = byte_letters()
         self.inner = np.array([vocab[c] for c in letters], dtype=np.int32)
         self.last = np.array([vocab[c + end] for c in letters], dtype=np.int32)
@@ -227,6 +294,13 @@ class WordEncoder:
         out: list = [None] * len(words)
         said = self.said
         for length, which in by.items():
+            if length > LONG:
+                for i in which:
+                    raw_ids = self.inner[np.frombuffer(raw[i], dtype=np.uint8)].tolist()
+                    raw_ids[-1] = int(self.last[raw[i][-1]])
+                    ids = self.long.parts(raw_ids)
+                    out[i] = (len(ids), " ".join(map(str, ids)), " ".join([said[t] for t in ids]))
+                continue
             step = max(1, 20_000 * self.SHORT // max(length, self.SHORT))
             for k in range(0, len(which), step):
                 own = which[k : k + step]
@@ -240,7 +314,8 @@ class WordEncoder:
         """Composed form, then lower case letter by letter (a final sigma has no form of its own here)."""
         if text.isascii():
             return text.lower()
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        small = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return small if ODD.isdisjoint(small) else small.translate(_SMALL)
 
     def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Of each whole text: number of tokens, ids joined by one space, decoded text."""
@@ -292,9 +367,11 @@ def text_chunks(frames: Iterator[pd.DataFrame], chars: int = 2_000_000) -> Itera
 
 
 def token_counts(docs: DataFrame, vocab_path: str, limit: int = 512) -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: n_bytes, n_tokens and over_limit (n_tokens > limit).
+    """Per row of ``docs(doc_id, text)``: n_bytes, n_tokens and over_limit (n_tokens > limit, so a tie is not over).
 
-    A null text counts as empty; equal rows give equal rows; other columns are ignored.  The
+    A null text counts as empty; equal rows give equal rows, null and repeated doc_ids each theirs;
+    other columns are not read; an empty table gives none.  Texts and words may be of any length: runs
+    of rows are cut at about two million characters, a longer text stands alone and whole.  The
     vocabulary file is read by path in each Python worker.  No shuffle.
     """
 
@@ -312,8 +389,10 @@ def encode_decode(docs: DataFrame, vocab_path: str, keep_text: bool = False) ->
     """Per row of ``docs(doc_id, text)``: n_tokens, digests of the ids and of the decoded text, and
     with ``keep_text`` the ids (array) and the decoded text themselves.
 
-    A null text counts as empty (no tokens, empty decoded text).  Decoding joins the token strings
-    by one space, as this vocabulary has no decoder.  No shuffle.
+    A null text counts as empty (no tokens, empty decoded text); null and repeated doc_ids each get
+    their row; other columns are not read; an empty table gives none.  Texts and words may be of any
+    length, as in ``token_counts``.  Decoding joins the token strings by one space, as this vocabulary
+    has no decoder.  No shuffle.
     """
 
     def sha(s: str) -> str:

@@ -228,6 +228,25 @@ def library(name):
     return Tokenizer.from_file(vocabulary_path(name))
 
 
+def test_every_code_point_as_the_library_has_it():
+    xs = [f"a{chr(c)}b{chr(c)}1" for c in [*range(0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xE0200), 0x10FFFF]]
+    for name, own in (("byte_bpe_50k.json", lambda p: bpe.RankSynchronousCounter(p).count(xs)), ("word_bpe_49k.json", lambda p: [g[1] for g in bpe.WordEncoder(p).encode(xs)])):
+        want = [e.ids for e in library(name).encode_batch(xs, add_special_tokens=False)]
+        want = [len(w) for w in want] if name.startswith("byte") else [" ".join(map(str, w)) for w in want]
+        got = own(vocabulary_path(name))
+        assert [hex(ord(x[1])) for x, a, b in zip(xs, got, want, strict=True) if a != b] == []
+
+
+def test_long_words():
+    """Words without a space of 40,000 bytes and more: equal to the library, in a second or two."""
+    words = ["".join(rnd.choices("abcdefgh", k=40_000)), "ab" * 40_000, "漢字仮名交" * 8_000, "z" * 513]
+    for name, own in (("byte_bpe_50k.json", lambda p: bpe.RankSynchronousCounter(p).count(words)), ("word_bpe_49k.json", lambda p: [g[0] for g in bpe.WordEncoder(p).encode(words)])):
+        began = time.process_time()
+        got = own(vocabulary_path(name))
+        assert got == [len(library(name).encode(x, add_special_tokens=False).ids) for x in words]
+        assert time.process_time() - began < 20
+
+
 def test_token_counts(docs, empty):
     t, path = library("byte_bpe_50k.json"), vocabulary_path("byte_bpe_50k.json")
     assert bpe.RankSynchronousCounter(path).count(STRANGE) == [len(t.encode(x, add_special_tokens=False).ids) for x in STRANGE]
