@@ -7,7 +7,9 @@ licences and of ordinary text; what is no ordinary text and whose best family st
 threshold is unknown, and a family counts only if enough of its template's word pairs are there.
 Probabilities and thresholds are calibrated on labelled rows held out of the fit.  Fitting is MLlib's
 LogisticRegression on template sentences and a bounded sample of corpus paragraphs; scanning joins
-n-grams with the weight table, whose size the templates fix.  No Python runs on the executors.
+n-grams with the weight table, whose size the templates fix.  An n-gram is a 64-bit name, a hash of
+its words' hashes, from the start; one that no template has carries no weight.  No Python runs on the
+executors.
 """
 
 from __future__ import annotations
@@ -27,11 +29,14 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "Apache License Version 2.0, January 2004",
+        "SPDX-License-Identifier: Apache-2.0",
     ),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Use of this source code is governed by a BSD-style license.",
         "Released under the BSD 3-Clause License.",
+        "SPDX-License-Identifier: BSD-3-Clause",
+        "SPDX-License-Identifier: BSD-2-Clause",
     ),
     "cc": (
         "Licensed under CC BY-NC 4.0.",
@@ -43,21 +48,34 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
         "Licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+    ),
+    "isc": (
+        "ISC License",
+        "Licensed under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
     ),
     "mit": (
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
         "Licensed under the MIT License.",
+        "The MIT License (MIT)",
+        "SPDX-License-Identifier: MIT",
     ),
     "mpl-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
+        "SPDX-License-Identifier: MPL-2.0",
     ),
     "reserved": ("All rights reserved.", "Copyright. All rights reserved."),
 }
 #: How licences of no family above speak.
 OTHERS = (
-    "Permission to use, copy, modify and distribute this software for any purpose with or without fee is hereby granted.",
+    "Everyone may use this software for any purpose, as long as its origin is named and this permission stays with it.",
     "This software is provided as is, without any express or implied warranty of any kind.",
     "Permission is granted to anyone to use this software for any purpose, and to alter it and redistribute it freely.",
     "This work is distributed under the terms and conditions of the following license agreement.",
@@ -86,15 +104,21 @@ def paragraph_words(line: Column) -> Column:
     return F.array_remove(words, "")
 
 
-def with_grams(rows: DataFrame) -> DataFrame:
-    """Adds grams: single words of more than three letters and all pairs of neighbours, distinct.
+def named(words: Column) -> Column:
+    """Of each word its hash, and whether it stands as an n-gram of its own."""
+    return F.transform(words, lambda w: F.struct(F.xxhash64(w).alias("h"), (F.length(w) > 3).alias("own")))
+
+
+def with_grams(rows: DataFrame, keep=None) -> DataFrame:
+    """Adds x, the named words of line, and grams: names of single words of more than three letters and of all pairs of neighbours, distinct.
 
-    The words are a column of their own first, as the pairs look them up by place.
+    With ``keep``, a test on names, only those it lets through.
     """
-    rows = rows.withColumn("_w", paragraph_words(F.col("line")))
-    single = F.filter("_w", lambda w: F.length(w) > 3)
-    pairs = F.transform(F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get("_w", i + 1)))
-    return rows.withColumn("grams", F.array_distinct(F.concat(single, pairs))).drop("_w")
+    rows = rows.withColumn("x", named(paragraph_words(F.col("line"))))
+    keep = keep or (lambda h: F.lit(True))
+    single = F.transform(F.filter("x", lambda v: v["own"] & keep(v["h"])), lambda v: v["h"])
+    pairs = F.transform(F.slice("x", 1, F.greatest(F.size("x") - 1, F.lit(0))), lambda v, i: F.xxhash64(v["h"], F.get("x", i + 1)["h"]))
+    return rows.withColumn("grams", F.array_distinct(F.concat(single, F.filter(pairs, keep))))
 
 
 def template_rows(spark) -> DataFrame:
@@ -139,34 +163,35 @@ def calibrated(held: list[tuple[str, list[float]]], names: list[str]) -> tuple[f
 
 
 def fit(docs: DataFrame, max_ordinary: int = MAX_ORDINARY) -> tuple[DataFrame, dict[str, float], tuple[float, float]]:
-    """Weights (gram, gid, weights by class), intercepts, and the least probabilities of a family and of any licence.
+    """Weights (gram, weights by class), intercepts, and the least probabilities of a family and of any licence.
 
-    Ordinary text is the ``max_ordinary`` least lines by hash that share no three word pairs with
-    a template, alone and several together.  Each template also appears with words around it, so the
+    Ordinary text is the ``max_ordinary`` least lines by hash that share no three n-grams with
+    a template, nor more than half of their own, alone and several together.  Each template also appears with words around it, so the
     fit sees longer paragraphs.  Held out for calibration are a part of the ordinary lines and the
     first and last two thirds of the words of each template.
     """
     spark = docs.sparkSession
     every = template_rows(spark)
     known = with_grams(every).select("family", "grams")
-    vocabulary = F.array(*[F.lit(g) for g in sorted({g for r in known.where(F.col("family") != UNKNOWN).collect() for g in r["grams"]})])
+    vocabulary = F.array(*[F.lit(g).cast("long") for g in sorted({g for r in known.where(F.col("family") != UNKNOWN).collect() for g in r["grams"]})])
     # the least hashes first, 8 bytes a line; only the chosen lines move as text
     least = paragraph_lines(docs).select(F.xxhash64("line").alias("h")).distinct().orderBy("h").limit(max_ordinary)
     ordinary = paragraph_lines(docs).select("line", F.xxhash64("line").alias("h")).join(F.broadcast(least), "h").dropDuplicates(["h"])
-    ordinary = opaque(with_grams(ordinary).select("h", F.lit(NONE).alias("family"), "grams", F.size(F.array_intersect("grams", vocabulary)).alias("shared"))).where("shared < 3").drop("shared").cache()
+    ordinary = opaque(with_grams(ordinary).select("h", F.lit(NONE).alias("family"), "grams", F.size(F.array_intersect("grams", vocabulary)).alias("shared"))).where("shared < 3 and 2 * shared <= size(grams)").drop("shared").cache()
     held = F.pmod("h", F.lit(HELD_OUT)) == 0
     together = lambda rows: rows.groupBy("family", F.pmod("h", F.lit(max(1, max_ordinary // WINDOW))).alias("_g")).agg(F.array_distinct(F.flatten(F.collect_list("grams"))).alias("grams")).drop("_g")
     plain = ordinary.where(~held)
-    padded = known.select("family", F.concat("grams", F.array(F.lit("ordinary"), F.lit("words"), F.lit("beside"))).alias("grams"))
-    train = known.union(padded).union(plain.drop("h")).union(together(plain))
+    padded = known.select("family", F.concat("grams", F.array(*[F.xxhash64(F.lit(w)) for w in ("ordinary", "words", "beside")])).alias("grams"))
+    text = F.transform("grams", lambda g: g.cast("string")).alias("grams")
+    train = known.union(padded).union(plain.drop("h")).union(together(plain)).select("family", text)
     names = [NONE, UNKNOWN, *sorted(TEMPLATES)]
     label = F.coalesce(*[F.when(F.col("family") == n, F.lit(float(i))) for i, n in enumerate(names)])
-    words = CountVectorizer(inputCol="grams", outputCol="features", minDF=1.0, vocabSize=20_000, binary=True).fit(known)
+    words = CountVectorizer(inputCol="grams", outputCol="features", minDF=1.0, vocabSize=20_000, binary=True).fit(known.select("family", text))
     rows = words.transform(train.withColumn("label", label).withColumn("weight", F.when(F.col("family") == NONE, 1.0).otherwise(20.0))).select("label", "weight", "features").coalesce(1).cache()
     model = LogisticRegression(family="multinomial", weightCol="weight", regParam=0.002, maxIter=60).fit(rows)
     rows.unpersist()
     matrix, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
-    place = {g: j for j, g in enumerate(words.vocabulary)}
+    place = {int(g): j for j, g in enumerate(words.vocabulary)}
     cut = F.split("line", " ")
     part = F.greatest(F.lit(2), F.ceil(F.size(cut) * 2 / 3).cast("int"))
     parts = every.select("family", F.explode_outer(F.array(F.slice(cut, 1, part), F.slice(cut, F.greatest(F.lit(1), F.size(cut) - part + 1), part))).alias("_p")).select("family", F.array_join("_p", " ").alias("line"))
@@ -175,8 +200,8 @@ def fit(docs: DataFrame, max_ordinary: int = MAX_ORDINARY) -> tuple[DataFrame, d
     ordinary.unpersist()
     logits = [(r["family"], [float(bias[k]) + sum(float(matrix[k, place[g]]) for g in set(r["grams"]) if g in place) for k in range(len(names))]) for r in rows]
     heat, family, licence = calibrated(logits, names)
-    table = [(g, j, [round(float(matrix[k, j]) / heat, 6) for k in range(len(names))]) for g, j in place.items()]
-    return spark.createDataFrame(table, "gram string, gid int, w array<double>").coalesce(1), {n: round(float(b) / heat, 6) for n, b in zip(names, bias, strict=True)}, (family, licence)
+    table = [(g, [round(float(matrix[k, j]) / heat, 6) for k in range(len(names))]) for g, j in place.items()]
+    return spark.createDataFrame(table, "gram long, w array<double>").coalesce(1), {n: round(float(b) / heat, 6) for n, b in zip(names, bias, strict=True)}, (family, licence)
 
 
 def license_scan(docs: DataFrame, min_probability: float | None = None, min_coverage: float = MIN_COVERAGE) -> DataFrame:
@@ -184,7 +209,10 @@ def license_scan(docs: DataFrame, min_probability: float | None = None, min_cove
 
     n_licensed counts paragraphs of a confirmed family, n_unconfirmed others of a probable family that no
     template confirms, n_unknown others that are licences of no probable family.  ``min_probability``
-    of a family is the calibrated one unless given.  Null text has no paragraph.
+    of a family is the calibrated one unless given.  Null or empty text has no paragraph; rows that
+    repeat a doc_id, or have none, each get their row; other columns are not read; an empty table gives
+    none.  A text of any length is cut into lines and runs; what is gathered for a run are its n-grams
+    that templates have, so at most the weight table for each of its lines.
     """
     spark = docs.sparkSession
     weights, bias, (family, licence) = fit(docs)
@@ -193,28 +221,29 @@ def license_scan(docs: DataFrame, min_probability: float | None = None, min_cove
     pairs = with_grams(template_rows(spark).where(F.col("family") != UNKNOWN)).select("family", "variant", F.size("grams").alias("need"), F.explode_outer("grams").alias("gram"))
     # which templates a gram belongs to, beside its weights; one small row a gram
     belongs = pairs.groupBy("gram").agg(F.collect_list(F.struct("family", "variant", "need")).alias("of"))
-    lookup = weights.join(belongs, "gram", "left").drop("gram")
-    maybe = hash_filter(weights.select(F.xxhash64("gram").alias("h")), 1024)
+    lookup = weights.join(belongs, "gram", "left")
+    maybe = hash_filter(weights.select(F.col("gram").alias("h")), 1024)
     # the pair across a line's end belongs to windows only
     first = F.rtrim(F.get(F.array_remove(F.split(F.lower("next"), WORD, 3), ""), 0), F.lit(".-"))
-    rows = with_grams(paragraph_lines(docs).withColumn("_last", F.element_at(F.concat(F.array(F.lit("")), paragraph_words(F.substring_index("line", " ", -2))), -1)).withColumn("_cross", F.concat_ws(" ", "_last", first)))
-    grams = F.concat(F.transform(F.filter("grams", lambda g: maybe(F.xxhash64(g))), lambda g: F.struct(g.alias("gram"), F.lit(False).alias("cross"))), F.when(maybe(F.xxhash64("_cross")), F.array(F.struct(F.col("_cross").alias("gram"), F.lit(True).alias("cross")))).otherwise(F.array().cast("array<struct<gram:string,cross:boolean>>")))
-    each = rows.select("doc_id", "key", "run", "at", "n", F.explode_outer(grams).alias("g")).select("doc_id", "key", "run", "at", "n", "g.*")
-    met = each.join(F.broadcast(weights.select("gram", "gid")), "gram").drop("gram").repartition("doc_id", "key", "run")
+    rows = with_grams(paragraph_lines(docs), maybe).withColumn("over", F.xxhash64(F.try_element_at("x", F.lit(-1))["h"], F.xxhash64(first)))
+    gram = lambda g, cross: F.struct(g.alias("gram"), F.lit(cross).alias("cross"))
+    over = F.filter(F.array(F.when(first.isNotNull() & (F.size("x") > 0), F.col("over"))), lambda g: g.isNotNull() & maybe(g))
+    grams = F.concat(F.transform("grams", lambda g: gram(g, False)), F.transform(over, lambda g: gram(g, True)))
+    each = rows.select("doc_id", "key", "run", "at", "n", F.explode(grams).alias("g")).select("doc_id", "key", "run", "at", "n", "g.*")
+    met = each.join(F.broadcast(weights.select("gram")), "gram", "left_semi").repartition("doc_id", "key", "run")
     # a line is unit at, window w (lines from STEP * w) is unit -1 - w; a run of one line has no window
     none = F.array().cast("array<int>")
     w = F.floor(F.col("at") / STEP).cast("int")
     windows = F.when(F.col("n") > 1, F.filter(F.array(*[-1 - w + k for k in range(WINDOW // STEP)]), lambda u: u < 0)).otherwise(none)
     units = F.concat(F.when(F.col("cross"), none).otherwise(F.array("at")), windows)
-    met = met.select("doc_id", "key", "run", F.explode_outer(units).alias("unit"), "gid").where("unit is not null").distinct().join(F.broadcast(lookup), "gid")
+    met = met.select("doc_id", "key", "run", F.explode_outer(units).alias("unit"), "gram").where("unit is not null").distinct().join(F.broadcast(lookup), "gram")
     sums = [F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(len(names))]
     unit = met.groupBy("doc_id", "key", "run", "unit").agg(*sums, F.flatten(F.collect_list("of")).alias("of"))
-    logits = [F.col(f"s{i}") + F.lit(bias[n]) for i, n in enumerate(names)]
-    unit = unit.withColumn("_top", F.greatest(*logits))
-    chances = [F.exp(x - F.col("_top")) for x in logits]
-    total = sum(chances[1:], chances[0])
-    best = F.greatest(*[F.struct((e / total).alias("p"), F.lit(n).alias("family")) for e, n in zip(chances[2:], names[2:], strict=True)])
-    unit = unit.withColumn("best", best).withColumn("licence", 1 - chances[0] / total).where((F.col("best.p") >= least) | (F.col("licence") > licence))
+    unit = unit.withColumn("logits", F.array(*[F.col(f"s{i}") + F.lit(bias[n]) for i, n in enumerate(names)])).drop(*[f"s{i}" for i in range(len(names))])
+    unit = unit.withColumn("e", F.transform("logits", lambda x: F.exp(x - F.array_max("logits")))).withColumn("total", F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x))
+    families = F.array(*map(F.lit, names))
+    best = F.array_max(F.transform(F.slice("e", 3, len(names) - 2), lambda x, i: F.struct((x / F.col("total")).alias("p"), F.get(families, i + 2).alias("family"))))
+    unit = unit.withColumn("best", best).withColumn("licence", 1 - F.get("e", 0) / F.col("total")).where((F.col("best.p") >= least) | (F.col("licence") > licence))
     mine = F.filter("of", lambda t: t["family"] == F.col("best.family"))
     cover = F.array_max(F.transform(F.array_distinct(mine), lambda v: F.size(F.filter(mine, lambda t: t == v)) / v["need"]))
     probable = F.col("best.p") >= least

@@ -12,6 +12,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -461,6 +462,72 @@ def test_license(docs, empty):
     assert license.license_scan(empty).count() == 0
 
 
+def license_words(line):
+    return [w for w in (x.rstrip(".-") for x in regex.split(license.WORD, line.lower())) if w]
+
+
+def test_license_equals_plain_python(spark):
+    """The scan of real lines, given the fitted weights, against loops over runs, lines and windows."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").union(spark.createDataFrame(ROWS, "doc_id long, text string, k string").selectExpr("doc_id + 100000", "text", "k", "k", "doc_id")).cache()
+    table, bias, (family, licence) = license.fit(docs)
+    weight, names = {r["gram"]: r["w"] for r in table.collect()}, list(bias)
+    name = lambda w: xxhash.xxh64_intdigest(w.encode(), 42)
+    pair = lambda a, b: signed(xxhash.xxh64_intdigest(name(b).to_bytes(8, "little"), xxhash.xxh64_intdigest(name(a).to_bytes(8, "little"), 42)))
+
+    def grams(ws):
+        return {signed(name(w)) for w in ws if len(w) > 3} | {pair(a, b) for a, b in itertools.pairwise(ws)}
+
+    templates = [(f, grams(license_words(t))) for f, ts in license.TEMPLATES.items() for t in ts]
+
+    def verdict(found):
+        found = found & weight.keys()
+        if not found:
+            return None
+        logits = [bias[n] + sum(weight[g][k] for g in found) for k, n in enumerate(names)]
+        e = [math.exp(x - max(logits)) for x in logits]
+        p, best = max((x / sum(e), n) for x, n in zip(e[2:], names[2:], strict=True))
+        if p >= family:
+            cover = max(len(t & found) / len(t) for f, t in templates if f == best)
+            return best if cover >= license.MIN_COVERAGE else "unconfirmed"
+        return "unknown" if 1 - e[0] / sum(e) > licence else None
+
+    got = by_id(license.license_scan(docs))
+    met = set()
+    for r in docs.collect():
+        counts, families = {"yes": 0, "unconfirmed": 0, "unknown": 0}, set()
+        runs = re.split("\n[\t-\r ]*\n", r["text"] or "")
+        for run in runs:
+            ls = [license_words(x) for x in run.split("\n")]
+            units = [grams(ws) for ws in ls]
+            for lo in range(0, len(ls), license.STEP) if len(ls) > 1 else ():
+                part = ls[lo : lo + license.WINDOW]
+                after = ls[lo + len(part)] if lo + len(part) < len(ls) else []
+                joins = {pair(a[-1], b[0]) for a, b in zip(part, [*part[1:], after], strict=True) if a and b}
+                units.append(set().union(*map(grams, part)) | joins)
+            said = {verdict(u) for u in units} - {None}
+            sure = said - {"unconfirmed", "unknown"}
+            families |= sure
+            if said:
+                counts["yes" if sure else "unconfirmed" if "unconfirmed" in said else "unknown"] += 1
+        n = sum(bool(plain_words(x)) for x in runs)
+        g = got[r["doc_id"]]
+        assert (g["n_paragraphs"], g["n_licensed"], g["n_unconfirmed"], g["n_unknown"], g["families"]) == (n, *counts.values(), sorted(families)), r["doc_id"]
+        met |= families
+    assert len(met) >= 4
+
+
+def test_license_real_wordings(spark):
+    said = {
+        "mit": ["SPDX-License-Identifier: MIT", "The MIT License (MIT)\n\nCopyright (c) 2020 Somebody"],
+        "isc": ["ISC License", "SPDX-License-Identifier: ISC"],
+        "gpl": ["// SPDX-License-Identifier: GPL-2.0-only", "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version."],
+        "bsd": ["Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n1. Redistributions of source code must retain the above copyright\n   notice, this list of conditions and the following disclaimer."],
+    }
+    rows = [(f, prose(30) + "\n\n" + t) for f, ts in said.items() for t in ts]
+    got = by_id(license.license_scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")))
+    assert [got[i]["families"] for i in range(len(rows))] == [[f] for f, _ in rows]
+
+
 def test_license_families(spark):
     rows = [(i, prose(30) + "\n" + t) for i, t in enumerate(ts[0] for ts in license.TEMPLATES.values())]
     got = by_id(license.license_scan(spark.createDataFrame(rows, "doc_id long, text string")))
