@@ -19,8 +19,9 @@ from .common import hash_filter, same, text_of, written
 WINDOW = 13
 #: Words in a shingle; shorter items use shingles as long as they are.
 SHINGLE = 3
-#: 64-bit words of the bit table that thins document shingles before the exact join; its size is fixed.
-BITS = 4096
+#: 64-bit words of the bit table that thins document shingles before the exact join: one for PER benchmark
+#: shingles (16 bits each, so one in 16 others passes), between LEAST and MOST; beyond MOST more pass, to the same join.
+PER, LEAST, MOST = 4, 4096, 1 << 18
 #: Fixed value: every ASCII character that is neither digit nor letter separates words.
 _SEPARATE = "[\\x00-/:-@\\[-`{-\\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -55,8 +56,12 @@ def windows_of(bench: DataFrame, window: int = WINDOW) -> DataFrame:
 def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: n_words, n_hit, n_items, items (sorted ids as text), contaminated.
 
-    A document is contaminated when n_hit > 0 and 20 * n_hit >= n_words.  Null text has no words, an
-    empty benchmark hits nothing, null item ids are ignored, repeated rows each get their row.
+    A document is contaminated when n_hit > 0 and 20 * n_hit >= n_words, a tie included.  Null or empty
+    text has no words, an empty benchmark hits nothing, null item ids and texts without words are
+    ignored, items of equal text are hit together.  Rows that repeat a doc_id, or have none, each get
+    their row, judged by their own text; other columns of either table are not read; an empty table
+    gives none.  A text of any length is one row of a task; what it shares with the benchmark is its
+    places there, at most one for each window and word.
     """
     windows = written(windows_of(bench.where("item_id is not null").select("item_id", "text"), window), "windows")
     sizes = sorted({min(r["len"], SHINGLE) for r in windows.select("len").distinct().collect()})
@@ -67,7 +72,7 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Da
         return _finish(base, hits)
     bench_sh = reduce(DataFrame.union, [windows.where(F.least("len", F.lit(SHINGLE)) == k).select("win", "len", F.posexplode_outer(shingles(F.col("words"), k)).alias("off", "sh"), F.lit(k).alias("k")) for k in sizes])
     vocab = written(bench_sh.select("k", "sh").distinct(), "shingles")
-    met_maybe = hash_filter(vocab.select(F.col("sh").alias("h")), BITS)
+    met_maybe = hash_filter(vocab.select(F.col("sh").alias("h")), min(MOST, max(LEAST, vocab.count() // PER)))
     maybe = lambda p: met_maybe(p["sh"])
 
     # one pass over the documents: the places where a shingle of the benchmark stands
