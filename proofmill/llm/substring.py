@@ -1,12 +1,16 @@
-"""Exact substring dedup over sorted suffix samples.
+"""Exact substring dedup over sampled suffixes.
 
 A position is removed when it lies in a 50-byte string that also starts in a document with a
-smaller doc_id.  Suffixes are sampled so that every 50-byte string holds one sample at a place its
-own bytes decide (the least-hashed 24-byte prefix of the suffixes that start in it).  The sampled
-suffix tuples are sorted externally by Spark (spilling runs, merged from disk); neighbours in that
-order that share their prefix and come from different documents survive.  Their results are then
-induced for the unsampled suffixes before them: the strings around a sample are compared with those
-of smaller documents, byte for byte, in one pass over the sorted contexts.
+smaller doc_id.  This is no suffix array and no induced sorting: a full sort of all suffixes passes
+the disk budget, so suffixes are sampled and grouped by hash.  Every 50-byte string chooses one
+suffix by its own bytes (the least-hashed 24-byte prefix of those that start in it), so equal strings
+choose alike.  Chosen suffixes meet by the hash of their prefix; those of one document only are
+dropped.  Around the others the strings that chose them are compared byte for byte with those of
+smaller documents, in one pass over contexts sorted by prefix and document.
+
+A prefix of very many documents is split by the 13 bytes that its strings have beyond it to the
+right, or else to the left, and copies of a context inside one run of rows are settled before the
+shuffle, so neither meets in one task as it stands.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .near import chunks, mix
@@ -23,6 +27,11 @@ from .near import chunks, mix
 LENGTH = 50
 PREFIX = 24
 SPAN = LENGTH - PREFIX + 1
+#: Documents from which a prefix counts as hot; bytes beside it that its strings are then grouped by.
+HOT = 4096
+BESIDE = (LENGTH - PREFIX) // 2
+#: Names have 56 bits; this one marks a hot name.
+_MARK = 1 << 60
 
 
 def samples(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -66,55 +75,97 @@ def sample_names(frames):
 
 
 def shared_names(frames):
-    """From tuples sorted by (name, doc_id): those whose name more than one document has."""
-    carry = None
+    """From tuples sorted by (name, doc_id): those whose name more than one document has, marked where more than HOT have it.
+
+    What waits between batches is one name with at most HOT documents.
+    """
+    waiting, hot = pd.DataFrame({"name": np.zeros(0, np.int64), "doc_id": np.zeros(0, np.int64)}), None
+    last = None
     for pdf in frames:
-        if carry is not None:
-            pdf = pd.concat([carry, pdf])
-        name, doc = pdf["name"].to_numpy(), pdf["doc_id"].to_numpy()
+        name, doc = np.r_[waiting["name"].to_numpy(), pdf["name"].to_numpy()], np.r_[waiting["doc_id"].to_numpy(), pdf["doc_id"].to_numpy()]
+        if not len(name):
+            continue
+        fresh = np.r_[True, (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])]
+        if hot is not None and name[0] == hot and doc[0] == last:
+            fresh[0] = False
+        name, doc = name[fresh], doc[fresh]
+        waiting = pd.DataFrame({"name": name[:0], "doc_id": doc[:0]})
         if not len(name):
             continue
-        new = np.r_[True, name[1:] != name[:-1]]
-        fresh = new | np.r_[True, doc[1:] != doc[:-1]]
-        name, doc, new = name[fresh], doc[fresh], new[fresh]
-        several = ~new  # not the first document of its name
-        several[:-1] |= ~new[1:]  # the first one, where another follows
-        # the last tuple waits for the next batch; marked if it has shown to be shared
-        known = bool(several[-1])
-        yield pd.DataFrame({"doc_id": doc[:-1][several[:-1]], "name": name[:-1][several[:-1]]})
-        carry = pd.DataFrame({"name": name[-1:], "doc_id": doc[-1:]})
-        if known:
-            yield pd.DataFrame({"doc_id": doc[-1:], "name": name[-1:]})
+        start = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
+        size = np.diff(np.r_[start, len(name)])
+        known = hot is not None and name[0] == hot
+        many = size > HOT
+        many[0] |= known
+        emit = many | (size > 1)
+        if many[-1]:
+            hot, last = name[-1], doc[-1]
+        else:
+            hot, emit[-1] = None, False
+            waiting = pd.DataFrame({"name": name[start[-1] :], "doc_id": doc[start[-1] :]})
+        rows = np.repeat(emit, size)
+        yield pd.DataFrame({"doc_id": doc[rows], "name": (name + np.repeat(many, size) * _MARK)[rows]})
+    if len(waiting) > 1:
+        yield waiting[["doc_id", "name"]]
 
 
 def contexts(frames):
-    """Of each sample with a shared name: the bytes of all the strings that chose it."""
+    """Of each sample with a shared name: the bytes of all the strings that chose it.
+
+    A hot one gives up to two: the strings that reach BESIDE bytes beyond the prefix to the right
+    (side 1), and the others (side 2).  A copy of a context of a smaller document in the same run of
+    rows is settled here: side -1, its length in place of ``before``, and no bytes.
+    """
     for pdf in chunks(frames):
+        pdf = pdf.sort_values("doc_id", kind="stable")
         raw = encoded(pdf)
         which, place, name, start, stop = samples(raw)
-        keep = np.zeros(len(name), dtype=bool)
+        keep, hot = np.zeros(len(name), dtype=bool), np.zeros(len(name), dtype=bool)
         bounds = np.searchsorted(which, np.arange(len(raw) + 1))
         for i, names in enumerate(pdf["names"]):
             a, b = bounds[i], bounds[i + 1]
-            keep[a:b] = np.isin(name[a:b], np.asarray(names))
-        which, place, name, start, stop = (x[keep] for x in (which, place, name, start, stop))
-        ids = pdf["doc_id"].to_numpy()
-        yield pd.DataFrame({"doc_id": ids[which], "start": start.astype(np.int32), "before": (place - start).astype(np.int32), "context": [raw[w][a : b + LENGTH] for w, a, b in zip(which.tolist(), start.tolist(), stop.tolist(), strict=True)]})
+            names = np.asarray(names, dtype=np.int64)
+            keep[a:b] = np.isin(name[a:b], names & (_MARK - 1))
+            if (names >= _MARK).any():
+                hot[a:b] = np.isin(name[a:b] | _MARK, names)
+        cut = place - BESIDE
+        parts = [(keep & ~hot, start, stop, 0), (keep & hot & (stop >= cut), np.maximum(start, cut), stop, 1), (keep & hot & (start < cut), start, np.minimum(stop, cut - 1), 2)]
+        ids, first, out = pdf["doc_id"].to_numpy(), {}, []
+        for some, low, high, side in parts:
+            some = np.flatnonzero(some)
+            rows = zip(which[some].tolist(), low[some].tolist(), high[some].tolist(), (place - low)[some].tolist(), strict=True)
+            for w, a, b, before in rows:
+                doc, context = int(ids[w]), raw[w][a : b + LENGTH]
+                if first.setdefault((side, before, context), doc) < doc:
+                    out.append((doc, a, len(context), -1, None))
+                else:
+                    out.append((doc, a, before, side, context))
+        yield pd.DataFrame(out, columns=["doc_id", "start", "before", "side", "context"])
+
+
+def group_key() -> Column:
+    """The bytes that all strings of a group share: the prefix, with those beside it where it is hot."""
+    at, c = F.col("before"), F.col("context")
+    key = F.when(F.col("side") == 0, F.substring(c, at + 1, F.lit(PREFIX))).when(F.col("side") == 1, F.substring(c, at + 1, F.lit(PREFIX + BESIDE)))
+    return key.when(F.col("side") == 2, F.substring(c, at + 1 - BESIDE, F.lit(PREFIX + BESIDE))).otherwise(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
 
 
 def repeated_runs(frames):
-    """From contexts sorted by (prefix, doc_id): runs of bytes that a smaller document has too.
+    """From contexts sorted by (key, side, doc_id): runs of bytes that a smaller document has too.
 
-    What is remembered are the distinct strings of one prefix, each with the least document it
+    What is remembered are the distinct strings of one key, each with the least document it
     starts in; as documents come in ascending order, that is the first one.
     """
     now, strings, whole = None, {}, {}
     for pdf in frames:
         out = []
-        for doc, start, before, context in zip(pdf["doc_id"].tolist(), pdf["start"].tolist(), pdf["before"].tolist(), pdf["context"], strict=True):
-            name = context[before : before + PREFIX]
-            if name != now:
-                now, strings, whole = name, {}, {}
+        for doc, start, before, side, context in zip(pdf["doc_id"].tolist(), pdf["start"].tolist(), pdf["before"].tolist(), pdf["side"].tolist(), pdf["context"], strict=True):
+            if side < 0:
+                out.append((doc, start, start + before))
+                continue
+            key = (side, context[before - (BESIDE if side == 2 else 0) : before + PREFIX + (BESIDE if side == 1 else 0)])
+            if key != now:
+                now, strings, whole = key, {}, {}
             first = whole.setdefault((before, context), doc)
             if first < doc:
                 out.append((doc, start, start + len(context)))
@@ -162,7 +213,9 @@ def substring_dedup(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: n_bytes, n_removed, n_spans, kept_sha256, and with ``keep_bytes`` the rest itself.
 
     Null text counts as empty; a text under 50 bytes and a null doc_id lose nothing and take nothing
-    away; rows that repeat a doc_id are one document as far as "smaller" goes.
+    away; rows that repeat a doc_id are one document as far as "smaller" goes, and each get their row.
+    Other columns are not read; an empty table gives none.  Texts of any length are read whole; what a
+    task remembers is one key's distinct strings.
     """
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = every.where("doc_id is not null")  # the same rows below every join, so their exchange is reused
@@ -177,9 +230,8 @@ def substring_dedup(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     sampled = own.mapInPandas(sample_names, "name long, doc_id long")
     shared = sampled.repartition("name").sortWithinPartitions("name", "doc_id").mapInPandas(shared_names, "doc_id long, name long")
     wanted = shared.groupBy("doc_id").agg(F.collect_list("name").alias("names"))
-    around = own.join(wanted, "doc_id").mapInPandas(contexts, "doc_id long, start int, before int, context binary")
-    prefix = F.substring("context", F.col("before") + 1, F.lit(PREFIX))
-    runs = around.repartition(prefix).sortWithinPartitions(prefix, "doc_id").mapInPandas(repeated_runs, "doc_id long, a int, b int")
+    around = own.join(wanted, "doc_id").mapInPandas(contexts, "doc_id long, start int, before int, side byte, context binary")
+    runs = around.repartition(group_key()).sortWithinPartitions(group_key(), "side", "doc_id").mapInPandas(repeated_runs, "doc_id long, a int, b int")
     spans = runs.groupBy("doc_id").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_bytes else "")
     none = F.lit(None).cast("array<int>")
