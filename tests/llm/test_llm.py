@@ -11,6 +11,7 @@ import unicodedata
 from html.parser import HTMLParser
 
 import numpy as np
+import pandas as pd
 import pytest
 import regex
 import xxhash
@@ -580,6 +581,41 @@ def test_substring(docs, empty):
     assert got[None]["n_removed"] == 0 and substring.substring_dedup(empty).count() == 0
 
 
+def test_substring_hot_prefixes(spark, monkeypatch):
+    """Prefixes of many documents, split by the bytes beside them, give the same spans; so do copies in one run of rows."""
+    core = "abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJ"
+    rows = [(i, prose(3) + f"{i % 5}" * (i % 7) + core[i % 9 :] + core + f"{i % 3}" * (i % 11) + prose(4)) for i in range(48)]
+    rows += [(200 + i, rows[i][1]) for i in range(5)] + [(300, rows[7][1]), (300, rows[8][1][9:])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    plain = outcome(substring.substring_dedup(frame))
+    own = [t.encode() for _, t in sorted(rows)]
+    which, place, name, _, _ = substring.samples(own)
+    pairs = pd.DataFrame({"name": name, "doc_id": [sorted(rows)[w][0] for w in which]}).sort_values(["name", "doc_id"])
+    once = pairs.drop_duplicates()
+    often = once.groupby("name")["doc_id"].transform("size").to_numpy()
+    for hot in (1, 3, 1000):
+        monkeypatch.setattr(substring, "HOT", hot)
+        want = {(d, n + substring._MARK * (c > hot)) for n, d, c in zip(once["name"].tolist(), once["doc_id"].tolist(), often.tolist(), strict=True) if c > 1}
+        for step in (5, 10_000):
+            got = pd.concat(list(substring.shared_names(pairs.iloc[k : k + step] for k in range(0, len(pairs), step))))
+            assert len(got) == len(want) and set(map(tuple, got[["doc_id", "name"]].to_numpy().tolist())) == want, (hot, step)
+    # the split itself, in this process: every sample hot
+    monkeypatch.setattr(substring, "HOT", 1)
+    texts = pd.DataFrame({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})
+    wanted = pd.concat(list(substring.shared_names([pairs]))).groupby("doc_id")["name"].apply(list)
+    texts["names"] = [wanted.get(i, []) for i in texts["doc_id"]]
+    parts = pd.concat(list(substring.contexts([texts.iloc[:24], texts.iloc[24:]])))
+    assert {1, 2, -1} <= set(parts["side"])
+    frame = spark.createDataFrame(parts, "doc_id long, start int, before int, side byte, context binary")
+    keyed = frame.withColumn("key", substring.group_key()).sort("key", "side", "doc_id").drop("key").toPandas()
+    gone: dict = {}
+    for doc, a, b in pd.concat(list(substring.repeated_runs([keyed]))).itertuples(index=False):
+        gone.setdefault(doc, set()).update(range(a, b))
+    size = {i: sum(n for d, n in ((r["doc_id"], r["n_removed"]) for r in substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()) if d == i) for i in gone if i < 200}
+    assert {i: len(g) for i, g in gone.items() if i < 200} == {i: n for i, n in size.items() if n}
+    assert plain == outcome(substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+
+
 # -- 9 --------------------------------------------------------------------------------------------
 
 
