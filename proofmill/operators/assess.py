@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import facts as fx
+from .loading import with_tolerance
 
 #: Fixed value: citations per assertion.
 CITED = 20
@@ -21,7 +22,8 @@ def assess(ev: DataFrame, rows: DataFrame, controls: DataFrame, subjects: DataFr
     """One assertion per (subject, control): outcome, applicable, failed, missing evidence.
 
     ``subjects(subject, roles)``.  The order of tests is fixed: role, rung and shape, population,
-    minimum evidence, tolerance (``count``: failed <= max).  One job serves all subjects and controls.
+    minimum evidence, tolerance (a number of failures, or a struct of kind and max as in
+    ``loading.with_tolerance``).  One job serves all subjects and controls.
     """
     names = sorted({r["checks"] for r in controls.select("checks").where("checks is not null").distinct().collect()})
     counts = fx.check_counts(rows, names)
@@ -30,12 +32,13 @@ def assess(ev: DataFrame, rows: DataFrame, controls: DataFrame, subjects: DataFr
     have = F.coalesce("have", F.array().cast("array<string>"))
     missing = F.array_except("need", have)
     n, bad = F.coalesce("applicable", F.lit(0)), F.coalesce("failed", F.lit(0))
+    out = with_tolerance(out.withColumns({"applicable": n, "failed": bad})) if dict(controls.dtypes)["tolerance"].startswith("struct") else out.withColumn("within", bad <= F.col("tolerance"))
     outcome = (
         F.when(~F.arrays_overlap("applies_to", "roles"), "not_applicable")
         .when((F.col("rung") != 2) | F.col("checks").isNull(), "not_assessed")
         .when(n == 0, "not_applicable")
         .when(F.size(missing) > 0, "insufficient_evidence")
-        .when(bad <= F.col("tolerance"), "conformant")
+        .when(F.col("within"), "conformant")
         .otherwise("non-conformant")
     )
     judged = F.col("outcome").isin("conformant", "non-conformant")
@@ -55,13 +58,13 @@ def with_controls(rows: DataFrame, controls: DataFrame) -> DataFrame:
 def violations(rows: DataFrame, controls: DataFrame) -> DataFrame:
     """(subject, control, catalog, focus, check) for each failed signature of each control with a shape."""
     sigs = controls.where("rung = 2 and checks is not null").select("catalog", "control", F.explode(F.split("checks", r"\+")).alias("check"))
-    names = sorted(r["check"] for r in sigs.select("check").distinct().collect())
+    names = sorted(r["check"] for r in sigs.select("check").distinct().collect())  # rule files: a few dozen rows
     failed = []
     for s in names:
         where, ok = fx.population_and_check(s)
         failed.append(F.when(where & ~ok, F.lit(s)))
     bad = rows.select("subject", F.col("id").alias("focus"), F.explode(F.array_compact(F.array(*failed))).alias("check"))
-    return bad.join(F.broadcast(sigs), "check").select("subject", "catalog", "control", "focus", "check")
+    return bad.join(sigs, "check").select("subject", "catalog", "control", "focus", "check")
 
 
 def evidence_pointers(ev: DataFrame, rows: DataFrame, checks: list[str], limit: int = CITED) -> DataFrame:
@@ -79,3 +82,18 @@ def evidence_pointers(ev: DataFrame, rows: DataFrame, checks: list[str], limit:
     each = each.withColumn("_any", F.max("failing").over(group)).where("failing = _any")
     top = each.withColumn("_n", F.row_number().over(group.orderBy("focus"))).where(F.col("_n") <= limit).drop("_any", "_n")
     return top.join(ev.select("subject", F.col("id").alias("focus"), "source_class"), ["subject", "focus"]).select("subject", "checks", "focus", "source_class", "failing")
+
+
+def uncited(assertions: DataFrame, pointers: DataFrame) -> DataFrame:
+    """Verdicts that cite nothing: (subject, catalog, control, outcome) of those the evidence does not support."""
+    some = pointers.select("subject", "checks").distinct()
+    judged = assertions.where(F.col("outcome").isin("conformant", "non-conformant", "partial"))
+    return judged.join(some, ["subject", "checks"], "left_anti").select("subject", "catalog", "control", "outcome")
+
+
+def require_evidence(assertions: DataFrame, pointers: DataFrame) -> DataFrame:
+    """``assertions`` as they are; raises on the first verdict that cites no evidence."""
+    first = uncited(assertions, pointers).limit(1).collect()
+    if first:
+        raise ValueError(f"control {first[0]['control']} on {first[0]['subject']} is {first[0]['outcome']} but cites no evidence")
+    return assertions

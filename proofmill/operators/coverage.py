@@ -9,16 +9,19 @@ from ..functions import half_even_ratio
 from .assess import with_controls
 
 
-def coverage(ev: DataFrame, denominators: DataFrame, threshold: tuple[int, int] = (95, 100)) -> DataFrame:
+def coverage(ev: DataFrame, denominators: DataFrame, threshold: tuple[int, int] = (95, 100), manifests: DataFrame | None = None) -> DataFrame:
     """(subject, etype, observed, expected, ratio, status, denominators).
 
     ``denominators(subject, source, covers)``: the source's own events, over all subjects, say how many
     events of the covered types to expect; observed are the subject's events from other sources.  Of
-    several denominators the largest count holds, and ties keep all their names.
+    several denominators the largest count holds, and ties keep all their names.  Where a source has
+    rows in ``manifests(source, etype, n)``, these counts stand for its events.
     """
     own = denominators.select("subject", "source").distinct()
     observed = ev.join(own, ["subject", "source"], "left_anti").groupBy("subject", F.coalesce("etype", F.lit("Unknown")).alias("etype")).agg(F.count("*").alias("observed"))
     totals = ev.groupBy("source", "etype").agg(F.count("*").alias("n"))
+    if manifests is not None:
+        totals = totals.join(manifests.select("source").distinct(), "source", "left_anti").unionByName(manifests.select("source", "etype", "n"))
     expected = denominators.join(totals, "source", "left").where(F.col("etype").isNotNull() & (F.col("covers").isNull() | F.array_contains("covers", F.col("etype"))))
     best = expected.withColumn("_r", F.rank().over(Window.partitionBy("subject", "etype").orderBy(F.desc("n")))).where("_r = 1")
     best = best.groupBy("subject", "etype").agg(F.max("n").alias("expected"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("denominators"))

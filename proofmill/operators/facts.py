@@ -66,9 +66,15 @@ def edges(ev: DataFrame) -> DataFrame:
         link(when("Outcome", c("ref_decision")), "resultedIn", me),
         link(when("ApprovalDecided", c("ref_decision")), "reviewedBy", me),
         link(when("Notice", c("ref_decision")), "notifiedBy", me),
+        link(when("Override", c("ref_decision")), "overriddenBy", me),
+        link(when("Interrupt", c("ref_decision")), "interruptedBy", me),
         link(when("Refusal", c("ref_instruction")), "refusedBy", me),
+        link(c("agent"), "type", F.lit("Agent")),
     ]
-    used = F.transform("used", lambda u: link(me, "used", u))
+    # what only some feeds carry: parent and origin of content, and the request that an authority event decides
+    more = {"ref_parent": "derivedFrom", "ref_origin": "derivedFrom"}
+    out += [link(me, p, c(name)) for name, p in more.items() if name in ev.columns]
+    used = F.flatten(F.transform("used", lambda u: F.array(link(me, "used", u), link(u, "type", F.lit("ContextItem")))))
     behalf = F.when(F.col("agent").isNotNull(), F.transform("acted_for", lambda a: link(c("agent"), "actedOnBehalfOf", a))).otherwise(F.array().cast("array<struct<s:string,p:string,o:string>>"))
     every = F.filter(F.concat(F.array(*out), used, behalf), lambda x: x["s"].isNotNull() & x["o"].isNotNull())
     return ev.select("subject", F.explode(every).alias("e")).select("subject", "e.*").distinct()
@@ -91,7 +97,7 @@ def class_closure(parents: DataFrame, depth: int = 16) -> DataFrame:
     level = nodes.select(F.col("child").alias("descendant"), F.col("child").alias("ancestor"))
     out = level
     for _ in range(depth):
-        level = level.join(F.broadcast(base), level.ancestor == base.child).select("descendant", F.col("parent").alias("ancestor"))
+        level = level.join(base, level.ancestor == base.child).select("descendant", F.col("parent").alias("ancestor"))
         if level.isEmpty():
             return out.distinct()
         out = out.union(level)

@@ -23,7 +23,7 @@ BLOCK = 65_536
 REQUIRED = ["id", "source", "subject", "time", "etype"]
 
 
-def type_name(column: str) -> Column:
+def type_name(column: str | Column) -> Column:
     """Event type from its dotted name, null where the name has another form."""
     return F.nullif(F.regexp_extract(column, r"\.evidence\.([A-Za-z]+)\.v1$", 1), F.lit(""))
 
@@ -38,18 +38,19 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     whole = F.coalesce(F.schema_of_variant(F.try_parse_json(body)).startswith("OBJECT"), F.lit(False))
     bad = F.when(F.octet_length(body) > MAX_OCTETS, "oversize").when(~whole, "schema_invalid")
     out = lines.where(F.length(body) > 0)
-    return out.select("file", "ordinal", *[get(k).alias(k) for k in ("id", "source", "subject", "time")], F.coalesce(type_name_of(get("type")), get("type")).alias("etype"), get("agentcesourceclass").alias("source_class"), get("data").alias("data"), bad.alias("parse_reason"))
-
-
-def type_name_of(value: Column) -> Column:
-    return F.nullif(F.regexp_extract(value, r"\.evidence\.([A-Za-z]+)\.v1$", 1), F.lit(""))
+    return out.select("file", "ordinal", *[get(k).alias(k) for k in ("id", "source", "subject", "time")], F.coalesce(type_name(get("type")), get("type")).alias("etype"), get("agentcesourceclass").alias("source_class"), get("data").alias("data"), bad.alias("parse_reason"))
 
 
 def row_reason(rows: DataFrame, sources: DataFrame | None) -> DataFrame:
-    """Adds ``reason`` from what the row alone shows, in order of precedence; null where it passes."""
+    """Adds ``reason`` from what the row alone shows, in order of precedence; null where it passes.
+
+    Rows that carry ``errors``, as ``schema.payload_errors`` leaves them, are invalid where it holds any.
+    """
     missing = F.lit(False)
     for c in REQUIRED:
         missing = missing | F.col(c).isNull()
+    if "errors" in rows.columns:
+        missing = missing | (F.size("errors") > 0)
     first = F.col("parse_reason") if "parse_reason" in rows.columns else F.lit(None).cast("string")
     reason = F.when(first.isNotNull(), first).when(missing, "schema_invalid").when(~F.col("etype").isin(EVENT_TYPES), "unknown_type")
     if sources is None:  # no declared list: any source will do
@@ -70,28 +71,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def latest_before(rows: DataFrame, value: Column) -> DataFrame:
-    """Adds _before: the largest ``value`` of the rows of the source with a lower ordinal.
+    """Adds _before: the largest ``value`` of the rows of the stream with a lower ordinal.
 
     The sort stays inside a block of ordinals; over blocks only their maxima are ordered.
     """
     rows = rows.withColumns({"_block": F.floor(F.col("ordinal") / BLOCK), "_value": value})
-    most = rows.groupBy("source", "_block").agg(F.max("_value").alias("_most"))
-    above = F.max("_most").over(Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
-    most = most.select("source", "_block", above.alias("_above"))
-    inside = F.max("_value").over(Window.partitionBy("source", "_block").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("_inside", inside).join(most, ["source", "_block"]).withColumn("_before", F.greatest("_inside", "_above")).drop("_block", "_value", "_inside", "_above")
+    most = rows.groupBy("stream", "_block").agg(F.max("_value").alias("_most"))
+    above = F.max("_most").over(Window.partitionBy("stream").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    most = most.select("stream", "_block", above.alias("_above"))
+    inside = F.max("_value").over(Window.partitionBy("stream", "_block").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("_inside", inside).join(most, ["stream", "_block"]).withColumn("_before", F.greatest("_inside", "_above")).drop("_block", "_value", "_inside", "_above")
 
 
 def order_and_identity(rows: DataFrame) -> DataFrame:
     """Adds duplicate_id and time_order to rows without a reason.
 
     Each round judges one copy of every id, the first one at the start: a copy is late when a judged
-    event of its source stands before it with a later time (as text).  Where the judged copy is late,
+    event of its stream (its ``stream`` where the rows have one, else its source) stands before it with
+    a later time (as text).  Where the judged copy is late,
     the next one that is not enters; those passed over stay late, as times to be held against only
     grow.  Rounds go on until no copy enters, whatever their number.
     """
     good, bad = rows.where("reason is null"), rows.where("reason is not null")
-    slim = written(good.select("id", "source", "ordinal", "time"), "order")
+    stream = F.coalesce("stream", "source") if "stream" in rows.columns else F.col("source")
+    slim = written(good.select("id", stream.alias("stream"), "ordinal", "time"), "order")
     now = written(slim.groupBy("id").agg(F.min("ordinal").alias("_at")), "order-ids")
     while True:
         held = latest_before(slim.join(now, "id"), F.when(F.col("ordinal") == F.col("_at"), F.col("time")))

@@ -57,3 +57,12 @@ def stream_status(rows: DataFrame, anchors: DataFrame | None = None) -> DataFram
         .otherwise("verified_weak")
     )
     return got.select("stream", "strength", status.alias("status"), F.coalesce("f", "l", "t").cast("long").alias("first_bad_index"), "n_events")
+
+
+def signatures(rows: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Adds signed: ``sig_ref`` names a file of the bundle, ``files(path)``; without a listing, any name will do."""
+    named = F.coalesce(F.nullif("sig_ref", F.lit("")).isNotNull(), F.lit(False))
+    if files is None:
+        return rows.withColumn("signed", named)
+    there = files.select(F.col("path").alias("sig_ref"), F.lit(True).alias("_there")).distinct()
+    return rows.join(there, "sig_ref", "left").withColumn("signed", named & F.coalesce("_there", F.lit(False))).drop("_there")

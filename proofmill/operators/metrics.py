@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import compares, interval, text_of_value
+from . import rules
+from .ingest import written
 
 
 def population(df: DataFrame, where: dict[str, str]) -> DataFrame:
@@ -28,11 +30,24 @@ def hash_sample(df: DataFrame, n: int, key: str = "id") -> DataFrame:
 
 
 def by_rank(values: DataFrame, groups: list[str], field: str, num: int, den: int) -> DataFrame:
-    """Nearest-rank quantile num/den per group: the value of rank ceil(q n), at least 1; exact integers."""
-    w = Window.partitionBy(*groups)
-    ranked = values.withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(field)))
-    k = F.greatest(F.lit(1).cast("long"), F.expr(f"(_n * {num} + {den - 1}) div {den}"))
-    return ranked.where(F.col("_r") == F.least(k, F.col("_n"))).groupBy(*groups).agg(F.first(field).cast("decimal(38,4)").alias("numerator"), F.first("_n").alias("n")).withColumn("denominator", F.lit(1).cast("long"))
+    """Nearest-rank quantile num/den per group: the value of rank ceil(q n), at least 1; exact integers.
+
+    Values are counted first; then blocks of a group's distinct values, cut by range, hold running sums,
+    so neither step puts a group's rows in one task.
+    """
+    counts = values.groupBy(*groups, field).agg(F.count("*").alias("_c"))
+    # equal values share a block; blocks ascend with the value over all groups
+    block = counts.repartitionByRange(field).withColumn("_b", F.spark_partition_id())
+    block = written(block, "ranks")
+    sums = block.groupBy(*groups, "_b").agg(F.sum("_c").alias("_s"))
+    over = Window.partitionBy(*groups)
+    sums = sums.withColumn("_n", F.sum("_s").over(over)).withColumn("_below", F.coalesce(F.sum("_s").over(over.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
+    k = F.least(F.greatest(F.lit(1).cast("long"), F.expr(f"(_n * {num} + {den - 1}) div {den}")), F.col("_n"))
+    sums = sums.withColumn("_k", k).where("_below < _k and _k <= _below + _s")
+    inside = Window.partitionBy(*groups).orderBy(field).rowsBetween(Window.unboundedPreceding, 0)
+    near = block.join(sums, [*groups, "_b"]).withColumn("_to", F.col("_below") + F.sum("_c").over(inside))
+    found = near.where("_k <= _to").groupBy(*groups).agg(F.min(field).cast("decimal(38,4)").alias("numerator"), F.first("_n").alias("n"))
+    return found.withColumn("denominator", F.lit(1).cast("long"))
 
 
 def statistic(df: DataFrame, groups: list[str], spec: dict) -> DataFrame:
@@ -110,6 +125,17 @@ def attack_success(cases: DataFrame, oracle: str, groups: list[str], threshold:
     return got.select(*groups, "total", F.when(few, 0).otherwise(F.col("failed")).cast("long").alias("failed"), outcome.alias("outcome"))
 
 
+def structural_failures(links: DataFrame, literals: DataFrame, closure: DataFrame, rule: dict, shapes: dict[str, dict] | None = None) -> DataFrame:
+    """(case_id) of cases whose own graph breaks a rule; in ``links`` and ``literals`` the subject is the case."""
+    bad = rules.evaluate(links, literals, closure, rule, shapes).where("not ok")
+    return bad.select(F.col("subject").alias("case_id")).distinct()
+
+
+def success_interval(rates: DataFrame) -> DataFrame:
+    """Adds low and high, the exact interval of failed in total, to rows of ``attack_success`` that were assessed."""
+    return with_interval(rates.where("outcome <> 'not_assessed'"), F.col("failed"), F.col("total"))
+
+
 def checked_cases(cases: DataFrame) -> DataFrame:
     """Cases as read; raises when a prompt differs from its recorded digest or has no sign-off."""
     bad = cases.where(~F.sha2("prompt", 256).eqNullSafe(F.col("prompt_sha256")) | F.col("signed_off_by").isNull())

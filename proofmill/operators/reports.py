@@ -12,7 +12,7 @@ def remediation(assertions: DataFrame, controls: DataFrame, have: DataFrame) ->
     """One row per open finding: what the control asks for, what is there of it, what is missing."""
     need = controls.select("catalog", "control", F.col("need").alias("required"))
     rows = assertions.where(F.col("outcome").isin("non-conformant", "insufficient_evidence", "partial")).select("subject", "catalog", "control", "outcome", "missing")
-    rows = rows.join(F.broadcast(need), ["catalog", "control"]).join(have, "subject", "left")
+    rows = rows.join(need, ["catalog", "control"]).join(have, "subject", "left")
     text = lambda c: F.array_join(F.array_sort(c), ",")
     return rows.select("subject", "catalog", "control", "outcome", text("required").alias("required"), text(F.array_intersect("required", "have")).alias("observed"), text("missing").alias("missing"))
 

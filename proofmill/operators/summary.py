@@ -124,6 +124,28 @@ def detection(truth: DataFrame, outcomes: DataFrame) -> DataFrame:
     return both.agg(F.count_if(seeded).alias("seeded"), F.count_if(seeded & bad).alias("detected"), F.count_if(clean).alias("negatives"), F.count_if(clean & bad).alias("false_positives"))
 
 
+def held_out(truth: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """One row: faults seeded and detected in the held-out group, controls of the adversarial group, and whether all of these match.
+
+    ``truth(project, control, expected, group)``, ``outcomes(project, control, outcome)``.
+    """
+    both = truth.join(outcomes, ["project", "control"], "left")
+    held, other = F.col("group") == "held-out", F.col("group") == "adversarial"
+    seeded = held & (F.col("expected") == "non-conformant")
+    match = F.col("outcome").eqNullSafe(F.col("expected"))
+    return both.agg(
+        F.count_if(seeded).alias("seeded"), F.count_if(seeded & (F.col("outcome") == "non-conformant")).alias("detected"),
+        F.count_if(other).alias("adversarial_controls"), F.coalesce(F.bool_and(F.when(other, match)), F.lit(True)).alias("adversarial_match"),
+    )
+
+
+def run_manifest(spark, input_digest: str, outputs: dict[str, str], catalogs: DataFrame, started_at: str, operator: str, supersedes: str | None = None) -> DataFrame:
+    """One row that names a run: what it read, which controls it judged by, the digest of each output, when, and what it replaces."""
+    digest = catalogs.select(F.sha2(F.to_json(F.struct(*sorted(catalogs.columns))), 256).alias("d")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ","), 256)).first()[0]  # one row a control
+    rows = [(input_digest, digest, dict(sorted(outputs.items())), started_at, operator, supersedes)]
+    return spark.createDataFrame(rows, "input_digest string, catalog_digest string, outputs map<string,string>, started_at string, operator string, supersedes string")
+
+
 def nothing_evaluated(assertions: DataFrame) -> bool:
     """Whether no assertion reached a verdict: such a run is an error, not a pass."""
     return assertions.where(F.col("outcome").isin("conformant", "non-conformant", "partial")).limit(1).count() == 0

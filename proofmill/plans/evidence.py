@@ -156,7 +156,7 @@ def preceded_by(spark, d):
 UNION SELECT subject, id, 'authorizedBy', ref_authorization FROM ev UNION SELECT subject, id, 'authorizedBy', ref_request FROM ev UNION SELECT subject, id, 'delegatedVia', ref_delegation FROM ev UNION SELECT subject, id, 'actsOn', ref_instruction FROM ev
 UNION SELECT subject, id, 'executes', ref_decision FROM ev WHERE etype = 'ToolCall' UNION SELECT subject, ref_decision, 'resultedIn', id FROM ev WHERE etype = 'Outcome' UNION SELECT subject, ref_decision, 'reviewedBy', id FROM ev WHERE etype = 'ApprovalDecided'
 UNION SELECT subject, ref_decision, 'notifiedBy', id FROM ev WHERE etype = 'Notice' UNION SELECT subject, ref_instruction, 'refusedBy', id FROM ev WHERE etype = 'Refusal' UNION SELECT subject, id, 'used', unnest(used) FROM ev
-UNION SELECT subject, agent, 'actedOnBehalfOf', terminus FROM ev WHERE terminus IS NOT NULL)
+UNION SELECT subject, agent, 'actedOnBehalfOf', terminus FROM ev WHERE terminus IS NOT NULL UNION SELECT subject, agent, 'type', 'Agent' FROM ev UNION SELECT subject, unnest(used), 'type', 'ContextItem' FROM ev)
 SELECT subject, p, count(*) AS edges, count(DISTINCT s) AS sources, count(DISTINCT o) AS targets FROM e WHERE s IS NOT NULL AND o IS NOT NULL GROUP BY subject, p"""
 )
 def edges_build(spark, d):
@@ -164,7 +164,7 @@ def edges_build(spark, d):
     return fx.edges(bd.evidence(spark, d)).groupBy("subject", "p").agg(F.count("*").alias("edges"), F.count_distinct("s").alias("sources"), F.count_distinct("o").alias("targets"))
 
 
-@query()
+@query(with_(sql.EV) + "SELECT subject, id, 'principal:' || sha256(unhex(repeat('5C', 64)) || unhex(sha256(unhex(repeat('36', 64)) || encode(terminus)))) AS terminus FROM ev WHERE terminus IS NOT NULL")
 def chain_terminus(spark, d):
     """Pseudonym of the last principal in each tool call's delegation chain."""
     ev = bd.evidence(spark, d).where(F.size("acted_for") > 0)

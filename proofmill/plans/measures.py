@@ -182,15 +182,15 @@ def runtime_drift(spark, d):
 
 @query(
     with_(sql.EV)
-    + ", e0 AS (SELECT time FROM ev WHERE n = (SELECT (max(event_id) + 1) // 2 - 1 FROM events))\nSELECT source || '|' || subject AS stream, count(*) AS late FROM ev WHERE time <= (SELECT time FROM e0) AND n % 5 = 0 GROUP BY ALL"
+    + ", e0 AS (SELECT time FROM ev WHERE n = (SELECT (max(event_id) + 1) // 2 - 1 FROM events))\nSELECT source || '|' || subject AS stream, count(*) AS late FROM ev WHERE time <= (SELECT time FROM e0) GROUP BY ALL"
 )
 def late_events(spark, d):
-    """Of a new delivery (every fifth event), how many per stream fall in the window already closed."""
+    """Of a new delivery, all events once more, how many per stream fall in the window already closed."""
     ev = bd.evidence(spark, d)
     end = half(spark, d).agg(F.max_by("time", "ordinal").alias("end")).first()["end"]
     from ..operators.state import late_by_stream
 
-    return late_by_stream(ev.where("(ordinal / 2) % 5 = 0"), end)
+    return late_by_stream(ev, end)
 
 
 @query(
@@ -287,14 +287,14 @@ def probe_asr(spark, d):
 # -- governance -----------------------------------------------------------------------------------
 
 DEV = """, dv AS (SELECT o_orderkey AS deviation_id, (SELECT list(control ORDER BY catalog, control) FROM controls)[1 + o_orderkey % 67] AS control, CASE WHEN o_custkey % 7 = 0 THEN '' ELSE 'x' END AS reason, 'x' AS compensating_measure, 'p' || (o_custkey % 5) AS owner, 'p' || (o_orderkey % 5) AS approver,
-strftime(o_orderdate, '%Y-%m-%d') AS granted, strftime(o_orderdate + to_days((o_orderkey % 250)::INT), '%Y-%m-%d') AS expiry FROM orders WHERE o_orderkey % 5 = 0),
+strftime(o_orderdate, '%Y-%m-%d') AS granted, strftime(o_orderdate + to_days((o_orderkey % 250)::INT), '%Y-%m-%d') AS expiry FROM orders),
 oc AS (SELECT control, min(outcome) AS outcome FROM asr GROUP BY control)"""
 
 
 def deviations(spark, d):
     """Deviations made of orders: control by order number, owner and approver by customer and order."""
     names = [r["control"] for r in sorted(cat.control_rows(), key=lambda r: (r["catalog"], r["control"]))]
-    o = bd.table(spark, d, "orders").where("o_orderkey % 5 = 0")
+    o = bd.table(spark, d, "orders")
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     return o.select(
         F.col("o_orderkey").alias("deviation_id"),

@@ -18,7 +18,7 @@ prev AS (SELECT *, max(CASE WHEN etype = 'Decision' THEN event_id END) OVER b AS
 cls AS (SELECT *, CASE WHEN etype = 'ToolCall' THEN CASE WHEN k % 4 = 0 THEN 'self_report' ELSE 'enforcement_point' END WHEN etype IN ('Decision', 'ModelCall') THEN 'self_report'
     WHEN etype IN ('Incident', 'ApprovalDecided', 'Notice', 'Outcome') THEN 'independent_system' ELSE 'enforcement_point' END AS source_class FROM prev),
 ev AS (SELECT event_id AS n, 'e' || event_id AS id, 'agent-' || user_id AS subject, user_id, 2 * event_id AS ordinal, etype, 'src:' || source_class AS source, source_class,
-    strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad((epoch_ms(ts) % 1000)::VARCHAR, 3, '0') || 'Z' AS time, CASE WHEN k % 11 <> 0 THEN 'agent-' || user_id END AS agent, CASE WHEN k % 7 <> 0 THEN ['ctx-' || k] ELSE [] END AS used,
+    strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(((epoch_us(ts) // 1000) % 1000)::VARCHAR, 3, '0') || 'Z' AS time, CASE WHEN k % 11 <> 0 THEN 'agent-' || user_id END AS agent, CASE WHEN k % 7 <> 0 THEN ['ctx-' || k] ELSE [] END AS used,
     CASE WHEN etype = 'Decision' THEN CASE k % 3 WHEN 0 THEN 'dom:Credit' WHEN 1 THEN 'dom:Hiring' ELSE 'dom:Minor' END END AS decision_type,
     CASE WHEN etype = 'Decision' THEN CASE WHEN k % 5 = 0 THEN 'review_after' ELSE 'review_before' END END AS oversight_modality,
     CASE WHEN etype IN ('ToolCall', 'ApprovalDecided', 'Notice', 'Outcome') THEN 'e' || CASE WHEN k % 10 = 7 THEN event_id + 100000000 ELSE pd END END AS ref_decision,

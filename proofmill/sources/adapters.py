@@ -15,7 +15,8 @@ from ..functions import first_present, nanoseconds_to_time
 
 EVENT = ["id", "etype", "time", "trace_id", "agent", "detail"]
 
-VALUE = "struct<stringValue:string,intValue:string,boolValue:boolean,doubleValue:double>"
+_PLAIN = "stringValue:string,intValue:string,boolValue:boolean,doubleValue:double"
+VALUE = f"struct<{_PLAIN},arrayValue:struct<values:array<struct<{_PLAIN}>>>,kvlistValue:struct<values:array<struct<key:string,value:struct<{_PLAIN}>>>>>"
 SPANS = (
     "resourceSpans array<struct<resource:struct<attributes:array<struct<key:string,value:" + VALUE + ">>>,schemaUrl:string,"
     "scopeSpans:array<struct<scope:struct<name:string,version:string>,spans:array<struct<traceId:string,spanId:string,parentSpanId:string,name:string,"
@@ -37,8 +38,11 @@ SESSIONS = ["invoke_agent", "invoke_workflow"]
 
 
 def attribute_map(attributes: Column) -> Column:
-    """Tagged values as text by key; the last of equal keys holds."""
-    text = lambda v: F.coalesce(v["stringValue"], v["intValue"], v["boolValue"].cast("string"), v["doubleValue"].cast("string"))
+    """Tagged values as text by key, lists and key-value lists as JSON text; the last of equal keys holds."""
+    plain = lambda v: F.coalesce(v["stringValue"], v["intValue"], v["boolValue"].cast("string"), v["doubleValue"].cast("string"))
+    listed = lambda v: F.to_json(F.transform(v["arrayValue"]["values"], plain))
+    keyed = lambda v: F.to_json(F.map_from_entries(F.transform(F.filter(v["kvlistValue"]["values"], lambda e: e["key"].isNotNull()), lambda e: F.struct(e["key"], plain(e["value"])))))
+    text = lambda v: F.coalesce(plain(v), listed(v), keyed(v))
     pairs = F.coalesce(attributes, F.array().cast(f"array<struct<key:string,value:{VALUE}>>"))
     last = F.filter(pairs, lambda a, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda b: b["key"] == a["key"]))
     return F.map_from_entries(F.transform(F.filter(last, lambda a: a["key"].isNotNull()), lambda a: F.struct(a["key"], text(a["value"]))))

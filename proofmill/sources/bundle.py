@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,15 +15,16 @@ RECORDS = T.StructType([T.StructField("sources", T.ArrayType(T.StructType([T.Str
 
 
 def scan_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ordinal, line) of all lines; the ordinal is the byte offset, so large files still split."""
-    sc = spark.sparkContext
-    files = [r["path"] for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").collect()]
-    parts = []
-    for f in sorted(files):
-        lines = sc.newAPIHadoopFile(f, "org.apache.hadoop.mapreduce.lib.input.TextInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.Text")
-        parts.append(spark.createDataFrame(lines, "ordinal long, line string").withColumn("file", F.lit(f)))
-    empty = spark.createDataFrame([], "ordinal long, line string, file string")
-    return reduce(DataFrame.unionByName, parts, empty).where(F.trim("line") != "").select("file", "ordinal", "line")
+    """(file, ordinal, line) of all lines of the files below a path, blank ones left out.
+
+    The ordinal ascends with the line's place in its file: the first byte of the split it was read
+    with, and its number there (a line has a byte at least, so splits never overlap).  One file scan;
+    lines are numbered split by split, so a file of any size is read in parallel.
+    """
+    rows = spark.read.option("recursiveFileLookup", "true").text(path)
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("first"), F.monotonically_increasing_id().alias("m"), F.col("value").alias("line"))
+    at = F.row_number().over(Window.partitionBy("file", "first").orderBy("m")) - 1
+    return rows.withColumn("ordinal", F.col("first") + at).where(F.trim("line") != "").select("file", "ordinal", "line")
 
 
 def scan_table(spark: SparkSession, path: str) -> DataFrame:
@@ -68,10 +69,14 @@ def collect(parts: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     return rows, names.join(counts, "source_name", "left").select("source_name", F.coalesce(F.col("n") > 0, F.lit(False)).alias("complete"))
 
 
-def write_bundle(events: DataFrame, path: str) -> None:
-    """Events in order of time and id, and the source dimension derived from them."""
+def write_bundle(events: DataFrame, path: str) -> DataFrame:
+    """Events in order of time and id, the source dimension derived from them, and the manifest of both: (path, bytes, sha256)."""
+    spark = events.sparkSession
     events.sortWithinPartitions("time", "id").write.parquet(f"{path}/events")
     events.select("source", F.col("source_class").alias("declared_class")).distinct().write.parquet(f"{path}/sources")
+    found = file_digests(spark, path).where("path like '%.parquet'")
+    found.coalesce(1).write.json(f"{path}/manifest")  # one row a file
+    return spark.read.schema(found.schema).json(f"{path}/manifest")
 
 
 def write_quarantine(rows: DataFrame, path: str) -> None:

@@ -61,17 +61,27 @@ def counts_by_window(events: DataFrame, every: str = "1 hour", delay: str = "1 h
     return at.groupBy(F.window("at", every), "etype").agg(F.count("*").alias("events")).select("window.start", "window.end", "etype", "events")
 
 
+#: Folders over which the events of ``reassess`` are dealt by subject.
+BUCKETS = 64
+
+
 def reassess(assess: Callable[[DataFrame], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: assesses all events so far, writes result and drift under the batch's number.
+    """A foreachBatch function: assesses the subjects that a batch touches, over all their events so far,
+    and writes all outcomes and the drift under the batch's number.
 
-    A batch that runs again writes the same folders anew; a changed input makes a new version that
-    names the one it replaces, so no late event closes silently.
+    Events lie in folders by a hash of their subject, and only folders of touched subjects are read.  A
+    batch that runs again writes the same folders anew; a changed input makes a new version that names
+    the one it replaces, so no late event closes silently.
     """
+    bucket = F.pmod(F.xxhash64("subject"), F.lit(BUCKETS)).cast("int")
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{path}/events/batch={number}")
-        now = assess(spark.read.parquet(f"{path}/events").where(F.col("batch") <= number).drop("batch")).persist()
+        batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/events/batch={number}")
+        touched = spark.read.parquet(f"{path}/events/batch={number}").select("subject", bucket.alias("bucket")).distinct()
+        buckets = [r["bucket"] for r in touched.select("bucket").distinct().collect()]  # BUCKETS numbers at most
+        events = spark.read.option("basePath", f"{path}/events").parquet(f"{path}/events").where((F.col("batch") <= number) & F.col("bucket").isin(buckets))
+        now = assess(events.join(touched.select("subject"), "subject", "left_semi").select(batch.columns)).persist()
         old = spark.read.parquet(f"{path}/outcomes/batch={number - 1}") if number else None
         if old is not None:
             drift(old, now).withColumn("supersedes", F.lit(number - 1)).write.mode("overwrite").parquet(f"{path}/drift/batch={number}")

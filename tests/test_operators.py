@@ -3,13 +3,14 @@
 import hashlib
 import hmac
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from proofmill import functions as fn
+from proofmill.operators import assess, catalog, coverage, governance, ingest, integrity, loading, metrics, narrative, rules, schema, state, summary
 from proofmill.operators import facts as fx
-from proofmill.operators import governance, ingest, integrity, metrics, state, summary
 from proofmill.sources import adapters, bundle
 
 HASH = lambda s: hashlib.sha256(s.encode()).hexdigest()
@@ -176,7 +177,7 @@ def test_bundle(spark, tmp_path):
     want = spark.createDataFrame([("events/a.jsonl", "sha256:" + digest.upper()), ("events/b.jsonl", "0")], "path string, sha256 string")
     assert [tuple(r) for r in bundle.verify_files(found, want).collect()] == [("events/b.jsonl", "missing")]
     assert bundle.dataset_digest(found) == HASH(f"events/a.jsonl {digest}")
-    assert [(r.ordinal, r.line) for r in bundle.scan_lines(spark, str(p / "events")).orderBy("ordinal").collect()] == [(0, "x"), (3, "yy")]
+    assert [(r.ordinal, r.line) for r in bundle.scan_lines(spark, str(p / "events")).orderBy("ordinal").collect()] == [(0, "x"), (2, "yy")]
 
 
 def test_deviations(spark):
@@ -207,3 +208,199 @@ def test_probe_cases(spark):
 def test_gate_refuses_unknown_field(spark):
     with pytest.raises(ValueError):
         summary.gate(spark.createDataFrame([("a",)], "outcome string"), [[("text", "x")]])
+
+
+def test_late_copies_in_any_order(spark):
+    """The sequential rule on the five rows that a round-by-round reading loses, and on random feeds in two streams."""
+    five = [("A", "s", 0, "10"), ("B", "s", 1, "05"), ("B", "s", 2, "20"), ("C", "s", 3, "15"), ("C", "s", 4, "25")]
+    pick = random.Random(11)
+    feeds = [five] + [[(f"{n}:{pick.choice('abcdef')}", f"{n}:{pick.choice('st')}", 100 * n + o, f"{pick.randint(0, 30):02}") for o in range(pick.randint(1, 14))] for n in range(1, 400)]
+    want = {}
+    for rows in feeds:
+        taken, last = set(), {}
+        for i, s, o, t in rows:
+            want[o] = "duplicate_id" if i in taken else "time_order" if t < last.get(s, "") else None
+            if want[o] is None:
+                taken.add(i)
+                last[s] = t
+    got = ingest.ingest(feed(spark, [r for rows in feeds for r in rows])).collect()
+    assert {r.ordinal: r.reason for r in got} == want and [want[o] for o in range(5)] == [None, "time_order", None, "time_order", None]
+
+
+def test_streams_and_invalid_payloads(spark):
+    rows = feed(spark, [("a", "s", 0, "5"), ("b", "s", 1, "3"), ("c", "s", 2, "1")]).withColumn("data", F.when(F.col("id") == "b", '{"integrity": {"stream": "other", "hash": "h", "prev": "p", "strength": "export_chained"}}').when(F.col("id") == "c", '{"agent": {}}').otherwise("{}"))
+    got = ingest.ingest(schema.with_stream(schema.payload_errors(rows))).collect()
+    assert {(r.id, r.stream): r.reason for r in got} == {("a", "s"): None, ("b", "other"): None, ("c", "s"): "schema_invalid"}
+
+
+def test_class_mismatch(spark):
+    sources = spark.createDataFrame([("s", "other"), ("t", None)], "source string, declared_class string")
+    got = ingest.ingest(feed(spark, [("a", "s", 0, "1"), ("b", "t", 1, "1")]), sources).collect()
+    assert {r.id: r.reason for r in got} == {"a": "class_mismatch", "b": None}
+
+
+@pytest.mark.parametrize(
+    "etype,data,error",
+    [
+        ("ToolCall", {"tool": {"name": "x", "protocol": "mcp"}, "effect_class": "read", "used": ["c"]}, None),
+        ("ToolCall", {"effect_class": "fly"}, "effect_class has no allowed value"),
+        ("ToolCall", {"tool": {"server": "x"}}, "tool.name is missing"),
+        ("ToolCall", {"used": "c"}, "used is not of kind list"),
+        ("Notice", {"effect_class": "fly"}, None),
+        ("ApprovalDecided", {"latency_ms": 1.5}, "latency_ms is not of kind integer"),
+        ("ApprovalDecided", {"latency_ms": True}, "latency_ms is not of kind integer"),
+        ("Outcome", {"adverse": "no"}, "adverse is not of kind boolean"),
+        ("Decision", [1], "payload is no object"),
+        ("Decision", None, "payload is no object"),
+    ],
+)
+def test_payload_rules(spark, etype, data, error):
+    rows = spark.createDataFrame([(etype, None if data is None else json.dumps(data))], "etype string, data string")
+    errors = schema.payload_errors(rows).first()["errors"]
+    assert (errors[0] if errors else None) == error
+
+
+def test_own_payload_rules_and_paths(spark):
+    rows = spark.createDataFrame([("X", '{"a": {"b": "v"}}'), ("X", '{"a": 1}')], "etype string, data string")
+    own = [{"etype": "X", "path": "a.b", "kind": "text", "allowed": ["v"], "required": True}]
+    assert [r["errors"] for r in schema.payload_errors(rows, own).collect()] == [[], ["a.b is missing"]]
+    assert [r["b"] for r in schema.projected(rows, {"b": "a.b"}).collect()] == ["v", None]
+
+
+def test_controls_of_a_file(spark, tmp_path):
+    one = {"catalog": "mine", "control": "X-1", "mode": "automated", "rung": 2, "severity": "high", "roles": ["deployer"], "checks": "Q01+Q02", "need": ["Decision:any", "Notice:independent_system"], "tolerance": {"kind": "ratio", "max": "0.1"}}
+    (tmp_path / "c.json").write_text(json.dumps([one]))
+    got = loading.read_controls(spark, str(tmp_path / "c.json")).first()
+    assert got["need"] == ["Decision", "Notice:independent_system"] and got["tolerance"]["kind"] == "ratio"
+    for change in ({"severity": "grave"}, {"checks": "Q99"}, {"roles": []}, {"control": None}, {"mode": "by hand"}):
+        (tmp_path / "d.json").write_text(json.dumps([{**one, **change}]))
+        with pytest.raises(ValueError):
+            loading.read_controls(spark, str(tmp_path / "d.json"))
+    (tmp_path / "e.json").write_text('{"id": "x:A", "consequential": true}\n{"id": "x:B", "subclass_of": "x:A"}\n')
+    assert [tuple(r)[:3] for r in loading.read_domain(spark, str(tmp_path / "e.json")).orderBy("decision_type").collect()] == [("x:A", "Decision", True), ("x:B", "x:A", False)]
+
+
+@pytest.mark.parametrize("kind,most,applicable,failed,within", [("count", "1", 10, 1, True), ("count", "1", 10, 2, False), ("ratio", "0.1", 30, 3, True), ("ratio", "0.1", 29, 3, False), ("ratio", "1.5", 0, 1, True), ("ratio", "0.5", 0, 1, False), (None, None, 3, 0, True), (None, None, 3, 1, False)])
+def test_tolerances(spark, kind, most, applicable, failed, within):
+    rows = spark.createDataFrame([((kind, most) if kind else None, applicable, failed)], "tolerance struct<kind:string,max:string>, applicable long, failed long")
+    assert loading.with_tolerance(rows).first()["within"] == within
+
+
+def test_profiles(spark):
+    profile = spark.createDataFrame([("s", "2024-01-01T00:00:00Z", "2024-02-01T00:00:00Z", ""), ("t", None, None, "me"), ("u", "2024-01-01", "2024-12-31", "me")], "subject string, start string, end string, confirmed_by string")
+    parts = spark.createDataFrame([("u", "bot", None), ("u", "aid", "mail")], "subject string, name string, task_scope string")
+    got = {tuple(r) for r in loading.profile_problems(profile, parts).collect()}
+    assert got == {("s", "window under 90 days"), ("s", "not confirmed"), ("t", "no observation window"), ("u", "bot: no task scope")}
+    events = spark.createDataFrame([("t", "2"), ("t", "1")], "subject string, time string")
+    got = {r.subject: (r.start, r.end) for r in loading.observation_window(events, profile.where("subject <> 's'")).collect()}
+    assert got == {"t": ("1", "2"), "u": ("2024-01-01", "2024-12-31")}
+
+
+def test_verdicts_must_cite(spark):
+    rows = spark.createDataFrame([("s", "k", "A-1", "conformant", "Q01"), ("s", "k", "B-1", "not_assessed", None)], "subject string, catalog string, control string, outcome string, checks string")
+    cited = spark.createDataFrame([("s", "Q01", "e1")], "subject string, checks string, focus string")
+    assert assess.require_evidence(rows, cited).count() == 2
+    with pytest.raises(ValueError, match="A-1"):
+        assess.require_evidence(rows, cited.limit(0))
+
+
+def test_signatures(spark):
+    rows = chain(spark, ["a", "b"]).withColumn("sig_ref", F.when(F.col("id") == "a", "sig/a").otherwise("")).withColumn("strength", F.lit("source_signed"))
+    files = spark.createDataFrame([("sig/b",)], "path string")
+    assert sorted(r["signed"] for r in integrity.signatures(rows).collect()) == [False, True]
+    assert [r["signed"] for r in integrity.signatures(rows, files).collect()] == [False, False]
+    both = rows.withColumn("sig_ref", F.lit("sig/b"))
+    assert integrity.stream_status(integrity.signatures(both, files)).first().status == "verified"
+
+
+def test_structural_oracle_and_interval(spark):
+    links = spark.createDataFrame([("c1", "x", "type", "Call"), ("c1", "x", "by", "p"), ("c2", "y", "type", "Call")], "subject string, s string, p string, o string")
+    literals = spark.createDataFrame([], "subject string, s string, p string, value string, datatype string")
+    closure = spark.createDataFrame([("Call", "Call")], "descendant string, ancestor string")
+    rule = {"target": "Call", "path": ["by"], "check": ("min_count", 1)}
+    assert [r.case_id for r in metrics.structural_failures(links, literals, closure, rule).collect()] == ["c2"]
+    rates = spark.createDataFrame([("g", 10, 2, "pass"), ("h", 0, 0, "not_assessed")], "g string, total long, failed long, outcome string")
+    assert [(r.low, r.high) for r in metrics.success_interval(rates).collect()] == [("0.0252", "0.5561")]
+
+
+def test_rules_on_kinds_and_disjoint_paths(spark):
+    links = spark.createDataFrame([("s", "x", "type", "C"), ("s", "x", "a", "n"), ("s", "x", "b", "n"), ("s", "y", "type", "C"), ("s", "y", "a", "n")], "subject string, s string, p string, o string")
+    literals = spark.createDataFrame([("s", "y", "a", "7", "integer")], "subject string, s string, p string, value string, datatype string")
+    closure = spark.createDataFrame([("C", "C")], "descendant string, ancestor string")
+    result = lambda check: {r.focus: r.ok for r in rules.evaluate(links, literals, closure, {"target": "C", "path": ["a"], "check": check}).collect()}
+    assert result(("node_kind", "node")) == {"x": True, "y": False}
+    assert result(("disjoint", ["b"])) == {"x": False, "y": True}
+
+
+def test_oracles(spark):
+    event = "array<struct<etype:string,decision:string,effect:string>>"
+    rows = [(1, "a", "a", "write", [("ToolCall", None, "read")]), (2, "a", "b", "write", [("ToolCall", None, "write"), ("PolicyDecision", "deny", None)])]
+    cases = spark.createDataFrame(rows, f"case_id long, output string, expected string, forbidden string, events {event}")
+    failed = {o: [r.failed for r in metrics.attack_success(cases, o, ["case_id"], None).orderBy("case_id").collect()] for o in ("exact_match", "policy_violation", "absence")}
+    assert failed == {"exact_match": [0, 1], "policy_violation": [1, 0], "absence": [0, 1]}
+
+
+def test_held_out_and_manifest(spark):
+    truth = spark.createDataFrame([("p", "A", "non-conformant", "held-out"), ("q", "A", "non-conformant", "held-out"), ("r", "A", "conformant", "adversarial")], "project string, control string, expected string, `group` string")
+    got = spark.createDataFrame([("p", "A", "non-conformant"), ("r", "A", "conformant")], "project string, control string, outcome string")
+    assert tuple(summary.held_out(truth, got).first()) == (2, 1, 1, True)
+    assert tuple(summary.held_out(truth, got.where("project = 'p'")).first()) == (2, 1, 1, False)
+    one, two = (summary.run_manifest(spark, "d", {"a": "1"}, rows, "2024-01-01T00:00:00Z", "me", "old").first() for rows in (catalog.controls(spark), catalog.controls(spark).repartition(3)))
+    assert one == two and one["outputs"] == {"a": "1"} and one["supersedes"] == "old"
+    assert summary.run_manifest(spark, "d", {}, catalog.controls(spark).limit(3), "t", "me").first()["catalog_digest"] != one["catalog_digest"]
+
+
+def test_written_bundle_reads_back(spark, tmp_path):
+    rows = feed(spark, [("a", "s", 0, "2"), ("b", "t", 1, "1")])
+    manifest = bundle.write_bundle(rows, str(tmp_path / "b"))
+    found = bundle.file_digests(spark, str(tmp_path / "b")).where("path like '%.parquet'")
+    assert bundle.verify_files(found, manifest).count() == 0 and manifest.count() == found.count() >= 2
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "b/sources")).collect())) == [("s", "c"), ("t", "c")]
+    (tmp_path / "m.json").write_text(json.dumps({"sources": [{"id": "s", "class": "c"}], "files": [{"path": "x", "sha256": "1"}]}))
+    sources, files = bundle.read_manifest(spark, str(tmp_path / "m.json"))
+    assert [tuple(r) for r in sources.collect()] == [("s", "c")] and [tuple(r) for r in files.collect()] == [("x", "1")]
+    spark.createDataFrame([("l1",), ("l2",)], "line string").coalesce(1).write.parquet(str(tmp_path / "lines"))
+    assert [(r.ordinal, r.line) for r in bundle.scan_table(spark, str(tmp_path / "lines")).orderBy("ordinal").collect()] == [(0, "l1"), (1, "l2")]
+    both, complete = bundle.collect({"one": rows, "two": rows.limit(0)})
+    assert both.count() == 2 and {r.source_name: r.complete for r in complete.collect()} == {"one": True, "two": False}
+
+
+def test_sinks(spark, tmp_path):
+    rejected = ingest.ingest(feed(spark, [("a", "s", 0, "2"), ("a", "s", 1, "3")]))
+    bundle.write_quarantine(rejected, str(tmp_path / "q"))
+    assert [(r.id, r.reason) for r in spark.read.json(str(tmp_path / "q")).collect()] == [("a", "duplicate_id")]
+    rows = spark.createDataFrame([("t", "k", "B-1", "conformant", "low", 1, 0, "Q01"), ("s", "k", "A-1", "conformant", "low", 1, 0, "Q01")], "subject string, catalog string, control string, outcome string, severity string, applicable long, failed long, checks string")
+    bundle.write_assertions(rows, str(tmp_path / "a"), "csv")
+    bundle.write_assertions(rows, str(tmp_path / "p"))
+    assert [r.subject for r in spark.read.csv(str(tmp_path / "a"), header=True).collect()] == ["s", "t"] and spark.read.parquet(str(tmp_path / "p")).count() == 2
+    cited = spark.createDataFrame([("s", "Q01", "e2"), ("s", "Q01", "e1")], "subject string, checks string, focus string")
+    got = {r.subject: r.evidence for r in bundle.evidence_submission(rows, cited, "now").collect()}
+    assert got == {"s": ["e1", "e2"], "t": []}
+    with pytest.raises(ValueError):
+        bundle.evidence_submission(rows.withColumn("outcome", F.lit(None).cast("string")), cited, "now")
+
+
+def test_small_reports(spark):
+    reasons = lambda *b: spark.createDataFrame([("k", "r", x) for x in b], "kind string, ref string, blocks boolean")
+    assert [governance.readiness_verdict(reasons(*b)).first()["verdict"] for b in ((True, False), (False,))] == ["NOT READY", "READY WITH LIMITATIONS"]
+    assert governance.readiness_verdict(reasons(True).limit(0)).first()["verdict"] == "READY"
+    rows = spark.createDataFrame([("not_assessed",)], "outcome string")
+    assert summary.nothing_evaluated(rows) and not summary.nothing_evaluated(rows.union(spark.createDataFrame([("partial",)], "outcome string")))
+    groups = lambda *o: spark.createDataFrame([(x,) for x in o], "outcome string")
+    assert [metrics.overall(groups(*o)).first()[0] for o in (("pass", "fail"), ("pass", "not_assessed"), ("not_assessed",))] == ["fail", "pass", "not_assessed"]
+    one = spark.createDataFrame([("a", "1.50"), ("b", "1e3"), ("c", "x")], "id string, v string")
+    assert [r[0] for r in one.select(fn.event_iri(F.col("id"))).collect()] == ["urn:event:a", "urn:event:b", "urn:event:c"]
+    assert [None if r[0] is None else float(r[0]) for r in one.select(fn.plain_decimal(F.col("v"))).collect()] == [1.5, None, None]
+    assert one.select(narrative.content_reference(F.col("v"))).first()[0] == "sha256:" + HASH("1.50")
+    emitted = spark.createDataFrame([("ToolCall", None), ("ToolCall", None), ("Notice", "malformed")], "etype string, reason string")
+    assert [tuple(r) for r in adapters.source_counts(emitted).collect()] == [("ToolCall", 2)]
+    cover = coverage.coverage(spark.createDataFrame([("s", "own", "ToolCall")], "subject string, source string, etype string"), spark.createDataFrame([("s", "far", None)], "subject string, source string, covers array<string>"), manifests=spark.createDataFrame([("far", "ToolCall", 2)], "source string, etype string, n long"))
+    assert [(r.observed, r.expected, r.status) for r in cover.collect()] == [(1, 2, "below_threshold")]
+
+
+def test_attribute_lists(spark):
+    plain = {"key": "k", "value": {"arrayValue": {"values": [{"stringValue": "a"}, {"intValue": "2"}]}}}
+    keyed = {"key": "m", "value": {"kvlistValue": {"values": [{"key": "x", "value": {"boolValue": True}}]}}}
+    doc = {"resourceSpans": [{"scopeSpans": [{"spans": [{"traceId": "t", "spanId": "s", "name": "chat", "startTimeUnixNano": "1", "attributes": [plain, keyed]}]}]}]}
+    got = adapters.unnest_spans(spark.createDataFrame([(json.dumps(doc),)], "doc string")).first()["attributes"]
+    assert (got["k"], got["m"]) == ('["a","2"]', '{"x":"true"}')

@@ -31,6 +31,28 @@ def test_reassess_writes_drift(spark, tmp_path):
     assert [(r.control, r.previous, r.outcome, r.supersedes) for r in got] == [("A", "conformant", "non-conformant", 0)]
 
 
+def test_reassess_keeps_untouched_subjects(spark, tmp_path):
+    schema = "subject string, catalog string, control string, outcome string"
+    last = lambda df: df.groupBy("subject", "catalog", "control").agg({"outcome": "max"}).withColumnRenamed("max(outcome)", "outcome")
+    run = streaming.reassess(last, str(tmp_path / "r"))
+    run(spark.createDataFrame([("s", "k", "A", "conformant"), ("t", "k", "A", "conformant")], schema), 0)
+    run(spark.createDataFrame([("t", "k", "A", "a late event")], schema), 1)
+    got = spark.read.parquet(str(tmp_path / "r/outcomes/batch=1")).collect()
+    assert {(r.subject, r.outcome) for r in got} == {("s", "conformant"), ("t", "conformant")}
+
+
+def test_counts_by_window(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    rows = [("2024-01-01T00:10:00Z", "ToolCall"), ("2024-01-01T00:50:00Z", "ToolCall"), ("2024-01-01T05:00:00Z", "Notice"), ("2024-01-01T09:00:00Z", "Notice")]
+    spark.createDataFrame(rows, "time string, etype string").coalesce(1).write.parquet(str(src / "a"))
+    q = streaming.counts_by_window(spark.readStream.schema("time string, etype string").parquet(str(src / "*")))
+    q = q.writeStream.format("memory").queryName("windows").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert {(r.etype, r.events) for r in spark.table("windows").collect()} == {("ToolCall", 2), ("Notice", 1)}
+
+
 def test_chain_continues_over_batches(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     schema = "stream string, id string, ordinal long, time string, content_hash string, hash string, prev string"
