@@ -28,17 +28,18 @@ def type_name(column: str | Column) -> Column:
     return F.nullif(F.regexp_extract(column, r"\.evidence\.([A-Za-z]+)\.v1$", 1), F.lit(""))
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
+def parse_lines(lines: DataFrame, class_member: str = "sourceclass") -> DataFrame:
     """Raw JSON lines (file, ordinal, line) to envelope columns and ``parse_reason``.
 
     parse_reason is oversize, schema_invalid, or null; the payload stays JSON text in ``data``.
+    ``class_member`` is the envelope's member with the source class, as the feed at hand names it.
     """
     body = F.trim("line")
     get = lambda k: F.get_json_object(body, f"$.{k}")
     whole = F.coalesce(F.schema_of_variant(F.try_parse_json(body)).startswith("OBJECT"), F.lit(False))
     bad = F.when(F.octet_length(body) > MAX_OCTETS, "oversize").when(~whole, "schema_invalid")
     out = lines.where(F.length(body) > 0)
-    return out.select("file", "ordinal", *[get(k).alias(k) for k in ("id", "source", "subject", "time")], F.coalesce(type_name(get("type")), get("type")).alias("etype"), get("agentcesourceclass").alias("source_class"), get("data").alias("data"), bad.alias("parse_reason"))
+    return out.select("file", "ordinal", *[get(k).alias(k) for k in ("id", "source", "subject", "time")], F.coalesce(type_name(get("type")), get("type")).alias("etype"), get(class_member).alias("source_class"), get("data").alias("data"), bad.alias("parse_reason"))
 
 
 def row_reason(rows: DataFrame, sources: DataFrame | None) -> DataFrame:

@@ -61,7 +61,7 @@ def user_rules(spark, d):
     """Thirteen user rules on the general path: populations and failures by subject."""
     links, literals, closure = graph(spark, d)
     # many rules read the same graph: it is written once for all of them
-    links, literals = links.persist(), literals.persist()
+    links, literals = ing.written(links, "links"), ing.written(literals, "literals")
     return ru.results(links, literals, closure, {n: r for n, (r, _) in RULES.items()}, SHAPES)
 
 
