@@ -131,4 +131,14 @@ rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM g, range(3) AS y(k) WHERE
 b AS (SELECT doc_id, len(ws)::BIGINT AS n_words, len(list_aggregate(ws, 'string_agg', ''))::BIGINT AS word_chars, len(regexp_extract_all(d.text, '{quality.SYMBOLS}'))::BIGINT AS n_symbols,
   list_filter(string_split(d.text, chr(10)), lambda x: regexp_matches(x, '{_PLAIN}')) AS ls, coalesce(n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN rep USING (doc_id))
 SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b""",
+    "op7_substring_dedup": f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, j, substr(h, 2 * j + 1, 2 * (256 + {substring.LENGTH - 1})) AS h FROM d, unnest(range(0, length(h) // 2, 256)) AS t(j)),
+g AS (SELECT doc_id, j + i AS i, substr(h, 2 * i - 1, {2 * substring.LENGTH}) AS s FROM c, unnest(range(1, least(256, length(h) // 2 - {substring.LENGTH} + 1) + 1)) AS t(i)),
+m AS (SELECT s, min(doc_id) AS first FROM g GROUP BY s HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT g.doc_id, g.i, lag(g.i) OVER (PARTITION BY g.doc_id ORDER BY g.i) AS before FROM g JOIN m ON m.s = g.s AND m.first < g.doc_id),
+y AS (SELECT doc_id, i, sum(CASE WHEN i - before <= {substring.LENGTH} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r),
+z AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS e FROM (SELECT doc_id, min(i) AS a, max(i) + {substring.LENGTH - 1} AS b FROM y GROUP BY doc_id, run)),
+k AS (SELECT doc_id, sum(b - a + 1) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * e + 1, 2 * (a - e - 1)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS rest FROM z JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
 }

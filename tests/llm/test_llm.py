@@ -283,24 +283,34 @@ def bench_words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
 
 
-def test_decontamination(spark, docs, empty):
-    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    got = by_id(decontaminate.contamination(docs, bench))
-    windows = {}
-    for i, t in ITEMS:
+def plain_contamination(rows, items):
+    """(hit words, items met) of each doc_id, over every place of every text."""
+    windows, out = {}, {}
+    for i, t in items:
         w = bench_words(t)
         for k in range(max(1, len(w) - 12) if w and i is not None else 0):
             windows.setdefault(tuple(w[k : k + 13]), set()).add(str(i))
-    for i, t, _ in ROWS:
-        w, hit, items = bench_words(t), set(), set()
+    sizes = {len(x) for x in windows}
+    for i, t in rows:
+        w, hit, met = bench_words(t), set(), set()
         for k in range(len(w)):
-            for n in {len(x) for x in windows}:
-                if (own := windows.get(tuple(w[k : k + n]))) and k + n <= len(w):
+            for n in sizes:
+                if k + n <= len(w) and (own := windows.get(tuple(w[k : k + n]))):
                     hit |= set(range(k, k + n))
-                    items |= own
+                    met |= own
+        out[i] = len(hit), met
+    return out
+
+
+def test_decontamination(spark, docs, empty):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = by_id(decontaminate.contamination(docs, bench))
+    want = plain_contamination([(i, t) for i, t, _ in ROWS], ITEMS)
+    for i, t, _ in ROWS:
+        w, hit, items = len(bench_words(t)), *want[i]
         r = got[i]
-        assert (r["n_words"], r["n_hit"], r["items"]) == (len(w), len(hit), sorted(items)), i
-        assert r["contaminated"] == (len(hit) > 0 and 20 * len(hit) >= len(w))
+        assert (r["n_words"], r["n_hit"], r["items"]) == (w, hit, sorted(items)), i
+        assert r["contaminated"] == (hit > 0 and 20 * hit >= w)
     assert decontaminate.contamination(docs, bench.limit(0)).where("contaminated or n_hit > 0").count() == 0
     assert decontaminate.contamination(empty, bench).count() == 0
 
@@ -634,31 +644,44 @@ def buckets(w, n):
     return [bucket(x, n) for x in w] + [bucket(x[-3:], n) for x in w] + [signed(pair(x, y)) % n for x, y in itertools.pairwise(w)]
 
 
-def test_quality(spark, docs, empty):
-    labels = spark.createDataFrame([(i, int(i < 30), 0) for i in range(len(ROWS))], "doc_id long, quality int, toxic int")
-    got = {r["doc"]["doc_id"]: r for r in quality.quality_rules(docs, labels).collect()}
+def repeated_words(w):
+    where = {}
+    for k in range(len(w) - 2):
+        where.setdefault(tuple(w[k : k + 3]), []).append(k)
+    return len({p for ks in where.values() if len(ks) > 1 for k in ks for p in (k, k + 1, k + 2)})
+
+
+def plain_quality(rows, good_ids):
+    """(base counts, base_failed, llr) of each text of (doc_id, text), with the ratios counted in plain Python."""
     n = quality.BUCKETS
     raw, good = [0] * n, [0] * n
-    for i, t, _ in [*ROWS, (None, "a row without an id " * 20, "")]:
-        for b in buckets(plain_words(t), n):
+    grams = {t: buckets(plain_words(t), n) for _, t in rows}
+    for i, t in rows:
+        for b in grams[t]:
             raw[b] += 1
-            good[b] += i is not None and i < 30
+            good[b] += i in good_ids
     a, b = sum(good) + n, sum(raw) + n
     ratio = [round(math.log((g + 1) / a) - math.log((r + 1) / b), 6) for g, r in zip(good, raw, strict=True)]
-    for i, t, _ in ROWS:
-        w, t = plain_words(t), t or ""
-        windows = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
-        again = {p for k, x in enumerate(windows) if windows.count(x) > 1 for p in (k, k + 1, k + 2)} if len(windows) < 1000 else None
-        ls = [x for x in t.split("\n") if plain_words(x)]
-        r = got[i]
-        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"]) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(ls) - len(set(ls))), i
-        if again is not None:
-            assert r["n_repeat_words"] == len(again), i
-            assert r["base_failed"] == (len(w) < 50 or 100 * len(again) > 50 * len(w))
-        score = sum(ratio[x] for x in buckets(w, n)) / (3 * len(w) - 1) if w else 0.0
-        assert abs(r["llr"] - score) < 2e-6
-        assert r["kept"] == (not r["base_failed"] and r["llr"] >= quality.MIN_SCORE)
+    out = {}
+    for t in grams:
+        w = plain_words(t)
+        ls = [x for x in (t or "").split("\n") if plain_words(x)]
+        counts = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(ls) - len(set(ls)), repeated_words(w))
+        score = sum(ratio[x] for x in grams[t]) / (3 * len(w) - 1) if w else 0.0
+        out[t] = (counts, len(w) < 50 or 100 * counts[4] > 50 * len(w), score)
+    return out
+
+
+def test_quality(spark, docs, empty):
+    labels = spark.createDataFrame([(i, int(i < 30), 0) for i in range(len(ROWS))], "doc_id long, quality int, toxic int")
+    want = plain_quality([(i, t) for i, t, _ in ROWS] + [(None, "a row without an id " * 20)], set(range(30)))
+    for r in quality.quality_rules(docs, labels).collect():
+        counts, failed, score = want[r["doc"]["text"]]
+        assert tuple(r[c] for c in quality.BASE) == counts and r["base_failed"] == failed
+        assert abs(r["llr"] - score) < 2e-6 and r["kept"] == (not failed and r["llr"] >= quality.MIN_SCORE)
     assert quality.quality_rules(empty, labels.limit(0)).count() == 0
+    # a tie is kept: without labels every ratio is 0
+    assert quality.quality_rules(docs, labels.limit(0), min_score=0.0).where("kept = base_failed").count() == 0
 
 
 # -- 10 -------------------------------------------------------------------------------------------
@@ -714,20 +737,29 @@ def test_toxicity_edges(spark, docs, empty):
 
 
 def test_pipeline(spark):
+    """Each stage against plain Python over what the stage before it kept, and run() against the stages in turn."""
     import corpus_pipeline as cp
     from tokenizers import Tokenizer
 
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    kept = [cp.quality_stage(spark, docs, d)]
-    for stage in (cp.line_stage, cp.near_stage, cp.benchmark_stage):
+    kept = [docs]
+    for stage in (cp.quality_stage, cp.line_stage, cp.near_stage, cp.benchmark_stage):
         kept.append(common.written(stage(spark, kept[-1], d), "t"))
         assert kept[-1].columns == docs.columns
-    texts = {r["doc_id"]: r["text"] for r in kept[1].collect()}
-    root = classes(sorted(texts.items()))
-    assert {r["doc_id"] for r in kept[2].collect()} == {i for i in root if root[i] == i}
+    start, good, lined, first, clean = (sorted((r["doc_id"], r["text"]) for r in k.collect()) for k in kept)
+    trusted = {r["doc_id"] for r in spark.read.parquet(f"{d}/labels.parquet").where("quality = 1").collect()}
+    verdict = plain_quality(start, trusted)
+    assert [i for i, _ in good] == [i for i, t in start if not verdict[t][1] and round(verdict[t][2], 6) >= quality.MIN_SCORE] and dict(good).items() <= dict(start).items()
+    gone = plain_lines(good)
+    assert lined == [(i, "\n".join(x for x, g in zip(t.split("\n"), gone[i], strict=True) if not g)) for i, t in good]
+    root = classes(lined)
+    assert first == [(i, t) for i, t in lined if root[i] == i]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    hits = plain_contamination(first, items)
+    assert clean == [(i, t) for i, t in first if not (hits[i][0] > 0 and 20 * hits[i][0] >= len(bench_words(t)))]
     t = Tokenizer.from_file(vocabulary_path("word_bpe_49k.json"))
-    want = {r["doc_id"]: len(t.encode(r["text"], add_special_tokens=False).ids) for r in kept[3].collect()}
+    want = {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in clean}
     assert {r["doc_id"]: r["n_tokens"] for r in cp.run(spark, d).collect()} == want
 
 
