@@ -18,7 +18,7 @@ import math
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import hash_filter, opaque, text_of
@@ -219,9 +219,13 @@ def license_scan(docs: DataFrame, min_probability: float | None = None, min_cove
     least = family if min_probability is None else min_probability
     names = list(bias)
     pairs = with_grams(template_rows(spark).where(F.col("family") != UNKNOWN)).select("family", "variant", F.size("grams").alias("need"), F.explode_outer("grams").alias("gram"))
-    # which templates a gram belongs to, beside its weights; one small row a gram
-    belongs = pairs.groupBy("gram").agg(F.collect_list(F.struct("family", "variant", "need")).alias("of"))
-    lookup = weights.join(belongs, "gram", "left")
+    # no unit can pass whose n-grams, each at its best against ordinary text, leave that ahead
+    best_gain = F.array_max(F.transform(F.slice("w", 2, len(names) - 1), lambda v: v - F.get("w", 0)))
+    gains = weights.select("gram", F.greatest(best_gain, F.lit(0.0)).alias("gain"))
+    ahead = max(bias[n] for n in names[1:]) - bias[NONE]
+    enough = -ahead - math.log(len(names) - 1) + math.log(0.5) - 1e-6  # thresholds are 0.5 at least
+    if min(least, licence) < 0.5:
+        enough = -math.inf
     maybe = hash_filter(weights.select(F.col("gram").alias("h")), 1024)
     # the pair across a line's end belongs to windows only
     first = F.rtrim(F.get(F.array_remove(F.split(F.lower("next"), WORD, 3), ""), 0), F.lit(".-"))
@@ -236,18 +240,25 @@ def license_scan(docs: DataFrame, min_probability: float | None = None, min_cove
     w = F.floor(F.col("at") / STEP).cast("int")
     windows = F.when(F.col("n") > 1, F.filter(F.array(*[-1 - w + k for k in range(WINDOW // STEP)]), lambda u: u < 0)).otherwise(none)
     units = F.concat(F.when(F.col("cross"), none).otherwise(F.array("at")), windows)
-    met = met.select("doc_id", "key", "run", F.explode_outer(units).alias("unit"), "gram").where("unit is not null").distinct().join(F.broadcast(lookup), "gram")
+    met = met.select("doc_id", "key", "run", F.explode_outer(units).alias("unit"), "gram").where("unit is not null").distinct()
+    unit_of = ["doc_id", "key", "run", "unit"]
+    open_ = met.join(F.broadcast(gains), "gram").withColumn("most", F.sum("gain").over(Window.partitionBy(*unit_of))).where(F.col("most") >= enough).select(*unit_of, "gram")
     sums = [F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(len(names))]
-    unit = met.groupBy("doc_id", "key", "run", "unit").agg(*sums, F.flatten(F.collect_list("of")).alias("of"))
+    unit = open_.join(F.broadcast(weights), "gram").groupBy(*unit_of).agg(*sums, F.collect_list("gram").alias("grams"))
     unit = unit.withColumn("logits", F.array(*[F.col(f"s{i}") + F.lit(bias[n]) for i, n in enumerate(names)])).drop(*[f"s{i}" for i in range(len(names))])
     unit = unit.withColumn("e", F.transform("logits", lambda x: F.exp(x - F.array_max("logits")))).withColumn("total", F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x))
     families = F.array(*map(F.lit, names))
     best = F.array_max(F.transform(F.slice("e", 3, len(names) - 2), lambda x, i: F.struct((x / F.col("total")).alias("p"), F.get(families, i + 2).alias("family"))))
     unit = unit.withColumn("best", best).withColumn("licence", 1 - F.get("e", 0) / F.col("total")).where((F.col("best.p") >= least) | (F.col("licence") > licence))
-    mine = F.filter("of", lambda t: t["family"] == F.col("best.family"))
-    cover = F.array_max(F.transform(F.array_distinct(mine), lambda v: F.size(F.filter(mine, lambda t: t == v)) / v["need"]))
     probable = F.col("best.p") >= least
-    unit = unit.select("doc_id", "key", "run", F.col("best.family").alias("family"), probable.alias("probable"), (probable & (F.coalesce(cover, F.lit(0.0)) >= min_coverage)).alias("sure"))
+    unit = unit.select(*unit_of, F.col("best.family").alias("family"), probable.alias("probable"), "grams")
+    # how much of each template of its family a probable unit has
+    cover = unit.where("probable").select(*unit_of, "family", F.explode("grams").alias("gram")).join(F.broadcast(pairs), ["family", "gram"])
+    cover = cover.groupBy(*unit_of, "variant", "need").agg(F.count("*").alias("have")).groupBy(*unit_of).agg(F.max(F.col("have") / F.col("need")).alias("cover"))
+    # null-safe: rows without a doc_id have units too
+    unit, cover = unit.drop("grams"), cover.withColumnsRenamed({c: f"_{c}" for c in unit_of})
+    unit = unit.join(cover, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("key") == F.col("_key")) & (F.col("run") == F.col("_run")) & (F.col("unit") == F.col("_unit")), "left")
+    unit = unit.select("doc_id", "key", "run", "family", "probable", (F.col("probable") & (F.coalesce("cover", F.lit(0.0)) >= min_coverage)).alias("sure"))
     part = unit.groupBy("doc_id", "key", "run").agg(F.bool_or("sure").alias("sure"), F.bool_or("probable").alias("probable"), F.collect_set(F.when(F.col("sure"), F.col("family"))).alias("f"))
     found = part.groupBy("doc_id", "key").agg(F.count_if("sure").alias("yes"), F.count_if(~F.col("sure") & F.col("probable")).alias("no"), F.count_if(~F.col("probable")).alias("other"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("f")))).alias("f"))
     found = found.withColumnsRenamed({"doc_id": "_id", "key": "_k"})
