@@ -69,6 +69,14 @@ def event_iri(event_id: Column) -> Column:
     return F.concat(F.lit("urn:event:"), event_id)
 
 
+def compact_iri(iri: Column, prefixes: dict[str, str]) -> Column:
+    """``prefix:rest`` of an IRI under one of a few namespaces, the longest that fits; others stay as they are."""
+    out = iri
+    for name, base in sorted(prefixes.items(), key=lambda p: len(p[1])):
+        out = F.when(iri.startswith(base), F.concat(F.lit(f"{name}:"), F.substring(iri, F.lit(len(base) + 1), F.length(iri)))).otherwise(out)
+    return out
+
+
 def nanoseconds_to_time(ns: Column) -> Column:
     """RFC 3339 text with milliseconds, cut and never rounded; null for negative values."""
     ms = _div(ns.cast("decimal(20,0)"), F.lit(1_000_000)).cast("long")

@@ -130,11 +130,14 @@ def facts(ev: DataFrame, domain: DataFrame, principals: DataFrame) -> DataFrame:
     loose = dangling(ev).groupBy("subject", "id").agg(F.count("*").alias("n_dangling"))
     dom = domain.select("decision_type", (c("parent") == "ConsequentialDecision").alias("d_class"), c("consequential").alias("d_flag"), c("required_modality").alias("d_need"))
     ok = c("d_need").isNull() | (c("d_need") == c("oversight_modality"))
-    # what a tool call points at: its decision, delegation and instruction
+    # what a tool call points at: its decision, delegation and instruction; a decision, its instruction
     dec = ev.where("etype = 'Decision'").join(dom, "decision_type", "left").select("subject", c("id").alias("ref_decision"), F.coalesce("d_flag", F.lit(False)).alias("x_flag"), ok.alias("x_ok"))
-    dele = ev.where("etype = 'DelegationIssued'").select("subject", c("id").alias("ref_delegation"), c("chain_verified").alias("x_verified"))
+    # a delegation's own word on its chain comes before the status of its verification
+    verified = F.coalesce("chain_verified", c("verification_status") == "verified") if "verification_status" in ev.columns else c("chain_verified")
+    dele = ev.where("etype = 'DelegationIssued'").select("subject", c("id").alias("ref_delegation"), verified.alias("x_verified"))
     ins = ev.where("etype = 'Instruction'").select("subject", c("id").alias("ref_instruction"), untrusted().alias("x_untrusted"))
-    calls = ev.where("etype = 'ToolCall'").select("subject", "id", "ref_decision", "ref_delegation", "ref_instruction", F.try_element_at("acted_for", F.lit(-1)).alias("principal"))
+    of_call = lambda x: F.when(c("etype") == "ToolCall", x)  # noqa: E731  a decision has its instruction only
+    calls = ev.where("etype in ('ToolCall', 'Decision')").select("subject", "id", of_call(c("ref_decision")).alias("ref_decision"), of_call(c("ref_delegation")).alias("ref_delegation"), "ref_instruction", of_call(F.try_element_at("acted_for", F.lit(-1))).alias("principal"))
     calls = calls.join(dec, ["subject", "ref_decision"], "left").join(dele, ["subject", "ref_delegation"], "left").join(ins, ["subject", "ref_instruction"], "left")
     people = principals.where("class = 'HumanPrincipal'").select("subject", "principal", F.lit(True).alias("x_human"))
     calls = calls.join(people, ["subject", "principal"], "left").select("subject", "id", "x_flag", "x_ok", "x_verified", "x_untrusted", "x_human")
@@ -156,7 +159,7 @@ def facts(ev: DataFrame, domain: DataFrame, principals: DataFrame) -> DataFrame:
         c("ref_authorization").isNotNull().cast("int").alias("n_authorized"),
         (c("ref_instruction").isNotNull() & (c("etype") == "ToolCall")).cast("int").alias("n_acts_on"),
         flag(is_dec & ok).alias("modality_ok"),
-        flag(c("chain_verified")).alias("chain_verified"),
+        flag(verified).alias("chain_verified"),
         flag(c("x_flag")).alias("executes_consequential"),
         flag(c("x_ok")).alias("executed_modality_ok"),
         flag(c("x_verified")).alias("delegation_verified"),

@@ -8,13 +8,20 @@ from pyspark.sql import functions as F
 from .facts import dangling
 
 
-def remediation(assertions: DataFrame, controls: DataFrame, have: DataFrame) -> DataFrame:
-    """One row per open finding: what the control asks for, what is there of it, what is missing."""
+def remediation(assertions: DataFrame, controls: DataFrame, have: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """One row per open finding: what the control asks for, what is there of it, what is missing.
+
+    With ``links(catalog, control, framework, clause)`` also clauses, those that the control answers to.
+    """
     need = controls.select("catalog", "control", F.col("need").alias("required"))
     rows = assertions.where(F.col("outcome").isin("non-conformant", "insufficient_evidence", "partial")).select("subject", "catalog", "control", "outcome", "missing")
     rows = rows.join(need, ["catalog", "control"]).join(have, "subject", "left")
     text = lambda c: F.array_join(F.array_sort(c), ",")
-    return rows.select("subject", "catalog", "control", "outcome", text("required").alias("required"), text(F.array_intersect("required", "have")).alias("observed"), text("missing").alias("missing"))
+    out = rows.select("subject", "catalog", "control", "outcome", text("required").alias("required"), text(F.array_intersect("required", "have")).alias("observed"), text("missing").alias("missing"))
+    if links is None:
+        return out
+    clauses = links.groupBy("catalog", "control").agg(text(F.collect_set(F.concat_ws(" ", "framework", "clause"))).alias("clauses"))
+    return out.join(clauses, ["catalog", "control"], "left").select(*out.columns, F.coalesce("clauses", F.lit("")).alias("clauses"))
 
 
 def first_seen(events: DataFrame, column: str) -> DataFrame:

@@ -65,17 +65,25 @@ def integer_key(text: Column) -> Column:
 
 
 def instant_key(text: Column) -> Column:
-    """An order for date-times with a zone and any number of fraction digits: seconds, fraction text."""
-    shape = r"^(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d)(?:\.(\d+))?(Z|[+-]\d\d:\d\d)$"
+    """An order for date-times with any number of fraction digits: whether it has a zone, seconds, fraction text.
+
+    Zones go to 23:59; a time without one is a time of its own kind.
+    """
+    shape = r"^(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d)(?:\.(\d+))?(Z|[+-](?:[01]\d|2[0-3]):[0-5]\d)?$"
     part = lambda i: F.regexp_extract(text, shape, i)
-    whole = F.try_to_timestamp(F.concat(part(1), part(3)), F.lit("yyyy-MM-dd'T'HH:mm:ssXXX"))
-    return F.when(text.rlike(shape) & whole.isNotNull(), F.struct(F.unix_seconds(whole).alias("seconds"), F.rtrim(part(2), F.lit("0")).alias("fraction")))
+    whole = F.try_to_timestamp(F.concat(part(1), F.lit("Z")), F.lit("yyyy-MM-dd'T'HH:mm:ssXXX"))
+    zone = part(3)
+    away = (F.substring(zone, 2, 2).try_cast("int") * 3600 + F.substring(zone, 5, 2).try_cast("int") * 60) * F.when(zone.startswith("-"), -1).otherwise(1)
+    seconds = F.unix_seconds(whole) - F.coalesce(away, F.lit(0))
+    return F.when(text.rlike(shape) & whole.isNotNull(), F.struct((zone != "").alias("zoned"), seconds.alias("seconds"), F.rtrim(part(2), F.lit("0")).alias("fraction")))
 
 
 def ordered(left: Column, right: Column, strict: bool) -> Column:
     """Whether left comes before right, as integers or as instants; false where they do not compare."""
     test = (lambda a, b: a < b) if strict else (lambda a, b: a <= b)
-    return F.coalesce(test(integer_key(left), integer_key(right)), test(instant_key(left), instant_key(right)), F.lit(False))
+    a, b = instant_key(left), instant_key(right)
+    instants = F.when(a["zoned"] == b["zoned"], test(a, b))
+    return F.coalesce(test(integer_key(left), integer_key(right)), instants, F.lit(False))
 
 
 def evaluate(links: DataFrame, literals: DataFrame, closure: DataFrame, rule: dict, shapes: dict[str, dict] | None = None) -> DataFrame:

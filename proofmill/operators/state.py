@@ -14,13 +14,15 @@ def late_by_stream(events: DataFrame, window_end: str | None) -> DataFrame:
     return events.where(F.lit(window_end is not None) & (F.col("time") <= F.lit(window_end))).groupBy(stream.alias("stream")).agg(F.count("*").alias("late"))
 
 
-def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """Last outcomes (subject, catalog, control, outcome); refuses a state of another version."""
+def read_state(spark: SparkSession, path: str, run: int | None = None) -> DataFrame:
+    """Last outcomes (subject, catalog, control, outcome), of the newest run or of the one given; refuses a state of another version."""
     rows = spark.read.parquet(f"{path}/outcomes")
+    at = rows.agg(F.max("run").alias("r")).first()["r"] if run is None else run
+    rows = rows.where(F.col("run") == at)
     other = rows.where(F.col("version") != VERSION).limit(1).collect()
     if other:
         raise ValueError(f"state has version {other[0]['version']}, this code reads {VERSION}")
-    return rows.drop("version")
+    return rows.drop("version", "run")
 
 
 def merged(state: DataFrame | None, now: DataFrame) -> DataFrame:
@@ -30,9 +32,9 @@ def merged(state: DataFrame | None, now: DataFrame) -> DataFrame:
     return now if state is None else now.unionByName(state.select(*keys, "outcome").join(now, keys, "left_anti"))
 
 
-def write_state(state: DataFrame, path: str) -> None:
-    """Writes a new state folder; the caller then points at it, so a reader never meets half of one."""
-    state.withColumn("version", F.lit(VERSION)).write.mode("errorifexists").parquet(f"{path}/outcomes")
+def write_state(state: DataFrame, path: str, run: int = 0) -> None:
+    """Writes the state of a run beside those of earlier ones; it shows when its files are committed, and none is written over."""
+    state.withColumn("version", F.lit(VERSION)).write.mode("errorifexists").parquet(f"{path}/outcomes/run={run}")
 
 
 def supersedes(runs: DataFrame, digest: str) -> str | None:

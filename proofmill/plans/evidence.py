@@ -112,7 +112,7 @@ def flag_query(name: str, columns: str, where: str):
 flag_query("executes_consequential", "executes_consequential", "target = 'ToolCall'")
 flag_query("oversight_match", "modality_ok", "target = 'Decision'")
 flag_query("scope_budget_flags", "within_scope, within_budget", "target = 'ToolCall'")
-flag_query("acts_on_untrusted", "acts_on_untrusted", "target = 'ToolCall'")
+flag_query("acts_on_untrusted", "acts_on_untrusted", "target in ('ToolCall', 'Decision')")
 flag_query("delegation_verified", "delegation_verified", "target = 'ToolCall'")
 flag_query("decision_links", "n_reviewed, n_notified, n_resulted", "target = 'Decision'")
 flag_query("instruction_links", "instruction_untrusted, n_refused", "target = 'Instruction'")
@@ -150,15 +150,15 @@ def preceded_by(spark, d):
     return dec.select("subject", "id", F.last("seen", ignorenulls=True).over(w).alias("preceded_by")).where("preceded_by is not null")
 
 
-@query(
-    with_(sql.EV)
-    + """, e AS (SELECT subject, id AS s, 'type' AS p, etype AS o FROM ev UNION SELECT subject, id, 'type', decision_type FROM ev UNION SELECT subject, id, 'sourceClass', source_class FROM ev UNION SELECT subject, id, 'wasAssociatedWith', agent FROM ev
+EDGES = """, e AS (SELECT subject, id AS s, 'type' AS p, etype AS o FROM ev UNION SELECT subject, id, 'type', decision_type FROM ev UNION SELECT subject, id, 'sourceClass', source_class FROM ev UNION SELECT subject, id, 'wasAssociatedWith', agent FROM ev
 UNION SELECT subject, id, 'authorizedBy', ref_authorization FROM ev UNION SELECT subject, id, 'authorizedBy', ref_request FROM ev UNION SELECT subject, id, 'delegatedVia', ref_delegation FROM ev UNION SELECT subject, id, 'actsOn', ref_instruction FROM ev
 UNION SELECT subject, id, 'executes', ref_decision FROM ev WHERE etype = 'ToolCall' UNION SELECT subject, ref_decision, 'resultedIn', id FROM ev WHERE etype = 'Outcome' UNION SELECT subject, ref_decision, 'reviewedBy', id FROM ev WHERE etype = 'ApprovalDecided'
 UNION SELECT subject, ref_decision, 'notifiedBy', id FROM ev WHERE etype = 'Notice' UNION SELECT subject, ref_instruction, 'refusedBy', id FROM ev WHERE etype = 'Refusal' UNION SELECT subject, id, 'used', unnest(used) FROM ev
-UNION SELECT subject, agent, 'actedOnBehalfOf', terminus FROM ev WHERE terminus IS NOT NULL UNION SELECT subject, agent, 'type', 'Agent' FROM ev UNION SELECT subject, unnest(used), 'type', 'ContextItem' FROM ev)
-SELECT subject, p, count(*) AS edges, count(DISTINCT s) AS sources, count(DISTINCT o) AS targets FROM e WHERE s IS NOT NULL AND o IS NOT NULL GROUP BY subject, p"""
-)
+UNION SELECT subject, agent, 'actedOnBehalfOf', terminus FROM ev WHERE terminus IS NOT NULL UNION SELECT subject, agent, 'type', 'Agent' FROM ev UNION SELECT subject, unnest(used), 'type', 'ContextItem' FROM ev)"""
+
+
+@query(with_(sql.EV) + EDGES + """
+SELECT subject, p, count(*) AS edges, count(DISTINCT s) AS sources, count(DISTINCT o) AS targets FROM e WHERE s IS NOT NULL AND o IS NOT NULL GROUP BY subject, p""")
 def edges_build(spark, d):
     """Typed links of each subject's graph, counted by predicate."""
     return fx.edges(bd.evidence(spark, d)).groupBy("subject", "p").agg(F.count("*").alias("edges"), F.count_distinct("s").alias("sources"), F.count_distinct("o").alias("targets"))

@@ -18,7 +18,8 @@ from ..operators import schema as sc
 from ..operators import summary as sm
 from ..sources import binding as bd
 from . import sql
-from .evidence import CHAIN, assertions, facts, subjects
+from .evidence import CHAIN, EDGES, assertions, facts, subjects
+from .general import graph
 from .measures import ASR, COVER, LAB, denominators, exact, labelled
 from .sql import with_
 
@@ -310,3 +311,18 @@ def rule_regressions(spark, d):
     o = bd.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("fixture"), F.col("o_orderstatus").alias("control"), (F.col("o_custkey") % 3).alias("u"))
     results = o.where("u <> 1").select("control", "fixture", F.when(F.col("u") == 0, "non-conformant").otherwise("conformant").alias("outcome"))
     return gv.rule_regression(results, o.select("control", "fixture", F.lit("conformant").alias("expected")))
+
+
+@query(
+    with_(sql.EV)
+    + EDGES
+    + """, l AS (SELECT subject, id AS s, 'atTime' AS p, time AS value FROM ev WHERE time IS NOT NULL UNION SELECT subject, id, 'chainVerified', CASE WHEN k % 6 <> 0 THEN 'true' ELSE 'false' END FROM ev WHERE etype = 'DelegationIssued' UNION SELECT subject, id, 'latency', latency_ms::VARCHAR FROM ev WHERE latency_ms IS NOT NULL),
+x AS (SELECT subject, count(*) AS edges FROM e WHERE s IS NOT NULL AND o IS NOT NULL GROUP BY subject), y AS (SELECT subject, count(*) AS literals FROM l GROUP BY subject)
+SELECT subject, edges, literals, edges + literals AS triples FROM x JOIN y USING (subject)"""
+)
+def triple_count(spark, d):
+    """Edges and literals of each subject's graph, each counted once."""
+    links, literals, _ = graph(spark, d)
+    edges = links.distinct().groupBy("subject").agg(F.count("*").alias("edges"))
+    values = literals.distinct().groupBy("subject").agg(F.count("*").alias("literals"))
+    return edges.join(values, "subject").withColumn("triples", F.col("edges") + F.col("literals"))

@@ -54,10 +54,10 @@ facts AS (SELECT e.subject, e.id, e.etype AS target, coalesce(own.cls, false) AS
     (e.ref_authorization IS NOT NULL)::INT AS n_authorized, (e.etype = 'ToolCall' AND e.ref_instruction IS NOT NULL)::INT AS n_acts_on, coalesce(own.ok, false) AS modality_ok, e.chain_verified,
     e.etype = 'ToolCall' AND coalesce(x.flag, false) AS executes_consequential, e.etype = 'ToolCall' AND coalesce(x.ok, false) AS executed_modality_ok, e.etype = 'ToolCall' AND coalesce(g.chain_verified, false) AS delegation_verified,
     coalesce(e.terminus LIKE 'human-%', false) AS terminus_human, coalesce(n_denied, 0) = 0 AS within_scope, coalesce(n_budget, 0) = 0 AS within_budget,
-    e.etype = 'ToolCall' AND coalesce(i.instruction_class = 'tool_output', false) AS acts_on_untrusted, e.etype = 'Instruction' AND coalesce(e.instruction_class = 'tool_output', false) AS instruction_untrusted
+    e.etype IN ('ToolCall', 'Decision') AND coalesce(i.instruction_class = 'tool_output', false) AS acts_on_untrusted, e.etype = 'Instruction' AND coalesce(e.instruction_class = 'tool_output', false) AS instruction_untrusted
     FROM ev e LEFT JOIN dec own ON own.id = e.id AND own.subject = e.subject LEFT JOIN back b ON b.subject = e.subject AND b.id = e.id LEFT JOIN dg ON dg.subject = e.subject AND dg.id = e.id
     LEFT JOIN dec x ON e.etype = 'ToolCall' AND x.subject = e.subject AND x.id = e.ref_decision LEFT JOIN ev g ON e.etype = 'ToolCall' AND g.subject = e.subject AND g.id = e.ref_delegation AND g.etype = 'DelegationIssued'
-    LEFT JOIN ev i ON e.etype = 'ToolCall' AND i.subject = e.subject AND i.id = e.ref_instruction AND i.etype = 'Instruction'
+    LEFT JOIN ev i ON e.etype IN ('ToolCall', 'Decision') AND i.subject = e.subject AND i.id = e.ref_instruction AND i.etype = 'Instruction'
     WHERE e.etype IN ('Decision', 'ToolCall', 'DelegationIssued', 'Incident', 'Instruction'))"""
 )
 

@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from proofmill import functions as fn
-from proofmill.operators import assess, catalog, coverage, governance, ingest, integrity, loading, metrics, narrative, rules, schema, state, summary
+from proofmill.operators import assess, catalog, coverage, governance, ingest, integrity, loading, metrics, narrative, reports, rules, schema, state, summary
 from proofmill.operators import facts as fx
-from proofmill.sources import adapters, bundle
+from proofmill.sources import adapters, binding, bundle
 
 HASH = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
@@ -133,6 +133,14 @@ def test_closure(spark):
         fx.class_closure(up.union(spark.createDataFrame([("c", "a")], up.schema)), depth=4)
 
 
+def test_verification_status_of_a_chain(spark):
+    """The status of a verification counts where a delegation says nothing itself."""
+    d = "/root/testdata/sf0.001"
+    ev = binding.evidence(spark, d).withColumn("verification_status", F.when(F.col("k") % 2 == 0, "verified").otherwise("failed")).withColumn("chain_verified", F.when(F.col("k") % 3 == 0, False))
+    got = fx.facts(ev, binding.domain(spark), binding.principals(ev)).where("target = 'DelegationIssued'").join(ev.select("subject", "id", "k"), ["subject", "id"]).collect()
+    assert got and all(r["chain_verified"] == (r["k"] % 3 != 0 and r["k"] % 2 == 0) for r in got)
+
+
 def test_drift_and_state(spark, tmp_path):
     rows = lambda *x: spark.createDataFrame([("s", "k", c, o) for c, o in x], "subject string, catalog string, control string, outcome string")
     old, new = rows(("A-1", "conformant"), ("B-1", "conformant")), rows(("A-1", "non-conformant"), ("C-1", "conformant"))
@@ -140,6 +148,11 @@ def test_drift_and_state(spark, tmp_path):
     state.write_state(state.merged(old, new), str(tmp_path / "s"))
     back = {r.control: r.outcome for r in state.read_state(spark, str(tmp_path / "s")).collect()}
     assert back == {"A-1": "non-conformant", "B-1": "conformant", "C-1": "conformant"}
+    state.write_state(new, str(tmp_path / "s"), 1)
+    assert state.read_state(spark, str(tmp_path / "s")).count() == 2 and state.read_state(spark, str(tmp_path / "s"), 0).count() == 3
+    new.withColumn("version", F.lit(9)).write.parquet(str(tmp_path / "s/outcomes/run=2"))
+    with pytest.raises(ValueError):
+        state.read_state(spark, str(tmp_path / "s"))
     runs = spark.createDataFrame([(1, "d1", "r1")], "run long, input_digest string, report_digest string")
     assert state.supersedes(runs, "d2") == "r1" and state.supersedes(runs, "d1") is None
 
@@ -404,3 +417,36 @@ def test_attribute_lists(spark):
     doc = {"resourceSpans": [{"scopeSpans": [{"spans": [{"traceId": "t", "spanId": "s", "name": "chat", "startTimeUnixNano": "1", "attributes": [plain, keyed]}]}]}]}
     got = adapters.unnest_spans(spark.createDataFrame([(json.dumps(doc),)], "doc string")).first()["attributes"]
     assert (got["k"], got["m"]) == ('["a","2"]', '{"x":"true"}')
+
+
+@pytest.mark.parametrize(
+    "left,right,before",
+    [
+        ("2024-01-01T00:00:00Z", "2024-01-01T00:00:00.1Z", True),
+        ("2024-01-01T00:00:00.10Z", "2024-01-01T00:00:00.1Z", False),
+        ("2024-01-01T23:59:00+23:59", "2024-01-01T00:00:01Z", True),
+        ("2024-01-01T00:00:00-20:00", "2024-01-01T20:00:00Z", False),
+        ("2024-01-01T00:00:00+24:00", "2024-01-02T00:00:00Z", False),
+        ("2024-01-01T00:00:00", "2024-01-01T00:00:01", True),
+        ("2024-01-01T00:00:00", "2024-01-01T00:00:01Z", False),
+        ("2024-02-30T00:00:00Z", "2024-03-01T00:00:00Z", False),
+        ("9" * 40, "1" + "0" * 40, True),
+        ("-2", "-1", True),
+        ("-0", "0", False),
+    ],
+)
+def test_literal_order(spark, left, right, before):
+    one = spark.createDataFrame([(left, right)], "a string, b string")
+    assert one.select(rules.ordered(F.col("a"), F.col("b"), True)).first()[0] == before
+
+
+def test_compact_iri_and_clauses(spark):
+    one = spark.createDataFrame([("http://x/a#b",), ("http://x/c",), ("y",)], "i string")
+    assert [r[0] for r in one.select(fn.compact_iri(F.col("i"), {"x": "http://x/", "a": "http://x/a#"})).collect()] == ["a:b", "x:c", "y"]
+    rows = spark.createDataFrame([("s", "k", "A-1", "non-conformant", ["N"])], "subject string, catalog string, control string, outcome string, missing array<string>")
+    need = spark.createDataFrame([("k", "A-1", ["D", "N"])], "catalog string, control string, need array<string>")
+    have = spark.createDataFrame([("s", ["D"])], "subject string, have array<string>")
+    links = spark.createDataFrame([("k", "A-1", "f", "2"), ("k", "A-1", "f", "1")], "catalog string, control string, framework string, clause string")
+    got = reports.remediation(rows, need, have, links).first()
+    assert (got["required"], got["observed"], got["missing"], got["clauses"]) == ("D,N", "D", "N", "f 1,f 2")
+    assert reports.remediation(rows, need, have, links.limit(0)).first()["clauses"] == ""
