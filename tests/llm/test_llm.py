@@ -96,9 +96,11 @@ def test_near(docs, empty):
     assert near.near_duplicates(empty).count() == 0
 
 
-def test_near_large_cluster(spark, monkeypatch):
-    """A cluster of many blocks, most pairs of which are no link."""
+@pytest.mark.parametrize("pivots", [16, 1])
+def test_near_large_cluster(spark, monkeypatch, pivots):
+    """A cluster of many blocks, most pairs of which are no link; with few pivots most links come last."""
     monkeypatch.setattr(near, "BLOCK", 16)
+    monkeypatch.setattr(near, "PIVOTS", pivots)
     rows = [(i, edited(BASE, rnd.randint(6, 40)) if i else BASE) for i in range(60)]
     got = {r["doc_id"]: r["class_id"] for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == classes(rows)
