@@ -212,6 +212,14 @@ def test_lines_drop_from_short_pages_too(spark):
     assert check_lines(spark, rows) == [1] * len(NAMES)
 
 
+def test_lines_ties(spark):
+    """Own lines of exactly half the words beside a cluster speak for it; one word less does not."""
+    rows = [(i, f"{n} own words\nalpha beta gamma\ndelta eps zeta eta") for i, n in enumerate(NAMES)]
+    assert check_lines(spark, rows) == [1] * len(NAMES)
+    assert check_lines(spark, [(i, t.replace("own", "own own")) for i, t in rows]) == [2] * len(NAMES)
+    assert check_lines(spark, rows[: lines.MIN_DOCS - 1]) == [0] * (lines.MIN_DOCS - 1)
+
+
 def test_lines_of_near_copies_are_no_templates(spark):
     """Copies with a line of their own keep their text, but lose what other documents show to be boilerplate."""
     copies = [(i, BASE.replace(". ", ".\n") + f"\nown words {n}\nall rights are with us") for i, n in enumerate(NAMES)]
