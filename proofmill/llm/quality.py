@@ -53,7 +53,7 @@ def with_base(rows: DataFrame, text: Column) -> DataFrame:
     covered = F.size(F.array_distinct(F.flatten(F.transform("p", lambda i: F.array(i, i + 1, i + 2)))))
     rows = (
         rows.withColumn("n_words", F.size("words").cast("long"))
-        .withColumn("word_chars", F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc + F.length(w)))
+        .withColumn("word_chars", F.length(F.array_join("words", "")).cast("long"))
         .withColumn("n_symbols", (F.size(F.split(text, SYMBOLS)) - 1).cast("long"))
         .withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
         .withColumn("n_repeat_words", F.when(F.col("again"), covered).otherwise(0).cast("long"))
@@ -62,14 +62,15 @@ def with_base(rows: DataFrame, text: Column) -> DataFrame:
     return rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def grams(n: int) -> list:
-    """Of the word at place i, as functions of its hash and i: the buckets of the word, its end, and it with the next word (null at the end)."""
+def buckets(word: Column, end: Column, following: Column, n: int) -> list[Column]:
+    """Buckets of a word, its end, and it with the next word, from the hashes of these; the last is null at the end of a text."""
     bucket = lambda c: F.pmod(c, F.lit(n)).cast("int")
-    return [
-        lambda h, i: bucket(h),
-        lambda h, i: bucket(F.get("e", i)),
-        lambda h, i: F.when(i + 1 < F.size("x"), bucket(F.xxhash64(h, F.get("x", i + 1)))),
-    ]
+    return [bucket(word), bucket(end), F.when(following.isNotNull(), bucket(F.xxhash64(word, following)))]
+
+
+def beside(words: str) -> Column:
+    """The words from the second one on, so that each stands beside the one before it."""
+    return F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, max_trusted: int = MAX_TRUSTED) -> list[float]:
@@ -81,10 +82,10 @@ def log_ratios(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, max_trusted
     """
     trusted = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
     rows = docs.select("doc_id", "text").join(F.broadcast(trusted.withColumn("trusted", F.lit(1))), "doc_id", "left")
-    # one row a word, then three; partial sums leave n rows a task
-    each = F.transform("x", lambda h, i: F.struct(*[g(h, i).alias(f"g{k}") for k, g in enumerate(grams(n))]))
-    words = hashed_words(rows, text_of()).select("trusted", F.inline_outer(each))
-    counts = words.select("trusted", F.stack(F.lit(3), "g0", "g1", "g2").alias("b")).where("b is not null")
+    # one row a word with the next one beside it, then three; partial sums leave n rows a task
+    words = rows.select("trusted", words_of(text_of()).alias("w")).withColumn("y", beside("w")).select("trusted", F.inline_outer(F.arrays_zip("w", "y"))).where("w is not null")
+    hashed = words.select("trusted", F.xxhash64("w").alias("h"), F.xxhash64(F.right("w", F.lit(3))).alias("e"), F.when(F.col("y").isNotNull(), F.xxhash64("y")).alias("y"))
+    counts = hashed.select("trusted", F.stack(F.lit(3), *buckets(F.col("h"), F.col("e"), F.col("y"), n)).alias("b")).where("b is not null")
     counts = counts.groupBy("b").agg(F.count("*").alias("raw"), F.count("trusted").alias("good")).collect()
     raw, good = [0] * n, [0] * n
     for r in counts:
@@ -96,11 +97,14 @@ def log_ratios(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, max_trusted
 
 
 def llr(ratios: list[float]) -> Column:
-    """Mean log ratio over the n-grams of rows with x and e, 0 for a text without words."""
+    """Mean log ratio over the n-grams of rows with x, e and y (x from the second on), 0 for a text without words."""
     table = F.from_json(F.lit("[" + ",".join(map(str, ratios)) + "]"), "array<double>")
-    one, end, pair = grams(len(ratios))
-    sums = F.transform("x", lambda h, i: F.get(table, one(h, i)) + F.get(table, end(h, i)) + F.coalesce(F.get(table, pair(h, i)), F.lit(0.0)))
-    total = F.aggregate(sums, F.lit(0.0), lambda acc, v: acc + v)
+
+    def add(total: Column, v: Column) -> Column:
+        word, end, pair = buckets(v["x"], v["e"], v["y"], len(ratios))
+        return total + (F.get(table, word) + F.get(table, end) + F.coalesce(F.get(table, pair), F.lit(0.0)))
+
+    total = F.aggregate(F.arrays_zip("x", "e", "y"), F.lit(0.0), add)
     return F.round(F.coalesce(total / F.nullif(3 * F.size("x") - 1, F.lit(-1)), F.lit(0.0)), 6)
 
 
@@ -120,5 +124,5 @@ def quality_rules(docs: DataFrame, labels: DataFrame, min_score: float = MIN_SCO
     """
     ratios = log_ratios(docs, labels)
     text = text_of("doc.text")
-    rows = with_base(hashed_words(carried(docs), text), text).withColumn("llr", llr(ratios))
+    rows = with_base(hashed_words(carried(docs), text), text).withColumn("y", beside("x")).withColumn("llr", llr(ratios))
     return opaque(rows.select("doc", *BASE, "base_failed", "llr", (~F.col("base_failed") & (F.col("llr") >= min_score)).alias("kept")))
