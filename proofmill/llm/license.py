@@ -233,7 +233,8 @@ def license_scan(docs: DataFrame, min_probability: float | None = None, min_cove
     gram = lambda g, cross: F.struct(g.alias("gram"), F.lit(cross).alias("cross"))
     over = F.filter(F.array(F.when(first.isNotNull() & (F.size("x") > 0), F.col("over"))), lambda g: g.isNotNull() & maybe(g))
     grams = F.concat(F.transform("grams", lambda g: gram(g, False)), F.transform(over, lambda g: gram(g, True)))
-    each = rows.select("doc_id", "key", "run", "at", "n", F.explode(grams).alias("g")).select("doc_id", "key", "run", "at", "n", "g.*")
+    # outer: a test for empty arrays, pushed below, would compute the n-grams twice
+    each = rows.select("doc_id", "key", "run", "at", "n", F.explode_outer(grams).alias("g")).select("doc_id", "key", "run", "at", "n", "g.*")
     met = each.join(F.broadcast(weights.select("gram")), "gram", "left_semi").repartition("doc_id", "key", "run")
     # a line is unit at, window w (lines from STEP * w) is unit -1 - w; a run of one line has no window
     none = F.array().cast("array<int>")
