@@ -21,7 +21,7 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_filter, opaque, text_of
+from .common import hash_filter, opaque, text_of, written
 
 #: How texts say under which licence they stand.
 TEMPLATES = {
@@ -252,7 +252,8 @@ def license_scan(docs: DataFrame, min_probability: float | None = None, min_cove
     best = F.array_max(F.transform(F.slice("e", 3, len(names) - 2), lambda x, i: F.struct((x / F.col("total")).alias("p"), F.get(families, i + 2).alias("family"))))
     unit = unit.withColumn("best", best).withColumn("licence", 1 - F.get("e", 0) / F.col("total")).where((F.col("best.p") >= least) | (F.col("licence") > licence))
     probable = F.col("best.p") >= least
-    unit = unit.select(*unit_of, F.col("best.family").alias("family"), probable.alias("probable"), "grams")
+    # few rows, read twice below
+    unit = written(unit.select(*unit_of, F.col("best.family").alias("family"), probable.alias("probable"), "grams"), "license-units")
     # how much of each template of its family a probable unit has
     cover = unit.where("probable").select(*unit_of, "family", F.explode("grams").alias("gram")).join(F.broadcast(pairs), ["family", "gram"])
     cover = cover.groupBy(*unit_of, "variant", "need").agg(F.count("*").alias("have")).groupBy(*unit_of).agg(F.max(F.col("have") / F.col("need")).alias("cover"))
