@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus jobs expressed as Spark DataFrame plans.
+"""Training-data operators: thirteen corpus jobs expressed as Spark DataFrame plans.
 
 Nothing outside this subpackage imports it.  Each module holds one operator with
 a general interface; ``queries.py`` derives the contract columns from them.

@@ -1,12 +1,14 @@
-"""The ten contract queries and the pipeline, each over its whole table, and their SQL where SQL can say it."""
+"""The thirteen contract queries and the pipeline, each over its whole table, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, license, lines, near, quality, substring, toxicity
-from .common import table
+from . import bpe, decontaminate, html, license, lines, near, quality, substring, token_files, toxicity
+from .common import shared_dir, table
 
 
 def vocabulary_path(name: str) -> str:
@@ -65,6 +67,13 @@ def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op11_token_files(spark: SparkSession, d: str) -> DataFrame:
+    """Place, size and checksum of each document's ids, from the files that hold them."""
+    path = f"{shared_dir(spark)}/op11-{uuid.uuid4().hex}"
+    token_files.write_tokens(table(spark, d, "documents"), vocabulary_path("byte_bpe_50k.json"), path)
+    return token_files.token_digests(token_files.read_tokens(spark, path))
+
+
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +82,7 @@ def pipeline(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash_near_dedup, op2_line_dedup, op3_token_counts, op4_decontamination, op5_html_extraction, op6_license_scan, op7_substring_dedup, op8_bpe_round_trip, op9_quality_rules, op10_toxicity, quality_base, pipeline)
+    for f in (op1_minhash_near_dedup, op2_line_dedup, op3_token_counts, op4_decontamination, op5_html_extraction, op6_license_scan, op7_substring_dedup, op8_bpe_round_trip, op9_quality_rules, op10_toxicity, op11_token_files, quality_base, pipeline)
 }
 
 #: Words of the near-duplicate and benchmark queries, in DuckDB's pattern syntax.
