@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, license, lines, near, quality, substring, token_files, toxicity
+from . import bpe, decontaminate, html, license, lines, near, prefix_trie, quality, substring, token_files, toxicity
 from .common import shared_dir, table
 
 
@@ -74,6 +74,10 @@ def op11_token_files(spark: SparkSession, d: str) -> DataFrame:
     return token_files.token_digests(token_files.read_tokens(spark, path))
 
 
+def op12_prefix_trie(spark: SparkSession, d: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, d, "conversations"))
+
+
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,15 +86,37 @@ def pipeline(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash_near_dedup, op2_line_dedup, op3_token_counts, op4_decontamination, op5_html_extraction, op6_license_scan, op7_substring_dedup, op8_bpe_round_trip, op9_quality_rules, op10_toxicity, op11_token_files, quality_base, pipeline)
+    for f in (op1_minhash_near_dedup, op2_line_dedup, op3_token_counts, op4_decontamination, op5_html_extraction, op6_license_scan, op7_substring_dedup, op8_bpe_round_trip, op9_quality_rules, op10_toxicity, op11_token_files, op12_prefix_trie, quality_base, pipeline)
 }
 
 #: Words of the near-duplicate and benchmark queries, in DuckDB's pattern syntax.
 _PLAIN = "[^\\x20\\x09-\\x0D]+"
 _BENCH = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: The table of the 32-bit checksum, and the checksum of a text's UTF-8 bytes with it.
+_CRC_TABLE = """tb(i, k, v) AS (SELECT i, 0, i::BIGINT FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM tb WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM tb WHERE k = 8)"""
+
+
+def _crc(text: str) -> str:
+    byte = f"list_transform(range(0, strlen({text})), lambda j: ('0x' || hex(encode({text}))[2 * j + 1:2 * j + 2])::BIGINT)"
+    return f"xor(list_reduce({byte}, lambda x, y: xor(x // 256, t[xor(x % 256, y) + 1]), 4294967295), 4294967295)"
+
 
 ORACLE = {
+    "op12_prefix_trie": f"""
+WITH RECURSIVE {_CRC_TABLE},
+o AS (SELECT conv_id, list({{'r': r, 's': s}} ORDER BY turn NULLS FIRST, sha256(length(r) || ':' || r || s)) AS ks
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS s FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id),
+hs AS (SELECT conv_id, ks, conv_id::VARCHAR AS z FROM o), ph AS (SELECT conv_id, ks, {_crc("z")} % 4 AS h FROM hs, crc),
+r AS (SELECT x.conv_id, list_concat(coalesce(y.ks, [])[1:h], x.ks[h + 1:]) AS ks FROM ph x LEFT JOIN o y ON y.conv_id = x.conv_id - x.conv_id % 20),
+p AS (SELECT conv_id, d, ks[1:d] AS path, d = len(ks) AS ends FROM r, unnest(range(0, len(ks) + 1)) AS t(d)),
+n AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS e FROM p GROUP BY path, d),
+k AS (SELECT path[1:d - 1] AS path, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * len(regexp_extract_all(n.path[d].s, '{_PLAIN}')) ELSE 0 END AS saved FROM n LEFT JOIN k ON k.path = n.path),
+s AS (SELECT path[1:a] AS path, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens FROM v, unnest(range(0, d + 1)) AS t(a) GROUP BY 1)
+SELECT v.conv_id, v.d AS depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, sha256(v.e) AS ends_sha256
+FROM v JOIN s ON s.path = v.path LEFT JOIN n u ON v.d > 0 AND u.path = v.path[1:v.d - 1]""",
     "op1_minhash_near_dedup": f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_PLAIN}') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS sh FROM w, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS t(i) WHERE len(ws) > 0),

@@ -14,7 +14,7 @@ import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, pairwise
+from itertools import accumulate, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Ids of pieces of text that one Python worker remembers; beyond it the memory starts anew.
-MEMORY = 5_000_000
+MEMORY = 3_000_000
 #: Bytes of text encoded at once; a longer text stands alone.
-BATCH = 16 << 20
+BATCH = 4 << 20
 STRIPE, STRIDE, FALSE_POSITIVES = 32 << 20, 1_000, 0.01
 
 
@@ -58,7 +58,7 @@ class LibraryEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.ids, self.at = {}, np.zeros(0, "int32"), np.zeros(1, "int64")
+        self.known, self.ids, self.at = {}, np.zeros(0, "int32"), np.zeros(1, "int32")
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "int32")
@@ -72,7 +72,7 @@ class LibraryEncoder:
         ids = np.array(self.library.encode_batch_fast([strung], add_special_tokens=False)[0].ids, "int32")
         ends = np.cumsum(pc.binary_length(pa.array(new)).to_numpy() + [not w.startswith("\n") for w in new])
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        self.at = np.concatenate((self.at, len(self.ids) + np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1))
+        self.at = np.concatenate((self.at, len(self.ids) + np.searchsorted(np.cumsum(self.bytes[ids]), ends).astype("int32") + 1))
         self.ids = np.concatenate((self.ids, ids))
 
     def pieces(self, texts: list[str]) -> list[np.ndarray]:
@@ -82,12 +82,14 @@ class LibraryEncoder:
         cut = pc.split_pattern(pa.array(["\n" + t.replace("\n", " \n") for t in texts], "large_string"), " ")
         coded, rows = cut.values.dictionary_encode(), cut.offsets.to_numpy()
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if new := [w for w in words if w not in self.known]:
-            self.learn(new)
-        of = np.fromiter(map(self.known.__getitem__, words), "int64", len(words))[coded.indices.to_numpy()]
-        sizes = np.diff(self.at)[of]
-        ends = np.cumsum(sizes)
-        ids = self.ids[np.repeat(self.at[of] - ends + sizes, sizes) + np.arange(ends[-1])]
+        known, old = np.fromiter(map(self.known.get, words, repeat(-1)), "int32", len(words)), len(self.known)
+        if len(new := np.flatnonzero(known < 0)):
+            self.learn([words[i] for i in new.tolist()])
+            known[new] = np.arange(old, len(self.known))
+        of = known[coded.indices.to_numpy()]
+        sizes = (self.at[known + 1] - self.at[known])[coded.indices.to_numpy()]
+        ends = np.cumsum(sizes, dtype="int32")
+        ids = self.ids[np.repeat(self.at[of] - ends + sizes, sizes) + np.arange(ends[-1], dtype="int32")]
         ends = np.concatenate(([0], ends))[rows]
         return [ids[a + 1 : b] for a, b in pairwise(ends)]
 
@@ -132,7 +134,7 @@ def write_tokens(docs: DataFrame, vocab_path: str, path: str, end_id: int = 2) -
     Documents stand in ascending order of doc_id, null first; rows that share a doc_id by a hash of
     their text, and each has its row.  A null text counts as empty and has the end id alone; other
     columns are not read; an empty table gives empty tables.  One shuffle, of the texts, by ranges of
-    (doc_id, hash); a task holds sixteen megabytes of texts, or one longer text, and their ids.  One number per file passes
+    (doc_id, hash); a task holds four megabytes of texts, or one longer text, and their ids.  One number per file passes
     through the driver.
     """
     spark = docs.sparkSession
