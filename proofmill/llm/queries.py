@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, license, lines, near, prefix_trie, quality, substring, token_files, toxicity
+from . import bpe, decontaminate, html, license, lines, near, prefix_trie, quality, substring, token_files, toxicity, variants
 from .common import shared_dir, table
 
 
@@ -78,6 +78,10 @@ def op12_prefix_trie(spark: SparkSession, d: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, d, "conversations"))
 
 
+def op13_spelling_variants(spark: SparkSession, d: str) -> DataFrame:
+    return variants.variant_groups(table(spark, d, "documents"))
+
+
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,7 +90,7 @@ def pipeline(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash_near_dedup, op2_line_dedup, op3_token_counts, op4_decontamination, op5_html_extraction, op6_license_scan, op7_substring_dedup, op8_bpe_round_trip, op9_quality_rules, op10_toxicity, op11_token_files, op12_prefix_trie, quality_base, pipeline)
+    for f in (op1_minhash_near_dedup, op2_line_dedup, op3_token_counts, op4_decontamination, op5_html_extraction, op6_license_scan, op7_substring_dedup, op8_bpe_round_trip, op9_quality_rules, op10_toxicity, op11_token_files, op12_prefix_trie, op13_spelling_variants, quality_base, pipeline)
 }
 
 #: Words of the near-duplicate and benchmark queries, in DuckDB's pattern syntax.
@@ -104,6 +108,19 @@ def _crc(text: str) -> str:
 
 
 ORACLE = {
+    "op13_spelling_variants": f"""
+WITH RECURSIVE {_CRC_TABLE},
+r AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' AS d, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\u00C0-\u00FF]+')) AS w FROM documents),
+z AS (SELECT w, d || w AS z FROM r), h AS (SELECT w, {_crc("z")} AS h FROM z, crc),
+v AS (SELECT CASE WHEN h % 31 = 0 THEN substring(w, 1, h % length(w)) || substring(w, h % length(w) + 2) ELSE w END AS word FROM h),
+words AS (SELECT word, count(*) AS n FROM v WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+x AS (SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS rest FROM words, unnest(range(1, length(word) + 1)) AS t(i)),
+near AS (SELECT a.word, b.word AS near, b.n AS near_n FROM x a JOIN x b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT x.word, b.word, b.n FROM x JOIN words b ON b.word = x.rest UNION SELECT b.word, x.word, x.n FROM x JOIN words b ON b.word = x.rest),
+best AS (SELECT word, count(*) AS n_near, list({{'m': -near_n, 'w': near}} ORDER BY -near_n, near)[1] AS b FROM near GROUP BY word),
+f AS (SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.m >= 10 * n THEN b.w END AS form, CASE WHEN -b.m >= 10 * n THEN -b.m END AS form_n FROM words LEFT JOIN best USING (word)),
+go AS (SELECT word, word AS at, form AS onward FROM f UNION ALL SELECT go.word, f.word, f.form FROM go JOIN f ON f.word = go.onward)
+SELECT f.word, f.form, go.at AS root, f.n, f.n_near, f.form_n FROM f JOIN go ON go.word = f.word AND go.onward IS NULL""",
     "op12_prefix_trie": f"""
 WITH RECURSIVE {_CRC_TABLE},
 o AS (SELECT conv_id, list({{'r': r, 's': s}} ORDER BY turn NULLS FIRST, sha256(length(r) || ':' || r || s)) AS ks
