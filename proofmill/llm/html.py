@@ -2,7 +2,7 @@
 
 Markup is stripped to lines, one for each block, in page order; what stands in a menu, advert,
 form, script or the like becomes an empty line.  Sums of text lengths over a sliding window of
-lines form the distribution; it surges where text begins and dives to nothing where it has ended.
+lines form the distribution; it surges where text begins and dives where it has ended.
 Lines between a surge and its dive are kept.  Markup only weighs lines; on every page the sums decide.
 """
 
@@ -47,8 +47,10 @@ IMPLIED = {
 }
 HEAD = frozenset("base link meta noscript script style template title head".split())
 PARTS = regex.compile(r"[a-z]+").findall
-#: Lines in a block of the distribution; characters in a block at which text surges, or fewer where no block of the page has them.
-WINDOW, SURGE = 3, 60
+#: Lines in a block of the distribution, its own line in the middle.
+WINDOW = 5
+#: Characters in a block at which text surges, or fewer where no block of the page has them; the part of these at which it has dived.
+SURGE, DIVE = 60, 0.2
 #: Weights of lines in article and main elements and beside them, where these hold most of the text.
 INSIDE, OUTSIDE = 4, 0.25
 #: Weight of lines of chrome by class, and the unlinked characters from which they count at all.
@@ -233,34 +235,31 @@ def stripped(page: str) -> list[tuple[str, int, bool, float]]:
     return lines
 
 
-def between_surge_and_dive(lines: list[tuple[str, int, bool, float]], window: int = WINDOW) -> list[str]:
-    """Non-empty lines from each surge of the distribution to its dive.
+def between_surge_and_dive(lines: list[tuple[str, int, bool, float]], window: int = WINDOW, surge: float = SURGE, dive: float = DIVE) -> list[str]:
+    """Non-empty lines between the dives of the distribution, where it surges between them.
 
-    Article and main elements only weigh lines: where they hold at least half of the unlinked text,
+    Each line's block sums the lines around it.  A run is a stretch of lines whose blocks all hold more
+    than the part ``dive`` of ``surge``; it is kept where a line of text in it has a block of ``surge``.
+    Article and main elements only scale the sums: where they hold at least half of the unlinked text,
     their lines, linked or not, count INSIDE times and those outside OUTSIDE times; where they hold
-    less, as teasers and stubs do, all lines weigh the same.  There the empty lines between blocks
-    shrink to one, and a run of text goes back to its first line; elsewhere it begins with the block
-    that surges.  A block does not reach across an edge of such an element, and a run ends there.
+    less, as teasers and stubs do, all lines weigh the same.  Sums are taken apart within and outside of them.
     """
     plain = [0 if 2 * linked > len(text) else weight * len(text) for text, linked, _, weight in lines]
     held = sum(n for n, (_, _, inside, _) in zip(plain, lines, strict=True) if inside)
     marked = any(inside and text for text, _, inside, _ in lines) and 2 * held >= sum(plain)
-    rows: list[tuple[str, float, bool]] = []
-    for n, (text, _, inside, _) in zip(plain, lines, strict=True):
-        within = marked and inside
-        if within and not text and rows and rows[-1][2] and not rows[-1][0]:
-            continue
-        rows.append((text, INSIDE * len(text) if within else OUTSIDE * n if marked else n, within))
-    blocks = [sum(n for _, n, side in rows[i : i + window] if side == rows[i][2]) for i in range(len(rows))]
-    surge = min(SURGE, max(blocks, default=0))
+    rows = [(text, (INSIDE * len(text) if inside else OUTSIDE * n) if marked else n, marked and inside) for n, (text, _, inside, _) in zip(plain, lines, strict=True)]
+    before, after = (window - 1) // 2, window // 2 + 1
+    blocks = [sum(n for _, n, within in rows[max(0, i - before) : i + after] if within == row[2]) for i, row in enumerate(rows)]
+    surge = min(surge, max(blocks, default=0))
     keep, run, on = [], [], False
     for i, (text, n, within) in enumerate(rows):
-        if not blocks[i] or (i and within != rows[i - 1][2]):
+        dived = blocks[i] <= dive * surge
+        if dived or (i and within != rows[i - 1][2]):
             keep += run if on else []
             run, on = [], False
-        on = on or (n > 0 and blocks[i] >= surge)
-        if n and (on or within):
+        if n and not dived:
             run.append(text)
+            on = on or blocks[i] >= surge
     return keep + (run if on else [])
 
 

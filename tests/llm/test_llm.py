@@ -434,12 +434,28 @@ def test_html_equals_a_plain_reading(spark):
     assert same == len(pages)
 
 
-def test_html_the_window_decides(spark):
-    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
-    one = ["\n\n".join(html.between_surge_and_dive(html.stripped(p), 1)) for p in pages]
-    assert sum(a != html.extract(p) for a, p in zip(one, pages, strict=True)) > len(pages) // 10
-    short = "<body><div>Short one.</div><div>Tiny.</div></body>"
-    assert html.extract(short) == "Short one.\n\nTiny."
+def test_html_the_distribution_decides(spark):
+    """On pages whose article is right, a narrower window or a higher surge loses lines of it; and it is
+    found without its element's name."""
+    pages = [r["html"] or "" for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect()]
+    lines = [html.stripped(p) for p in pages]
+    kept = [html.between_surge_and_dive(x) for x in lines]
+    article = [[text for text, _, inside, _ in x if inside and text] for x in lines]
+    assert kept == article
+    for window in (2, 3, 4):
+        other = [html.between_surge_and_dive(x, window) for x in lines]
+        assert other != kept and all(set(a) <= set(b) for a, b in zip(other, kept, strict=True))
+    for surge in (200, 400):
+        assert [html.between_surge_and_dive(x, surge=surge) for x in lines] != kept
+    unnamed = [html.between_surge_and_dive(html.stripped(re.sub(r"<(/?)(?:article|main)\b", r"<\1div", p))) for p in pages]
+    size = lambda rows: sum(len(t) for x in rows for t in x)
+    assert size(unnamed) <= size(article) and size(unnamed) > 0.98 * size(article)
+
+
+def test_html_short_pages_and_lonely_lines():
+    assert html.extract("<body><div>Short one.</div><div>Tiny.</div></body>") == "Short one.\n\nTiny."
+    lonely = "<div>All of it</div>" + "<div></div>" * 3
+    assert html.extract(f"<body>{lonely}<div>{''.join(f'<p>{t}</p>' for t in BODY)}</div></body>").split("\n\n") == BODY
 
 
 HOSTILE = {
