@@ -9,8 +9,9 @@ document.
 
 What counts as a different document: exact copies count once, and a document speaks for a cluster
 only if lines of its own (of no cluster met so often) make up half of what it holds beside that
-cluster.  So near copies of one document do not make templates of its text, yet lose the templates
-that other documents show to be such.
+cluster, or if no more than FEW of its lines recur, as on a page with a menu and a footer.  So near
+copies of one document do not make templates of its text, yet lose the templates that other
+documents show to be such.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ MIN_DOCS = 10
 DEPTH = 3
 #: Runs of places behind the leading tokens; two of them are left open, so 0.6 of the places stand fast.
 BANDS = 5
+#: Recurring lines of a document that are no more than boilerplate, however short its own text.
+FEW = 2
 #: Shortest line, in tokens, of which places are left open.
 LEAST = 5
 FIELD = "<*>"
@@ -51,9 +54,9 @@ def line_rows(docs: DataFrame) -> DataFrame:
 
 
 def speaking(clusters: DataFrame, words: DataFrame, min_docs: int) -> DataFrame:
-    """Of ``clusters(c, key, w)``, w the words of key's lines in c: the c that enough documents speak for.  ``words(key, total, own)``."""
+    """Of ``clusters(c, key, w)``, w the words of key's lines in c: the c that enough documents speak for.  ``words(key, total, own, others)``."""
     beside = F.col("total") - F.col("w")
-    speak = clusters.join(words, "key").where((F.col("own") > 0) & (2 * F.col("own") >= beside))
+    speak = clusters.join(words, "key").where((F.col("own") > 0) & ((2 * F.col("own") >= beside) | (F.col("others") <= FEW)))
     return speak.groupBy("c").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("c")
 
 
@@ -77,8 +80,8 @@ def recurring_templates(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     # words of each document in lines of its own
     exact = written(slim.join(often, "tmpl", "left_semi").select(F.col("tmpl").alias("c"), "key", F.col("n").alias("w")), "line-exact")
     shared = exact.select("key", F.col("c").alias("tmpl"), F.col("w").alias("n")).union(clusters.select("key", "tmpl", "n")).distinct()
-    shared = shared.groupBy("key").agg(F.sum("n").alias("shared"))
-    words = slim.groupBy("key").agg(F.sum("n").alias("total")).join(shared, "key").select("key", "total", (F.col("total") - F.col("shared")).alias("own"))
+    shared = shared.groupBy("key").agg(F.sum("n").alias("shared"), F.count("*").alias("others"))
+    words = slim.groupBy("key").agg(F.sum("n").alias("total")).join(shared, "key").select("key", "total", "others", (F.col("total") - F.col("shared")).alias("own"))
     words = written(words, "line-words")
     one = speaking(exact, words, min_docs).select(F.col("c").alias("tmpl"))
     many = speaking(clusters.groupBy("c", "key").agg(F.sum("n").alias("w")), words, min_docs)

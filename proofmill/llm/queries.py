@@ -155,10 +155,10 @@ cl AS (SELECT text, n, ts, a, b, list_filter(ts, lambda x, i: i <= 3 OR 5 * (i -
 met AS (SELECT n, a, b, fast FROM cl GROUP BY ALL HAVING count(DISTINCT text) >= {lines.MIN_DOCS}),
 clm AS (SELECT cl.* FROM cl JOIN met USING (n, a, b, fast)),
 ex AS (SELECT u.text, u.n, u.ts FROM u JOIN c USING (n, ts) WHERE c.docs >= {lines.MIN_DOCS}),
-sh AS (SELECT text, sum(n) AS shared FROM (SELECT text, n, ts FROM ex UNION SELECT text, n, ts FROM clm) GROUP BY text),
-wd AS (SELECT text, sum(n) AS total, sum(n) - any_value(shared) AS own FROM u JOIN sh USING (text) GROUP BY text),
-one AS (SELECT ts FROM ex JOIN wd USING (text) WHERE own > 0 AND 2 * own >= total - n GROUP BY n, ts HAVING count(*) >= {lines.MIN_DOCS}),
-many AS (SELECT n, a, b, fast FROM (SELECT n, a, b, fast, text, sum(n) AS w FROM clm GROUP BY ALL) JOIN wd USING (text) WHERE own > 0 AND 2 * own >= total - w GROUP BY n, a, b, fast HAVING count(*) >= {lines.MIN_DOCS}),
+sh AS (SELECT text, sum(n) AS shared, count(*) AS others FROM (SELECT text, n, ts FROM ex UNION SELECT text, n, ts FROM clm) GROUP BY text),
+wd AS (SELECT text, sum(n) AS total, sum(n) - any_value(shared) AS own, any_value(others) AS others FROM u JOIN sh USING (text) GROUP BY text),
+one AS (SELECT ts FROM ex JOIN wd USING (text) WHERE own > 0 AND (2 * own >= total - n OR others <= {lines.FEW}) GROUP BY n, ts HAVING count(*) >= {lines.MIN_DOCS}),
+many AS (SELECT n, a, b, fast FROM (SELECT n, a, b, fast, text, sum(n) AS w FROM clm GROUP BY ALL) JOIN wd USING (text) WHERE own > 0 AND (2 * own >= total - w OR others <= {lines.FEW}) GROUP BY n, a, b, fast HAVING count(*) >= {lines.MIN_DOCS}),
 dr AS (SELECT ts FROM one UNION SELECT ts FROM clm JOIN many USING (n, a, b, fast)),
 h AS (SELECT doc_id, list(lno) AS ats FROM m WHERE ts IN (SELECT ts FROM dr) GROUP BY doc_id)
 SELECT doc_id, CASE WHEN missing THEN 0 ELSE len(ls) END AS n_lines, coalesce(len(ats), 0) AS n_dropped,

@@ -11,22 +11,28 @@ file: how many ids stand in the files before it.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, pairwise, repeat
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pandas.util import hash_array
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Ids of pieces of text that one Python worker remembers; beyond it the memory starts anew.
-MEMORY = 3_000_000
+MEMORY = 20_000_000
 #: Bytes of text encoded at once; a longer text stands alone.
 BATCH = 4 << 20
+#: Keys of the two 64-bit hashes by which a piece is remembered.
+KEYS = "of pieces, first", "of pieces,second"
+#: Fixed value: the characters that are white space to the library, or might be taken for it.
+WHITE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 STRIPE, STRIDE, FALSE_POSITIVES = 32 << 20, 1_000, 0.01
 
 
@@ -50,7 +56,9 @@ class LibraryEncoder:
             own = json.load(f)
         before = own.get("pre_tokenizer") or {}
         self.by_piece = own.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        special = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        other = WHITE.replace(r"\x09-\x0D", r"\x09\x0B-\x0D").replace(r"\x1C-\x20", r"\x1C-\x1F")
+        self.odd = "|".join([f"[{WHITE}][{WHITE}]", f"\\A[{WHITE}]", f"[{WHITE}]\\z", f"[{other}]", *special])
         vocabulary = self.library.get_vocab()
         self.bytes = np.zeros(max(vocabulary.values(), default=0) + 1, "int64")
         for token, i in vocabulary.items():
@@ -58,45 +66,52 @@ class LibraryEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.ids, self.at = {}, np.zeros(0, "int32"), np.zeros(1, "int32")
+        """Of each piece known: two hashes, ascending by the first, where its ids begin and how many they are."""
+        self.first, self.second = np.zeros(0, "uint64"), np.zeros(0, "uint64")
+        self.at, self.size, self.ids = np.zeros(0, "int32"), np.zeros(0, "int32"), np.zeros(0, "int32")
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "int32")
 
-    def plain(self, text: str) -> bool:
-        return self.by_piece and " ".join(text.split()) == text.replace("\n", " ") and not any(s in text for s in self.special)
-
-    def learn(self, new: list[str]) -> None:
-        """Remember the ids of pieces, each without its leading space."""
+    def learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Add the ids of pieces, each without its leading space: where they begin, and how many they are."""
         strung = "".join([w if w.startswith("\n") else " " + w for w in new])
         ids = np.array(self.library.encode_batch_fast([strung], add_special_tokens=False)[0].ids, "int32")
         ends = np.cumsum(pc.binary_length(pa.array(new)).to_numpy() + [not w.startswith("\n") for w in new])
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        self.at = np.concatenate((self.at, len(self.ids) + np.searchsorted(np.cumsum(self.bytes[ids]), ends).astype("int32") + 1))
-        self.ids = np.concatenate((self.ids, ids))
+        at = np.concatenate(([0], np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1)).astype("int32")
+        old, self.ids = len(self.ids), np.concatenate((self.ids, ids))
+        return old + at[:-1], np.diff(at)
 
-    def pieces(self, texts: list[str]) -> list[np.ndarray]:
+    def pieces(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of plain texts.  Each text gets a line break in front, whose one id goes again."""
         if len(self.ids) > MEMORY:
             self.forget()
-        cut = pc.split_pattern(pa.array(["\n" + t.replace("\n", " \n") for t in texts], "large_string"), " ")
+        line_break, nothing = pa.scalar("\n", "large_string"), pa.scalar("", "large_string")
+        cut = pc.split_pattern(pc.binary_join_element_wise(line_break, pc.replace_substring(texts, "\n", " \n"), nothing), " ")
         coded, rows = cut.values.dictionary_encode(), cut.offsets.to_numpy()
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        known, old = np.fromiter(map(self.known.get, words, repeat(-1)), "int32", len(words)), len(self.known)
-        if len(new := np.flatnonzero(known < 0)):
-            self.learn([words[i] for i in new.tolist()])
-            known[new] = np.arange(old, len(self.known))
-        of = known[coded.indices.to_numpy()]
-        sizes = (self.at[known + 1] - self.at[known])[coded.indices.to_numpy()]
+        words, of = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy()
+        first, second = (hash_array(words, hash_key=k, categorize=False) for k in KEYS)
+        place = np.searchsorted(self.first, first)
+        spot = np.minimum(place, max(len(self.first) - 1, 0))
+        taken = self.first[spot] == first if len(self.first) else np.zeros(len(words), bool)
+        known = taken & (self.second[spot] == second) if len(self.first) else taken
+        at, size = (x[spot] if len(x) else np.zeros(len(words), "int32") for x in (self.at, self.size))
+        if not known.all():
+            at[~known], size[~known] = self.learn(words[~known].tolist())
+            add = np.flatnonzero(~taken)
+            add = add[np.argsort(first[add], kind="stable")]
+            self.first, self.second, self.at, self.size = (np.insert(x, place[add], y[add]) for x, y in ((self.first, first), (self.second, second), (self.at, at), (self.size, size)))
+        sizes = size[of]
         ends = np.cumsum(sizes, dtype="int32")
-        ids = self.ids[np.repeat(self.at[of] - ends + sizes, sizes) + np.arange(ends[-1], dtype="int32")]
+        ids = self.ids[np.repeat(at[of] - ends + sizes, sizes) + np.arange(ends[-1], dtype="int32")]
         ends = np.concatenate(([0], ends))[rows]
         return [ids[a + 1 : b] for a, b in pairwise(ends)]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [self.plain(t) for t in texts]
-        done = iter(self.pieces([t for t, p in zip(texts, plain, strict=True) if p]) if any(plain) else ())
-        return [next(done) if p else self.whole(t) for t, p in zip(texts, plain, strict=True)]
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        texts = texts.cast("large_string")
+        odd = pc.match_substring_regex(texts, self.odd) if self.by_piece else pa.array([True] * len(texts))
+        done = iter(self.pieces(texts.filter(pc.invert(odd))) if len(odd) and not pc.all(odd).as_py() else ())
+        return [self.whole(text.as_py()) if alone else next(done) for text, alone in zip(texts, odd.to_pylist(), strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -115,12 +130,13 @@ def encoded(docs: DataFrame, vocab_path: str, end_id: int) -> DataFrame:
         for frame in frames:
             sizes = pc.binary_length(frame.column(1)).to_numpy().cumsum() // BATCH
             for a, b in pairwise([0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(sizes)]):
-                rows = [x for ids in own.encode(frame.column(1).slice(a, b - a).to_pylist()) for x in (ids, end)]
+                rows = [x for ids in own.encode(frame.column(1).slice(a, b - a)) for x in (ids, end)]
                 n = np.fromiter(map(len, rows), "int64", len(rows)).reshape(-1, 2).sum(axis=1)
                 places = np.concatenate(([0], np.cumsum(n)))
                 ids = pa.ListArray.from_arrays(pa.array(places, "int32"), pa.array(np.concatenate(rows)))
                 yield pa.RecordBatch.from_arrays([frame.column(0).slice(a, b - a), pa.array([part] * len(n), "int32"), pa.array(at + places[:-1]), pa.array(n), ids], ["doc_id", "part", "at", "n_tokens", "ids"])
                 at += int(places[-1])
+            pa.default_memory_pool().release_unused()
 
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("tie"))

@@ -2,8 +2,9 @@
 
 score = sigmoid(b + sum of weights + sum of dot products of the latent vectors of each pair of terms
 that a document has).  The pair part learns combinations that a sum of single weights misses.
-A term counts by how clearly its presence speaks for or against the label, so rare terms of the
-fitted rows do not drown the rest; how many terms a model has follows from the rows.
+A term counts by how clearly its presence, alone or beside another frequent term, speaks for or
+against the label, so rare terms of the fitted rows do not drown the rest, while two words that are
+harmless each and toxic together both enter; how many terms a model has follows from the rows.
 """
 
 from __future__ import annotations
@@ -21,6 +22,11 @@ from .near import chunks
 BUCKETS, FACTORS = 1 << 20, 4
 #: z-score at which a term counts half, and how sharply its value rises there; a value under LEAST is 0.
 EVIDENCE, SHARPNESS, LEAST = 2.8, 10, 1e-4
+#: The most frequent terms of the fitted rows, whose pairs are looked at too, and how far the z-score of a
+#: pair must pass those of its two terms to count like an own score of EVIDENCE.
+FREQUENT, BESIDE = 1_000, 8.0
+#: The fit ends when STILL steps have lowered the loss by less than a part SETTLED, or after STEPS.
+STEPS, STILL, SETTLED = 1_000, 20, 0.01
 #: Bound on the labelled rows that the model is fitted on (the least by hash of doc_id).
 MAX_TRAIN = 16_000
 PREDICT_AT = 0.7
@@ -37,24 +43,55 @@ def bucket(term: str) -> int:
     return zlib.crc32(term.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
-def fit(rows: list[np.ndarray], toxic: np.ndarray, steps: int = 100, seed: int = 7) -> dict:
+def z_score(df: np.ndarray, hit: np.ndarray, n: int, pos: float) -> np.ndarray:
+    """How far apart the shares of toxic and other rows are that hold something met in ``df`` rows, ``hit``
+    of them toxic; shrunk where they hardly differ."""
+    a, b = (hit + 0.5) / (pos + 1), (df - hit + 0.5) / (n - pos + 1)
+    return np.abs(a - b) / np.sqrt(np.maximum(a * (1 - a) / pos + b * (1 - b) / (n - pos), 0) + 1e-12) * np.minimum(1.0, np.abs(np.log(a / b)))
+
+
+def values(owner: np.ndarray, col: np.ndarray, terms: int, toxic: np.ndarray) -> np.ndarray:
+    """Value of each term: z^s / (z^s + EVIDENCE^s), z its own z-score or what the best of its pairs has
+    beyond the scores of both, in units of BESIDE, whichever is more.
+
+    The pairs are those of the FREQUENT most frequent terms, counted by one product of matrices.
+    """
+    n, pos = len(toxic), toxic.sum()
+    df, hit = np.bincount(col, minlength=terms), np.bincount(col, weights=toxic[owner], minlength=terms)
+    z = z_score(df, hit, n, pos)
+    often = np.sort(np.argsort(-df, kind="stable")[:FREQUENT])
+    place = np.full(terms, -1)
+    place[often] = np.arange(len(often))
+    use = place[col] >= 0
+    both, ill = np.zeros((len(often), len(often))), np.zeros((len(often), len(often)))
+    for at in range(0, n, 4096):  # in blocks of rows, so memory does not grow with them
+        some = use & (owner >= at) & (owner < at + 4096)
+        x = np.zeros((min(4096, n - at), len(often)), np.float32)
+        x[owner[some] - at, place[col[some]]] = 1
+        bad = x[toxic[at : at + 4096] == 1]
+        both += x.T @ x
+        ill += bad.T @ bad
+    beyond = z_score(both, ill, n, pos) - np.maximum(z[often][:, None], z[often][None, :])
+    np.fill_diagonal(beyond, 0)
+    z[often] = np.maximum(z[often], EVIDENCE / BESIDE * beyond.max(axis=1, initial=0))
+    return 1 / (1 + (EVIDENCE / np.maximum(z, 1e-6)) ** SHARPNESS)
+
+
+def fit(rows: list[np.ndarray], toxic: np.ndarray, steps: int = STEPS, seed: int = 7, factors: int = FACTORS) -> dict:
     """The model: buckets, weights, latent vectors and bias.
 
-    A bucket's value in a row is z^s / (z^s + EVIDENCE^s), z the z-score of its two shares (shrunk where
-    they hardly differ).  Full-batch gradient descent (Adam) on the logistic loss with L2, over sparse rows.
+    Full-batch gradient descent (Adam) on the logistic loss with L2, over sparse rows, until the loss
+    settles.  A bucket's value in a row is that of ``values``.  Without factors the model is linear.
     """
     toxic = np.asarray(toxic, dtype=np.float64)
     n, pos = len(rows), toxic.sum()
     share = (pos + 1) / (n + 2)
-    prior = {"terms": np.zeros(0, np.int64), "w": np.zeros(0), "v": np.zeros((0, FACTORS)), "b": float(np.log(share / (1 - share)))}
-    if not n or pos in (0, n):
+    prior = {"terms": np.zeros(0, np.int64), "w": np.zeros(0), "v": np.zeros((0, factors)), "b": float(np.log(share / (1 - share)))}
+    if not n or pos in (0, n) or not sum(map(len, rows)):
         return prior
     terms, col = np.unique(np.concatenate(rows), return_inverse=True)
     owner = np.repeat(np.arange(n), [len(r) for r in rows])
-    df, hit = np.bincount(col), np.bincount(col, weights=toxic[owner])
-    a, b = (hit + 0.5) / (pos + 1), (df - hit + 0.5) / (n - pos + 1)
-    z = np.abs(a - b) / np.sqrt(a * (1 - a) / pos + b * (1 - b) / (n - pos) + 1e-12) * np.minimum(1.0, np.abs(np.log(a / b)))
-    value = 1 / (1 + (EVIDENCE / np.maximum(z, 1e-6)) ** SHARPNESS)
+    value = values(owner, col, len(terms), toxic)
     some = value >= LEAST
     if not some.any():
         return prior
@@ -67,14 +104,18 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, steps: int = 100, seed: int =
     # the rarer class counts up to BALANCE times, else few documents of a language could not lift a score
     importance = np.where(toxic == 1, min(BALANCE, (n - pos) / pos), 1.0)
     rng = np.random.default_rng(seed)
-    p = {"w": np.zeros(len(terms)), "v": rng.normal(0, 0.05, (len(terms), FACTORS)), "b": np.array(np.log(pos / (n - pos)))}
+    p = {"w": np.zeros(len(terms)), "v": rng.normal(0, 0.05, (len(terms), factors)), "b": np.array(np.log(pos / (n - pos)))}
     m, s = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
+    losses: list[float] = []
     for t in range(1, steps + 1):
         each = np.concatenate([p["w"][:, None], p["v"]], axis=1).astype(np.float32)[col] * x
-        sums, squares = np.zeros((n, FACTORS + 1)), np.zeros(n)
+        sums, squares = np.zeros((n, factors + 1)), np.zeros(n)
         sums[lines] = np.add.reduceat(each, first, axis=0)
         squares[lines] = np.add.reduceat((each[:, 1:] ** 2).sum(axis=1), first)
         y = p["b"] + sums[:, 0] + 0.5 * ((sums[:, 1:] ** 2).sum(axis=1) - squares)
+        losses.append(float((importance * np.logaddexp(0, np.where(toxic == 1, -y, y))).mean()))
+        if t > 5 * STILL and losses[-1 - STILL] - losses[-1] < SETTLED * losses[-1 - STILL]:
+            break
         err = importance * (1 / (1 + np.exp(-np.clip(y, -30, 30))) - toxic) / n
         back = np.concatenate([err[:, None], err[:, None] * sums[:, 1:]], axis=1).astype(np.float32)[owner_by] * x_by
         back = np.add.reduceat(back, first_by, axis=0)

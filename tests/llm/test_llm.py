@@ -162,7 +162,7 @@ def plain_lines(rows, min_docs=10):
 
     def speaks(t, cluster):
         total, own = sum(map(len, have[t])), sum(len(x) for x in have[t] - shared)
-        return own > 0 and 2 * own >= total - sum(len(x) for x in have[t] & cluster)
+        return own > 0 and (2 * own >= total - sum(len(x) for x in have[t] & cluster) or len(have[t] & shared) <= lines.FEW)
 
     gone = {x for c in clusters if sum(speaks(t, c) for t in {t for x in c for t in docs_of[x]}) >= min_docs for x in c}
     return {i: [x in gone for x in tmpl[t]] if t is not None else [] for i, t in rows}
@@ -213,13 +213,19 @@ def test_lines_drop_from_short_pages_too(spark):
 
 
 def test_lines_ties(spark):
-    """Own lines of exactly half the words beside a cluster speak for it; one word less does not."""
-    rows = [(i, f"{n} own words\nalpha beta gamma\ndelta eps zeta eta") for i, n in enumerate(NAMES)]
-    assert check_lines(spark, rows) == [1] * len(NAMES)
-    assert check_lines(spark, [(i, t.replace("own", "own own")) for i, t in rows]) == [2] * len(NAMES)
+    """Of pages with three recurring lines, own lines of exactly half the words beside a cluster speak for it; one word less does not."""
+    rows = [(i, f"{n} has six words of its\nalpha beta gamma\ndelta eps zeta\neta theta iota") for i, n in enumerate(NAMES)]
+    assert check_lines(spark, rows) == [3] * len(NAMES)
+    assert check_lines(spark, [(i, t.replace("has six", "has")) for i, t in rows]) == [0] * len(NAMES)
     assert check_lines(spark, rows[: lines.MIN_DOCS - 1]) == [0] * (lines.MIN_DOCS - 1)
 
 
+def test_lines_of_short_pages_with_a_menu_and_a_footer(spark):
+    menu, foot = "home news sport maps mail shop jobs help about contact", "all rights are with us since the day we began"
+    rows = [(i, f"{menu}\n{prose(4)} w{chr(97 + i % 26)}{chr(97 + i // 26)}\n{foot}") for i in range(60)]
+    assert check_lines(spark, rows) == [2] * 60
+
+
 def test_lines_of_near_copies_are_no_templates(spark):
     """Copies with a line of their own keep their text, but lose what other documents show to be boilerplate."""
     copies = [(i, BASE.replace(". ", ".\n") + f"\nown words {n}\nall rights are with us") for i, n in enumerate(NAMES)]
