@@ -8,6 +8,9 @@ prefix of the other.  What lies on one side of that pivot, and the pivot itself,
 both words: the position limit says from which end the pivot's place is the same, and the join is on
 the equal side.  Where that side is short, the join also takes the WINDOW letters beyond the pivot,
 or, if the edit is within these, all that follows them.  Every pair met is verified.
+
+A bigram may stand at very many places of a very long run, so words of more than LONG letters are
+joined by halves instead: one edit leaves the first or the last half of the shorter word whole.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ LETTERS, LARGE, SMALL = "[A-Za-z\u00C0-\u00FF]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "
 LEAST, TWICE, MUCH = 7, 2, 10
 #: Letters of an equal side that make a key by themselves, and letters taken beyond a shorter one.
 STRONG, WINDOW = 6, 3
+#: Letters of a word up to which bigrams find its partners.
+LONG = 64
 
 
 def spellings(docs: DataFrame) -> DataFrame:
@@ -92,16 +97,25 @@ def side_keys(probe: bool) -> Column:
     return F.concat(by_left, by_right)
 
 
+def half_keys() -> Column:
+    """Hashes of the first and last half that a word shares with a partner as long, one letter longer or shorter."""
+    word, size = F.col("word"), F.length("word")
+    sizes = [(size, size), (size, size + 1), (size - 1, size)]
+    half = lambda n: F.floor(n / 2).cast("int")
+    return F.array(*[F.xxhash64(F.lit(side), short, long, part(half(short))) for short, long in sizes for side, part in (("first", lambda n: F.substring(word, F.lit(1), n)), ("last", lambda n: F.right(word, n)))])
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """Rows (word, near, near_n), both ways, of all ``words(word, n)`` exactly one edit apart."""
-    grams = written(grams_of(words), "grams")
+    grams = written(grams_of(words.where(F.length("word") <= LONG)), "grams")
     keyed = lambda places, probe: grams.select("word", "n", "last", F.explode(places).alias("at")).select("word", "n", "last", F.explode(side_keys(probe)).alias("key"))
-    x = keyed("pivots", True).alias("x")
-    y = keyed("prefix", False).alias("y")
-    met = x.join(y, "key").where("x.last <= y.last AND x.word <> y.word AND levenshtein(x.word, y.word, 1) = 1")
-    pairs = met.select(F.struct("x.word", "x.n").alias("x"), F.struct("y.word", "y.n").alias("y"))
-    both = pairs.select(F.explode(F.array(F.struct(F.col("x.word").alias("word"), F.col("y.word").alias("near"), F.col("y.n").alias("near_n")), F.struct(F.col("y.word").alias("word"), F.col("x.word").alias("near"), F.col("x.n").alias("near_n")))).alias("p"))
-    return both.select("p.*").distinct()
+    halves = words.where(F.length("word") >= LONG).select("word", "n", F.lit(0).alias("last"), F.explode(half_keys()).alias("key"))
+    met = []
+    for x, y in ((keyed("pivots", True), keyed("prefix", False)), (halves, halves)):
+        both = x.alias("x").join(y.alias("y"), "key").where("x.last <= y.last AND x.word <> y.word AND levenshtein(x.word, y.word, 1) = 1")
+        met.append(both.select(F.col("x.word").alias("w"), F.col("x.n").alias("n"), F.col("y.word").alias("v"), F.col("y.n").alias("m")))
+    ways = F.array(F.struct(F.col("w").alias("word"), F.col("v").alias("near"), F.col("m").alias("near_n")), F.struct(F.col("v").alias("word"), F.col("w").alias("near"), F.col("n").alias("near_n")))
+    return met[0].union(met[1]).select(F.inline(ways)).distinct()
 
 
 def roots(forms: DataFrame, most: int) -> DataFrame:
@@ -121,7 +135,7 @@ def variant_groups(docs: DataFrame) -> DataFrame:
 
     A null or empty text has no words; a null doc_id counts as an empty one in the checksum; rows that
     repeat a doc_id each count; other columns are not read; an empty table gives none.  Words of any
-    length are whole.  Frequent words and runs are counted before the shuffle; a key that many words
+    length are whole, and a task holds a few.  Frequent words and runs are counted before the shuffle; a key that many words
     share is split by the planner's skew join.  Words that share a rare pivot and a whole side of it
     are compared with each other, whatever their number.
     """
