@@ -81,8 +81,9 @@ def edges(ev: DataFrame) -> DataFrame:
 
 
 def dangling(ev: DataFrame) -> DataFrame:
-    """References whose event is not in the same subject: (subject, id, ref)."""
-    refs = ev.select("subject", "id", F.explode(F.array_distinct(F.array_compact(F.array(*REFS)))).alias("ref"))
+    """References whose event is not in the same subject: (subject, id, ref); those of ``linked`` where rows have it."""
+    every = F.col("linked") if "linked" in ev.columns else F.array_distinct(F.array_compact(F.array(*REFS)))
+    refs = ev.select("subject", "id", F.explode(every).alias("ref"))
     known = ev.select("subject", F.col("id").alias("ref"))
     return refs.join(known, ["subject", "ref"], "left_anti").select("subject", "id", "ref")
 
