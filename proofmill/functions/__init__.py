@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import unicodedata
 from decimal import Decimal, localcontext
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession
@@ -184,8 +186,50 @@ def _beta_cdf(k: int, n: int, x: Decimal) -> Decimal:
     return 1 - scale * _beta_fraction(b, a, 1 - x) / b
 
 
+#: Trials up to which intervals come from whole numbers alone.
+EXACT = 2_000
+
+
+def _tail(k: int, n: int, a: int, d: int) -> int:
+    """P(at least k of n) at success probability a / d, times d to the n; each term follows from the one before without remainder."""
+    if k > n:
+        return 0
+    term = math.comb(n, k) * a**k * (d - a) ** (n - k)
+    total = term
+    for i in range(k, n):
+        term = term * (n - i) * a // ((i + 1) * (d - a))
+        total += term
+    return total
+
+
+def exact_interval(k: int, n: int, alpha: str = "0.05") -> tuple[str, str]:
+    """The interval by tail sums in whole numbers: a bound is rounded to the fourth decimal whose upper and
+    lower half steps have the two tails on either side of alpha / 2; a bound on a half step goes to the even one."""
+    half = Fraction(alpha) / 2
+    d = 20_000
+
+    def steps(past) -> int:
+        """How many half steps lie before the bound; ``past`` gives the sign of the bound less the step."""
+        lo, hi = 0, d // 2
+        while lo < hi:
+            mid = (lo + hi) // 2
+            lo, hi = (mid + 1, hi) if past(2 * mid + 1) > 0 else (lo, mid)
+        return lo + (lo < d // 2 and past(2 * lo + 1) == 0 and lo % 2)
+
+    low = steps(lambda a: half.numerator * d**n - half.denominator * _tail(k, n, a, d))
+    high = steps(lambda a: half.denominator * (d**n - _tail(k + 1, n, a, d)) - half.numerator * d**n)
+    return tuple(f"{x // 10_000}.{x % 10_000:04d}" for x in (0 if k == 0 else low, 10_000 if k == n else high))
+
+
 def clopper_pearson(k: int, n: int, alpha: str = "0.05") -> tuple[str, str]:
-    """Exact binomial interval as text with four places, half to even."""
+    """Exact binomial interval as text with four places, half to even; up to EXACT trials from whole numbers alone."""
+    if n <= EXACT:
+        return exact_interval(k, n, alpha)
+    return decimal_interval(k, n, alpha)
+
+
+def decimal_interval(k: int, n: int, alpha: str = "0.05") -> tuple[str, str]:
+    """The interval by bisection of the incomplete beta function, to 30 digits."""
     with localcontext() as ctx:
         ctx.prec = 30
         half = Decimal(alpha) / 2

@@ -114,9 +114,9 @@ ORACLES = {
 }
 
 
-def attack_success(cases: DataFrame, oracle: str, groups: list[str], threshold: tuple[str, int, int] | None, min_cases: int = 1) -> DataFrame:
+def attack_success(cases: DataFrame, oracle: str | Column, groups: list[str], threshold: tuple[str, int, int] | None, min_cases: int = 1) -> DataFrame:
     """(groups, total, failed, outcome): the share of probe cases that an oracle calls failed."""
-    got = cases.withColumn("_bad", F.coalesce(ORACLES[oracle](), F.lit(False))).groupBy(*groups).agg(F.count("*").alias("total"), F.count_if("_bad").alias("failed"))
+    got = cases.withColumn("_bad", F.coalesce(ORACLES[oracle]() if isinstance(oracle, str) else oracle, F.lit(False))).groupBy(*groups).agg(F.count("*").alias("total"), F.count_if("_bad").alias("failed"))
     few = F.col("total") < min_cases
     if threshold is None:
         outcome = F.lit("not_assessed")

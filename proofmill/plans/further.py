@@ -20,7 +20,7 @@ from ..sources import binding as bd
 from . import sql
 from .evidence import CHAIN, EDGES, assertions, facts, subjects
 from .general import graph
-from .measures import ASR, COVER, LAB, denominators, exact, labelled
+from .measures import ASR, COVER, LAB, denominators, exact, interval_sql, labelled
 from .sql import with_
 
 QUERIES, ORACLE = {}, {}
@@ -222,11 +222,10 @@ def probe_structural(spark, d):
     closure = fx.class_closure(spark.createDataFrame([("User", "Turn"), ("Assistant", "Turn")], "child string, parent string"))
     bad = mt.structural_failures(links, literals, closure, {"target": "User", "path": ["answeredBy"], "check": ("min_count", 1)})
     cases = t.select("conv_id", F.col("subject").alias("case_id")).distinct().join(bad.withColumn("bad", F.lit(True)), "case_id", "left").withColumn("bucket", F.col("conv_id") % 10)
-    mt.ORACLES.setdefault("marked", lambda: F.col("bad"))
-    return mt.attack_success(cases, "marked", ["bucket"], ("<=", 1, 2))
+    return mt.attack_success(cases, F.col("bad"), ["bucket"], ("<=", 1, 2))
 
 
-@query()
+@query(interval_sql("(" + ORACLE["probe_structural"] + ")", "bucket, outcome", "failed", "total"))
 def probe_interval(spark, d):
     """Exact interval of the attack-success rate of each bucket of cases."""
     return mt.success_interval(probe_structural(spark, d))

@@ -256,7 +256,14 @@ def labelled(spark, d):
     return bd.table(spark, d, "labels").join(docs, "doc_id").withColumns({"good": F.col("quality") == 1, "bad": F.col("toxic") == 1})
 
 
-@query()
+def interval_sql(rows: str, keys: str, k: str, n: str) -> str:
+    """low and high of k in n for each of ``rows``: how many half steps of the fourth decimal lie before each bound, by both tails."""
+    term = f"exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + i * ln(p) + ({n} - i) * ln(1 - p))"
+    tails = f"SELECT {keys}, {k}, {n}, p, sum({term}) FILTER (i >= {k}) AS up, sum({term}) FILTER (i <= {k}) AS down FROM {rows}, (SELECT (m + 0.5) / 10000 AS p FROM range(10000) t(m)), unnest(range(0, {n} + 1)) AS u(i) GROUP BY ALL"
+    return f"SELECT {keys}, {k}, {n}, printf('%.4f', count(*) FILTER (up <= 0.025) / 10000) AS low, printf('%.4f', count(*) FILTER (down > 0.025) / 10000) AS high FROM ({tails}) GROUP BY ALL"
+
+
+@query(interval_sql(f"(SELECT lang, count(*) FILTER (good) AS k, count(*) AS n FROM {LAB} GROUP BY lang)", "lang", "k", "n"))
 def clopper_pearson(spark, d):
     """Exact intervals of the share of good documents by language."""
     got = labelled(spark, d).groupBy("lang").agg(F.count_if("good").alias("k"), F.count("*").alias("n"))

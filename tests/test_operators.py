@@ -104,6 +104,9 @@ def test_interval():
     assert fn.clopper_pearson(10, 10) == ("0.6915", "1.0000")
     assert fn.clopper_pearson(1, 1) == ("0.0250", "1.0000")
     assert fn.clopper_pearson(2, 10) == ("0.0252", "0.5561")
+    for k, n in [(0, 1), (3, 7), (50, 100), (199, 200), (1, 1500), (700, 1500)]:
+        assert fn.exact_interval(k, n) == fn.decimal_interval(k, n)
+    assert fn.exact_interval(0, 0) == ("0.0000", "1.0000")
 
 
 def test_pseudonym_and_sql_functions(spark):
