@@ -21,6 +21,12 @@ def _texts(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
+def once(c: Column) -> Column:
+    """``c`` behind a generator: a filter above stays there and does not repeat it, as it would repeat a
+    parse for every member that the filter's columns read.  For use in ``select`` alone."""
+    return F.explode(F.array(c))
+
+
 def half_even_ratio(a: Column, b: Column, places: int = 4) -> Column:
     """a / b of non-negative integers as text, rounded half to even once; null where b <= 0.
 

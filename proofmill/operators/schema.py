@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import once
+
 #: One line a member: event type (* for all), path, kind (text, integer, boolean, list, object, or allowed values), and ! where required.
 MEMBERS = """
 * agent.id text
@@ -90,7 +92,7 @@ def field(payload: Column, path: str, kind: str = "string") -> Column:
 def payload_errors(rows: DataFrame, rules: list[dict] | None = None, data: str = "data") -> DataFrame:
     """Adds ``errors``, all messages in rule order, to rows with etype and a JSON payload; empty where it is valid."""
     v = F.col("_payload")
-    out = rows.withColumn("_payload", F.try_parse_json(F.col(data)))
+    out = rows.select("*", once(F.try_parse_json(F.col(data))).alias("_payload"))
     at = lambda path: F.try_variant_get(v, "$." + path, "variant")
     tests = [F.when(~F.coalesce(fits(v, "object"), F.lit(False)), "payload is no object")]
     for r in rules if rules is not None else member_rules():
@@ -103,7 +105,7 @@ def payload_errors(rows: DataFrame, rules: list[dict] | None = None, data: str =
         tests.append(message if r["etype"] == "*" else F.when(F.col("etype") == r["etype"], message))
     for owner, member in NEEDED if rules is None else ():
         tests.append(F.when(fits(at(owner), "object") & at(f"{owner}.{member}").isNull(), f"{owner}.{member} is missing"))
-    return out.withColumn("errors", F.array_compact(F.array(*tests))).drop("_payload")
+    return out.select(*rows.columns, once(F.array_compact(F.array(*tests))).alias("errors"))
 
 
 def with_stream(rows: DataFrame, data: str = "data") -> DataFrame:
@@ -114,5 +116,5 @@ def with_stream(rows: DataFrame, data: str = "data") -> DataFrame:
 
 def projected(rows: DataFrame, paths: dict[str, str], data: str = "data") -> DataFrame:
     """Adds a text column for each (name, dotted path) of the payload, as metrics filter and group by."""
-    v = F.try_parse_json(F.col(data))
-    return rows.withColumns({name: field(v, path) for name, path in paths.items()})
+    out = rows.select("*", once(F.try_parse_json(F.col(data))).alias("_payload"))
+    return out.withColumns({name: field(F.col("_payload"), path) for name, path in paths.items()}).drop("_payload")

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import once
 from ..operators import ingest as ing
 from ..operators.facts import class_closure
 from .bundle import scan_lines
@@ -101,7 +102,7 @@ def shredded(rows: DataFrame, rules: str = COLUMNS, data: str = "data", event: s
     listed = {"texts", "principals"}
     paths = [path + "[]" * (kind in listed) for _, _, path, kind in table]
     p = F.from_json(data, members([*paths, "@type"]))
-    out = rows.withColumn("_p", p).withColumn("etype", F.coalesce(text(F.col("_p.`@type`")), "etype")).withColumn("id", F.concat(F.lit(event), "id"))
+    out = rows.select("*", once(p).alias("_p")).withColumn("etype", F.coalesce(text(F.col("_p.`@type`")), "etype")).withColumn("id", F.concat(F.lit(event), "id"))
     refs = F.map_values(F.from_json(F.get_json_object(data, "$.refs"), "map<string,variant>"))
     cols: dict[str, Column] = {}
     for name, etype, path, kind in table:
