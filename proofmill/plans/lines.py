@@ -12,6 +12,7 @@ from ..operators import facts as fx
 from ..operators import ingest as ing
 from ..sources import binding as bd
 from ..sources import payload as pl
+from ..sources import spans as sp
 from . import sql
 from .evidence import ORACLE as EVIDENCE
 from .evidence import subjects
@@ -99,3 +100,58 @@ def principal_classes(spark, d):
     path = f"{ing.shared_dir(spark)}/lines-{uuid.uuid4().hex}"
     pl.write_lines(lines, path)
     return pl.principal_classes(pl.evidence_of(spark, path))
+
+
+# -- spans ------------------------------------------------------------------------------------------
+
+
+def span_documents(spark, d):
+    """A span document for each turn, of both conventions, with attributes that are missing or of another kind here and there."""
+    t = bd.table(spark, d, "conversations").where("conv_id is not null and turn is not null").withColumn("j", (F.col("conv_id") + F.col("turn")) % 9)
+    c, n, second = F.col("conv_id"), F.col("turn"), F.col("conv_id") % 2 == 1
+    text = lambda k, v: F.struct(F.lit(k).alias("key"), F.struct((F.lit(v) if isinstance(v, str) else v.cast("string")).alias("stringValue"), F.lit(None).cast("string").alias("intValue")).alias("value"))
+    whole = lambda k, v: F.struct(F.lit(k).alias("key"), F.struct(F.lit(None).cast("string").alias("stringValue"), v.cast("string").alias("intValue")).alias("value"))
+    named = lambda *names: bd.chosen([(F.col("j") == i, F.lit(x)) for i, x in enumerate(names) if x])
+    op = named("chat", "execute_tool", "invoke_agent", "retrieval", "memory.write", "memory.read", "dance", None, "embeddings")
+    kind = named("LLM", "TOOL", "AGENT", "RETRIEVER", "CHAIN", "EMBEDDING", "RERANKER", None, "LLM")
+    either = lambda k1, k2, f, v: F.when(second, f(k2, v)).otherwise(f(k1, v))
+    attributes = F.array_compact(
+        F.array(
+            F.when(~second & op.isNotNull(), text("gen_ai.operation.name", op)), F.when(second & kind.isNotNull(), text("openinference.span.kind", kind)), F.when(c % 5 == 3, whole("gen_ai.agent.id", c)).otherwise(text("gen_ai.agent.id", F.concat(F.lit("agent-"), c % 5))),
+            either("gen_ai.conversation.id", "session.id", text, F.concat(F.lit("c"), c)), either("gen_ai.system", "llm.provider", text, F.lit("sys")), either("gen_ai.request.model", "llm.model_name", text, F.concat(F.lit("m"), n % 3)),
+            either("gen_ai.usage.prompt_tokens", "llm.token_count.prompt", whole, n), F.when(n % 4 == 0, text("gen_ai.usage.output_tokens", "many")).otherwise(text("gen_ai.usage.output_tokens", n * 2)), F.when(n % 2 == 0, either("gen_ai.tool.name", "tool.name", text, F.concat(F.lit("tool-"), n))),
+            F.when(c % 3 < 2, text("gen_ai.tool.protocol", F.when(c % 3 == 0, "mcp").otherwise("smoke"))), F.when(n % 3 > 0, text("retrieval.source", F.concat(F.lit("db"), n))), whole("retrieval.documents.count", n + 1), text("gen_ai.memory.store", "st"),
+            text("gen_ai.memory.trust", F.when(n % 2 == 0, "trusted").otherwise("maybe")), F.when(c % 4 == 0, text("gen_ai.task.id", F.concat(F.lit("task-"), c))), F.when(n % 2 == 1, text("input.value", "secret")),
+        )
+    )
+    ns = ((F.lit(1_700_000_000_000) + c * 60_000 + n * 1_001) * 1_000_000 + 999_999).cast("string")
+    span = F.struct(F.concat(F.lit("t"), c).alias("traceId"), F.concat(F.lit("s"), n).alias("spanId"), F.when(n > 0, F.concat(F.lit("s"), n - 1)).alias("parentSpanId"), F.concat(F.lit("span-"), n).alias("name"), F.when((n % 6 != 5) & (c % 7 != 6), ns).alias("startTimeUnixNano"), F.when(c % 7 != 6, ns).alias("endTimeUnixNano"), attributes.alias("attributes"), F.when(n % 5 == 0, F.struct(F.lit(2).alias("code"), F.when(c % 3 == 0, "broken").alias("message"))).alias("status"))
+    scope = F.struct(F.struct(F.when(second, "openinference.x").otherwise("demo").alias("name"), F.when(c % 3 > 0, "0.1").alias("version")).alias("scope"), F.when(c % 3 == 0, "https://example.com/schemas/1.30.0/").alias("schemaUrl"), F.array(span).alias("spans"))
+    resource = F.struct(F.struct(F.array(text("service.name", F.concat(F.lit("svc-"), c % 2)), text("gen_ai.tool.protocol", "http")).alias("attributes")).alias("resource"), F.lit("https://example.com/schemas/1.27").alias("schemaUrl"), F.array(scope).alias("scopeSpans"))
+    return t.select(F.to_json(F.struct(F.array(resource).alias("resourceSpans"))).alias("doc"))
+
+
+@query(
+    """WITH t AS (SELECT conv_id AS c, turn AS n, (conv_id + turn) % 9 AS j, conv_id % 2 = 1 AS second FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+o AS (SELECT *, CASE WHEN j = 7 THEN NULL WHEN second THEN CASE j WHEN 0 THEN 'ModelCall' WHEN 8 THEN 'ModelCall' WHEN 5 THEN 'ModelCall' WHEN 1 THEN 'ToolCall' WHEN 2 THEN 'Session' WHEN 3 THEN 'ResourceAccess' ELSE 'none' END
+    ELSE CASE j WHEN 0 THEN 'ModelCall' WHEN 8 THEN 'ModelCall' WHEN 1 THEN 'ToolCall' WHEN 2 THEN 'Session' WHEN 3 THEN 'ResourceAccess' WHEN 4 THEN 'MemoryWrite' WHEN 5 THEN 'MemoryRead' ELSE 'none' END END AS op,
+    strftime(make_timestamp((1700000000000 + c * 60000 + n * 1001) * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS tm FROM t),
+r AS (SELECT *, CASE WHEN op IS NULL THEN 'missing_operation' WHEN op = 'none' THEN 'unrecognised_operation' WHEN c % 7 = 6 THEN 'no_time' END AS reason FROM o),
+e AS (SELECT *, unnest(CASE WHEN reason IS NOT NULL THEN [NULL] WHEN op = 'Session' THEN ['SessionStart', 'SessionEnd'] ELSE [op] END) AS etype FROM r)
+SELECT CASE WHEN reason IS NULL THEN 'otel:t' || c || '/s' || n || CASE etype WHEN 'SessionStart' THEN '#session-start' WHEN 'SessionEnd' THEN '#session-end' ELSE '' END END AS id, etype, CASE WHEN reason IS NULL THEN tm END AS time, 'urn:otel:svc-' || (c % 2) AS source,
+  CASE WHEN second THEN 'openinference' || CASE WHEN c % 3 > 0 THEN ':0.1' ELSE '' END ELSE CASE WHEN c % 3 = 0 THEN 'genai:1.30' ELSE 'genai:1.27' END END AS convention, CASE WHEN n > 0 THEN 's' || (n - 1) END AS parent_id, CASE WHEN c % 4 = 0 THEN 'task-' || c END AS task,
+  CASE WHEN reason IS NULL AND c % 5 <> 3 THEN 'agent-' || (c % 5) END AS agent, CASE WHEN reason IS NULL THEN 'c' || c END AS session_id, CASE WHEN etype = 'ModelCall' THEN CASE WHEN (second AND j = 5) OR (NOT second AND j = 8) THEN 'embeddings' ELSE 'chat' END WHEN etype = 'ResourceAccess' THEN 'read' END AS operation,
+  CASE WHEN etype = 'ModelCall' THEN 'sys/m' || (n % 3) END AS model, CASE WHEN etype = 'ModelCall' THEN n END AS input_tokens, CASE WHEN etype = 'ModelCall' AND n % 4 > 0 THEN n * 2 END AS output_tokens,
+  CASE WHEN etype = 'ToolCall' THEN CASE WHEN n % 2 = 0 THEN 'tool-' || n ELSE 'span-' || n END END AS tool, CASE WHEN etype = 'ToolCall' THEN CASE c % 3 WHEN 0 THEN 'mcp' WHEN 2 THEN 'http' END END AS protocol,
+  CASE WHEN etype = 'ToolCall' AND n % 2 = 1 THEN 'otel:t' || c || '/s' || n || '#args' END AS args_ref, CASE WHEN etype = 'ResourceAccess' THEN CASE WHEN n % 3 > 0 THEN 'db' || n ELSE 'span-' || n END END AS uri, CASE WHEN etype = 'ResourceAccess' THEN n + 1 END AS docs,
+  CASE WHEN etype IN ('MemoryWrite', 'MemoryRead') THEN 'st' END AS store, CASE WHEN etype = 'MemoryWrite' AND n % 2 = 0 THEN 'trusted' END AS trust, CASE WHEN etype IN ('ModelCall', 'ToolCall') AND n % 5 = 0 THEN CASE WHEN c % 3 = 0 THEN 'broken' ELSE 'error' END END AS error,
+  CASE WHEN etype = 'SessionEnd' THEN CASE WHEN n % 5 = 0 THEN 'error' ELSE 'completed' END END AS end_reason, reason FROM e"""
+)
+def span_payloads(spark, d):
+    """Each span's event with the members of its payload, or why it gives none."""
+    ev = sp.span_events(sp.spans_of(span_documents(spark, d)), "agent-otel", "self_report")
+    part = lambda c, name: F.col(c).alias(name)
+    return ev.select(
+        "id", "etype", "time", "source", "convention", "parent_id", "task", part("agent.id", "agent"), "session_id", "operation", F.when(F.col("model").isNotNull(), F.concat_ws("/", "model.provider", "model.name")).alias("model"), part("usage.input_tokens", "input_tokens"), part("usage.output_tokens", "output_tokens"),
+        part("tool.name", "tool"), part("tool.protocol", "protocol"), "args_ref", part("resource.uri", "uri"), part("count", "docs"), "store", "trust", "error", "end_reason", "reason",
+    )
