@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ingest import BLOCK
+
 GENESIS = "0" * 64
 
 
@@ -14,8 +16,15 @@ def links(rows: DataFrame) -> DataFrame:
     ``broken``: the stored hash is not that of the content; ``unlinked``: prev is not the hash before;
     ``gap``: an unlinked row whose prev no row of its stream has (otherwise it is reordered).
     """
-    order = Window.partitionBy("stream").orderBy("ordinal")
-    out = rows.withColumn("idx", F.row_number().over(order) - 1).withColumn("back", F.lag("hash", 1, GENESIS).over(order))
+    rows = rows.withColumn("_block", F.floor(F.col("ordinal") / BLOCK))
+    # only blocks are put in order over a whole stream: rows before each, and the hash that the one before ends with
+    over, here = Window.partitionBy("stream").orderBy("_block"), Window.partitionBy("stream", "_block").orderBy("ordinal")
+    ends = rows.groupBy("stream", "_block").agg(F.count("*").alias("_n"), F.max_by("hash", "ordinal").alias("_last"))
+    before = F.coalesce(F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = ends.select("stream", "_block", before.alias("_before"), F.lag("_last", 1, GENESIS).over(over).alias("_entry"))
+    nth = F.row_number().over(here)
+    out = rows.join(ends, ["stream", "_block"]).withColumns({"idx": F.col("_before") + nth - 1, "back": F.when(nth == 1, F.col("_entry")).otherwise(F.lag("hash").over(here))})
+    out, rows = out.drop("_block", "_before", "_entry"), rows.drop("_block")
     out = out.withColumn("broken", F.coalesce(F.col("hash") != F.col("content_hash"), F.lit(True))).withColumn("unlinked", ~F.col("prev").eqNullSafe(F.col("back")))
     # membership by a join on the unlinked rows alone, not by collecting a stream
     known = rows.select("stream", F.col("hash").alias("prev"), F.lit(True).alias("_known")).distinct()

@@ -13,9 +13,10 @@ from ..operators import ingest as ing
 from ..sources import binding as bd
 from ..sources import payload as pl
 from ..sources import spans as sp
+from .. import streaming
 from . import sql
+from .evidence import CHAIN, subjects
 from .evidence import ORACLE as EVIDENCE
-from .evidence import subjects
 from .sql import with_
 
 QUERIES, ORACLE = {}, {}
@@ -155,3 +156,25 @@ def span_payloads(spark, d):
         "id", "etype", "time", "source", "convention", "parent_id", "task", part("agent.id", "agent"), "session_id", "operation", F.when(F.col("model").isNotNull(), F.concat_ws("/", "model.provider", "model.name")).alias("model"), part("usage.input_tokens", "input_tokens"), part("usage.output_tokens", "output_tokens"),
         part("tool.name", "tool"), part("tool.protocol", "protocol"), "args_ref", part("resource.uri", "uri"), part("count", "docs"), "store", "trust", "error", "end_reason", "reason",
     )
+
+
+# -- streams ----------------------------------------------------------------------------------------
+
+
+def own_folder(spark, name: str) -> str:
+    return f"{ing.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(with_(sql.EV) + CHAIN + """ SELECT stream, id, idx, CASE WHEN broken THEN 'broken' WHEN unlinked THEN 'unlinked' WHEN time < max(time) OVER (PARTITION BY stream ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 'time_order' END AS finding FROM m""")
+def chain_stream(spark, d):
+    """Each event's place in its hash chain and what is wrong with it, judged as events arrive in four parts."""
+    return streaming.replay(bd.chain(spark, d), streaming.chain_continuity, own_folder(spark, "chain-stream"))
+
+
+@query(with_(sql.EV) + "SELECT id, etype, subject FROM ev")
+def deduplicated_stream(spark, d):
+    """Events as they arrive in four parts, some again in the next part, each id once."""
+    ev = bd.evidence(spark, d).select("id", "etype", "subject", "time", "ordinal")
+    again = ev.where(F.expr("ordinal div 2") % 5 == 0)
+    twice = ev.union(again.withColumn("ordinal", F.col("ordinal") + 1)).union(again.withColumn("ordinal", F.col("ordinal") + 501))
+    return streaming.replay(twice, streaming.deduplicated, own_folder(spark, "deduplicated")).select("id", "etype", "subject")
