@@ -85,9 +85,9 @@ def payload_projection(spark, d):
 
 
 STREAMED = """,
-sf AS (SELECT id, 2 * n AS ordinal, CASE WHEN n % 7 = 3 THEN strftime(strptime(time, '%Y-%m-%dT%H:%M:%S.%gZ') - to_hours((n % 48)::INT), '%Y-%m-%dT%H:%M:%S') || substr(time, 20) ELSE time END AS time, k % 4 AS st, n FROM pay WHERE k % 29 <> 0),
-ff AS (SELECT id, ordinal, time, st, n FROM sf UNION ALL SELECT id, ordinal + 1, CASE WHEN n % 2 = 0 THEN strftime(strptime(time, '%Y-%m-%dT%H:%M:%S.%gZ') + INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S') || substr(time, 20) ELSE time END, st, n FROM sf WHERE n % 7 = 3),
-fr AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ordinal) AS rn, *, n % 7 = 3 AS twice FROM ff),
+sf AS (SELECT id, 2 * n AS ordinal, CASE WHEN n % 7 = 3 THEN strftime(strptime(time, '%Y-%m-%dT%H:%M:%S.%gZ') - to_hours((n % 48)::INT), '%Y-%m-%dT%H:%M:%S') || substr(time, 20) ELSE time END AS time, k % 4 AS st, n, k % 29 = 0 AS bad FROM pay),
+ff AS (SELECT id, ordinal, time, st, n, bad FROM sf UNION ALL SELECT id, ordinal + 1, CASE WHEN n % 2 = 0 THEN strftime(strptime(time, '%Y-%m-%dT%H:%M:%S.%gZ') + INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S') || substr(time, 20) ELSE time END, st, n, bad FROM sf WHERE n % 7 = 3),
+fr AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ordinal) AS rn, *, n % 7 = 3 AS twice FROM ff WHERE NOT bad),
 walk AS (SELECT 0::BIGINT AS rn, ['', '', '', '']::VARCHAR[] AS m, []::VARCHAR[] AS taken, -1 AS st, 'start' AS reason
     UNION ALL SELECT rn, CASE WHEN reason = 'accepted' THEN [CASE WHEN st = 0 THEN greatest(m[1], time) ELSE m[1] END, CASE WHEN st = 1 THEN greatest(m[2], time) ELSE m[2] END, CASE WHEN st = 2 THEN greatest(m[3], time) ELSE m[3] END, CASE WHEN st = 3 THEN greatest(m[4], time) ELSE m[4] END] ELSE m END,
         CASE WHEN reason = 'accepted' AND twice THEN list_append(taken, id) ELSE taken END, st, reason
@@ -95,8 +95,9 @@ walk AS (SELECT 0::BIGINT AS rn, ['', '', '', '']::VARCHAR[] AS m, []::VARCHAR[]
 
 
 def streamed(spark, d):
-    """Arrivals in four streams named by the payload: late clocks, and copies whose time differs from the first one's."""
-    rows = sc.with_stream(payloads(spark, d).where("k % 29 <> 0")).withColumn("n", F.expr("ordinal div 2"))
+    """Arrivals in four streams named by the payload: late clocks, broken payloads, and copies whose time differs from the first one's."""
+    strength = [r for r in sc.member_rules() if r["path"] == "integrity.strength"]
+    rows = sc.payload_errors(sc.with_stream(payloads(spark, d)), strength).withColumn("n", F.expr("ordinal div 2"))
     stamp, form = F.to_timestamp_ntz(F.substring("time", 1, 23), F.lit("yyyy-MM-dd'T'HH:mm:ss.SSS")), "yyyy-MM-dd'T'HH:mm:ss.SSS"
     moved = lambda h: F.concat(F.date_format(stamp + F.make_interval(hours=h), form), F.lit("Z"))
     rows = rows.withColumn("time", F.when(F.col("n") % 7 == 3, moved(-(F.col("n") % 48).cast("int"))).otherwise(F.col("time")))
@@ -104,7 +105,7 @@ def streamed(spark, d):
     return rows.union(copies)
 
 
-@query(with_(sql.EV).replace("WITH ", "WITH RECURSIVE ", 1) + PAYLOAD + STREAMED + "\nSELECT 'st-' || st AS stream, reason, count(*) AS events FROM walk WHERE rn > 0 GROUP BY ALL")
+@query(with_(sql.EV).replace("WITH ", "WITH RECURSIVE ", 1) + PAYLOAD + STREAMED + "\nSELECT 'st-' || st AS stream, reason, count(*) AS events FROM (SELECT st, reason FROM walk WHERE rn > 0 UNION ALL SELECT st, 'schema_invalid' FROM ff WHERE bad) GROUP BY ALL")
 def ingest_streams(spark, d):
     """Identity and order by the payload's own streams, against one pass in order of arrival."""
     got = ing.ingest(streamed(spark, d))

@@ -351,11 +351,11 @@ def readiness(spark, d):
     return got.groupBy("kind", "blocks").agg(F.count("*").alias("reasons"))
 
 
-@query("SELECT 'brand' AS kind, p_brand AS ref FROM part WHERE p_size <= 25 EXCEPT SELECT 'brand', p_brand FROM part WHERE p_size > 25 AND p_partkey % 40 = 0")
+@query("SELECT 'make' AS kind, p_brand || '/' || p_type || '/' || floor(p_retailprice / 10)::INT AS ref FROM part WHERE p_size <= 25 EXCEPT SELECT 'make', p_brand || '/' || p_type || '/' || floor(p_retailprice / 10)::INT FROM part WHERE p_size > 25")
 def crosswalk_orphans(spark, d):
-    """References that nothing defines: brands named by small parts, defined by some large ones."""
-    p = bd.table(spark, d, "part").withColumn("kind", F.lit("brand"))
-    return gv.orphans(p.where("p_size <= 25").select("kind", F.col("p_brand").alias("ref")), p.where("p_size > 25 and p_partkey % 40 = 0").select("kind", F.col("p_brand").alias("ref")))
+    """References that nothing defines: brand, type and price together that small parts name and no large part has."""
+    p = bd.table(spark, d, "part").select("p_size", F.lit("make").alias("kind"), F.concat_ws("/", "p_brand", "p_type", F.floor(F.col("p_retailprice") / 10).cast("int")).alias("ref"))
+    return gv.orphans(p.where("p_size <= 25").drop("p_size"), p.where("p_size > 25").drop("p_size"))
 
 
 @query(
