@@ -178,3 +178,23 @@ def deduplicated_stream(spark, d):
     again = ev.where(F.expr("ordinal div 2") % 5 == 0)
     twice = ev.union(again.withColumn("ordinal", F.col("ordinal") + 1)).union(again.withColumn("ordinal", F.col("ordinal") + 501))
     return streaming.replay(twice, streaming.deduplicated, own_folder(spark, "deduplicated")).select("id", "etype", "subject")
+
+
+@query("SELECT subject, catalog, control, outcome FROM (" + EVIDENCE["control_outcomes"] + ")")
+def incremental_outcomes(spark, d):
+    """Outcomes of all pairs after the events arrived in three parts, each of which assessed the subjects that
+    it touched and wrote the outcomes that it changed; compacted after the second."""
+    path = own_folder(spark, "incremental")
+
+    def assess(ev):
+        return az.assess(ev, fx.facts(ev, bd.domain(spark), bd.principals(ev)), cat.controls(spark), ev.select("subject").distinct().join(subjects(spark, d), "subject"))
+
+    step = streaming.reassess(assess, path)
+
+    def each(batch, number):
+        step(batch, number)
+        if number == 1:
+            streaming.compact(batch.sparkSession, path, number)
+
+    streaming.replay(bd.evidence(spark, d), lambda rows: rows, path + "-stream", 3, each=each)
+    return streaming.outcomes(spark, path)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.integrity import GENESIS
-from ..operators.state import merged
 from ..operators.summary import drift
 from ..sources.adapters import spans_to_events, unnest_spans
 
@@ -61,17 +60,50 @@ def counts_by_window(events: DataFrame, every: str = "1 hour", delay: str = "1 h
     return at.groupBy(F.window("at", every), "etype").agg(F.count("*").alias("events")).select("window.start", "window.end", "etype", "events")
 
 
-#: Folders over which the events of ``reassess`` are dealt by subject.
+#: Folders over which the events and outcomes of ``reassess`` are dealt by subject.
 BUCKETS = 64
+_KEYS = ["subject", "catalog", "control"]
+
+
+def _committed(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """Numbers n of the subfolders ``name=n`` whose writes are complete."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}=*/_SUCCESS")) or []
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+
+
+def outcomes(spark: SparkSession, path: str, upto: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+    """(subject, catalog, control, outcome) after batch ``upto``, or after all: of each pair the newest change
+    since the newest compaction, else what that holds.  With ``buckets``, only of subjects in these."""
+    schema = "subject string, catalog string, control string, outcome string, batch int, bucket int"
+    fits = lambda n: upto is None or n <= upto
+    base = [n for n in _committed(spark, f"{path}/compacted", "upto") if fits(n)][-1:]
+    later = [n for n in _committed(spark, f"{path}/changes", "batch") if fits(n) and n > max(base, default=-1)]
+    parts = [spark.read.schema(schema.replace(", batch int", "")).parquet(f"{path}/compacted/upto={n}").withColumn("batch", F.lit(n)) for n in base]
+    if later:
+        parts.append(spark.read.option("basePath", f"{path}/changes").schema(schema).parquet(*[f"{path}/changes/batch={n}" for n in later]))
+    if not parts:
+        return spark.createDataFrame([], schema).drop("batch", "bucket")
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    rows = rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
+    return rows.groupBy(*_KEYS).agg(F.max_by("outcome", "batch").alias("outcome"))
+
+
+def compact(spark: SparkSession, path: str, upto: int) -> None:
+    """Write the outcomes after batch ``upto`` in one place, by bucket; readers use it once it is complete."""
+    bucket = F.pmod(F.xxhash64("subject"), F.lit(BUCKETS)).cast("int")
+    outcomes(spark, path, upto).withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/compacted/upto={upto}")
 
 
 def reassess(assess: Callable[[DataFrame], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: assesses the subjects that a batch touches, over all their events so far,
-    and writes all outcomes and the drift under the batch's number.
+    and writes the outcomes that changed, and the drift, under the batch's number.
 
-    Events lie in folders by a hash of their subject, and only folders of touched subjects are read.  A
-    batch that runs again writes the same folders anew; a changed input makes a new version that names
-    the one it replaces, so no late event closes silently.
+    Events and outcomes lie in folders by a hash of their subject, and only folders of touched subjects
+    are read; ``outcomes`` reads the newest of each.  A batch that runs again writes the same folders
+    anew from the batches before it; a changed outcome makes a new row that names the batch it
+    supersedes, so no late event closes silently.
     """
     bucket = F.pmod(F.xxhash64("subject"), F.lit(BUCKETS)).cast("int")
 
@@ -81,12 +113,15 @@ def reassess(assess: Callable[[DataFrame], DataFrame], path: str) -> Callable[[D
         touched = spark.read.parquet(f"{path}/events/batch={number}").select("subject", bucket.alias("bucket")).distinct()
         buckets = [r["bucket"] for r in touched.select("bucket").distinct().collect()]  # BUCKETS numbers at most
         events = spark.read.option("basePath", f"{path}/events").parquet(f"{path}/events").where((F.col("batch") <= number) & F.col("bucket").isin(buckets))
-        now = assess(events.join(touched.select("subject"), "subject", "left_semi").select(batch.columns)).persist()
-        old = spark.read.parquet(f"{path}/outcomes/batch={number - 1}") if number else None
-        if old is not None:
+        own = events.join(touched.select("subject"), "subject", "left_semi").select(batch.columns)
+        assess(own).write.mode("overwrite").parquet(f"{path}/assessed/batch={number}")
+        now = spark.read.parquet(f"{path}/assessed/batch={number}")
+        old = outcomes(spark, path, number - 1, buckets).join(touched.select("subject"), "subject", "left_semi")
+        if number:
             drift(old, now).withColumn("supersedes", F.lit(number - 1)).write.mode("overwrite").parquet(f"{path}/drift/batch={number}")
-        merged(old, now).write.mode("overwrite").parquet(f"{path}/outcomes/batch={number}")
-        now.unpersist()
+        was = old.withColumnRenamed("outcome", "_was")
+        new = now.select(*_KEYS, "outcome").join(was, _KEYS, "left").where("_was is null or _was <> outcome").drop("_was")
+        new.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/changes/batch={number}")
 
     return run
 
@@ -95,11 +130,12 @@ def reassess(assess: Callable[[DataFrame], DataFrame], path: str) -> Callable[[D
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def replay(rows: DataFrame, operator: Callable[[DataFrame], DataFrame], path: str, arrivals: int = 4, order: str = "ordinal") -> DataFrame:
+def replay(rows: DataFrame, operator: Callable[[DataFrame], DataFrame], path: str, arrivals: int = 4, order: str = "ordinal", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
     """What a streaming operator says of a table that arrives in several parts, in the order of a number.
 
     Each part is added to a folder, and the query runs until it has seen it all, from the checkpoint of
-    the run before; so state is carried over through the store, as on a restart.
+    the run before; so state is carried over through the store, as on a restart.  With ``each``, that
+    function takes the micro-batches, and nothing is returned.
     """
     spark, kind = rows.sparkSession, "spark.sql.streaming.stateStore.providerClass"
     was = spark.conf.get(kind)
@@ -110,7 +146,8 @@ def replay(rows: DataFrame, operator: Callable[[DataFrame], DataFrame], path: st
         for n in range(arrivals):
             rows.where(part == n).write.mode("append").parquet(f"{path}/in")
             said = operator(spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
-            said.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/out").trigger(availableNow=True).start().awaitTermination()
-        return spark.read.schema(said.schema).parquet(f"{path}/out")
+            sink = said.writeStream.foreachBatch(each) if each else said.writeStream.format("parquet").option("path", f"{path}/out")
+            sink.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        return None if each else spark.read.schema(said.schema).parquet(f"{path}/out")
     finally:
         spark.conf.set(kind, was)

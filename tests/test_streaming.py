@@ -37,10 +37,30 @@ def test_reassess_keeps_untouched_subjects(spark, tmp_path):
     run = streaming.reassess(last, str(tmp_path / "r"))
     run(spark.createDataFrame([("s", "k", "A", "conformant"), ("t", "k", "A", "conformant")], schema), 0)
     run(spark.createDataFrame([("t", "k", "A", "a late event")], schema), 1)
-    got = spark.read.parquet(str(tmp_path / "r/outcomes/batch=1")).collect()
+    got = streaming.outcomes(spark, str(tmp_path / "r")).collect()
     assert {(r.subject, r.outcome) for r in got} == {("s", "conformant"), ("t", "conformant")}
 
 
+def test_reassess_writes_what_changed(spark, tmp_path):
+    """A batch writes only outcomes that it changed; the same batch again changes nothing; a compaction holds them all."""
+    schema = "subject string, catalog string, control string, outcome string"
+    last = lambda df: df.groupBy("subject", "catalog", "control").agg({"outcome": "max"}).withColumnRenamed("max(outcome)", "outcome")
+    path = str(tmp_path / "r")
+    run, rows = streaming.reassess(last, path), lambda *xs: spark.createDataFrame([(s, "k", c, o) for s, c, o in xs], schema)
+    changes = lambda n: {(r.subject, r.control, r.outcome) for r in spark.read.parquet(f"{path}/changes/batch={n}").collect()} if list((tmp_path / f"r/changes/batch={n}").glob("bucket=*")) else set()
+    now = lambda n=None: {(r.subject, r.control, r.outcome) for r in streaming.outcomes(spark, path, n).collect()}
+    assert now() == set()
+    run(rows(("s", "A", "a"), ("s", "B", "a"), ("t", "A", "a"), ("u", "A", "z")), 0)
+    run(rows(("s", "A", "b"), ("t", "A", "a")), 1)
+    assert changes(1) == {("s", "A", "b")} and now() == {("s", "A", "b"), ("s", "B", "a"), ("t", "A", "a"), ("u", "A", "z")}
+    run(rows(("s", "A", "b"), ("t", "A", "a")), 1)
+    assert changes(1) == {("s", "A", "b")} and now(0) == {("s", "A", "a"), ("s", "B", "a"), ("t", "A", "a"), ("u", "A", "z")}
+    streaming.compact(spark, path, 1)
+    run(rows(("u", "A", "a"), ("t", "A", "c")), 2)
+    assert changes(2) == {("t", "A", "c")} and now() == {("s", "A", "b"), ("s", "B", "a"), ("t", "A", "c"), ("u", "A", "z")}
+    assert now(1) == {("s", "A", "b"), ("s", "B", "a"), ("t", "A", "a"), ("u", "A", "z")}
+
+
 def test_counts_by_window(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
