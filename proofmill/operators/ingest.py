@@ -7,11 +7,11 @@ fresh chance, and a duplicate never raises the time that later events are held a
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 #: The 24 event types, and the longest line in UTF-8 bytes.
 EVENT_TYPES = (
     "SessionStart SessionEnd BundleLoaded Attestation ModelCall ToolCall ResourceAccess MemoryWrite MemoryRead Instruction Refusal PolicyDecision AuthzCheck "
@@ -62,21 +62,6 @@ def row_reason(rows: DataFrame, sources: DataFrame | None) -> DataFrame:
     return out.withColumn("reason", reason).drop("_known", "declared_class")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor reaches: spark.checkpoint.dir, or the warehouse on one machine where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the folder that every executor reaches, and read again: cuts lineage."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def latest_before(rows: DataFrame, value: Column) -> DataFrame:
     """Adds _before: the largest ``value`` of the rows of the stream with a lower ordinal.
 

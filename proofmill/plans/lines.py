@@ -13,6 +13,7 @@ from ..operators import ingest as ing
 from ..sources import binding as bd
 from ..sources import payload as pl
 from ..sources import spans as sp
+from ..sources.scratch import shared_dir
 from .. import streaming
 from . import sql
 from .evidence import CHAIN, subjects
@@ -30,6 +31,10 @@ def query(text: str):
     return add
 
 
+def own_folder(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def as_named(x):
     """The kind that the binding's names of principals tell."""
     return F.when(x.startswith("human-"), "human").otherwise("service")
@@ -39,7 +44,7 @@ def as_named(x):
 def outcomes_from_lines(spark, d):
     """Outcome of each control for each subject, from lines alone: the events are written as files of JSON
     lines, scanned, ingested, shredded and assessed."""
-    path = f"{ing.shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    path = own_folder(spark, "lines")
     pl.write_lines(pl.event_lines(bd.evidence(spark, d), as_named), path)
     ev = pl.evidence_of(spark, path, bd.sources(spark))
     out = az.assess(ev, fx.facts(ev, bd.domain(spark), pl.principal_classes(ev)), cat.controls(spark), subjects(spark, d))
@@ -98,7 +103,7 @@ def principal_classes(spark, d):
     ev, k = bd.evidence(spark, d), F.col("k")
     chain = F.when(F.col("etype") == "DelegationIssued", F.array(F.struct(F.concat(F.lit("human-"), k % 5).alias("id"), F.when(k % 3 == 0, "human").otherwise("service").alias("kind"))))
     lines = pl.event_lines(ev.withColumn("chain", chain), lambda x: F.when(k % 5 == 0, "service").when(k % 5 == 1, "human"))
-    path = f"{ing.shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    path = own_folder(spark, "lines")
     pl.write_lines(lines, path)
     return pl.principal_classes(pl.evidence_of(spark, path))
 
@@ -161,10 +166,6 @@ def span_payloads(spark, d):
 # -- streams ----------------------------------------------------------------------------------------
 
 
-def own_folder(spark, name: str) -> str:
-    return f"{ing.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query(with_(sql.EV) + CHAIN + """ SELECT stream, id, idx, CASE WHEN broken THEN 'broken' WHEN unlinked THEN 'unlinked' WHEN time < max(time) OVER (PARTITION BY stream ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 'time_order' END AS finding FROM m""")
 def chain_stream(spark, d):
     """Each event's place in its hash chain and what is wrong with it, judged as events arrive in four parts."""

@@ -16,6 +16,7 @@ from ..functions import once
 from ..operators import ingest as ing
 from ..operators.facts import class_closure
 from .bundle import scan_lines
+from .scratch import written
 
 #: A line a column: its name, event type (* for all), path and kind.  event: a text that
 #: may name an event; truth: whether a value counts as true where there is one, of whatever kind;
@@ -159,4 +160,4 @@ def write_lines(lines: DataFrame, path: str) -> None:
 def evidence_of(spark: SparkSession, path: str, sources: DataFrame | None = None) -> DataFrame:
     """The accepted events of the JSON lines below ``path`` as evidence rows, written once as they are read often."""
     rows = ing.ingest(ing.parse_lines(in_order(scan_lines(spark, path))), sources)
-    return ing.written(shredded(rows.where("reason is null").drop("file", "parse_reason", "reason")), "shredded")
+    return written(shredded(rows.where("reason is null").drop("file", "parse_reason", "reason")), "shredded")

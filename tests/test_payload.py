@@ -71,3 +71,15 @@ def test_lines_in_order(spark, tmp_path):
 
     rows = pl.in_order(scan_lines(spark, str(tmp_path))).orderBy("ordinal").select(F.get_json_object("line", "$.n").alias("n")).collect()
     assert [r["n"] for r in rows] == [f"{x}{i}" for x in "abc" for i in range(3)]
+
+
+def test_intermediate_tables_can_be_cleared(spark):
+    from pathlib import Path
+
+    from proofmill.sources.scratch import clear, shared_dir, written
+
+    assert written(spark.range(3), "three").count() == 3
+    at = Path(shared_dir(spark).removeprefix("file:"))
+    assert at.name == spark.sparkContext.applicationId and any(at.iterdir())
+    clear(spark)
+    assert not at.exists()
