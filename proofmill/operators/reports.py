@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .facts import dangling
 
 
@@ -39,12 +40,29 @@ def preflight(ingested: DataFrame, accepted: DataFrame, declared: DataFrame) ->
     return rejects.union(counts).union(conflicts).union(loose)
 
 
+def placed(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Adds ``place``, from 1, in the total order of all rows: each range of rows is numbered by itself, and
+    takes the number of rows in the ranges before it.  Only the ranges, a row each, are put in one order."""
+    ranges = written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "placed")
+    sizes = ranges.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranges.join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range").withColumn("place", F.col("_before") + own).drop("_range", "_before")
+
+
 def identical_rows(produced: DataFrame, expected: DataFrame, order: list[str]) -> DataFrame:
-    """(rows, identical): rows equal at the same place in a total order; 0 identical where the lengths differ."""
-    w = Window.partitionBy("unit").orderBy(*order)
-    a = produced.withColumn("_n", F.row_number().over(w)).select("unit", "_n", F.struct(*[c for c in produced.columns if c != "unit"]).alias("a"))
-    b = expected.withColumn("_n", F.row_number().over(w)).select("unit", "_n", F.struct(*[c for c in produced.columns if c != "unit"]).alias("b"))
-    both = a.join(b, ["unit", "_n"], "full_outer").groupBy("unit").agg(F.count("a").alias("rows"), F.count("b").alias("_m"), F.count_if(F.col("a").eqNullSafe(F.col("b"))).alias("same"))
+    """(unit, rows, identical): rows of a unit equal at the same place in its order; 0 identical where the lengths differ.
+
+    Units may hold any part of the rows: places come from ``placed``, not from a sort of a unit.
+    """
+    names = [c for c in produced.columns if c != "unit"]
+
+    def within(rows: DataFrame, name: str) -> DataFrame:
+        at = placed(rows, ["unit", *order])
+        first = at.groupBy("unit").agg(F.min("place").alias("_first"))
+        return at.join(first, "unit").select("unit", (F.col("place") - F.col("_first")).alias("_n"), F.struct(*names).alias(name))
+
+    both = within(produced, "a").join(within(expected, "b"), ["unit", "_n"], "full_outer").groupBy("unit").agg(F.count("a").alias("rows"), F.count("b").alias("_m"), F.count_if(F.col("a").eqNullSafe(F.col("b"))).alias("same"))
     return both.select("unit", "rows", F.when(F.col("rows") == F.col("_m"), F.col("same")).otherwise(0).cast("long").alias("identical"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -60,6 +61,21 @@ def dataset_digest(found: DataFrame) -> str:
     return found.agg(F.sha2(F.array_join(lines, "\n"), 256)).first()[0]
 
 
+#: Hexadecimal digits of a path's digest that name the groups of files of each level of a tree digest.
+LEVELS = (6, 3, 0)
+
+
+def tree_digest(found: DataFrame) -> str:
+    """SHA-256 of a data set of any number of files, the same however its rows are dealt: files in groups by
+    the digest of their path, a digest over the sorted lines of each group, and so on up to one."""
+    rows = found.select(F.sha2("path", 256).alias("at"), F.concat_ws(" ", "path", "sha256").alias("line"))
+    for digits in LEVELS:
+        rows = rows.groupBy(F.substring("at", 1, digits).alias("at")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("d"))
+        rows = rows.select("at", F.concat_ws(" ", "at", "d").alias("line"))
+    top = rows.first()
+    return top["line"].strip() if top else hashlib.sha256(b"").hexdigest()
+
+
 def collect(parts: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Union of several sources' events, and (source, complete): complete only where it yielded events."""
     first = next(iter(parts.values()))
@@ -72,7 +88,7 @@ def collect(parts: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
 def write_bundle(events: DataFrame, path: str) -> DataFrame:
     """Events in order of time and id, the source dimension derived from them, and the manifest of both: (path, bytes, sha256)."""
     spark = events.sparkSession
-    events.sortWithinPartitions("time", "id").write.parquet(f"{path}/events")
+    events.repartitionByRange("time", "id").sortWithinPartitions("time", "id").write.parquet(f"{path}/events")
     events.select("source", F.col("source_class").alias("declared_class")).distinct().write.parquet(f"{path}/sources")
     found = file_digests(spark, path).where("path like '%.parquet'")
     found.coalesce(1).write.json(f"{path}/manifest")  # one row a file

@@ -83,3 +83,32 @@ def test_intermediate_tables_can_be_cleared(spark):
     assert at.name == spark.sparkContext.applicationId and any(at.iterdir())
     clear(spark)
     assert not at.exists()
+
+
+def test_tree_digest(spark):
+    """By hand over its three levels; the same in any order and any number of partitions; another for any change."""
+    import hashlib
+
+    from proofmill.sources.bundle import LEVELS, tree_digest
+
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    files = [(f"events/{i}.jsonl", sha(str(i))) for i in range(300)]
+    rows = [(sha(p), f"{p} {d}") for p, d in files]
+    for digits in LEVELS:
+        groups = {}
+        for at, line in rows:
+            groups.setdefault(at[:digits], []).append(line)
+        rows = [(at, f"{at} {sha(chr(10).join(sorted(lines)))}") for at, lines in groups.items()]
+    found = spark.createDataFrame(files, "path string, sha256 string")
+    assert tree_digest(found) == rows[0][1].strip() == tree_digest(found.orderBy("sha256").repartition(7))
+    assert tree_digest(found.limit(299)) != tree_digest(found) and tree_digest(found.limit(0)) == sha("")
+
+
+def test_places_over_ranges(spark):
+    from proofmill.operators.reports import identical_rows, placed
+
+    rows = spark.range(5000).selectExpr("id * 7919 % 5000 AS x", "cast(id % 3 AS string) AS s").repartition(9)
+    assert all(r["place"] == r["x"] + 1 for r in placed(rows, ["x"]).collect())
+    units = rows.selectExpr("if(x < 4000, 'big', 'small') AS unit", "x", "s")
+    altered = units.selectExpr("unit", "x", "if(x % 100 = 0, 'other', s) AS s").where("x <> 4999")
+    assert {tuple(r) for r in identical_rows(units, altered, ["x"]).collect()} == {("big", 4000, 3960), ("small", 1000, 0)}
