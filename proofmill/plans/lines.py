@@ -13,6 +13,7 @@ from ..operators import facts as fx
 from ..operators import ingest as ing
 from ..operators import integrity as it
 from ..sources import binding as bd
+from ..sources import logs as lg
 from ..sources import payload as pl
 from ..sources import spans as sp
 from ..sources.scratch import shared_dir
@@ -242,3 +243,57 @@ def tampered_streams(spark, d):
     rows = hashed_lines(spark, d)
     back = F.lag("hash", 1, it.GENESIS).over(Window.partitionBy("stream").orderBy("ordinal"))
     return it.stream_status(rows.withColumn("prev", back))
+
+
+# -- gateway and identity logs ----------------------------------------------------------------------
+
+LOGGED = """,
+lg AS (SELECT id, subject, k, time, CASE WHEN k % 41 = 0 THEN 'malformed' WHEN k % 43 = 0 THEN 'missing_member' END AS bad, CASE k % 3 WHEN 0 THEN 'ToolCall' WHEN 1 THEN 'ResourceAccess' END AS method, k % 4 < 3 AS pol, k % 4 = 1 AS deny, k % 5 = 0 AS del FROM ev)"""
+
+
+def log_lines(spark, d):
+    """A gateway line for each event: calls, reads and neither, with and without a decision and a delegation, some malformed."""
+    k = F.col("k")
+    s = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs])
+    request = bd.chosen([(k % 3 == 0, s('{"method": "tools/call", "params": {"name": "tool-', k, '", "arguments": {"a": 1}}}')), (k % 3 == 1, s('{"method": "resources/read", "params": {"uri": "db-', k, '", "kind": 5}}'))], '{"method": "ping"}')
+    policy = F.when(k % 4 < 3, s('{"engine": "', F.when(k % 2 == 0, "opa").otherwise("own"), '", "policy_id": "p', k % 6, '", "decision": "', F.when(k % 4 == 1, "deny").otherwise("allow"), '", "reasons": ["r1", 2, "r3"], "principal": {"id": "u", "kind": "human", "org": "o"}}')).otherwise("{}")
+    chain = s('[{"id": "h', k % 7, '", "kind": "human", "role": "owner"}, {"id": "x", "kind": "robot"}, {"id": "s", "kind": "service"}]')
+    delegation = F.when(k % 5 == 0, s('{"token_ref": "tk', k, '", "issuer": "idp", "chain": ', chain, ', "scope_granted": ["a", "b"], "scope_parent": [], "expires": "2030", "verification": {"status": "', F.when(k % 2 == 0, "verified").otherwise("so-so"), '", "method": "sig"}}')).otherwise("null")
+    body = s('"timestamp": "', F.col("time"), '", "trace_id": "', F.col("subject"), '", "span_id": "', F.col("id"), '", "request": ', request, ', "policy": ', policy, ', "delegation": ', delegation, ', "effect": {"side_effect": "write", "effect_class": "', F.when(k % 2 == 0, "spend").otherwise("fun"), '"}, "response": {"outcome": "', F.when(k % 6 == 0, "error").otherwise("ok"), '", "result_ref": "r', k, '"}')
+    line = F.when(k % 41 == 0, "{").otherwise(s("{", body, F.when(k % 43 == 0, "").otherwise(', "gateway": "g1"'), "}"))
+    own = s('{"timestamp": "', F.col("time"), '", "id": "', F.col("id"), '", "format": "jwt"', F.when(k % 2 == 0, ', "convention_version": "2"').otherwise(""), F.when(k % 9 == 0, "").otherwise(s(', "token_ref": "tk', k, '"')), ', "issuer": "idp", "chain": ', chain, ', "scope_granted": ["a", "b"], "expires": "2030", "acted_for": ["u1", 7]}')
+    return bd.evidence(spark, d).select(line.alias("line"), own.alias("identity"))
+
+
+@query(
+    with_(sql.EV)
+    + LOGGED
+    + """, ran AS (SELECT *, method IS NOT NULL AND NOT (pol AND deny) AS ran FROM lg),
+n AS (SELECT *, bad IS NULL AND NOT pol AND NOT ran AND NOT del AS empty FROM ran),
+e AS (SELECT *, unnest(CASE WHEN bad IS NOT NULL OR empty THEN [NULL] ELSE list_concat(list_concat(CASE WHEN pol THEN ['PolicyDecision'] ELSE [] END, CASE WHEN ran THEN [method] ELSE [] END), CASE WHEN del THEN ['DelegationIssued'] ELSE [] END) END) AS etype FROM n)
+SELECT CASE WHEN etype IS NOT NULL THEN 'gw:' || subject || '/' || id || CASE etype WHEN 'PolicyDecision' THEN '#policy' WHEN 'DelegationIssued' THEN '#delegation' ELSE '' END END AS id, etype, CASE WHEN bad = 'malformed' THEN NULL ELSE time END AS time, coalesce(bad, CASE WHEN empty THEN 'nothing_to_report' END) AS reason,
+  CASE WHEN etype = 'PolicyDecision' AND k % 2 = 0 THEN 'opa' END AS engine, CASE WHEN etype = 'PolicyDecision' THEN CASE WHEN deny THEN 'deny' ELSE 'allow' END END AS decision, CASE WHEN etype = 'PolicyDecision' THEN '["r1","r3"]' END AS reasons, CASE WHEN etype = 'PolicyDecision' AND ran THEN 'event:gw:' || subject || '/' || id END AS request,
+  CASE WHEN etype = 'ToolCall' THEN 'tool-' || k END AS tool, CASE WHEN etype = 'ToolCall' THEN 'gw:' || subject || '/' || id || '#args' END AS args_ref, CASE WHEN etype = 'ToolCall' THEN 'r' || k END AS result_ref, CASE WHEN etype = 'ToolCall' AND k % 2 = 0 THEN 'spend' END AS effect_class, CASE WHEN etype = 'ToolCall' AND k % 6 = 0 THEN 'error' END AS error,
+  CASE WHEN etype = 'ResourceAccess' THEN 'db-' || k END AS uri, CASE WHEN etype IN ('ToolCall', 'ResourceAccess') AND pol THEN 'event:gw:' || subject || '/' || id || '#policy' END AS authorization_ref,
+  CASE WHEN etype = 'DelegationIssued' THEN '[{"id":"h' || (k % 7) || '","kind":"human","role":"owner"},{"id":"s","kind":"service"}]' END AS chain, CASE WHEN etype = 'DelegationIssued' THEN '2030' END AS expires, CASE WHEN etype = 'DelegationIssued' THEN '["a","b"]' END AS scope, CASE WHEN etype = 'DelegationIssued' AND k % 2 = 0 THEN 'verified' END AS status FROM e"""
+)
+def gateway_payloads(spark, d):
+    """Each gateway event with the members of its payload, or why a line gives none."""
+    ev = lg.gateway_events(log_lines(spark, d), "me", "enforcement_point")
+    m = lambda path, name: F.get_json_object("data", f"$.{path}").alias(name)
+    return ev.select(
+        "id", "etype", "time", "reason", m("engine", "engine"), m("decision", "decision"), m("reasons", "reasons"), m("refs.request", "request"), m("tool.name", "tool"), m("args_ref", "args_ref"), m("result_ref", "result_ref"), m("effect_class", "effect_class"), m("error", "error"),
+        m("resource.uri", "uri"), m("refs.authorization", "authorization_ref"), m("chain", "chain"), m("expires", "expires"), m("scope_granted", "scope"), m("verification.status", "status"),
+    )
+
+
+@query(
+    with_(sql.EV)
+    + """ SELECT CASE WHEN k % 9 > 0 THEN 'id:' || id END AS id, CASE WHEN k % 9 > 0 THEN 'DelegationIssued' END AS etype, time, 'jwt' || CASE WHEN k % 2 = 0 THEN ':2' ELSE '' END AS convention, 'urn:identity:idp' AS source, CASE WHEN k % 9 = 0 THEN 'missing_member' END AS reason,
+  CASE WHEN k % 9 > 0 THEN '[{"id":"h' || (k % 7) || '","kind":"human","role":"owner"},{"id":"s","kind":"service"}]' END AS chain, CASE WHEN k % 9 > 0 THEN '["u1"]' END AS acted_for, CASE WHEN k % 9 > 0 THEN '2030' END AS expires, CASE WHEN k % 9 > 0 THEN '["a","b"]' END AS scope FROM ev"""
+)
+def identity_payloads(spark, d):
+    """Each delegation of the identity log with its chain, scope and expiry, or why a line gives none."""
+    ev = lg.identity_events(log_lines(spark, d).select(F.col("identity").alias("line")), "me", "independent_system")
+    m = lambda path, name: F.get_json_object("data", f"$.{path}").alias(name)
+    return ev.select("id", "etype", "time", "convention", "source", "reason", m("chain", "chain"), m("acted_for", "acted_for"), m("expires", "expires"), m("scope_granted", "scope"))

@@ -40,3 +40,19 @@ def test_spans_are_shredded(spark):
     ev = events(spark, document([("gen_ai.operation.name", {"stringValue": "execute_tool"}), ("gen_ai.agent.id", {"stringValue": "bot"})], name="run it"))
     row = payload.shredded(ev.select("id", "etype", "subject", "source_class", "data"), payload.COLUMNS + "tool_name ToolCall tool.name text\n").first()
     assert (row["id"], row["etype"], row["agent"], row["tool_name"]) == ("event:otel:t/s", "ToolCall", "bot", "run it")
+
+
+def test_logs_type_principals(spark):
+    """A delegation of the identity log types the principals of the gateway's calls; odd lines have their reasons."""
+    from proofmill.sources import logs
+
+    own = {"timestamp": "t", "trace_id": "t", "span_id": "s", "format": "jwt", "token_ref": "k", "chain": [{"id": "ann", "kind": "human"}, {"id": "r", "kind": "robot"}, "x"], "verification": {"status": "verified"}}
+    call = {"timestamp": "t", "trace_id": "t", "span_id": "s", "gateway": "g", "acted_for": ["ann"], "request": {"method": "tools/call"}}
+    frame = lambda *rows: spark.createDataFrame([(r if isinstance(r, str) else json.dumps(r),) for r in rows], "line string")
+    first = logs.identity_events(frame(own, {**own, "span_id": 5}, "[]", "{"), "me", "independent_system")
+    assert sorted(str(r["reason"]) for r in first.collect()) == ["None", "malformed", "missing_member", "not_an_object"]
+    second = logs.gateway_events(frame(call, {**call, "request": {}, "policy": {}}, {**call, "span_id": "u", "policy": {"decision": "deny"}}), "me", "enforcement_point")
+    assert sorted((str(r["id"]), str(r["reason"])) for r in second.collect()) == [("None", "nothing_to_report"), ("gw:t/s", "None"), ("gw:t/u#policy", "None")]
+    ev = payload.shredded(first.union(second).where("reason is null").select("id", "etype", "subject", "source_class", "data"))
+    assert {(r["principal"], r["class"]) for r in payload.principal_classes(ev).collect()} == {("ann", "HumanPrincipal"), ("ann", "Principal"), ("ann", "Agent")}
+    assert {r["id"]: r["verification_status"] for r in ev.where("etype = 'DelegationIssued'").collect()} == {"event:id:t/s": "verified"}
