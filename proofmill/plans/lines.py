@@ -297,3 +297,28 @@ def identity_payloads(spark, d):
     ev = lg.identity_events(log_lines(spark, d).select(F.col("identity").alias("line")), "me", "independent_system")
     m = lambda path, name: F.get_json_object("data", f"$.{path}").alias(name)
     return ev.select("id", "etype", "time", "convention", "source", "reason", m("chain", "chain"), m("acted_for", "acted_for"), m("expires", "expires"), m("scope_granted", "scope"))
+
+
+@query(
+    with_(sql.EV)
+    + """, o AS (SELECT id, k, time, CASE k % 7 WHEN 0 THEN 'ApprovalRequested' WHEN 1 THEN 'ApprovalDecided' WHEN 2 THEN 'Override' WHEN 3 THEN 'Interrupt' WHEN 4 THEN 'Notice' WHEN 5 THEN 'ApprovalDecided' END AS kind, k % 11 > 0 AND k % 12 > 0 AS known FROM ev),
+r AS (SELECT *, CASE WHEN kind IS NULL THEN 'unknown_kind' WHEN kind IN ('ApprovalDecided', 'Override', 'Interrupt') AND NOT known OR kind = 'ApprovalDecided' AND k % 5 = 0 THEN 'incomplete_record' END AS reason FROM o),
+e AS (SELECT *, CASE WHEN reason IS NULL THEN kind END AS etype FROM r)
+SELECT CASE WHEN reason IS NULL THEN 'ov:' || id END AS id, etype, time, reason, CASE WHEN etype IN ('ApprovalDecided', 'Override', 'Interrupt') THEN 'human/owner/au' || (k % 4) END AS actor, CASE WHEN etype = 'ApprovalDecided' THEN 'ss' END AS session_ref,
+  CASE WHEN etype = 'ApprovalDecided' AND k % 2 = 0 THEN 'approve' END AS outcome, CASE WHEN etype = 'ApprovalDecided' AND k % 3 > 0 THEN k::VARCHAR END AS latency_ms, CASE WHEN etype = 'ApprovalDecided' AND k % 4 > 0 THEN 'true' END AS viewed, CASE WHEN etype = 'Override' THEN 'was' END AS original,
+  CASE WHEN etype = 'Interrupt' AND k % 2 = 0 THEN 'kill_switch' END AS mechanism, CASE WHEN etype = 'Notice' AND k % 2 = 1 THEN 'explanation' END AS notice_type, CASE WHEN etype IS NOT NULL THEN 'event:' || id END AS decision FROM e"""
+)
+def oversight_payloads(spark, d):
+    """Each oversight event with its actor and the members of its payload, or why a line gives none."""
+    k = F.col("k")
+    s = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs])
+    kind = bd.chosen([(k % 7 == i, F.lit(x)) for i, x in enumerate(("approval_requested", "approval_decided", "override", "interrupt", "notice", "approval_decided"))], "gossip")
+    actor = s('{"id": ', F.when(k % 11 == 0, "7").otherwise('"ann"'), ', "role": "owner"', F.when(k % 12 == 0, "").otherwise(s(', "authority_ref": "au', k % 4, '"')), "}")
+    line = s(
+        '{"timestamp": "', F.col("time"), '", "id": "', F.col("id"), '", "source_format": "desk", "kind": "', kind, '", "actor": ', actor, F.when(k % 5 == 0, "").otherwise(', "session_ref": "ss"'), ', "outcome": "', F.when(k % 2 == 0, "approve").otherwise("shrug"),
+        '", "latency_ms": ', F.when(k % 3 == 0, '"7"').otherwise(k.cast("string")), ', "explanation_viewed": ', F.when(k % 4 == 0, '"yes"').otherwise("true"), ', "original": "was", "mechanism": "', F.when(k % 2 == 0, "kill_switch").otherwise("wish"), '", "notice_type": "', F.when(k % 2 == 1, "explanation").otherwise("rumour"), '", "refs": {"decision": "event:', F.col("id"), '"}}',
+    )
+    ev = lg.oversight_events(bd.evidence(spark, d).select(line.alias("line")), "me", "independent_system")
+    m = lambda path, name: F.get_json_object("data", f"$.{path}").alias(name)
+    actor = F.when(F.get_json_object("data", "$.actor").isNotNull(), F.concat_ws("/", *[F.get_json_object("data", f"$.actor.{x}") for x in ("kind", "role", "authority_ref")])).alias("actor")
+    return ev.select("id", "etype", "time", "reason", actor, *[m(x, x) for x in ("session_ref", "outcome", "latency_ms")], m("explanation_viewed", "viewed"), *[m(x, x) for x in ("original", "mechanism", "notice_type")], m("refs.decision", "decision"))

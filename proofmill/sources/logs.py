@@ -131,3 +131,40 @@ def identity_events(lines: DataFrame, subject: str, source_class: str, source: s
     own = F.lit(source) if source else F.concat(F.lit("urn:identity:"), F.coalesce(named("system"), named("issuer"), F.lit("unknown")))
     convention = F.concat_ws(":", named("format"), named("convention_version"))
     return laid_out(lines, F.array(one), refused([named("timestamp"), ident, named("format"), named("token_ref")]), about(subject, source_class, own, convention))
+
+
+#: Kinds of oversight lines and their events; what outcomes, mechanisms, effects and notices may be.
+OVERSIGHT = {"approval_requested": "ApprovalRequested", "approval_decided": "ApprovalDecided", "override": "Override", "interrupt": "Interrupt", "notice": "Notice"}
+OUTCOMES = ["approve", "edit", "reject"]
+MECHANISMS, EFFECTS = ["stop_button", "kill_switch", "circuit_breaker", "manual"], ["halted", "paused", "degraded"]
+NOTICES = ["subject_of_ai_decision", "explanation", "adverse_action"]
+
+
+def oversight_events(lines: DataFrame, subject: str, source_class: str, source: str | None = None) -> DataFrame:
+    """Events of oversight ``lines(line)``.  Decisions, overrides and interrupts must name an actor with role
+    and authority, decisions a session too, or the line is incomplete_record; a line that says which decision
+    or request it is about keeps that reference."""
+    kind = named("kind")
+    etype = F.coalesce(*[F.when(kind == k, t) for k, t in OVERSIGHT.items()])
+    ident = F.coalesce(named("id"), F.concat(named("trace_id"), F.lit("/"), named("span_id")))
+    own_kind = F.coalesce(named("actor.kind"), F.lit("human"))
+    who = F.struct(named("actor.id").alias("id"), own_kind.alias("kind"), *[named(f"actor.{m}").alias(m) for m in ("role", "authority_ref", "org")])
+    known = named("actor.id").isNotNull() & named("actor.role").isNotNull() & named("actor.authority_ref").isNotNull() & own_kind.isin(KINDS)
+    actor = F.when(known, who)
+    latency = F.when(F.schema_of_variant(at("latency_ms")).isin("BIGINT", "DECIMAL(38,0)"), F.try_variant_get(LINE, "$.latency_ms", "bigint"))
+    viewed = F.when(F.schema_of_variant(at("explanation_viewed")) == "BOOLEAN", F.try_variant_get(LINE, "$.explanation_viewed", "boolean"))
+    plain = lambda *ms: {m: named(m) for m in ms}
+    refs = {"refs": some(*[named(f"refs.{m}").alias(m) for m in ("decision", "request")])}
+    members = {
+        "ApprovalRequested": plain("explanation_ref", "requested_from", "channel", "deadline"),
+        "ApprovalDecided": {"actor": actor, **plain("session_ref", "edits_ref"), "outcome": one_of(named("outcome"), OUTCOMES), "latency_ms": latency, "explanation_viewed": viewed},
+        "Override": {"actor": actor, **plain("original", "replacement", "reason_code")},
+        "Interrupt": {"actor": actor, "mechanism": one_of(named("mechanism"), MECHANISMS), "effect": one_of(named("effect"), EFFECTS)},
+        "Notice": {**plain("person_ref", "delivered_at", "channel", "content_ref"), "notice_type": one_of(named("notice_type"), NOTICES)},
+    }
+    data = F.coalesce(*[F.when(etype == t, payload(t, {**ms, **refs})) for t, ms in members.items()])
+    lacking = etype.isin("ApprovalDecided", "Override", "Interrupt") & ~known | (etype == "ApprovalDecided") & named("session_ref").isNull()
+    reason = F.coalesce(refused([named("timestamp"), ident, kind, named("source_format")]), F.when(etype.isNull(), "unknown_kind").when(F.coalesce(lacking, F.lit(True)), "incomplete_record"))
+    one = F.struct(etype.alias("etype"), F.concat(F.lit("ov:"), ident).alias("id"), data.alias("data"))
+    own = F.lit(source) if source else F.concat(F.lit("urn:oversight:"), F.coalesce(named("system"), named("instance"), F.lit("unknown")))
+    return laid_out(lines, F.array(one), reason, about(subject, source_class, own, F.concat_ws(":", named("source_format"), named("convention_version"))))
