@@ -5,7 +5,7 @@ and, round by round, merges in every sequence its lowest-ranked pair at all its
 ``WordEncoder`` (encoding and decoding) holds for each short word its parts and the ranks of
 neighbouring parts in contiguous arrays, and deletes one boundary of a word at a time.
 Both keep bounded dictionaries of words met before; those only save time.  A word of more than LONG
-bytes, as scripts without spaces or noise make them, is merged with a heap in n log n steps.
+characters, as scripts without spaces or noise make them, is merged with a heap in n log n steps.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ CAPITALS = "1C89+1 A7CB-A567 A7CC+1 A7CE+1 A7D2+1 A7D4+1 A7DA+1 A7DC-A641 " + "
 #: Words remembered by one Python worker; beyond it the memory starts anew.
 MEMORY = 400_000
 NONE = np.iinfo(np.int32).max
-#: Bytes from which a word is merged with a heap.
+#: Characters from which a word is merged with a heap.
 LONG = 512
 
 
