@@ -109,6 +109,24 @@ def test_interval():
     assert fn.exact_interval(0, 0) == ("0.0000", "1.0000")
 
 
+def test_interval_of_many_trials():
+    import time
+
+    began = time.process_time()
+    for n in (300_000, 40_000_000):
+        for k in (7, n // 3, n // 2, n - 1):
+            low, high = (float(x) for x in fn.decimal_interval(k, n))
+            p = k / n
+            assert low - 5e-5 <= p <= high + 5e-5
+            if k == n // 3 or k == n // 2:  # so many trials are normal
+                step = 1.959964 * (p * (1 - p) / n) ** 0.5
+                assert abs(low - (p - step)) < 6e-5 and abs(high - (p + step)) < 6e-5
+    assert fn.decimal_interval(0, 300_000) == ("0.0000", "0.0000")
+    assert time.process_time() - began < 60
+    for k, n in [(1, 2001), (1000, 2001), (1999, 2001), (299, 2300), (301, 2600)]:
+        assert fn.decimal_interval(k, n) == fn.exact_interval(k, n)
+
+
 def test_pseudonym_and_sql_functions(spark):
     fn.register(spark)
     want = "principal:" + hmac.new(bytes(32), "ä-1".encode(), hashlib.sha256).hexdigest()
