@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import once
 from ..sources.scratch import written
 
 #: The 24 event types, and the longest line in UTF-8 bytes.
@@ -34,12 +35,14 @@ def parse_lines(lines: DataFrame, class_member: str = "sourceclass") -> DataFram
     parse_reason is oversize, schema_invalid, or null; the payload stays JSON text in ``data``.
     ``class_member`` is the envelope's member with the source class, as the feed at hand names it.
     """
-    body = F.trim("line")
-    get = lambda k: F.get_json_object(body, f"$.{k}")
+    body, members = F.col("_body"), ["id", "source", "subject", "time", "type", class_member, "data"]
     whole = F.coalesce(F.schema_of_variant(F.try_parse_json(body)).startswith("OBJECT"), F.lit(False))
-    bad = F.when(F.octet_length(body) > MAX_OCTETS, "oversize").when(~whole, "schema_invalid")
-    out = lines.where(F.length(body) > 0)
-    return out.select("file", "ordinal", *[get(k).alias(k) for k in ("id", "source", "subject", "time")], F.coalesce(type_name(get("type")), get("type")).alias("etype"), get(class_member).alias("source_class"), get("data").alias("data"), bad.alias("parse_reason"))
+    out = lines.select("file", "ordinal", F.trim("line").alias("_body")).where(F.length(body) > 0)
+    # one parse for all members; what is no whole object, or names a member twice, goes by single paths
+    out = out.select("*", once(whole).alias("_whole")).select("*", F.json_tuple(body, *members).alias(*[f"_{i}" for i in range(len(members))]))
+    get = {k: F.when(F.col("_whole"), F.col(f"_{i}")).otherwise(F.get_json_object(body, f"$.{k}")) for i, k in enumerate(members)}
+    bad = F.when(F.octet_length(body) > MAX_OCTETS, "oversize").when(~F.col("_whole"), "schema_invalid")
+    return out.select("file", "ordinal", *[get[k].alias(k) for k in ("id", "source", "subject", "time")], F.coalesce(type_name(get["type"]), get["type"]).alias("etype"), get[class_member].alias("source_class"), get["data"].alias("data"), bad.alias("parse_reason"))
 
 
 def row_reason(rows: DataFrame, sources: DataFrame | None) -> DataFrame:
@@ -82,8 +85,10 @@ def order_and_identity(rows: DataFrame) -> DataFrame:
     event of its stream (its ``stream`` where the rows have one, else its source) stands before it with
     a later time (as text).  Where the judged copy is late,
     the next one that is not enters; those passed over stay late, as times to be held against only
-    grow.  Rounds go on until no copy enters, whatever their number.
+    grow.  Rounds go on until no copy enters, whatever their number.  The rows are written first, as
+    each is read three times and may be dear to make.
     """
+    rows = written(rows, "arrived")
     good, bad = rows.where("reason is null"), rows.where("reason is not null")
     stream = F.coalesce("stream", "source") if "stream" in rows.columns else F.col("source")
     slim = written(good.select("id", stream.alias("stream"), "ordinal", "time"), "order")

@@ -112,3 +112,17 @@ def test_places_over_ranges(spark):
     units = rows.selectExpr("if(x < 4000, 'big', 'small') AS unit", "x", "s")
     altered = units.selectExpr("unit", "x", "if(x % 100 = 0, 'other', s) AS s").where("x <> 4999")
     assert {tuple(r) for r in identical_rows(units, altered, ["x"]).collect()} == {("big", 4000, 3960), ("small", 1000, 0)}
+
+
+def test_lines_are_parsed_once(spark):
+    from proofmill.operators import ingest as ing
+
+    odd = ['{"id": "a", "source": "s", "subject": "x", "time": "t", "type": "com.e.evidence.Decision.v1", "data": {"a": 1.50}}', '{"id": 7, "data": [1, {"z": null}]}', '{"id": 1.0e5, "time": {"a": true}}', "{", '{"id": "a", "id": "b"}', '[{"id": "a"}]', '{"id": "a"} x', '{"id": "a", "b": }', "null"]
+    lines = spark.createDataFrame([("f", i, x) for i, x in enumerate(odd)], "file string, ordinal long, line string")
+    parsed = ing.parse_lines(lines)
+    names = ["id", "source", "subject", "time", "data"]
+    want = lines.select("ordinal", *[F.get_json_object("line", f"$.{c}").alias(c) for c in names])
+    assert parsed.select("ordinal", *names).exceptAll(want).isEmpty() and want.count() == parsed.count()
+    got = ing.ingest(parsed)
+    assert {r.ordinal for r in got.where("reason is null").collect()} == {0}
+    assert "parse_json" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
