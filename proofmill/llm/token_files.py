@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Ids of pieces of text that one Python worker remembers; beyond it the memory starts anew.
-MEMORY = 20_000_000
+MEMORY = 6_000_000
 #: Bytes of text encoded at once; a longer text stands alone.
-BATCH = 4 << 20
+BATCH = 1 << 20
 #: Keys of the two 64-bit hashes by which a piece is remembered.
 KEYS = "of pieces, first", "of pieces,second"
 #: Fixed value: the characters that are white space to the library, or might be taken for it.
@@ -119,6 +119,12 @@ def library_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
+def batches(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """From where to where texts are encoded at once, by BATCH."""
+    sizes = pc.binary_length(texts).to_numpy().cumsum() // BATCH
+    return pairwise([0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(sizes)])
+
+
 def encoded(docs: DataFrame, vocab_path: str, end_id: int) -> DataFrame:
     """Rows (doc_id, part, at, n_tokens, ids) of ``docs`` in ascending order: part counts the runs of
     doc_ids, at the ids before the document in its run."""
@@ -128,8 +134,7 @@ def encoded(docs: DataFrame, vocab_path: str, end_id: int) -> DataFrame:
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, at = library_encoder(vocab_path), TaskContext.get().partitionId(), 0
         for frame in frames:
-            sizes = pc.binary_length(frame.column(1)).to_numpy().cumsum() // BATCH
-            for a, b in pairwise([0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(sizes)]):
+            for a, b in batches(frame.column(1)):
                 rows = [x for ids in own.encode(frame.column(1).slice(a, b - a)) for x in (ids, end)]
                 n = np.fromiter(map(len, rows), "int64", len(rows)).reshape(-1, 2).sum(axis=1)
                 places = np.concatenate(([0], np.cumsum(n)))
@@ -150,7 +155,7 @@ def write_tokens(docs: DataFrame, vocab_path: str, path: str, end_id: int = 2) -
     Documents stand in ascending order of doc_id, null first; rows that share a doc_id by a hash of
     their text, and each has its row.  A null text counts as empty and has the end id alone; other
     columns are not read; an empty table gives empty tables.  One shuffle, of the texts, by ranges of
-    (doc_id, hash); a task holds four megabytes of texts, or one longer text, and their ids.  One number per file passes
+    (doc_id, hash); a task holds a megabyte of texts, or one longer text, and their ids.  One number per file passes
     through the driver.
     """
     spark = docs.sparkSession

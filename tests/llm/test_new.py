@@ -301,3 +301,24 @@ def test_toxicity_fit_equals_dense_sums():
     got = toxicity.fit(terms, label, steps=steps)
     assert got["terms"].tolist() == [t for t, k in zip(names, some, strict=True) if k]
     assert np.allclose(got["w"], p["w"] * value, atol=2e-3) and np.allclose(got["v"], p["v"] * value[:, None], atol=5e-3) and abs(got["b"] - p["b"]) < 2e-3
+
+
+def test_token_files_encode_in_little_memory():
+    import subprocess
+    import sys
+
+    code = """
+import random, resource
+import public_tokenizers, pyarrow as pa
+from proofmill.llm import token_files as tf
+random.seed(1)
+word = lambda: "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=random.randint(2, 9)))
+texts = pa.array([" ".join(word() for _ in range(300)) for _ in range(6000)])
+own, began = tf.LibraryEncoder(public_tokenizers.path("byte_bpe_50k.json")), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for a, b in tf.batches(texts) if hasattr(tf, "batches") else [(0, 1800), (1800, 3600), (3600, 6000)]:
+    rows = own.encode(texts.slice(a, b - a))
+    assert len(rows) == b - a
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - began) // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert int(done.stdout.split()[-1]) < 300
