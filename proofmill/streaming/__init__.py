@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.integrity import GENESIS
 from ..operators.summary import drift
@@ -19,33 +19,27 @@ def deduplicated(events: DataFrame, delay: str = "1 day") -> DataFrame:
     return events.withColumn("at", F.to_timestamp("time")).withWatermark("at", delay).dropDuplicatesWithinWatermark(["id"]).drop("at")
 
 
-class ChainState(StatefulProcessor):
-    """Last hash and latest time of a stream; judges each new row against them."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "hash string, time string, idx long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        before, newest, idx = self.last.get() if self.last.exists() else (GENESIS, "", 0)
-        for pdf in rows:
-            out = []
-            for r in pdf.sort_values("ordinal").itertuples():
-                finding = "broken" if r.hash != r.content_hash else "unlinked" if r.prev != before else "time_order" if r.time < newest else None
-                out.append((key[0], r.id, idx, finding))
-                before, newest, idx = r.hash, max(newest, r.time), idx + 1
-            yield pd.DataFrame(out, columns=["stream", "id", "idx", "finding"])
-        self.last.update((before, newest, idx))
-
-    def close(self) -> None:
-        pass
+def _judged(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Judges the new rows of a stream, in their order, against its last hash and latest time."""
+    before, newest, idx = state.get if state.exists else (GENESIS, "", 0)
+    columns = ("ordinal", "id", "hash", "content_hash", "prev", "time")
+    rows = sorted((row for f in frames for row in zip(*(f[c] for c in columns), strict=True)), key=lambda row: row[0])
+    out = []
+    for _, name, own, content, prev, time in rows:
+        finding = "broken" if own != content else "unlinked" if prev != before else "time_order" if time < newest else None
+        out.append((key[0], name, idx, finding))
+        before, newest, idx = own, max(newest, time), idx + 1
+    state.update((before, newest, idx))
+    yield pd.DataFrame(out, columns=["stream", "id", "idx", "finding"])
 
 
 def chain_continuity(rows: DataFrame) -> DataFrame:
     """(stream, id, idx, finding) of every arriving row; state is three values a stream.
 
-    Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
+    The state of many streams travels to Python with their rows, in one batch.
     """
-    return rows.groupBy("stream").transformWithStateInPandas(ChainState(), "stream string, id string, idx long, finding string", "Append", "None")
+    own = rows.select("stream", "ordinal", "id", "hash", "content_hash", "prev", "time").groupBy("stream")
+    return own.applyInPandasWithState(_judged, "stream string, id string, idx long, finding string", "hash string, time string, idx long", "append", GroupStateTimeout.NoTimeout)
 
 
 def live_spans(spark: SparkSession, folder: str, subject: str, source_class: str, source: str) -> DataFrame:

@@ -85,3 +85,15 @@ def test_chain_continues_over_batches(spark, tmp_path):
         q.awaitTermination(120)
     got = {r["id"]: (r["idx"], r["finding"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"a": (0, None), "b": (1, None), "c": (2, "time_order"), "d": (3, "broken"), "e": (4, "unlinked")}
+
+
+def test_chain_sorts_a_batch_of_many_rows_whole(spark, tmp_path):
+    schema = "stream string, id string, ordinal long, time string, content_hash string, hash string, prev string"
+    n = 25_000  # more than an Arrow batch holds, and none of them in order
+    rows = [("s", f"e{i}", i, f"{i:06d}", f"h{i}", f"h{i}", f"h{i - 1}" if i else GENESIS) for i in range(n)][::-1]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    said = streaming.chain_continuity(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    q = said.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == n and got.where("finding is not null or id <> concat('e', idx)").isEmpty()
