@@ -45,6 +45,44 @@ def test_chain_reordered_late_signed(spark):
     assert integrity.stream_status(rows.limit(0)).count() == 0
 
 
+def test_chain_rows_are_made_once(spark):
+    """The status reads its rows once, so that a content hash, dear to make, is made once a row."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def content(x):
+        made.add(1)
+        return x
+
+    rows = chain(spark, ["a", "b", "c"]).withColumn("content_hash", content("content_hash"))
+    assert integrity.stream_status(rows).first().status == "verified_weak"
+    assert made.value == 3
+
+
+def test_chain_over_many_blocks(spark, monkeypatch):
+    """Status and first bad index where a stream spans blocks, against one pass in order."""
+    monkeypatch.setattr(integrity, "BLOCK", 3)
+    r = random.Random(5)
+    rows, want = [], {}
+    for s in range(40):
+        back, seen, links = integrity.GENESIS, [], []
+        for i in range(r.randint(1, 11)):
+            stored = HASH(f"{s}/{i}")
+            prev = back if r.random() > 0.1 else r.choice([HASH("lost"), integrity.GENESIS, None, *seen[:-1]])
+            broken = r.random() < 0.03
+            rows.append((f"s{s}", str(i), 2 * i + s % 2, "t", HASH("x") if broken else stored, stored, prev))
+            links.append((i, broken, prev != back, prev not in (None, integrity.GENESIS) and prev))
+            seen.append(stored)
+            back = stored
+        f = next((i for i, broken, _, _ in links if broken), None)
+        l, prev = next(((i, p) for i, _, unlinked, p in links if unlinked), (None, None))
+        status = "failed" if f is not None else "verified_weak" if l is None else "gap" if prev and prev not in seen else "reordered"
+        want[f"s{s}"] = (status, l if f is None else f, len(links))
+    frame = spark.createDataFrame(rows, "stream string, id string, ordinal long, time string, content_hash string, hash string, prev string")
+    assert {x.stream: (x.status, x.first_bad_index, x.n_events) for x in integrity.stream_status(frame).collect()} == want
+    assert {w[0] for w in want.values()} == {"failed", "gap", "reordered", "verified_weak"}
+
+
 def feed(spark, rows):
     return spark.createDataFrame([(i, s, "x", o, "Decision", "c", t) for i, s, o, t in rows], "id string, source string, subject string, ordinal long, etype string, source_class string, time string")
 
