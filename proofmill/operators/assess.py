@@ -26,13 +26,15 @@ def assess(ev: DataFrame, rows: DataFrame, controls: DataFrame, subjects: DataFr
     ``loading.with_tolerance``).  One job serves all subjects and controls.
     """
     names = sorted({r["checks"] for r in controls.select("checks").where("checks is not null").distinct().collect()})
-    counts = fx.check_counts(rows, names)
-    pairs = with_controls(subjects.join(minimum_evidence(ev), "subject", "left"), controls)
-    out = pairs.join(counts, ["subject", "checks"], "left")
+    # all joins are of subjects; controls unfold after them, each with the place of its checks among the counts
+    each = subjects.join(minimum_evidence(ev), "subject", "left").join(fx.check_table(rows, names), "subject", "left")
+    out = with_controls(each, controls.withColumn("_nth", F.array_position(F.array(*map(F.lit, names)), F.col("checks")).cast("int")))
+    own = F.get("counts", F.col("_nth") - 1)
     have = F.coalesce("have", F.array().cast("array<string>"))
     missing = F.array_except("need", have)
-    n, bad = F.coalesce("applicable", F.lit(0)), F.coalesce("failed", F.lit(0))
-    out = with_tolerance(out.withColumns({"applicable": n, "failed": bad})) if dict(controls.dtypes)["tolerance"].startswith("struct") else out.withColumn("within", bad <= F.col("tolerance"))
+    out = out.withColumns({name: F.coalesce(own[name], F.lit(0)) for name in ("applicable", "failed")})
+    n, bad = F.col("applicable"), F.col("failed")
+    out = with_tolerance(out) if dict(controls.dtypes)["tolerance"].startswith("struct") else out.withColumn("within", bad <= F.col("tolerance"))
     outcome = (
         F.when(~F.arrays_overlap("applies_to", "roles"), "not_applicable")
         .when((F.col("rung") != 2) | F.col("checks").isNull(), "not_assessed")

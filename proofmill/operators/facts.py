@@ -7,7 +7,7 @@ references are resolved by joins on (subject, id), so a reference into another s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Instruction classes that count as trusted; a missing class does too.
@@ -106,61 +106,77 @@ def class_closure(parents: DataFrame, depth: int = 16) -> DataFrame:
 
 
 def facts(ev: DataFrame, domain: DataFrame, principals: DataFrame) -> DataFrame:
-    """One row per focus event; ``domain`` is small and joined by broadcast hint only through its size."""
+    """One row per focus event; ``domain`` is a rule table and broadcast.
+
+    The evidence is read once.  Each event becomes a row for itself and one for each event that it names;
+    at the named event these meet (what is it, and who names it), and back at the naming event what was
+    found is put together.  Rows that are dealt by subject already are not dealt again.
+    """
     c = F.col
-    focus = ev.where(c("etype").isin("Decision", "ToolCall", "DelegationIssued", "Incident", "Instruction"))
-    # what points at an event: one aggregate over the references to it
-    back = ev.select(
-        "subject",
-        F.explode(
-            F.filter(
-                F.array(
-                    F.struct(F.when(c("etype").isin("ApprovalDecided", "Notice", "Outcome"), c("ref_decision")).alias("to"), c("etype").alias("how")),
-                    F.struct(F.when(c("etype") == "Refusal", c("ref_instruction")).alias("to"), F.lit("refused").alias("how")),
-                    F.struct(F.when((c("etype") == "PolicyDecision") & (c("policy_decision") == "deny"), c("ref_request")).alias("to"), F.lit("denied").alias("how")),
-                    F.struct(F.when((c("etype") == "Refusal") & (c("reason_class") == "budget_exceeded"), c("ref_request")).alias("to"), F.lit("budget").alias("how")),
-                ),
-                lambda x: x["to"].isNotNull(),
-            )
-        ).alias("r"),
-    )
-    n = lambda how: F.count_if(c("r.how") == how)
-    back = back.groupBy("subject", c("r.to").alias("id")).agg(
-        n("ApprovalDecided").alias("n_reviewed"), n("Notice").alias("n_notified"), n("Outcome").alias("n_resulted"), n("refused").alias("n_refused"), n("denied").alias("n_denied"), n("budget").alias("n_budget")
-    )
-    loose = dangling(ev).groupBy("subject", "id").agg(F.count("*").alias("n_dangling"))
+    is_ = lambda *kinds: c("etype").isin(*kinds)
+    flag = lambda x: F.coalesce(x, F.lit(False))
     dom = domain.select("decision_type", (c("parent") == "ConsequentialDecision").alias("d_class"), c("consequential").alias("d_flag"), c("required_modality").alias("d_need"))
     ok = c("d_need").isNull() | (c("d_need") == c("oversight_modality"))
-    # what a tool call points at: its decision, delegation and instruction; a decision, its instruction
-    dec = ev.where("etype = 'Decision'").join(dom, "decision_type", "left").select("subject", c("id").alias("ref_decision"), F.coalesce("d_flag", F.lit(False)).alias("x_flag"), ok.alias("x_ok"))
     # a delegation's own word on its chain comes before the status of its verification
     verified = F.coalesce("chain_verified", c("verification_status") == "verified") if "verification_status" in ev.columns else c("chain_verified")
-    dele = ev.where("etype = 'DelegationIssued'").select("subject", c("id").alias("ref_delegation"), verified.alias("x_verified"))
-    ins = ev.where("etype = 'Instruction'").select("subject", c("id").alias("ref_instruction"), untrusted().alias("x_untrusted"))
-    of_call = lambda x: F.when(c("etype") == "ToolCall", x)  # noqa: E731  a decision has its instruction only
-    calls = ev.where("etype in ('ToolCall', 'Decision')").select("subject", "id", of_call(c("ref_decision")).alias("ref_decision"), of_call(c("ref_delegation")).alias("ref_delegation"), "ref_instruction", of_call(F.try_element_at("acted_for", F.lit(-1))).alias("principal"))
-    calls = calls.join(dec, ["subject", "ref_decision"], "left").join(dele, ["subject", "ref_delegation"], "left").join(ins, ["subject", "ref_instruction"], "left")
+    own = {
+        "target": c("etype"),
+        "class_consequential": flag(is_("Decision") & c("d_class")),
+        "flag_consequential": flag(is_("Decision") & c("d_flag")),
+        "source_class": c("source_class"),
+        "n_agent": c("agent").isNotNull().cast("int"),
+        "n_used": F.size("used"),
+        "has_time": c("time").isNotNull(),
+        "n_authorized": c("ref_authorization").isNotNull().cast("int"),
+        "n_acts_on": (c("ref_instruction").isNotNull() & is_("ToolCall")).cast("int"),
+        "modality_ok": flag(is_("Decision") & ok),
+        "chain_verified": flag(verified),
+        "instruction_untrusted": flag(is_("Instruction") & untrusted()),
+        "principal": F.when(is_("ToolCall"), F.try_element_at("acted_for", F.lit(-1))),
+    }
+    # what a tool call points at: its decision, delegation and instruction; a decision, its instruction
+    forward = {"decision": F.when(is_("ToolCall"), c("ref_decision")), "delegation": F.when(is_("ToolCall"), c("ref_delegation")), "instruction": F.when(is_("ToolCall", "Decision"), c("ref_instruction"))}
+    # what counts at the event pointed at
+    back = {
+        "reviewed": F.when(is_("ApprovalDecided"), c("ref_decision")),
+        "notified": F.when(is_("Notice"), c("ref_decision")),
+        "resulted": F.when(is_("Outcome"), c("ref_decision")),
+        "refused": F.when(is_("Refusal"), c("ref_instruction")),
+        "denied": F.when(is_("PolicyDecision") & (c("policy_decision") == "deny"), c("ref_request")),
+        "budget": F.when(is_("Refusal") & (c("reason_class") == "budget_exceeded"), c("ref_request")),
+    }
+    loose = F.coalesce("linked", F.array().cast("array<string>")) if "linked" in ev.columns else F.array(*REFS)
+    keys = F.array_distinct(F.array_compact(F.concat(loose, F.array(*forward.values(), *back.values()))))
+    at = lambda k: (F.struct(F.lit(False).alias("me"), k.alias("key"), F.array_contains(F.array_compact(loose), k).alias("loose"), *[flag(k == v).alias(n) for n, v in {**forward, **back}.items()]))
+    none = [F.lit(False).alias(n) for n in ("loose", *forward, *back)]
+    named = F.concat(F.array(F.struct(F.lit(True).alias("me"), c("id").alias("key"), *none)), F.transform(keys, at))
+    said = F.struct(flag(c("d_flag")).alias("flag"), ok.alias("ok"), verified.alias("verified"), untrusted().alias("untrusted"), *[v.alias(n) for n, v in own.items()])
+    # an event without an id is a row of its own
+    rows = ev.join(F.broadcast(dom), "decision_type", "left").select("subject", "id", F.when(c("id").isNull(), F.monotonically_increasing_id()).alias("_row"), said.alias("own"), F.explode(named).alias("e"))
+    rows = rows.select("subject", "id", "_row", F.when(c("e.me"), c("own")).alias("own"), "e.*")
+    meet = Window.partitionBy("subject", "key")
+    kind = lambda etype, x: F.max(F.when(c("me") & (c("own.target") == etype), c(f"own.{x}"))).over(meet)
+    found = {
+        "loose": c("loose") & ~F.max("me").over(meet),
+        "x_flag": c("decision") & kind("Decision", "flag"),
+        "x_ok": c("decision") & kind("Decision", "ok"),
+        "x_verified": c("delegation") & kind("DelegationIssued", "verified"),
+        "x_untrusted": c("instruction") & kind("Instruction", "untrusted"),
+        **{f"n_{n}": F.when(c("me") & c("key").isNotNull(), F.count_if(n).over(meet)) for n in back},
+    }
+    rows = rows.select("subject", "id", "_row", "own", *[v.alias(n) for n, v in found.items()])
+    rows = rows.groupBy("subject", "id", "_row").agg(F.first("own", ignorenulls=True).alias("own"), F.count_if("loose").alias("n_dangling"), *[F.max(n).alias(n) for n in found if n != "loose"])
+    rows = rows.where(c("own.target").isin("Decision", "ToolCall", "DelegationIssued", "Incident", "Instruction")).select("*", c("own.principal").alias("principal"))
     people = principals.where("class = 'HumanPrincipal'").select("subject", "principal", F.lit(True).alias("x_human"))
-    calls = calls.join(people, ["subject", "principal"], "left").select("subject", "id", "x_flag", "x_ok", "x_verified", "x_untrusted", "x_human")
-    rows = focus.join(dom, "decision_type", "left").join(back, ["subject", "id"], "left").join(loose, ["subject", "id"], "left").join(calls, ["subject", "id"], "left")
+    rows = rows.join(people, ["subject", "principal"], "left")
     no = lambda x: F.coalesce(c(x), F.lit(0).cast("long"))
-    flag = lambda x: F.coalesce(x, F.lit(False))
-    is_dec = c("etype") == "Decision"
+    mine = lambda *names: [c(f"own.{n}").alias(n) for n in names]
     return rows.select(
         "subject",
         "id",
-        c("etype").alias("target"),
-        flag(is_dec & c("d_class")).alias("class_consequential"),
-        flag(is_dec & c("d_flag")).alias("flag_consequential"),
-        "source_class",
-        c("agent").isNotNull().cast("int").alias("n_agent"),
-        F.size("used").alias("n_used"),
-        c("time").isNotNull().alias("has_time"),
+        *mine("target", "class_consequential", "flag_consequential", "source_class", "n_agent", "n_used", "has_time"),
         *[no(x).alias(x) for x in ("n_reviewed", "n_notified", "n_resulted", "n_refused", "n_dangling")],
-        c("ref_authorization").isNotNull().cast("int").alias("n_authorized"),
-        (c("ref_instruction").isNotNull() & (c("etype") == "ToolCall")).cast("int").alias("n_acts_on"),
-        flag(is_dec & ok).alias("modality_ok"),
-        flag(verified).alias("chain_verified"),
+        *mine("n_authorized", "n_acts_on", "modality_ok", "chain_verified"),
         flag(c("x_flag")).alias("executes_consequential"),
         flag(c("x_ok")).alias("executed_modality_ok"),
         flag(c("x_verified")).alias("delegation_verified"),
@@ -168,7 +184,7 @@ def facts(ev: DataFrame, domain: DataFrame, principals: DataFrame) -> DataFrame:
         (no("n_denied") == 0).alias("within_scope"),
         (no("n_budget") == 0).alias("within_budget"),
         flag(c("x_untrusted")).alias("acts_on_untrusted"),
-        flag((c("etype") == "Instruction") & untrusted()).alias("instruction_untrusted"),
+        *mine("instruction_untrusted"),
     )
 
 
@@ -185,11 +201,16 @@ def population_and_check(checks: str) -> tuple[Column, Column]:
     return F.coalesce(F.expr(parts[0][0]), F.lit(False)), ok
 
 
-def check_counts(rows: DataFrame, all_checks: list[str]) -> DataFrame:
-    """(subject, checks, applicable, failed): one conditional aggregate per check, one shuffle for all."""
+def check_table(rows: DataFrame, all_checks: list[str]) -> DataFrame:
+    """(subject, counts): of each check, in the order given, its name, applicable and failed; one conditional
+    aggregate per check, one shuffle for all."""
     aggs = []
     for name in all_checks:
         where, ok = population_and_check(name)
         aggs += [F.struct(F.lit(name).alias("checks"), F.count_if(where).alias("applicable"), F.count_if(where & ~ok).alias("failed")).alias(name)]
-    wide = rows.groupBy("subject").agg(*aggs)
-    return wide.select("subject", F.explode(F.array(*[F.col(f"`{n}`") for n in all_checks])).alias("c")).select("subject", "c.*")
+    return rows.groupBy("subject").agg(*aggs).select("subject", F.array(*[F.col(f"`{n}`") for n in all_checks]).alias("counts"))
+
+
+def check_counts(rows: DataFrame, all_checks: list[str]) -> DataFrame:
+    """(subject, checks, applicable, failed) of each check."""
+    return check_table(rows, all_checks).select("subject", F.explode("counts").alias("c")).select("subject", "c.*")

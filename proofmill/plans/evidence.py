@@ -29,8 +29,7 @@ def query(text: str | None = None):
 
 
 def facts(spark: SparkSession, d: str) -> DataFrame:
-    ev = bd.evidence(spark, d)
-    return fx.facts(ev, bd.domain(spark), bd.principals(ev))
+    return fx.facts(bd.evidence(spark, d, dealt=True), bd.domain(spark), bd.principals(bd.evidence(spark, d)))
 
 
 def subjects(spark: SparkSession, d: str) -> DataFrame:
@@ -41,8 +40,7 @@ def subjects(spark: SparkSession, d: str) -> DataFrame:
 
 
 def assertions(spark: SparkSession, d: str) -> DataFrame:
-    ev = bd.evidence(spark, d)
-    return az.assess(ev, fx.facts(ev, bd.domain(spark), bd.principals(ev)), cat.controls(spark), subjects(spark, d))
+    return az.assess(bd.evidence(spark, d), facts(spark, d), cat.controls(spark), subjects(spark, d))
 
 
 INT01 = """, per AS (SELECT subject, count(*) FILTER (executes_consequential) AS applicable, count(*) FILTER (executes_consequential AND source_class <> 'enforcement_point') AS failed FROM facts GROUP BY subject)
@@ -161,7 +159,7 @@ UNION SELECT subject, agent, 'actedOnBehalfOf', terminus FROM ev WHERE terminus
 SELECT subject, p, count(*) AS edges, count(DISTINCT s) AS sources, count(DISTINCT o) AS targets FROM e WHERE s IS NOT NULL AND o IS NOT NULL GROUP BY subject, p""")
 def edges_build(spark, d):
     """Typed links of each subject's graph, counted by predicate."""
-    return fx.edges(bd.evidence(spark, d)).groupBy("subject", "p").agg(F.count("*").alias("edges"), F.count_distinct("s").alias("sources"), F.count_distinct("o").alias("targets"))
+    return fx.edges(bd.evidence(spark, d, dealt=True)).groupBy("subject", "p").agg(F.count("*").alias("edges"), F.count_distinct("s").alias("sources"), F.count_distinct("o").alias("targets"))
 
 
 @query(with_(sql.EV) + "SELECT subject, id, 'principal:' || sha256(unhex(repeat('5C', 64)) || unhex(sha256(unhex(repeat('36', 64)) || encode(terminus)))) AS terminus FROM ev WHERE terminus IS NOT NULL")
@@ -239,7 +237,7 @@ SELECT r.subject, checks, r.id AS focus, ev.source_class, bad AS failing FROM r
 )
 def evidence_pointers(spark, d):
     ev = bd.evidence(spark, d)
-    return az.evidence_pointers(ev, fx.facts(ev, bd.domain(spark), bd.principals(ev)), sql.ALL_CHECKS)
+    return az.evidence_pointers(ev, facts(spark, d), sql.ALL_CHECKS)
 
 
 @query(with_(sql.EV, sql.ASSERT) + "SELECT subject, catalog, control, m AS missing FROM asr, unnest(missing) AS t(m) WHERE outcome = 'insufficient_evidence'")

@@ -129,7 +129,7 @@ WHEN CASE WHEN severity = 'high' THEN 10 * nf <= na ELSE nf <= 2 END THEN 'confo
 def tolerant_outcomes(spark, d):
     """Outcomes under a user's own control table, with tolerances as a ratio and as a count."""
     ev = bd.evidence(spark, d)
-    return az.assess(ev, fx.facts(ev, bd.domain(spark), bd.principals(ev)), own_controls(spark), subjects(spark, d)).select("subject", "catalog", "control", "outcome")
+    return az.assess(ev, facts(spark, d), own_controls(spark), subjects(spark, d)).select("subject", "catalog", "control", "outcome")
 
 
 @query(
@@ -153,7 +153,7 @@ SELECT a.subject, catalog, control, outcome FROM asr a LEFT JOIN f ON f.subject
 def uncited_verdicts(spark, d):
     """Verdicts for which no event beyond a self report can be cited."""
     ev = bd.evidence(spark, d)
-    rows = fx.facts(ev, bd.domain(spark), bd.principals(ev))
+    rows = facts(spark, d)
     cited = az.evidence_pointers(ev, rows, sql.ALL_CHECKS, limit=1 << 30).where("source_class <> 'self_report'")
     return az.uncited(az.assess(ev, rows, cat.controls(spark), subjects(spark, d)), cited)
 
@@ -288,7 +288,7 @@ SELECT a.subject, a.n AS assertions, coalesce(len(refs), 0) AS n_refs, sha256(co
 def evidence_packs(spark, d):
     """How many assertions each subject has, and the references that they cite."""
     ev = bd.evidence(spark, d)
-    rows = fx.facts(ev, bd.domain(spark), bd.principals(ev))
+    rows = facts(spark, d)
     return sm.packs(az.assess(ev, rows, cat.controls(spark), subjects(spark, d)), az.evidence_pointers(ev, rows, sql.ALL_CHECKS))
 
 

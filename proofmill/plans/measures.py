@@ -40,11 +40,11 @@ def before(spark, d):
     from ..operators import facts as fx
 
     ev = half(spark, d)
-    return az.assess(ev, fx.facts(ev, bd.domain(spark), bd.principals(ev)), cat.controls(spark), ev.select("subject").distinct().join(subjects(spark, d), "subject"))
+    return az.assess(ev, fx.facts(half(spark, d, dealt=True), bd.domain(spark), bd.principals(ev)), cat.controls(spark), ev.select("subject").distinct().join(subjects(spark, d), "subject"))
 
 
-def half(spark, d):
-    ev = bd.evidence(spark, d)
+def half(spark, d, dealt=False):
+    ev = bd.evidence(spark, d, dealt)
     top = bd.table(spark, d, "events").agg(F.max("event_id").alias("m")).first()["m"] or 0
     return ev.where(F.col("ordinal") < 2 * ((top + 1) // 2))
 

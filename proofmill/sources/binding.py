@@ -35,10 +35,17 @@ def event_types(events: DataFrame) -> DataFrame:
     return events.withColumn("k", k).withColumn("etype", etype).withColumn("subject", F.concat(F.lit("agent-"), F.col("user_id")))
 
 
-def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ``events`` table as evidence; one window per subject finds each event's predecessors."""
+def evidence(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """The ``events`` table as evidence; one window per subject finds each event's predecessors.
+
+    With ``dealt``, subjects are dealt over all shuffle partitions, for what makes many rows of each event:
+    partitions that are put together by the size of their events would be too large for it.
+    """
     rows = event_types(table(spark, sf_dir, "events"))
-    before = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    if dealt:
+        rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "subject")
+    # by subject, which names the user: so the rows stay dealt by it
+    before = Window.partitionBy("subject").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
     prev = lambda t: F.max(F.when(F.col("etype") == t, F.col("event_id"))).over(before)
     for name, t in (("pd", "Decision"), ("pg", "DelegationIssued"), ("pi", "Instruction"), ("pt", "ToolCall"), ("pp", "PolicyDecision")):
         rows = rows.withColumn(name, prev(t))

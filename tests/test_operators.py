@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from proofmill import functions as fn
+from proofmill import functions as fn, plans
 from proofmill.operators import assess, catalog, coverage, governance, ingest, integrity, loading, metrics, narrative, reports, rules, schema, state, summary
 from proofmill.operators import facts as fx
 from proofmill.sources import adapters, binding, bundle
@@ -509,3 +509,21 @@ def test_compact_iri_and_clauses(spark):
     got = reports.remediation(rows, need, have, links).first()
     assert (got["required"], got["observed"], got["missing"], got["clauses"]) == ("D,N", "D", "N", "f 1,f 2")
     assert reports.remediation(rows, need, have, links.limit(0)).first()["clauses"] == ""
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_facts_read_the_evidence_once(spark):
+    """All references are resolved in one pass: one reading of the events, and one for the principals."""
+    assert plan_of(plans.evidence.facts(spark, SF)).count("FileScan parquet") == 2
+
+
+def test_assess_joins_subjects_only(spark):
+    """Controls unfold after the joins, so that no pair of subject and control is shuffled."""
+    plan = plan_of(plans.QUERIES["observation_rows"](spark, SF))
+    assert "Generate explode" in plan and "checks" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
