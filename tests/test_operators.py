@@ -527,3 +527,8 @@ def test_assess_joins_subjects_only(spark):
     """Controls unfold after the joins, so that no pair of subject and control is shuffled."""
     plan = plan_of(plans.QUERIES["observation_rows"](spark, SF))
     assert "Generate explode" in plan and "checks" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
+
+
+def test_edges_are_made_in_all_partitions(spark):
+    """The links of the evidence come from as many tasks as there are shuffle partitions, whatever its size."""
+    assert "REPARTITION_BY_NUM" in plan_of(plans.QUERIES["edges_build"](spark, SF))
