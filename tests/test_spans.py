@@ -56,3 +56,18 @@ def test_logs_type_principals(spark):
     ev = payload.shredded(first.union(second).where("reason is null").select("id", "etype", "subject", "source_class", "data"))
     assert {(r["principal"], r["class"]) for r in payload.principal_classes(ev).collect()} == {("ann", "HumanPrincipal"), ("ann", "Principal"), ("ann", "Agent")}
     assert {r["id"]: r["verification_status"] for r in ev.where("etype = 'DelegationIssued'").collect()} == {"event:id:t/s": "verified"}
+
+
+def test_members_of_log_lines_are_read_once(spark):
+    """Each member is read from the parsed line in one place of the plan, however many columns it makes; odd values count as missing."""
+    from proofmill.sources import logs
+
+    line = {"timestamp": "t", "trace_id": "1", "span_id": "2", "gateway": "g", "request": {"method": "tools/call", "params": {"name": ""}}, "policy": {"decision": 7, "reasons": ["", 5]}, "delegation": []}
+    lines = spark.createDataFrame([(json.dumps(line),), ("[1]",), ("{",)], "line string")
+    got = logs.gateway_events(lines, "me", "enforcement_point")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("$.trace_id") == plan.count("$.policy.decision") == 1
+    rows = got.collect()
+    assert sorted((r.etype or "", r.reason or "") for r in rows) == [("", "malformed"), ("", "not_an_object"), ("PolicyDecision", ""), ("ToolCall", "")]
+    data = {r.etype: json.loads(r.data) for r in rows if r.etype}
+    assert data["PolicyDecision"] == {"@type": "PolicyDecision", "refs": {"request": "event:gw:1/2"}} and data["ToolCall"]["tool"] == {"name": "unknown", "protocol": "mcp"}
