@@ -116,7 +116,8 @@ def evaluate(links: DataFrame, literals: DataFrame, closure: DataFrame, rule: di
         pairs = bag.join(other, KEYS).groupBy(*KEYS).agg(F.bool_and(ordered(v, F.col("b"), name == "less_than")).alias("t"))
         return focus.join(pairs, KEYS, "left").select(*KEYS, F.coalesce("t", F.lit(True)).alias("ok"))
     else:
-        every = lambda c: F.coalesce(F.bool_and(F.coalesce(c, F.lit(False))), F.lit(True))
+        # checks on all values hold for a node without any
+        every = lambda c: F.coalesce(F.bool_and(F.when(F.col("_hit"), F.coalesce(c, F.lit(False)))), F.lit(True))
         test = {
             "min_count": lambda: F.count("value") >= arg,
             "max_count": lambda: F.count("value") <= arg,
@@ -127,14 +128,7 @@ def evaluate(links: DataFrame, literals: DataFrame, closure: DataFrame, rule: di
             "min_inclusive": lambda: every(ordered(F.lit(arg), v, False)),
             "max_inclusive": lambda: every(ordered(v, F.lit(arg), False)),
         }[name]()
-    got = focus.join(bag.withColumn("value", v), KEYS, "left").groupBy(*KEYS).agg(test.alias("ok"))
-    return got if name not in ("in", "datatype", "node_kind", "min_inclusive", "max_inclusive", "class", "node") else _empty_is_fine(got, bag)
-
-
-def _empty_is_fine(got: DataFrame, bag: DataFrame) -> DataFrame:
-    """Checks on all values hold for a node without any."""
-    some = bag.select(*KEYS).distinct().withColumn("_some", F.lit(True))
-    return got.join(some, KEYS, "left").select(*KEYS, (F.col("ok") | F.col("_some").isNull()).alias("ok"))
+    return focus.join(bag.withColumn("_hit", F.lit(True)), KEYS, "left").groupBy(*KEYS).agg(test.alias("ok"))
 
 
 def results(links: DataFrame, literals: DataFrame, closure: DataFrame, rules: dict[str, dict], shapes: dict[str, dict] | None = None) -> DataFrame:

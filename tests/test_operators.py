@@ -532,3 +532,14 @@ def test_assess_joins_subjects_only(spark):
 def test_edges_are_made_in_all_partitions(spark):
     """The links of the evidence come from as many tasks as there are shuffle partitions, whatever its size."""
     assert "REPARTITION_BY_NUM" in plan_of(plans.QUERIES["edges_build"](spark, SF))
+
+
+def test_checks_on_all_values_walk_a_path_once(spark):
+    """A node without a value passes, a value of another kind fails, and the path is walked once."""
+    links = spark.createDataFrame([("s", "a", "type", "T"), ("s", "b", "type", "T"), ("s", "c", "type", "T"), ("s", "a", "to", "x"), ("s", "b", "to", "y"), ("s", "b", "to", "x")], "subject string, s string, p string, o string")
+    literals = spark.createDataFrame([], "subject string, s string, p string, value string, datatype string")
+    closure = spark.createDataFrame([("T", "T")], "descendant string, ancestor string")
+    got = rules.evaluate(links, literals, closure, {"target": "T", "path": ["to"], "check": ("in", ["x"])})
+    once = rules.evaluate(links, literals, closure, {"target": "T", "path": ["to"], "check": ("min_count", 1)})
+    assert plan_of(got).count("Join") == plan_of(once).count("Join")
+    assert {r.focus: r.ok for r in got.collect()} == {"a": True, "b": False, "c": True}
