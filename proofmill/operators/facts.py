@@ -80,6 +80,19 @@ def edges(ev: DataFrame) -> DataFrame:
     return ev.select("subject", F.explode(every).alias("e")).select("subject", "e.*").distinct()
 
 
+def edge_counts(links: DataFrame) -> DataFrame:
+    """(subject, p, edges, sources, targets) of a set of links.
+
+    Each end is named once with its number of links, and then counted: links that are dealt by subject stay where they
+    are, while two distinct counts in one aggregate would shuffle every link three times over.
+    """
+    end = lambda side: F.struct(F.lit(side).alias("side"), F.col(side).alias("node"))
+    ends = links.select("subject", "p", F.explode(F.array(end("s"), end("o"))).alias("end")).select("subject", "p", "end.*")
+    each = ends.groupBy("subject", "p", "side", "node").agg(F.count("*").alias("n"))
+    source = F.col("side") == "s"
+    return each.groupBy("subject", "p").agg(F.sum(F.when(source, F.col("n"))).alias("edges"), F.count_if(source).alias("sources"), F.count_if(~source).alias("targets"))
+
+
 def dangling(ev: DataFrame) -> DataFrame:
     """References whose event is not in the same subject: (subject, id, ref); those of ``linked`` where rows have it."""
     every = F.col("linked") if "linked" in ev.columns else F.array_distinct(F.array_compact(F.array(*REFS)))

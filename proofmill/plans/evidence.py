@@ -159,7 +159,7 @@ UNION SELECT subject, agent, 'actedOnBehalfOf', terminus FROM ev WHERE terminus
 SELECT subject, p, count(*) AS edges, count(DISTINCT s) AS sources, count(DISTINCT o) AS targets FROM e WHERE s IS NOT NULL AND o IS NOT NULL GROUP BY subject, p""")
 def edges_build(spark, d):
     """Typed links of each subject's graph, counted by predicate."""
-    return fx.edges(bd.evidence(spark, d, dealt=True)).groupBy("subject", "p").agg(F.count("*").alias("edges"), F.count_distinct("s").alias("sources"), F.count_distinct("o").alias("targets"))
+    return fx.edge_counts(fx.edges(bd.evidence(spark, d, dealt=True)))
 
 
 @query(with_(sql.EV) + "SELECT subject, id, 'principal:' || sha256(unhex(repeat('5C', 64)) || unhex(sha256(unhex(repeat('36', 64)) || encode(terminus)))) AS terminus FROM ev WHERE terminus IS NOT NULL")

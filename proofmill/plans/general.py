@@ -31,7 +31,7 @@ def query(text: str | None = None):
 
 def graph(spark, d):
     """Links, literals and the class closure of the evidence."""
-    ev = bd.evidence(spark, d)
+    ev = bd.evidence(spark, d, dealt=True)
     lit = ev.select("subject", F.col("id").alias("s"), F.explode(F.array_compact(F.array(F.struct(F.lit("atTime").alias("p"), F.col("time").alias("value"), F.lit("dateTime").alias("datatype")), F.when(F.col("chain_verified").isNotNull(), F.struct(F.lit("chainVerified").alias("p"), F.col("chain_verified").cast("string").alias("value"), F.lit("boolean").alias("datatype"))), F.when(F.col("latency_ms").isNotNull(), F.struct(F.lit("latency").alias("p"), F.col("latency_ms").cast("string").alias("value"), F.lit("integer").alias("datatype")))))).alias("x")).select("subject", "s", "x.*")
     up = bd.domain(spark).select(F.col("decision_type").alias("child"), "parent").union(spark.createDataFrame([("ConsequentialDecision", "Decision")], "child string, parent string"))
     return fx.edges(ev), lit, fx.class_closure(up)

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Events of a partition that makes many rows of each.
+DEALT = 32_768
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,12 +41,14 @@ def event_types(events: DataFrame) -> DataFrame:
 def evidence(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     """The ``events`` table as evidence; one window per subject finds each event's predecessors.
 
-    With ``dealt``, subjects are dealt over all shuffle partitions, for what makes many rows of each event:
-    partitions that are put together by the size of their events would be too large for it.
+    With ``dealt``, subjects are dealt over partitions of about DEALT events, and no fewer than the shuffle
+    partitions, for what makes many rows of each event: as many partitions for any number of events, or such
+    as are put together by the size of their events, would be too large for it.
     """
     rows = event_types(table(spark, sf_dir, "events"))
     if dealt:
-        rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "subject")
+        parts = -(-table(spark, sf_dir, "events").count() // DEALT)  # Parquet has this number in its footers
+        rows = rows.repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), "subject")
     # by subject, which names the user: so the rows stay dealt by it
     before = Window.partitionBy("subject").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
     prev = lambda t: F.max(F.when(F.col("etype") == t, F.col("event_id"))).over(before)

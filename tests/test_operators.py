@@ -4,6 +4,7 @@ import hashlib
 import hmac
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -534,6 +535,21 @@ def test_edges_are_made_in_all_partitions(spark):
     assert "REPARTITION_BY_NUM" in plan_of(plans.QUERIES["edges_build"](spark, SF))
 
 
+def test_edges_partitions_follow_the_events(spark, monkeypatch):
+    """The number of events decides into how many partitions they are dealt, and their links stay in them."""
+    monkeypatch.setattr(binding, "DEALT", 50, raising=False)
+    for name in ("edges_build", "triple_count"):
+        dealt = [x for x in plan_of(plans.QUERIES[name](spark, SF)).splitlines() if "Exchange hashpartitioning" in x]
+        assert dealt and all(re.search(r"hashpartitioning\(subject#\d+, 20\)", x) for x in dealt)
+
+
+def test_edge_counts(spark):
+    """Ends are counted by side: a node may be both source and target, and of several links."""
+    links = [("s", "a", "p", "b"), ("s", "a", "p", "a"), ("s", "b", "p", "a"), ("s", "a", "q", "b"), ("t", "a", "p", "b"), (None, "a", "p", ""), (None, "b", "p", "")]
+    got = fx.edge_counts(spark.createDataFrame(links, "subject string, s string, p string, o string"))
+    assert {tuple(r) for r in got.select("subject", "p", "edges", "sources", "targets").collect()} == {("s", "p", 3, 2, 2), ("s", "q", 1, 1, 1), ("t", "p", 1, 1, 1), (None, "p", 2, 2, 1)}
+
+
 def test_checks_on_all_values_walk_a_path_once(spark):
     """A node without a value passes, a value of another kind fails, and the path is walked once."""
     links = spark.createDataFrame([("s", "a", "type", "T"), ("s", "b", "type", "T"), ("s", "c", "type", "T"), ("s", "a", "to", "x"), ("s", "b", "to", "y"), ("s", "b", "to", "x")], "subject string, s string, p string, o string")
