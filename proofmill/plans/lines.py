@@ -192,7 +192,9 @@ def incremental_outcomes(spark, d):
     path = own_folder(spark, "incremental")
 
     def assess(ev):
-        return az.assess(ev, fx.facts(ev, bd.domain(spark), bd.principals(ev)), cat.controls(spark), ev.select("subject").distinct().join(subjects(spark, d), "subject"))
+        # subjects and people are as many as the evidence has: neither is gathered in the driver, however small its files
+        roles = subjects(spark, d).hint("merge")
+        return az.assess(ev, fx.facts(ev, bd.domain(spark), bd.principals(ev).hint("merge")), cat.controls(spark), ev.select("subject").distinct().join(roles, "subject"))
 
     step = streaming.reassess(assess, path)
 

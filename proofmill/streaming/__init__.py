@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.integrity import GENESIS
-from ..operators.summary import drift
 from ..sources.adapters import spans_to_events, unnest_spans
+from ..sources.binding import DEALT
 
 
 def deduplicated(events: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -56,6 +56,8 @@ def counts_by_window(events: DataFrame, every: str = "1 hour", delay: str = "1 h
 
 #: Folders over which the events and outcomes of ``reassess`` are dealt by subject.
 BUCKETS = 64
+#: Subjects at most that are sent to all executors; where a batch touches more, events are dealt by subject instead.
+FEW = 20_000
 _KEYS = ["subject", "catalog", "control"]
 
 
@@ -67,9 +69,8 @@ def _committed(spark: SparkSession, folder: str, name: str) -> list[int]:
     return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
 
 
-def outcomes(spark: SparkSession, path: str, upto: int | None = None, buckets: list[int] | None = None) -> DataFrame:
-    """(subject, catalog, control, outcome) after batch ``upto``, or after all: of each pair the newest change
-    since the newest compaction, else what that holds.  With ``buckets``, only of subjects in these."""
+def _written(spark: SparkSession, path: str, upto: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+    """(subject, catalog, control, outcome, batch): the changes up to a batch since the newest compaction, and what that holds."""
     schema = "subject string, catalog string, control string, outcome string, batch int, bucket int"
     fits = lambda n: upto is None or n <= upto
     base = [n for n in _committed(spark, f"{path}/compacted", "upto") if fits(n)][-1:]
@@ -78,10 +79,16 @@ def outcomes(spark: SparkSession, path: str, upto: int | None = None, buckets: l
     if later:
         parts.append(spark.read.option("basePath", f"{path}/changes").schema(schema).parquet(*[f"{path}/changes/batch={n}" for n in later]))
     if not parts:
-        return spark.createDataFrame([], schema).drop("batch", "bucket")
+        return spark.createDataFrame([], schema).drop("bucket")
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     rows = rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
-    return rows.groupBy(*_KEYS).agg(F.max_by("outcome", "batch").alias("outcome"))
+    return rows.select(*_KEYS, "outcome", "batch")
+
+
+def outcomes(spark: SparkSession, path: str, upto: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+    """(subject, catalog, control, outcome) after batch ``upto``, or after all: of each pair the newest change
+    since the newest compaction, else what that holds.  With ``buckets``, only of subjects in these."""
+    return _written(spark, path, upto, buckets).groupBy(*_KEYS).agg(F.max_by("outcome", "batch").alias("outcome"))
 
 
 def compact(spark: SparkSession, path: str, upto: int) -> None:
@@ -98,24 +105,36 @@ def reassess(assess: Callable[[DataFrame], DataFrame], path: str) -> Callable[[D
     are read; ``outcomes`` reads the newest of each.  A batch that runs again writes the same folders
     anew from the batches before it; a changed outcome makes a new row that names the batch it
     supersedes, so no late event closes silently.
+
+    Outcomes of before and now are grouped, not joined: their files are so small for their rows that the
+    planner would gather one side in the driver and send it to all executors.
     """
     bucket = F.pmod(F.xxhash64("subject"), F.lit(BUCKETS)).cast("int")
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/events/batch={number}")
+        batch.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/events/batch={number}")
         touched = spark.read.parquet(f"{path}/events/batch={number}").select("subject", bucket.alias("bucket")).distinct()
-        buckets = [r["bucket"] for r in touched.select("bucket").distinct().collect()]  # BUCKETS numbers at most
+        counts = touched.groupBy("bucket").count().collect()  # BUCKETS rows at most
+        buckets = [r["bucket"] for r in counts]
         events = spark.read.option("basePath", f"{path}/events").parquet(f"{path}/events").where((F.col("batch") <= number) & F.col("bucket").isin(buckets))
-        own = events.join(touched.select("subject"), "subject", "left_semi").select(batch.columns)
+        if sum(r["count"] for r in counts) <= FEW:
+            names = F.broadcast(touched.select("subject"))
+        else:
+            parts = -(-events.count() // DEALT)  # Parquet has this number in its footers
+            events = events.repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), "subject")
+            names = touched.select("subject").hint("merge")
+        own = events.join(names, "subject", "left_semi").select(batch.columns)
         assess(own).write.mode("overwrite").parquet(f"{path}/assessed/batch={number}")
-        now = spark.read.parquet(f"{path}/assessed/batch={number}")
-        old = outcomes(spark, path, number - 1, buckets).join(touched.select("subject"), "subject", "left_semi")
+        now = spark.read.parquet(f"{path}/assessed/batch={number}").select(*_KEYS, "outcome", F.lit(number).alias("batch"))
+        at = F.col("batch")
+        both = _written(spark, path, number - 1, buckets).unionByName(now).groupBy(*_KEYS)
+        both = both.agg(F.max_by("outcome", F.when(at < number, at)).alias("previous"), F.max(F.when(at == number, F.col("outcome"))).alias("outcome"), F.count_if(at == number).alias("_now"))
+        changed = both.where("_now > 0 and (previous is null or previous <> outcome)").drop("_now").withColumn("bucket", bucket)
+        changed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/changes/batch={number}")
         if number:
-            drift(old, now).withColumn("supersedes", F.lit(number - 1)).write.mode("overwrite").parquet(f"{path}/drift/batch={number}")
-        was = old.withColumnRenamed("outcome", "_was")
-        new = now.select(*_KEYS, "outcome").join(was, _KEYS, "left").where("_was is null or _was <> outcome").drop("_was")
-        new.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/changes/batch={number}")
+            again = spark.read.schema(changed.schema).parquet(f"{path}/changes/batch={number}").where("previous is not null")
+            again.select(*_KEYS, "previous", "outcome", F.lit(number - 1).alias("supersedes")).write.mode("overwrite").parquet(f"{path}/drift/batch={number}")
 
     return run
 

@@ -2,6 +2,9 @@
 
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from proofmill import streaming
 from proofmill.operators.integrity import GENESIS
 
@@ -61,6 +64,26 @@ def test_reassess_writes_what_changed(spark, tmp_path):
     assert now(1) == {("s", "A", "b"), ("s", "B", "a"), ("t", "A", "a"), ("u", "A", "z")}
 
 
+@pytest.mark.parametrize("few", [0, streaming.FEW])
+def test_reassess_gathers_no_outcomes(spark, tmp_path, monkeypatch, few):
+    """Many outcomes lie in small files; a table of them that is gathered to be sent to all executors is refused here."""
+    monkeypatch.setattr(streaming, "FEW", few)
+    each = F.explode(F.sequence(F.lit(1), F.lit(300))).alias("control")
+    count = lambda ev: ev.groupBy("subject").count().select("subject", F.lit("k").alias("catalog"), each, F.concat(F.lit("seen "), "count").alias("outcome"))
+    run = streaming.reassess(lambda ev: count(ev).withColumn("control", F.concat(F.lit("C" * 200), "control")), str(tmp_path / "r"))
+    limit, was = "spark.sql.maxBroadcastTableSize", spark.conf.get("spark.sql.maxBroadcastTableSize")
+    spark.conf.set(limit, "48m")  # the first page of any such table takes 32 MB of a driver of 3 GB and four cores
+    try:
+        run(spark.range(1000).select(F.concat(F.lit("s"), "id").alias("subject")), 0)
+        run(spark.range(0, 1500, 2).select(F.concat(F.lit("s"), "id").alias("subject")), 1)
+    finally:
+        spark.conf.set(limit, was)
+    drift = spark.read.parquet(str(tmp_path / "r/drift/batch=1"))
+    assert [tuple(r) for r in drift.groupBy("previous", "outcome", "supersedes").count().collect()] == [("seen 1", "seen 2", 0, 150_000)]
+    got = streaming.outcomes(spark, str(tmp_path / "r")).groupBy("outcome").agg(F.count("*").alias("n"), F.countDistinct("subject").alias("s"))
+    assert {tuple(r) for r in got.collect()} == {("seen 1", 225_000, 750), ("seen 2", 150_000, 500)}
+
+
 def test_counts_by_window(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
